@@ -35,7 +35,8 @@ def _c(col) -> Column:
 
 
 def _lit_or_col(x) -> Column:
-    return x if isinstance(x, Column) else F.lit(x)
+    """A column name or Column; pass literal patterns as ``F.lit(...)``."""
+    return F.col(x) if isinstance(x, str) else x
 
 
 def match_lenient(content, regex) -> Column:

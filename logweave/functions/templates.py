@@ -94,8 +94,8 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def _rx(col: Column, pattern: str, repl: str) -> Column:
-    return F.regexp_replace(col, F.lit("(?U)" + pattern), F.lit(repl))
+def _rx(col: Column, pattern: str, repl: str, unicode: bool = True) -> Column:
+    return F.regexp_replace(col, F.lit(("(?U)" if unicode else "") + pattern), F.lit(repl))
 
 
 def escape_literal(col) -> Column:
@@ -150,12 +150,12 @@ def fix_wildcards(col) -> Column:
     return c
 
 
-def collapse_pass(col) -> Column:
+def collapse_pass(col, unicode: bool = True) -> Column:
     """One pass of every collapse rule, in order."""
-    return reduce(lambda acc, r: _rx(acc, r[0], r[1]), COLLAPSE_RULES, _c(col))
+    return reduce(lambda acc, r: _rx(acc, r[0], r[1], unicode), COLLAPSE_RULES, _c(col))
 
 
-def collapse_wildcards(col, passes: int = 4) -> Column:
+def collapse_wildcards(col, passes: int = 4, unicode: bool = True) -> Column:
     """Collapse adjacent / glued wildcards; ``passes`` unrolled rounds.
 
     Every rule shortens the text, so a few rounds reach the fixpoint for real
@@ -164,29 +164,29 @@ def collapse_wildcards(col, passes: int = 4) -> Column:
     """
     c = _c(col)
     for _ in range(passes):
-        c = collapse_pass(c)
-    return _rx(c, QUOTED_WILDCARD[0], QUOTED_WILDCARD[1])
+        c = collapse_pass(c, unicode)
+    return _rx(c, QUOTED_WILDCARD[0], QUOTED_WILDCARD[1], unicode)
 
 
-def clean_template(col) -> Column:
+def clean_template(col, unicode: bool = True) -> Column:
     """Clean a template (``<*>`` or regex form) into regex form; null when rejected.
 
     Rejected when fewer than three characters remain after dropping ASCII
     punctuation and spaces.
     """
-    c = _rx(_c(col), r"<\s*\*\s*>", WILD_RX)
+    c = _rx(_c(col), r"<\s*\*\s*>", WILD_RX, unicode)
     content = F.length(F.regexp_replace(c, F.lit(PUNCT_OR_SPACE_CLASS), F.lit("")))
-    c2 = _rx(c, CLEAN_FROM_TO[0], CLEAN_FROM_TO[1])
+    c2 = _rx(c, CLEAN_FROM_TO[0], CLEAN_FROM_TO[1], unicode)
     for _ in range(CLEAN_LOOP_ROUNDS):
-        c2 = reduce(lambda acc, r: _rx(acc, r[0], r[1]), CLEAN_LOOP_RULES, c2)
-    c2 = F.regexp_replace(c2, F.lit(r"(?U)^\s+|\s+$"), F.lit(""))
+        c2 = reduce(lambda acc, r: _rx(acc, r[0], r[1], unicode), CLEAN_LOOP_RULES, c2)
+    c2 = _rx(c2, r"^\s+|\s+$", "", unicode)
     return F.when(content < MIN_CONTENT_CHARS, F.lit(None).cast("string")).otherwise(c2)
 
 
-def static_token_count(col) -> Column:
+def static_token_count(col, unicode: bool = True) -> Column:
     """Static words (two or more ASCII word characters) outside wildcards."""
     c = F.replace(_c(col), F.lit(WILD_RX), F.lit(" "))
-    return F.regexp_count(c, F.lit("(?U)" + STATIC_TOKEN))
+    return F.regexp_count(c, F.lit(("(?U)" if unicode else "") + STATIC_TOKEN))
 
 
 def regex_word_count(col) -> Column:

@@ -182,3 +182,220 @@ def q_accuracy_mixed(spark, sf):
             .otherwise(F.col("event_template")))
     parsed = ev.select("dataset", "line_id", "content", pred.alias("template"))
     return acc.evaluate(parsed, corpora.event_labels(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# Template text and regex forms
+# ---------------------------------------------------------------------------
+from logweave.functions import templates as tf  # noqa: E402
+from logweave.functions import matching as mf  # noqa: E402
+from logweave.operators import pool as pl  # noqa: E402
+
+
+def _urls(spark, sf):
+    return corpora.page_urls(spark, sf)
+
+
+@register("literal_template", f"WITH {S.DL} SELECT line_id, {S.escape('content')} AS template_regex FROM dl")
+def q_literal_template(spark, sf):
+    return _docs(spark, sf).select("line_id", tf.literal_template("content").alias("template_regex"))
+
+
+@register("template_to_regex", f"""WITH {S.DL},
+m AS (SELECT line_id, {S.pattern(S.masked('content'))} AS template FROM dl)
+SELECT line_id, {S.to_regex('template', full=True)} AS template_regex FROM m""")
+def q_template_to_regex(spark, sf):
+    m = mining.masked_tokens(_docs(spark, sf), EVENT_MASKS, unicode=False)
+    return m.select("line_id", tf.template_to_regex("pattern").alias("template_regex"))
+
+
+@register("cap_wildcards", f"""WITH {S.DL},
+m AS (SELECT line_id, replace(regexp_replace(content, '[^ ]+', '<*>', 'g'), '<*>', '(.*?)') AS r FROM dl)
+SELECT line_id, {S.cap30('r')} AS template_regex FROM m""")
+def q_cap_wildcards(spark, sf):
+    r = F.replace(masking.mask_variables("content", ["[^ ]+"]), F.lit("<*>"), F.lit("(.*?)"))
+    return _docs(spark, sf).select("line_id", tf.cap_wildcards(r).alias("template_regex"))
+
+
+_URL_MASKS = ["https?", "[0-9]+", "[a-z]+\\.example"]
+_URL_MASK_SQL = "(?:https?)|(?:[0-9]+)|(?:[a-z]+\\.example)"
+
+
+def _url_templates(spark, sf):
+    u = _urls(spark, sf)
+    return u.select("dataset", "line_id", "content",
+                    tf.template_to_regex(masking.mask_variables("content", _URL_MASKS)).alias("template_regex"))
+
+
+_URL_TPL_SQL = f"""{S.PU},
+ut AS (SELECT dataset, line_id, content,
+       {S.to_regex(f"regexp_replace(content, '{_URL_MASK_SQL}', '<*>', 'g')", full=True)} AS template_regex FROM pu)"""
+
+
+@register("clean_templates", f"""WITH {_URL_TPL_SQL},
+{S.clean_steps('ut', 'template_regex')}
+SELECT line_id, cleaned FROM c6""")
+def q_clean_templates(spark, sf):
+    return _url_templates(spark, sf).select("line_id", tf.clean_template("template_regex", unicode=False)
+                                            .alias("cleaned"))
+
+
+@register("clean_doc_templates", f"""WITH {S.DL},
+m AS (SELECT line_id, {S.to_regex(S.pattern(S.masked('content')), full=True)} AS template_regex FROM dl),
+{S.clean_steps('m', 'template_regex')}
+SELECT line_id, cleaned FROM c6""")
+def q_clean_doc_templates(spark, sf):
+    m = mining.masked_tokens(_docs(spark, sf), EVENT_MASKS, unicode=False)
+    return m.select("line_id", tf.clean_template(tf.template_to_regex("pattern"), unicode=False).alias("cleaned"))
+
+
+@register("static_token_count", f"""WITH {_URL_TPL_SQL}
+SELECT line_id, {S.static_tokens('template_regex')} AS static_tokens, {S.word_count('template_regex')} AS word_count
+FROM ut""")
+def q_static_token_count(spark, sf):
+    t = _url_templates(spark, sf)
+    return t.select("line_id", tf.static_token_count("template_regex", unicode=False).alias("static_tokens"),
+                    tf.regex_word_count("template_regex").alias("word_count"))
+
+
+@register("collapse_wildcards", f"""WITH {S.DL},
+m AS (SELECT line_id, regexp_replace(content, '[A-Za-z0-9]+', '<*>', 'g') AS template FROM dl),
+{S.collapse_steps('m', 'template')}
+SELECT line_id, collapsed FROM k_out""")
+def q_collapse_wildcards(spark, sf):
+    m = _docs(spark, sf).select("line_id", masking.mask_variables("content", ["[A-Za-z0-9]+"], unicode=False)
+                                .alias("template"))
+    return m.select("line_id", tf.collapse_wildcards("template", passes=4, unicode=False).alias("collapsed"))
+
+
+@register("fix_wildcards")
+def q_fix_wildcards(spark, sf):
+    return _docs(spark, sf).select("line_id", tf.fix_wildcards("content").alias("fixed"))
+
+
+@register("regex_to_template", f"""WITH {_URL_TPL_SQL}
+SELECT line_id, regexp_replace(replace(template_regex, '(.*?)', '<*>'), '\\\\(.)', '\\1', 'g') AS template FROM ut""")
+def q_regex_to_template(spark, sf):
+    return _url_templates(spark, sf).select("line_id", tf.regex_to_template("template_regex").alias("template"))
+
+
+# ---------------------------------------------------------------------------
+# Matchers, pool, matching join
+# ---------------------------------------------------------------------------
+_EV_RX = f"""{S.EV},
+er AS (SELECT *, {S.to_regex('event_template', full=True)} AS own_regex,
+       {S.to_regex("'user <*> click value=<*> from <*> props {\"k\": <*>}'", full=True)} AS click_regex FROM ev)"""
+
+
+def _event_regex(spark, sf):
+    ev = _events(spark, sf)
+    click = F.lit('user <*> click value=<*> from <*> props {"k": <*>}')
+    return ev.withColumn("own_regex", tf.template_to_regex("event_template")) \
+        .withColumn("click_regex", tf.template_to_regex(click))
+
+
+_LEN_EQ = "(length({0}) - length(replace({0}, '=', '')))"
+
+
+def _strict_sql(c: str, r: str) -> str:
+    cc, rr = f"replace({c}, ',', '')", f"replace({r}, ',', '')"
+    eq_ok = f"{_LEN_EQ.format(rr)} = {_LEN_EQ.format(cc)}"
+    return f"({eq_ok} AND regexp_full_match({cc}, {rr}))"
+
+
+def _lenient_sql(c: str, r: str) -> str:
+    return f"regexp_full_match(translate({c}, ',$', ''), translate({r}, ',$', ''))"
+
+
+@register("match_lenient", f"""WITH {_EV_RX}
+SELECT line_id, {_lenient_sql('content', 'own_regex')} AS m_own, {_lenient_sql('content', 'click_regex')} AS m_click
+FROM er""")
+def q_match_lenient(spark, sf):
+    e = _event_regex(spark, sf)
+    return e.select("line_id", mf.match_lenient("content", F.col("own_regex")).alias("m_own"),
+                    mf.match_lenient("content", F.col("click_regex")).alias("m_click"))
+
+
+@register("match_strict", f"""WITH {_EV_RX}
+SELECT line_id, {_strict_sql('content', 'own_regex')} AS m_own, {_strict_sql('content', 'click_regex')} AS m_click
+FROM er""")
+def q_match_strict(spark, sf):
+    e = _event_regex(spark, sf)
+    return e.select("line_id", mf.match_strict("content", F.col("own_regex")).alias("m_own"),
+                    mf.match_strict_jvm("content", F.col("click_regex")).alias("m_click"))
+
+
+def _proposals(spark, sf):
+    """Every event line proposes its label template (seq 2*id) and the
+    all-types template (seq 2*id+1)."""
+    e = _events(spark, sf)
+    own = e.select("dataset", tf.template_to_regex("event_template").alias("template"),
+                   (F.col("line_id") * 2).alias("seq"))
+    gen = e.select("dataset", tf.template_to_regex(F.lit(_D1)).alias("template"),
+                   (F.col("line_id") * 2 + 1).alias("seq"))
+    return own.unionByName(gen)
+
+
+_POOL_SQL = f"""{S.EV},
+prop AS (SELECT dataset, {S.to_regex('event_template', full=True)} AS template, line_id * 2 AS seq FROM ev
+         UNION ALL
+         SELECT dataset, {S.to_regex("'" + _D1 + "'", full=True)} AS template, line_id * 2 + 1 AS seq FROM ev),
+{S.clean_steps('prop', 'template', 'template_regex')},
+pf AS (SELECT dataset, template_regex, min(seq) AS seq FROM c6 WHERE template_regex IS NOT NULL AND template_regex <> ''
+       GROUP BY dataset, template_regex),
+pool AS (SELECT *, {S.word_count('template_regex')} AS word_count, {S.static_tokens('template_regex')} AS static_tokens,
+                {S.static_tokens('template_regex')} > 1 AS candidate FROM pf),
+ranked AS (SELECT *, CASE WHEN candidate THEN row_number() OVER (PARTITION BY dataset, candidate
+                  ORDER BY word_count DESC, seq) END AS rank FROM pool)"""
+
+
+@register("template_pool", f"""WITH {_POOL_SQL}
+SELECT dataset, template_regex, word_count, static_tokens, candidate, seq, rank FROM ranked""")
+def q_template_pool(spark, sf):
+    return pl.template_pool(_proposals(spark, sf)).drop("template_id")
+
+
+@register("match_templates", f"""WITH {_POOL_SQL},
+cand AS (SELECT e.dataset, e.line_id, r.template_regex, r.word_count, r.seq FROM ev e JOIN ranked r
+         ON e.dataset = r.dataset AND r.candidate
+         AND r.word_count <= len({S.tokens('e.content')}) AND {_strict_sql('e.content', 'r.template_regex')}),
+best AS (SELECT *, row_number() OVER (PARTITION BY dataset, line_id ORDER BY word_count DESC, seq) AS rn FROM cand)
+SELECT e.dataset, e.line_id, b.template_regex FROM ev e LEFT JOIN best b
+  ON e.dataset = b.dataset AND e.line_id = b.line_id AND b.rn = 1""")
+def q_match_templates(spark, sf):
+    pool = pl.template_pool(_proposals(spark, sf))
+    lines = _events(spark, sf).select("dataset", "line_id", "content")
+    return pl.match_templates(lines, pool).select("dataset", "line_id", "template_regex")
+
+
+@register("templates_in_band", f"""WITH {_POOL_SQL}, {S.DL},
+lens AS (SELECT DISTINCT 'events' AS dataset, len({S.tokens('content')}) AS n_tokens FROM dl)
+SELECT l.dataset, l.n_tokens, r.template_regex, r.word_count FROM lens l JOIN ranked r
+  ON l.dataset = r.dataset AND r.candidate AND r.word_count BETWEEN l.n_tokens - 8 AND l.n_tokens + 1""")
+def q_templates_in_band(spark, sf):
+    pool = pl.template_pool(_proposals(spark, sf))
+    lens = _docs(spark, sf).select(F.lit("events").alias("dataset"),
+                                   F.size(text.tokenize("content", unicode=False)).alias("n_tokens")).distinct()
+    return pl.templates_in_band(lens, pool).drop("template_id")
+
+
+@register("unmatched", f"""WITH {_EV_RX}
+SELECT dataset, line_id, content FROM er WHERE NOT {_lenient_sql('content', 'click_regex')}""")
+def q_unmatched(spark, sf):
+    e = _event_regex(spark, sf)
+    matched = e.filter(mf.match_lenient("content", F.col("click_regex")))
+    return pl.unmatched(e, matched).select("dataset", "line_id", "content")
+
+
+@register("merge_templates", f"""WITH {S.DL},
+pc AS (SELECT dataset, {S.pattern(S.masked('content'))} AS template, count(*) AS count, min(line_id) AS first_line
+       FROM dl GROUP BY 1, 2),
+nm AS (SELECT *, {S.norm_pred(S.to_regex('template', full=True))} AS normalised FROM pc)
+SELECT dataset, normalised, sum(count) AS count, min(first_line) AS first_line, min(template) AS template
+FROM nm GROUP BY dataset, normalised""")
+def q_merge_templates(spark, sf):
+    from logweave.functions.normalise import normalise_pred
+    pc = mining.pattern_counts(_docs(spark, sf), EVENT_MASKS, unicode=False).select(
+        "dataset", F.col("pattern").alias("template"), F.col("n").alias("count"), F.col("first_id").alias("first_line"))
+    nm = pc.withColumn("normalised", normalise_pred(tf.template_to_regex("template")))
+    return pl.merge_templates(nm)

@@ -38,12 +38,35 @@ def pattern(col: str) -> str:
     return f"array_to_string({tokens(col)}, ' ')"
 
 
-# Python re.escape set, then "\ " back to " ".
-def to_regex(col: str) -> str:
-    esc = f"regexp_replace({col}, '([()\\[\\]{{}}?*+\\-|^$\\\\.&~#\\t\\n\\r\\x0B\\f])', '\\\\\\1', 'g')"
-    esc = f"replace({esc}, '\\ ', ' ')"
-    esc = f"replace({esc}, '<\\*>', '(.*?)')"
-    return f"regexp_replace({esc}, '(?:\\(\\.\\*\\?\\))+', '(.*?)', 'g')"
+PU = """pu AS (SELECT 'pages' AS dataset, CAST(page_id AS BIGINT) AS line_id, url AS content FROM pages)"""
+
+TEN = " ".join(["(.*?)"] * 10)
+ESC_CLASS = r"([()\[\]{}?*+\-|^$\\.&~#\t\n\r\x0B\f])"
+
+
+def escape(col: str) -> str:
+    """Python re.escape character set, then a backslash-space back to a space."""
+    esc = f"regexp_replace({col}, '{ESC_CLASS}', '\\\\\\1', 'g')"
+    return f"replace({esc}, '\\ ', ' ')"
+
+
+def cap30(x: str) -> str:
+    n = f"((length({x}) - length(replace({x}, '(.*?)', ''))) // 5)"
+    return (f"CASE WHEN {n} > 30 THEN array_to_string(string_split({x}, '(.*?)')[1:30], '(.*?)') || '(.*?)' "
+            f"ELSE {x} END")
+
+
+QUOTED_WILD = r"'<\*>'?".replace("'", "''")
+
+
+def to_regex(col: str, full: bool = False) -> str:
+    c = f"regexp_replace({col}, '{QUOTED_WILD}', '<*>', 'g')" if full else col
+    esc = f"replace({escape(c)}, '<\\*>', '(.*?)')"
+    esc = f"regexp_replace({esc}, '(?:\\(\\.\\*\\?\\))+', '(.*?)', 'g')"
+    if not full:
+        return esc
+    esc = f"regexp_replace({esc}, '(?:\\(\\.\\*\\?\\) ){{10,}}', '{TEN}', 'g')"
+    return cap30(esc)
 
 
 def norm_truth(col: str) -> str:
@@ -79,3 +102,50 @@ SELECT c.{by}, coalesce(s.ae, 0) / c.n_lines AS ga, c.m / c.n_lines AS pa,
             THEN 2.0 * coalesce(s.att, 0) / (coalesce(s.np, 0) + coalesce(nt.nt, 0)) ELSE 0.0 END AS fta,
        CAST(coalesce(s.np, 0) AS BIGINT) AS event_count
 FROM c LEFT JOIN s ON c.{by} = s.{by} LEFT JOIN nt ON c.{by} = nt.{by}"""
+
+
+PUNCT = r"""[ !"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
+
+
+def clean_steps(src: str, col: str, out: str = "cleaned") -> str:
+    """CTE chain that cleans template regexes of ``src.col``; adds ``out``."""
+    lp = [(r"\(\.\*\?\)+://\(\.\*\?\)", "(.*?)"), (r"www\.\(\.\*\?\)", "(.*?)")]
+
+    def loop(x: str) -> str:
+        y = x
+        for p, r in lp:
+            y = f"regexp_replace({y}, '{p}', '{r}', 'g')"
+        return y
+    return f"""c0 AS (SELECT *, regexp_replace({col}, '<\\s*\\*\\s*>', '(.*?)', 'g') AS c_a FROM {src}),
+c1 AS (SELECT *, length(regexp_replace(c_a, '{_q(PUNCT)}', '', 'g')) AS c_n,
+       regexp_replace(c_a, '\\bfrom\\s+\\S+\\s+to\\s+\\S+', 'from (.*?) to (.*?)', 'g') AS c_b FROM c0),
+c2 AS (SELECT *, {loop('c_b')} AS c_c FROM c1),
+c3 AS (SELECT *, CASE WHEN starts_with(c_c, '_(.*?)') THEN substr(c_c, 2) ELSE c_c END AS c_d FROM c2),
+c4 AS (SELECT *, {loop('c_d')} AS c_e FROM c3),
+c5 AS (SELECT *, CASE WHEN starts_with(c_e, '_(.*?)') THEN substr(c_e, 2) ELSE c_e END AS c_f FROM c4),
+c6 AS (SELECT * EXCLUDE (c_a, c_b, c_c, c_d, c_e, c_f, c_n),
+       CASE WHEN c_n < 3 THEN NULL ELSE regexp_replace(c_f, '^\\s+|\\s+$', '', 'g') END AS {out} FROM c5)"""
+
+
+def static_tokens(col: str) -> str:
+    return f"len(regexp_extract_all(replace({col}, '(.*?)', ' '), '\\b[a-zA-Z0-9_]{{2,}}\\b'))"
+
+
+def word_count(col: str) -> str:
+    return f"(length({col}) - length(replace({col}, ' ', '')) + 1)"
+
+
+from logweave.functions.templates import COLLAPSE_RULES as COLLAPSE  # noqa: E402
+
+
+def collapse_steps(src: str, col: str, passes: int = 4, out: str = "collapsed") -> str:
+    ctes = [f"k0 AS (SELECT *, {col} AS k_x0 FROM {src})"]
+    for i in range(passes):
+        e = f"k_x{i}"
+        for p, r in COLLAPSE:
+            e = f"regexp_replace({e}, '{p}', '{r}', 'g')"
+        ctes.append(f"k{i + 1} AS (SELECT *, {e} AS k_x{i + 1} FROM k{i})")
+    keep = ", ".join(f"k_x{i}" for i in range(passes + 1))
+    ctes.append(f"""k_out AS (SELECT * EXCLUDE ({keep}),
+  regexp_replace(k_x{passes}, '{QUOTED_WILD}', '<*>', 'g') AS {out} FROM k{passes})""")
+    return ",\n".join(ctes)
