@@ -39,11 +39,22 @@ def _lit_or_col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# An escape of a letter/digit, or a dangling backslash at the end, can only
+# appear after characters were deleted from an escaped template; Python
+# rejects most of them, Java throws on some, so such a pattern never matches.
+_BROKEN_ESCAPE = r"(?:^|[^\\])(?:\\\\)*\\(?:[A-Za-z0-9]|$)"
+
+
+def pattern_is_safe(regex) -> Column:
+    return ~_lit_or_col(regex).rlike(_BROKEN_ESCAPE)
+
+
 def match_lenient(content, regex) -> Column:
     """Full match after deleting ``,`` and ``$`` from line and template."""
     c = F.translate(_c(content), ",$", "")
     r = F.translate(_lit_or_col(regex), ",$", "")
-    return F.regexp_like(c, F.concat(F.lit(PY_FLAGS + "^(?:"), r, F.lit(")\\z")))
+    return F.when(pattern_is_safe(r), F.regexp_like(c, F.concat(F.lit(PY_FLAGS + "^(?:"), r, F.lit(")\\z")))) \
+        .otherwise(F.lit(False))
 
 
 def _eq_count(c: Column) -> Column:
@@ -73,7 +84,8 @@ def match_strict_jvm(content, regex) -> Column:
     no ``=`` or the template has fewer than two groups)."""
     c = F.replace(_c(content), F.lit(","), F.lit(""))
     r = F.replace(_lit_or_col(regex), F.lit(","), F.lit(""))
-    return strict_equals_ok(content, regex) & F.regexp_like(c, F.concat(F.lit(PY_FLAGS), _anchored(r)))
+    return F.when(strict_equals_ok(content, regex) & pattern_is_safe(r),
+                  F.regexp_like(c, F.concat(F.lit(PY_FLAGS), _anchored(r)))).otherwise(F.lit(False))
 
 
 def needs_group_rule(content, regex) -> Column:
@@ -130,3 +142,20 @@ def match_strict(content, regex) -> Column:
     """Exact strict matcher as a column (pandas UDF; prefer the operator in
     ``logweave.operators.pool`` which routes only the needed pairs to Python)."""
     return strict_match_udf(_c(content), _lit_or_col(regex))
+
+
+def regex_is_valid_py(pattern: str | None) -> bool:
+    if pattern is None:
+        return False
+    import re
+    try:
+        re.compile(pattern)
+        return True
+    except re.error:
+        return False
+
+
+@pandas_udf(T.BooleanType())
+def regex_is_valid_udf(pattern: pd.Series) -> pd.Series:
+    """Python-side validity of template regexes; use on template tables only."""
+    return pd.Series([regex_is_valid_py(p) for p in pattern], dtype=bool)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.matching import (
-    match_strict_jvm, needs_group_rule, strict_match_udf,
+    match_strict_jvm, needs_group_rule, regex_is_valid_udf, strict_match_udf,
 )
 from logweave.functions.templates import (
     clean_template, regex_word_count, static_token_count,
@@ -43,6 +43,8 @@ def template_pool(proposals: DataFrame, check_col: str | None = None) -> DataFra
     """
     p = proposals.withColumn("template_regex", clean_template("template")) \
         .filter(F.col("template_regex").isNotNull() & (F.col("template_regex") != ""))
+    # Invalid patterns never match; drop them once on the small template table.
+    p = p.filter(regex_is_valid_udf(F.replace(F.col("template_regex"), F.lit(","), F.lit(""))))
     if check_col:
         p = p.filter(strict_match_udf(F.col(check_col), F.col("template_regex")))
     first = p.groupBy("dataset", "template_regex").agg(F.min("seq").alias("seq"))

@@ -399,3 +399,139 @@ def q_merge_templates(spark, sf):
         "dataset", F.col("pattern").alias("template"), F.col("n").alias("count"), F.col("first_id").alias("first_line"))
     nm = pc.withColumn("normalised", normalise_pred(tf.template_to_regex("template")))
     return pl.merge_templates(nm)
+
+
+# ---------------------------------------------------------------------------
+# Sampling, ordering, verification, the parse loop
+# ---------------------------------------------------------------------------
+from logweave.operators import sampling as smp  # noqa: E402
+from logweave.operators import verify as vf  # noqa: E402
+
+_MD5_ORDER = "md5(CAST(line_id AS VARCHAR) || ':0')"
+
+
+@register("group_cap", f"""WITH {S.EV},
+r AS (SELECT event_type, line_id, {_MD5_ORDER} AS sample_order,
+      row_number() OVER (PARTITION BY event_type ORDER BY {_MD5_ORDER}) AS rn FROM ev)
+SELECT event_type, line_id, sample_order FROM r WHERE rn <= 100""")
+def q_group_cap(spark, sf):
+    ev = _events(spark, sf).select("event_type", "line_id")
+    return smp.group_cap(ev, ["event_type"], 100, smp.hash_order(0))
+
+
+@register("group_order", f"""WITH {S.EV},
+g AS (SELECT dataset, substr(md5(event_template), 1, 8) AS event_id, min(line_id) AS first_line FROM ev GROUP BY 1, 2),
+f AS (SELECT g.*, len({S.tokens('e.content')}) AS first_words FROM g JOIN ev e ON e.line_id = g.first_line)
+SELECT dataset, event_id, first_line, first_words,
+       row_number() OVER (PARTITION BY dataset ORDER BY first_words, event_id) AS group_rank FROM f""")
+def q_group_order(spark, sf):
+    g = mining.mine_templates(_events(spark, sf), EVENT_MASKS, depth=4)
+    return smp.group_order(g, "event_id")
+
+
+@register("longest_line", f"""WITH {S.DL},
+r AS (SELECT dataset, doc_id, line_id, content,
+      row_number() OVER (PARTITION BY dataset, doc_id ORDER BY len({S.tokens('content')}) DESC, line_id) AS rn FROM dl)
+SELECT dataset, doc_id, line_id, content FROM r WHERE rn = 1""")
+def q_longest_line(spark, sf):
+    d = _docs(spark, sf)
+    ln = F.size(text.tokenize("content", unicode=False))
+    return d.groupBy("dataset", "doc_id").agg(
+        F.max_by(F.struct("line_id", "content"), F.struct(ln.alias("n"), (-F.col("line_id")).alias("i"))).alias("l")) \
+        .select("dataset", "doc_id", "l.line_id", "l.content")
+
+
+@register("spaced_rows", f"""WITH {S.DL},
+r AS (SELECT lang, line_id, row_number() OVER (PARTITION BY lang ORDER BY line_id) - 1 AS idx,
+      count(*) OVER (PARTITION BY lang) AS group_rows FROM dl),
+s AS (SELECT *, greatest(1, group_rows // 1000) AS step FROM r)
+SELECT lang, line_id, idx AS row_index, group_rows FROM s
+WHERE (idx % step = 0 AND idx // step < least(1000, group_rows)) OR idx = group_rows - 1""")
+def q_spaced_rows(spark, sf):
+    d = _docs(spark, sf).select("lang", "line_id")
+    return smp.spaced_rows(d, ["lang"], "line_id", 1000).select("lang", "line_id", "row_index", "group_rows")
+
+
+def _centre_words(col: str) -> str:
+    return (f"list_distinct(list_filter(regexp_split_to_array(regexp_replace({col}, '\\.{{2,}}', '...', 'g'), "
+            f"'\\s+'), lambda w: w <> ''))")
+
+
+@register("centre_sample", f"""WITH {S.EV},
+sz AS (SELECT event_type, count(*) AS group_rows FROM ev GROUP BY 1),
+c AS (SELECT event_type, line_id, content, row_number() OVER (PARTITION BY event_type ORDER BY {_MD5_ORDER}) - 1 AS pos
+      FROM ev QUALIFY pos < 500),
+cz AS (SELECT c.*, sz.group_rows, least(sz.group_rows, 500) AS n_capped FROM c JOIN sz USING (event_type)),
+ctr AS (SELECT event_type, {_centre_words('content')} AS cw FROM cz WHERE pos = n_capped // 2),
+sc AS (SELECT cz.*, {_centre_words('content')} AS w, ctr.cw FROM cz JOIN ctr USING (event_type)
+       WHERE trim(content) <> ''),
+sm AS (SELECT *, CASE WHEN len(list_distinct(list_concat(w, cw))) = 0 THEN 0.0
+       ELSE len(list_intersect(w, cw)) / len(list_distinct(list_concat(w, cw))) END AS sim FROM sc),
+k AS (SELECT *, CASE WHEN sim > 0.99 THEN 2 WHEN sim >= 0.3 THEN 1 END AS kind FROM sm),
+p AS (SELECT event_type, line_id, content, group_rows, row_number() OVER (PARTITION BY event_type
+      ORDER BY kind, md5(CAST(line_id AS VARCHAR) || ':0:shuffle')) AS sample_rank FROM k WHERE kind IS NOT NULL)
+SELECT event_type, line_id, content, sample_rank FROM p WHERE sample_rank <= 30 AND group_rows > 30""")
+def q_centre_sample(spark, sf):
+    ev = _events(spark, sf).select("event_type", "line_id", "content")
+    return smp.centre_sample(ev, k=30, min_threshold=0.3, cap=500, group_cols=["event_type"])
+
+
+@register("diverse_sample")
+def q_diverse_sample(spark, sf):
+    ev = _events(spark, sf).select("event_type", "line_id", "content")
+    return smp.diverse_sample(ev, k=5, group_cols=["event_type"])
+
+
+@register("static_groups", f"""WITH {S.DL},
+g AS (SELECT dataset, {S.pattern(S.masked('content'))} AS event_id, count(DISTINCT content) AS n_distinct,
+      min(content) AS content FROM dl GROUP BY 1, 2)
+SELECT dataset, event_id, content, {S.escape('content')} AS template_regex FROM g
+WHERE n_distinct = 1 AND NOT (contains(content, ' is ') OR contains(content, '=') OR contains(content, ' to ')
+  OR contains(content, '_') OR contains(content, '-') OR contains(content, ':') OR contains(content, '.')
+  OR regexp_matches(content, '[0-9]'))""")
+def q_static_groups(spark, sf):
+    m = mining.masked_tokens(_docs(spark, sf), EVENT_MASKS, unicode=False) \
+        .select("dataset", "line_id", "content", F.col("pattern").alias("event_id"))
+    return vf.static_groups(m, "event_id")
+
+
+_PROPOSE_SQL = """CASE WHEN event_type = 'error' THEN 'user <*> error value=6.55 from <*> props {"k": <*>}'
+  ELSE 'user <*> ' || event_type || ' value=<*> from 10.0.1<*> props {"k": <*>}' END"""
+
+
+def _event_proposals(spark, sf):
+    ev = _events(spark, sf)
+    t = F.when(F.col("event_type") == "error", F.lit('user <*> error value=6.55 from <*> props {"k": <*>}')) \
+        .otherwise(F.concat(F.lit("user <*> "), F.col("event_type"), F.lit(' value=<*> from 10.0.1<*> props {"k": <*>}')))
+    return ev.select("dataset", F.col("event_type").alias("group_key"), t.alias("template")).distinct() \
+        .withColumn("template_regex", tf.template_to_regex("template")).drop("template")
+
+
+@register("verify_templates", f"""WITH {S.EV},
+pr AS (SELECT DISTINCT dataset, event_type, {S.to_regex(_PROPOSE_SQL, full=True)} AS template_regex FROM ev),
+hc AS (SELECT *, (contains(template_regex, '=') OR contains(template_regex, ':'))
+       AND regexp_matches(replace(replace(template_regex, '(.*?)', '<VAR>'), '\\', ''),
+                          '\\b(\\w+)\\s*=\\s*([\\w./:-]+)') AS hardcoded FROM pr)
+SELECT e.dataset, e.event_type AS group_key, e.line_id,
+       (NOT hc.hardcoded AND {_lenient_sql('e.content', 'hc.template_regex')}) AS matched
+FROM ev e JOIN hc ON e.dataset = hc.dataset AND e.event_type = hc.event_type""")
+def q_verify_templates(spark, sf):
+    rows = _events(spark, sf).select("dataset", F.col("event_type").alias("group_key"), "line_id", "content")
+    return vf.verify_templates(rows, _event_proposals(spark, sf)).select("dataset", "group_key", "line_id", "matched")
+
+
+@register("parse_logs", f"""WITH {S.EV},
+r AS (SELECT *, {S.to_regex('event_template', full=True)} AS template_regex FROM ev)
+SELECT dataset, line_id, substr(md5(template_regex), 1, 8) AS event_id, template_regex,
+       true AS verified, 'round0' AS source FROM r""")
+def q_parse_logs(spark, sf):
+    g = mining.mine_templates(_events(spark, sf), EVENT_MASKS, depth=4)
+    return vf.parse_logs(g, EVENT_MASKS).select("dataset", "line_id", "event_id", "template_regex",
+                                                "verified", "source")
+
+
+@register("parse_doc_lines")
+def q_parse_doc_lines(spark, sf):
+    g = mining.mine_templates(_docs(spark, sf), [r"[0-9]+"], depth=3)
+    return vf.parse_logs(g, [r"[0-9]+"]).select("dataset", "line_id", "event_id", "template_regex",
+                                                "verified", "source")
