@@ -89,8 +89,14 @@ def match_strict_jvm(content, regex) -> Column:
 
 
 def needs_group_rule(content, regex) -> Column:
-    """True when the per-group ``=`` rule can change the strict result."""
-    return _c(content).contains("=") & (F.regexp_count(_lit_or_col(regex), F.lit(r"\((?!\?)")) >= 2)
+    """True when the per-group ``=`` rule can change the strict result.
+
+    If the line has no more ``=`` than the template's literal text, every
+    ``=`` of the line is taken by the template, so no group can hold one.
+    """
+    c = F.replace(_c(content), F.lit(","), F.lit(""))
+    r = F.replace(_lit_or_col(regex), F.lit(","), F.lit(""))
+    return (_eq_count(c) > _eq_count(r)) & (F.regexp_count(r, F.lit(r"\((?!\?)")) >= 2)
 
 
 @lru_cache(maxsize=4096)

@@ -109,11 +109,15 @@ def literal_template(col) -> Column:
 
 
 def cap_wildcards(col, max_wildcards: int = MAX_WILDCARDS) -> Column:
-    """Cut a template regex after its ``max_wildcards``-th wildcard."""
-    c = _c(col)
-    parts = F.split(c, WILD_RX_PATTERN, max_wildcards + 1)
-    head = F.concat(F.array_join(F.slice(parts, 1, max_wildcards), WILD_RX), F.lit(WILD_RX))
-    return F.when(F.regexp_count(c, F.lit(WILD_RX_PATTERN)) > max_wildcards, head).otherwise(c)
+    """Cut a template regex after its ``max_wildcards``-th wildcard.
+
+    One ``regexp_replace`` (the input is referenced once): keep the shortest
+    prefix holding ``max_wildcards`` wildcards when another one follows.  The
+    repeated group is atomic, so a template with fewer wildcards fails fast.
+    """
+    rx = (f"(?s)^((?>.*?{WILD_RX_PATTERN}){{{max_wildcards}}})"
+          f"(?=.*?{WILD_RX_PATTERN}).*$")
+    return F.regexp_replace(_c(col), F.lit(rx), F.lit("$1"))
 
 
 def template_to_regex(col, cap: bool = True) -> Column:

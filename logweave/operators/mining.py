@@ -26,6 +26,7 @@ from typing import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -223,13 +224,27 @@ def _cluster_groups(rows: DataFrame, keys: list[str], depth: int, st: float, max
     return rows.groupBy(*keys).applyInPandas(fn, schema)
 
 
-def _bucketed(rows: DataFrame, max_patterns: int) -> DataFrame:
-    """Add ``bucket``: 0 for groups up to ``max_patterns`` rows, else a hash split."""
-    sizes = rows.groupBy("dataset", "n_tokens").agg(F.count(F.lit(1)).alias("group_rows"))
-    nb = F.ceil(F.col("group_rows") / F.lit(max_patterns)).cast("long")
-    return rows.join(sizes, ["dataset", "n_tokens"]) \
-        .withColumn("n_buckets", nb) \
-        .withColumn("bucket", F.when(nb > 1, F.pmod(F.xxhash64("key"), nb)).otherwise(F.lit(0).cast("long")))
+def _bucket_column(oversized: dict, max_patterns: int) -> tuple[Column, Column]:
+    """``n_buckets`` and ``bucket`` columns from the driver-side size table.
+
+    ``oversized`` maps ``(dataset, n_tokens)`` to its row count for the groups
+    above ``max_patterns`` only, so the expression stays small.
+    """
+    if not oversized:
+        return F.lit(1).cast("long"), F.lit(0).cast("long")
+    nb = F.lit(1).cast("long")
+    for (ds, n), rows in oversized.items():
+        k = int(math.ceil(rows / max_patterns))
+        nb = F.when((F.col("dataset") == F.lit(ds)) & (F.col("n_tokens") == F.lit(n)), F.lit(k).cast("long")) \
+            .otherwise(nb)
+    return nb, F.when(nb > 1, F.pmod(F.xxhash64("key"), nb)).otherwise(F.lit(0).cast("long"))
+
+
+def _oversized(rows: DataFrame, max_patterns: int) -> dict:
+    """Groups above ``max_patterns`` rows (one small driver-side aggregate)."""
+    big = rows.groupBy("dataset", "n_tokens").agg(F.count(F.lit(1)).alias("group_rows")) \
+        .filter(F.col("group_rows") > max_patterns).collect()
+    return {(r["dataset"], int(r["n_tokens"])): int(r["group_rows"]) for r in big}
 
 
 def cluster_patterns(patterns: DataFrame, depth: int = 4, st: float = 0.5, max_child: int = 100,
@@ -237,19 +252,31 @@ def cluster_patterns(patterns: DataFrame, depth: int = 4, st: float = 0.5, max_c
     """Cluster rows ``dataset, key, pattern, n_tokens, first_id``; returns ``dataset, key, template``.
 
     Rows shorter than ``depth`` tokens keep their own pattern as template.
+    Groups of one length above ``max_patterns`` rows are hash-split into
+    buckets, clustered per bucket, and the bucket templates clustered again
+    per length (only then is a second level planned).  ``patterns`` should be
+    persisted by the caller: it is read for the size check and the clustering.
     """
     short = patterns.filter(F.col("n_tokens") < depth).select(
         "dataset", "key", F.col("pattern").alias("template"))
-    long = _bucketed(patterns.filter(F.col("n_tokens") >= depth), max_patterns)
+    long = patterns.filter(F.col("n_tokens") >= depth)
+    big = _oversized(long, max_patterns)
+    nb, bucket = _bucket_column(big, max_patterns)
+    long = long.withColumn("n_buckets", nb).withColumn("bucket", bucket)
     lvl1 = _cluster_groups(long.select("dataset", "n_tokens", "n_buckets", "bucket", "key", "first_id", "pattern"),
                            ["dataset", "n_tokens", "n_buckets", "bucket"], depth, st, max_child)
+    if not big:
+        return short.unionByName(lvl1.select("dataset", "key", "template"))
+    lvl1 = lvl1.persist(StorageLevel.MEMORY_AND_DISK)
     whole = lvl1.filter(F.col("n_buckets") <= 1).select("dataset", "key", "template")
-    # Split groups: cluster the bucket templates once more per (dataset, n).
     split = lvl1.filter(F.col("n_buckets") > 1)
+    # Split groups: cluster the bucket templates once more per (dataset, n).
     reps = split.groupBy("dataset", "n_tokens", "template").agg(F.min("first_id").alias("first_id")) \
         .select("dataset", "n_tokens", F.col("template").alias("key"), "first_id",
                 F.col("template").alias("pattern"))
-    reps = _bucketed(reps, max_patterns)
+    big2 = _oversized(reps, max_patterns)
+    nb2, bucket2 = _bucket_column(big2, max_patterns)
+    reps = reps.withColumn("n_buckets", nb2).withColumn("bucket", bucket2)
     lvl2 = _cluster_groups(reps.select("dataset", "n_tokens", "n_buckets", "bucket", "key", "first_id", "pattern"),
                            ["dataset", "n_tokens", "n_buckets", "bucket"], depth, st, max_child) \
         .select("dataset", F.col("key").alias("template"), F.col("template").alias("template2"))
@@ -269,20 +296,24 @@ def mine_templates(lines: DataFrame, masks: Sequence[str], depth: int = 4, st: f
     """Mine templates for ``dataset, line_id, content`` lines.
 
     Returns ``dataset, line_id, content, template, event_id``; a null line keeps
-    a null template.
+    a null template.  The distinct-pattern table is persisted (it is read by
+    the size check and by the clustering); lines are read again for the final
+    join on the pattern.
     """
     m = masked_tokens(lines, masks, unicode)
     valid = m.filter(F.col("content").isNotNull())
     if exact:
         rows = valid.select("dataset", F.col("line_id").cast("string").alias("key"), "pattern", "n_tokens",
                             F.col("line_id").alias("first_id"))
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         mapping = cluster_patterns(rows, depth, st, max_child, max_patterns)
         out = m.withColumn("key", F.col("line_id").cast("string")) \
             .join(mapping, ["dataset", "key"], "left").select("dataset", "line_id", "content", "template")
     else:
         pats = valid.groupBy("dataset", "pattern").agg(
             F.first("n_tokens").alias("n_tokens"), F.min("line_id").alias("first_id"))
-        rows = pats.select("dataset", F.col("pattern").alias("key"), "pattern", "n_tokens", "first_id")
+        rows = pats.select("dataset", F.col("pattern").alias("key"), "pattern", "n_tokens", "first_id") \
+            .persist(StorageLevel.MEMORY_AND_DISK)
         mapping = cluster_patterns(rows, depth, st, max_child, max_patterns) \
             .withColumnRenamed("key", "pattern")
         out = m.join(mapping, ["dataset", "pattern"], "left").select("dataset", "line_id", "content", "template")

@@ -15,6 +15,7 @@ Lines are matched as distinct contents and joined back.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,13 +42,18 @@ def template_pool(proposals: DataFrame, check_col: str | None = None) -> DataFra
     Returns ``dataset, template_id, template_regex, word_count, static_tokens,
     candidate, seq, rank`` (rank over candidates only).
     """
+    if not check_col:
+        # Cleaning depends on the text only: clean each distinct proposal once.
+        proposals = proposals.groupBy("dataset", "template").agg(F.min("seq").alias("seq"))
     p = proposals.withColumn("template_regex", clean_template("template")) \
         .filter(F.col("template_regex").isNotNull() & (F.col("template_regex") != ""))
-    # Invalid patterns never match; drop them once on the small template table.
-    p = p.filter(regex_is_valid_udf(F.replace(F.col("template_regex"), F.lit(","), F.lit(""))))
     if check_col:
-        p = p.filter(strict_match_udf(F.col(check_col), F.col("template_regex")))
+        checks = p.select("dataset", "template_regex", check_col).distinct()
+        checks = checks.filter(strict_match_udf(F.col(check_col), F.col("template_regex")))
+        p = p.join(checks, ["dataset", "template_regex", check_col], "left_semi")
     first = p.groupBy("dataset", "template_regex").agg(F.min("seq").alias("seq"))
+    # Invalid patterns never match; checked once per distinct template.
+    first = first.filter(regex_is_valid_udf(F.replace(F.col("template_regex"), F.lit(","), F.lit(""))))
     first = first.withColumn("word_count", regex_word_count("template_regex")) \
         .withColumn("static_tokens", static_token_count("template_regex")) \
         .withColumn("candidate", F.col("static_tokens") > 1) \
@@ -84,7 +90,8 @@ def match_templates(lines: DataFrame, pool: DataFrame, broadcast_limit: int = MA
     """
     distinct = lines.select("dataset", "content").where(F.col("content").isNotNull()).distinct() \
         .withColumn("n_tokens", F.size(F.filter(F.split("content", "(?U)\\s+"), lambda t: t != "")))
-    anchors = template_anchors(pool)
+    # The anchor table is small and read three times (size check, two joins).
+    anchors = template_anchors(pool).persist(StorageLevel.MEMORY_AND_DISK)
     sizes = {bool(r[0]): r[1] for r in anchors.groupBy(F.col("anchor").isNull()).count().collect()}
     n_anchored, n_floating = sizes.get(False, 0), sizes.get(True, 0)
     anchored = anchors.filter(F.col("anchor").isNotNull())
