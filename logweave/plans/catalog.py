@@ -535,3 +535,298 @@ def q_parse_doc_lines(spark, sf):
     g = mining.mine_templates(_docs(spark, sf), [r"[0-9]+"], depth=3)
     return vf.parse_logs(g, [r"[0-9]+"]).select("dataset", "line_id", "event_id", "template_regex",
                                                 "verified", "source")
+
+
+# ---------------------------------------------------------------------------
+# Raw logs, ids, windows, writers' logic, summary
+# ---------------------------------------------------------------------------
+from logweave.sources import logs as lg  # noqa: E402
+from logweave.sources import sinks as sk  # noqa: E402
+
+RAW_FORMAT = r"<Seq> <Level> \[<Component>\]: <Content>"
+
+
+def _raw_event_lines(spark, sf):
+    ev = _events(spark, sf)
+    comp = F.when(F.col("event_type") == "error", F.lit("")) \
+        .otherwise(F.concat(F.lit("[u"), (F.col("line_id") % 7).cast("string"), F.lit("]")))
+    line = F.concat(F.lpad(F.col("line_id").cast("string"), 8, "0"), F.lit("  "), F.upper("event_type"),
+                    F.lit(" "), comp, F.lit(": "), F.col("content"))
+    return ev.select("line_id", line.alias("line"))
+
+
+_RAW_SQL = f"""{S.EV},
+raw AS (SELECT line_id, lpad(CAST(line_id AS VARCHAR), 8, '0') || '  ' || upper(event_type) || ' ' ||
+        CASE WHEN event_type = 'error' THEN '' ELSE '[u' || CAST(line_id % 7 AS VARCHAR) || ']' END || ': ' || content
+        AS line FROM ev)"""
+_RAW_RX = r"^(.*?)\s+(.*?)\s+\[(.*?)\]:\s+(.*?)$"
+
+
+@register("parse_raw_logs", f"""WITH {_RAW_SQL}
+SELECT 'events' AS dataset, line_id, regexp_extract(line, '{_RAW_RX}', 1) AS Seq,
+       regexp_extract(line, '{_RAW_RX}', 2) AS Level, regexp_extract(line, '{_RAW_RX}', 3) AS Component,
+       regexp_extract(line, '{_RAW_RX}', 4) AS content
+FROM raw WHERE regexp_full_match(line, '{_RAW_RX}')""")
+def q_parse_raw_logs(spark, sf):
+    parsed, _ = lg.parse_raw_lines(_raw_event_lines(spark, sf), RAW_FORMAT, "events")
+    return parsed
+
+
+@register("raw_rejects", f"""WITH {_RAW_SQL}
+SELECT line_id, line FROM raw WHERE NOT regexp_full_match(line, '{_RAW_RX}')""")
+def q_raw_rejects(spark, sf):
+    _, rejected = lg.parse_raw_lines(_raw_event_lines(spark, sf), RAW_FORMAT, "events")
+    return rejected
+
+
+@register("line_ids", f"""WITH {S.DL}
+SELECT row_number() OVER (ORDER BY line_id) AS dense_id, line_id FROM dl""")
+def q_line_ids(spark, sf):
+    d = _docs(spark, sf).select("line_id")
+    return lg.dense_line_ids(d, start=1, order_col="line_id", id_col="dense_id").select("dense_id", "line_id")
+
+
+@register("line_window", f"""WITH {S.EV},
+n AS (SELECT count(*) AS total FROM ev),
+b AS (SELECT CAST(floor(total * 10 / 100) AS BIGINT) AS s,
+             least(CAST(floor((total - floor(total * 10 / 100)) * 50 / 100) AS BIGINT), 3000) AS r, total FROM n),
+d AS (SELECT row_number() OVER (ORDER BY line_id) AS dense_id, line_id FROM ev)
+SELECT d.dense_id, d.line_id FROM d, b WHERE d.dense_id >= b.s + 1 AND d.dense_id < least(b.s + b.r, b.total) + 1""")
+def q_line_window(spark, sf):
+    d = lg.dense_line_ids(_events(spark, sf).select("line_id"), start=1, order_col="line_id", id_col="dense_id")
+    return lg.line_window(d, start_line_percent=10, first_lines_percent=50, max_lines=3000, id_col="dense_id") \
+        .select("dense_id", "line_id")
+
+
+@register("read_labels", f"WITH {S.EV} SELECT dataset, line_id, content, event_template FROM ev")
+def q_read_labels(spark, sf):
+    return corpora.event_labels(spark, sf)
+
+
+@register("valid_results", f"""WITH {S.EV},
+r AS (SELECT CASE WHEN event_type = 'error' THEN 'x' || CAST(line_id AS VARCHAR) ELSE CAST(line_id AS VARCHAR) END
+      AS line_id, content FROM ev)
+SELECT try_cast(line_id AS BIGINT) AS line_id, content FROM r WHERE try_cast(line_id AS BIGINT) IS NOT NULL""")
+def q_valid_results(spark, sf):
+    ev = _events(spark, sf)
+    sid = F.when(F.col("event_type") == "error", F.concat(F.lit("x"), F.col("line_id").cast("string"))) \
+        .otherwise(F.col("line_id").cast("string"))
+    return sk.valid_results(ev.select(sid.alias("line_id"), "content"))
+
+
+@register("dedup_count", f"""WITH {S.DL}
+SELECT dataset, content, count(*) AS count FROM dl GROUP BY dataset, content""")
+def q_dedup_count(spark, sf):
+    return sk.dedup_count(_docs(spark, sf).select("dataset", "content"))
+
+
+_ORDER = ["view", "click", "error", "signup", "purchase"]
+
+
+@register("summary_upsert", f"""WITH {S.EV},
+old AS (SELECT event_type AS "Dataset", count(*) AS "Lines", 1 AS seq FROM ev GROUP BY 1),
+new AS (SELECT event_type AS "Dataset", count(DISTINCT user_id) AS "Lines", 2 AS seq FROM ev
+        WHERE event_type IN ('click', 'view') GROUP BY 1),
+u AS (SELECT * FROM old UNION ALL SELECT * FROM new),
+l AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY "Dataset" ORDER BY seq DESC) = 1)
+SELECT "Dataset", "Lines", seq FROM l""")
+def q_summary_upsert(spark, sf):
+    ev = _events(spark, sf)
+    old = ev.groupBy(F.col("event_type").alias("Dataset")).agg(F.count(F.lit(1)).alias("Lines")) \
+        .withColumn("seq", F.lit(1))
+    new = ev.filter(F.col("event_type").isin("click", "view")).groupBy(F.col("event_type").alias("Dataset")) \
+        .agg(F.count_distinct("user_id").alias("Lines")).withColumn("seq", F.lit(2))
+    return sk.summary_upsert(old, new, _ORDER)
+
+
+@register("profile_masks")
+def q_profile_masks(spark, sf):
+    from logweave.sources.profiles import profiles_frame
+    rows = profiles_frame(spark).select("dataset", "masks").collect()
+    d = _docs(spark, sf).select("line_id", "content")
+    outs = []
+    for r in rows:
+        masked = masking.mask_variables("content", list(r["masks"]))
+        outs.append(d.agg(F.sum((masked != F.col("content")).cast("long")).alias("changed"))
+                    .withColumn("profile", F.lit(r["dataset"])))
+    out = outs[0]
+    for o in outs[1:]:
+        out = out.unionByName(o)
+    return out.select("profile", "changed")
+
+
+# ---------------------------------------------------------------------------
+# Set operations, grouping helpers, parameters
+# ---------------------------------------------------------------------------
+@register("union_all", f"""WITH {S.EV}, {S.DL}
+SELECT dataset, line_id, content FROM ev UNION ALL SELECT dataset, line_id, content FROM dl""")
+def q_union_all(spark, sf):
+    return _events(spark, sf).select("dataset", "line_id", "content").unionByName(
+        _docs(spark, sf).select("dataset", "line_id", "content"))
+
+
+@register("distinct_templates", f"""WITH {S.DL}
+SELECT DISTINCT {S.pattern(S.masked('content'))} AS template FROM dl""")
+def q_distinct_templates(spark, sf):
+    m = mining.masked_tokens(_docs(spark, sf), EVENT_MASKS, unicode=False)
+    return m.select(F.col("pattern").alias("template")).distinct()
+
+
+@register("common_tokens", f"""WITH {S.EV},
+t AS (SELECT DISTINCT event_type, line_id, unnest({S.tokens('content')}) AS token FROM ev),
+n AS (SELECT event_type, count(*) AS n_lines FROM ev GROUP BY 1)
+SELECT t.event_type, token FROM t JOIN n USING (event_type) GROUP BY t.event_type, token, n.n_lines
+HAVING count(*) = n.n_lines""")
+def q_common_tokens(spark, sf):
+    from logweave.operators import setops
+    ev = _events(spark, sf).select("event_type", "line_id", "content")
+    return setops.common_tokens(ev, ["event_type"])
+
+
+@register("intersect_ids", f"""WITH {S.EV}, {S.DL}
+SELECT line_id FROM ev INTERSECT SELECT line_id FROM dl""")
+def q_intersect_ids(spark, sf):
+    return _events(spark, sf).select("line_id").intersect(_docs(spark, sf).select("line_id"))
+
+
+@register("small_groups", f"""WITH {S.DL},
+g AS (SELECT dataset, {S.pattern(S.masked('content'))} AS event_id, line_id FROM dl),
+c AS (SELECT dataset, event_id, count(*) AS group_rows FROM g GROUP BY 1, 2)
+SELECT g.dataset, g.event_id, g.line_id, c.group_rows < 5 AS small FROM g JOIN c USING (dataset, event_id)""")
+def q_small_groups(spark, sf):
+    from logweave.operators import setops
+    m = mining.masked_tokens(_docs(spark, sf), EVENT_MASKS, unicode=False) \
+        .select("dataset", F.col("pattern").alias("event_id"), "line_id")
+    return setops.flag_small_groups(m, "event_id", 5).select("dataset", "event_id", "line_id", "small")
+
+
+@register("extract_parameters", f"""WITH {S.EV}
+SELECT line_id, CAST(user_id AS VARCHAR) || '|' || CAST(CAST(regexp_extract(content, 'value=([0-9.]+)', 1) AS VARCHAR)
+       AS VARCHAR) || '|' || regexp_extract(content, 'from ([0-9.]+)', 1) || '|' ||
+       regexp_extract(content, '"k": ([0-9]+)', 1) AS params FROM ev""")
+def q_extract_parameters(spark, sf):
+    from logweave.operators import setops
+    ev = _events(spark, sf)
+    p = setops.extract_parameters(ev, "content", "event_template")
+    return p.select("line_id", F.array_join("parameters", "|").alias("params"))
+
+
+# ---------------------------------------------------------------------------
+# Lints, normalisers, prompt rows
+# ---------------------------------------------------------------------------
+from logweave.functions import lints as lt  # noqa: E402
+from logweave.functions import normalise as nz  # noqa: E402
+from logweave.operators import lint as lop  # noqa: E402
+
+_KV = r"\b(\w+)\s*=\s*([\w./:-]+)"
+_PATH_TRIGGER = lt.PATH_TRIGGER.replace("'", "''")
+
+
+@register("kv_pairs", f"""WITH {S.PU}
+SELECT line_id, array_to_string(list_transform(list_filter(list_zip(regexp_extract_all(content, '{_KV}', 1),
+       regexp_extract_all(content, '{_KV}', 2)), lambda p: NOT regexp_full_match(p[1], '[0-9]+')),
+       lambda p: p[1] || '=' || p[2]), ',') AS kv FROM pu""")
+def q_kv_pairs(spark, sf):
+    return _urls(spark, sf).select("line_id", F.array_join(lt.kv_pairs("content"), ",").alias("kv"))
+
+
+@register("has_path", f"""WITH {S.DL}
+SELECT line_id, regexp_matches(content, '{_PATH_TRIGGER}') AS has_path FROM dl""")
+def q_has_path(spark, sf):
+    return _docs(spark, sf).select("line_id", lt.has_path("content").alias("has_path"))
+
+
+@register("lint_hardcoded", f"""WITH {_URL_TPL_SQL},
+v AS (SELECT line_id, replace(replace(template_regex, '(.*?)', '<VAR>'), '\\', '') AS t FROM ut)
+SELECT line_id, array_to_string(list_transform(list_filter(list_zip(regexp_extract_all(t, '{_KV}', 1),
+       regexp_extract_all(t, '{_KV}', 2)), lambda p: NOT regexp_full_match(p[1], '[0-9]+') AND p[2] <> '<VAR>'),
+       lambda p: p[1] || '=' || p[2]), ',') AS hardcoded FROM v""")
+def q_lint_hardcoded(spark, sf):
+    return _url_templates(spark, sf).select("line_id", F.array_join(lt.hardcoded_params("template_regex"), ",")
+                                            .alias("hardcoded"))
+
+
+def _foreign_sql(log: str, rx: str) -> str:
+    text = f"replace(replace(replace(replace({rx}, '(.*?)', '<*>'), '<*>', ' '), '\\.', '.'), '\\-', '-')"
+    strip = "regexp_replace(w, '^[.,=:]+|[.,=:]+$', '', 'g')"
+    cond = (f"NOT regexp_full_match(w, '[0-9]+') AND w <> '...' AND NOT contains(lower({log}), lower(w)) "
+            f"AND length({strip}) > 2 AND NOT contains(lower({log}), lower({strip}))")
+    return (f"list_sort(list_distinct(list_filter(regexp_extract_all({text}, '([a-zA-Z0-9_\\-\\.]{{3,}})', 1), "
+            f"lambda w: {cond})))")
+
+
+@register("lint_foreign_words", f"""WITH {_EV_RX}
+SELECT line_id, array_to_string({_foreign_sql('content', 'click_regex')}, ',') AS foreign_words FROM er""")
+def q_lint_foreign_words(spark, sf):
+    e = _event_regex(spark, sf)
+    return e.select("line_id", F.array_join(lt.foreign_words("content", "click_regex"), ",").alias("foreign_words"))
+
+
+_UNTREATED_SQL = """list_sort(list_distinct(list_filter(regexp_extract_all(content, '((?:https?://|www\\.|/)[a-zA-Z0-9._/+-]+)', 1),
+  lambda p: length(p) >= 3 AND NOT contains(t, p) AND len(list_filter(string_split(p, '/'), lambda part:
+    length(part) >= 2 AND (contains(t, part) OR (contains(part, '-') AND length(string_split(part, '-')[-1]) > 0
+      AND contains(t, '-' || string_split(part, '-')[-1]))))) > 0)))"""
+
+
+@register("lint_paths", f"""WITH {_URL_TPL_SQL},
+v AS (SELECT line_id, content, replace(replace(replace(template_regex, '(.*?)', '<*>'), '\\-', '-'), '\\.', '.') AS t
+      FROM ut)
+SELECT line_id, CASE WHEN regexp_matches(content, '{_PATH_TRIGGER}') THEN array_to_string({_UNTREATED_SQL}, ',')
+       ELSE '' END AS untreated FROM v""")
+def q_lint_paths(spark, sf):
+    return _url_templates(spark, sf).select(
+        "line_id", F.array_join(lt.untreated_paths("content", "template_regex"), ",").alias("untreated"))
+
+
+@register("lint_coverage")
+def q_lint_coverage(spark, sf):
+    e = _event_regex(spark, sf)
+    part = F.regexp_replace(F.col("click_regex"), r"^user \(\.\*\?\) ", "")
+    return e.select("line_id", F.array_join(lt.coverage_issues("content", part), " | ").alias("issues"))
+
+
+@register("lint_report")
+def q_lint_report(spark, sf):
+    return lop.lint_report(_url_templates(spark, sf).select("dataset", "line_id", "content", "template_regex"))
+
+
+@register("prompt_table")
+def q_prompt_table(spark, sf):
+    g = mining.mine_templates(_events(spark, sf), EVENT_MASKS, depth=1)
+    return lop.prompt_table(g, sample_size=5)
+
+
+@register("norm_truth", f"""WITH {S.EV} SELECT DISTINCT event_template, {S.norm_truth('event_template')} AS normalised FROM ev""")
+def q_norm_truth(spark, sf):
+    return _events(spark, sf).select("event_template").distinct() \
+        .withColumn("normalised", nz.normalise_truth("event_template"))
+
+
+@register("norm_pred", f"""WITH {_URL_TPL_SQL} SELECT line_id, {S.norm_pred('template_regex')} AS normalised FROM ut""")
+def q_norm_pred(spark, sf):
+    return _url_templates(spark, sf).select("line_id", nz.normalise_pred("template_regex").alias("normalised"))
+
+
+@register("normalise_ellipsis", f"""WITH {S.DL}
+SELECT line_id, regexp_replace(content, '\\.{{2,}}', '...', 'g') AS normalised FROM dl""")
+def q_normalise_ellipsis(spark, sf):
+    return _docs(spark, sf).select("line_id", nz.normalise_ellipsis("content").alias("normalised"))
+
+
+_UNIT_SQL = """ul AS (SELECT l_linestatus AS grp, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS line_id,
+  'flushed ' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ' ' ||
+  CASE l_returnflag WHEN 'A' THEN 'KB' WHEN 'N' THEN 'MB' ELSE 'GB' END || ' done' AS content FROM lineitem)"""
+
+
+@register("dynamic_units", f"""WITH {_UNIT_SQL},
+u AS (SELECT grp, regexp_extract(content, '([a-zA-Z]{{3,}})[^a-zA-Z]*?[0-9]+(?:\\.[0-9]+)?\\s+([A-Z]{{1,2}})\\b', 1) AS anchor,
+      regexp_extract(content, '([a-zA-Z]{{3,}})[^a-zA-Z]*?[0-9]+(?:\\.[0-9]+)?\\s+([A-Z]{{1,2}})\\b', 2) AS unit FROM ul)
+SELECT grp, anchor, count(DISTINCT unit) > 1 AS dynamic FROM u WHERE unit <> '' GROUP BY grp, anchor""")
+def q_dynamic_units(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    unit = F.when(F.col("l_returnflag") == "A", "KB").when(F.col("l_returnflag") == "N", "MB").otherwise("GB")
+    lines = li.select(F.col("l_linestatus").alias("grp"),
+                      (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("line_id"),
+                      F.concat(F.lit("flushed "), F.col("l_quantity").cast("long").cast("string"), F.lit(" "),
+                               unit, F.lit(" done")).alias("content"))
+    return lop.dynamic_units(lines, ["grp"]).select("grp", "anchor", "dynamic")

@@ -1,7 +1,7 @@
 """Sources and sinks: log readers, corpora derived from the driver tables, writers."""
 
 from logweave.sources.logs import (
-    read_logs, logformat_to_regex, parse_raw_logs, dense_line_ids, line_window, read_labels,
+    read_logs, logformat_to_regex, parse_raw_logs, parse_raw_lines, dense_line_ids, line_window, read_labels,
 )
 from logweave.sources.corpora import (
     event_logs, event_labels, doc_lines, conversation_lines, page_urls, order_logs,

@@ -32,7 +32,7 @@ def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(" value="), value, F.lit(" from "), ip, F.lit(" props "), F.col("props"))
     label = F.concat(F.lit("user <*> "), F.col("event_type"), F.lit(' value=<*> from <*> props {"k": <*>}'))
     return ev.select(F.lit("events").alias("dataset"), F.col("event_id").cast("long").alias("line_id"),
-                     content.alias("content"), label.alias("event_template"), "event_type")
+                     content.alias("content"), label.alias("event_template"), "event_type", "user_id")
 
 
 def event_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

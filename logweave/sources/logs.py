@@ -47,7 +47,7 @@ def logformat_to_regex(log_format: str) -> tuple[str, list[str]]:
     out = []
     for i, part in enumerate(parts):
         if i % 2 == 0:
-            out.append(re.sub(" +", lambda _m: r"\\s+", part))
+            out.append(re.sub(" +", lambda _m: r"\s+", part))
         else:
             headers.append(part.strip("<").strip(">"))
             out.append("(.*?)")
@@ -56,40 +56,47 @@ def logformat_to_regex(log_format: str) -> tuple[str, list[str]]:
 
 def parse_raw_logs(spark: SparkSession, path: str, log_format: str, dataset: str,
                    dense: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Parse raw log text into one STRING column per format field.
+    """Parse raw log text files into one STRING column per format field.
 
     Returns ``(parsed, rejected)``; ``line_id`` is the 1-based file line number
     (``dense=True`` numbers matched lines 1..n instead, as the reference does).
     """
+    raw = dense_line_ids(spark.read.text(path), start=1)
+    return parse_raw_lines(raw.withColumnRenamed("value", "line"), log_format, dataset, dense)
+
+
+def parse_raw_lines(raw: DataFrame, log_format: str, dataset: str, dense: bool = False,
+                    line_col: str = "line") -> tuple[DataFrame, DataFrame]:
+    """Parse a DataFrame of raw lines (``line_id``, ``line``) with a ``<Field>`` format."""
     pattern, headers = logformat_to_regex(log_format)
-    pattern = "(?U)" + pattern
-    raw = dense_line_ids(spark.read.text(path), start=1).select(
-        "line_id", F.regexp_replace(F.col("value"), r"(?U)^\s+|\s+$", "").alias("line"))
+    stripped = raw.select("line_id", F.regexp_replace(F.col(line_col), r"(?U)^\s+|\s+$", "").alias("line"))
     ok = F.col("line").rlike(pattern)
     fields = [F.regexp_extract("line", pattern, i + 1).alias(h) for i, h in enumerate(headers)]
-    parsed = raw.filter(ok).select(F.lit(dataset).alias("dataset"), "line_id", *fields)
+    parsed = stripped.filter(ok).select(F.lit(dataset).alias("dataset"), "line_id", *fields)
     if dense:
         parsed = dense_line_ids(parsed.drop("line_id"), start=1, order_col=None).select(
             "dataset", "line_id", *headers)
     if "Content" in headers:
         parsed = parsed.withColumnRenamed("Content", "content")
-    rejected = raw.filter(~ok | F.col("line").isNull())
+    rejected = stripped.filter(~ok | F.col("line").isNull())
     return parsed, rejected
 
 
 def dense_line_ids(df: DataFrame, start: int = 1, order_col: str | None = None,
                    id_col: str = "line_id") -> DataFrame:
-    """Dense ids in input order without a global sort or a single partition.
+    """Dense ids without a global sort in one task or a single partition.
 
-    ``monotonically_increasing_id`` encodes (partition, row); per-partition row
-    counts (one row per partition) give each partition's offset.
+    Input order: ``monotonically_increasing_id`` encodes (partition, row);
+    per-partition row counts (one row per partition) give each partition's
+    offset.  With ``order_col`` the rows are range-partitioned on it and
+    numbered the same way (exact ``row_number`` over the whole table).
     """
+    if order_col is not None:
+        from logweave.operators.sampling import group_row_number
+        out = group_row_number(df, [], [order_col], "__rn")
+        return out.withColumn(id_col, (F.col("__rn") - 1 + start).cast("long")).drop("__rn")
     mid = "__mid"
     tagged = df.withColumn(mid, F.monotonically_increasing_id())
-    if order_col is not None:
-        tagged = df.withColumn(mid, F.col(order_col))
-        w = Window.orderBy(mid)
-        return tagged.withColumn(id_col, (F.row_number().over(w) - 1 + start).cast("long")).drop(mid)
     part = F.shiftright(F.col(mid), 33)
     counts = tagged.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select(
