@@ -830,3 +830,81 @@ def q_dynamic_units(spark, sf):
                       F.concat(F.lit("flushed "), F.col("l_quantity").cast("long").cast("string"), F.lit(" "),
                                unit, F.lit(" done")).alias("content"))
     return lop.dynamic_units(lines, ["grp"]).select("grp", "anchor", "dynamic")
+
+
+# ---------------------------------------------------------------------------
+# Splitting and markers
+# ---------------------------------------------------------------------------
+from logweave.operators import splitting as spl  # noqa: E402
+
+
+@register("context_signature", f"""WITH {S.EV}
+SELECT line_id, array_to_string(regexp_extract_all(replace(content, event_type, ' '), '\\b[a-zA-Z]{{2,}}\\b'), ' ')
+       AS signature FROM ev""")
+def q_context_signature(spark, sf):
+    ev = _events(spark, sf)
+    return ev.select("line_id", spl.context_signature("content", "event_type").alias("signature"))
+
+
+@register("top_branches", f"""WITH {S.DL},
+k AS (SELECT lang, line_id, coalesce({S.tokens('content')}[1], '') AS key FROM dl),
+s AS (SELECT lang, key, count(*) AS n FROM k GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, key) AS rk,
+      count(*) OVER (PARTITION BY lang) AS keys FROM s)
+SELECT k.lang, k.line_id, CASE WHEN r.keys > 4 AND r.rk > 4 THEN '<OTHER_BRANCHES>' ELSE k.key END AS key
+FROM k JOIN r USING (lang, key)""")
+def q_top_branches(spark, sf):
+    d = _docs(spark, sf).select("lang", "line_id", F.coalesce(F.element_at(text.tokenize("content", False), 1),
+                                                              F.lit("")).alias("key"))
+    return spl.top_branches(d, ["lang"], "key").select("lang", "line_id", "key")
+
+
+@register("signature_counts", f"""WITH {S.EV},
+r AS (SELECT event_type AS key, arg_min(content, line_id) AS content FROM ev GROUP BY 1),
+s AS (SELECT key, array_to_string(regexp_extract_all(replace(content, key, ' '), '\\b[a-zA-Z]{{2,}}\\b'), ' ')
+      AS signature FROM r)
+SELECT key, signature, count(*) OVER (PARTITION BY signature) AS signature_count FROM s""")
+def q_signature_counts(spark, sf):
+    ev = _events(spark, sf)
+    reps = ev.groupBy(F.lit("events").alias("dataset"), F.col("event_type").alias("key")).agg(
+        F.min_by("content", "line_id").alias("content"))
+    return spl.signature_counts(reps, ["dataset"]).select("key", "signature", "signature_count")
+
+
+@register("partial_context")
+def q_partial_context(spark, sf):
+    ev = _events(spark, sf)
+    reps = ev.groupBy(F.lit("events").alias("dataset"), F.col("event_type").alias("key")).agg(
+        F.min_by("content", "line_id").alias("content"))
+    return spl.partial_context(reps, ["dataset"])
+
+
+def _ed_lines(spark, sf):
+    ev = _events(spark, sf)
+    return ev.select("dataset", F.lit("g").alias("event_id"), "line_id",
+                     F.concat(F.lit("request "), F.col("event_type"), F.lit("ed for user "),
+                              F.col("user_id").cast("string")).alias("content"))
+
+
+@register("split_groups", f"""WITH {S.EV}
+SELECT dataset, 'g' AS event_id, line_id, 'b' AS split_rule, event_type || 'ed' AS split_key,
+       'g|' || event_type || 'ed' AS new_group FROM ev""")
+def q_split_groups(spark, sf):
+    return spl.split_groups(_ed_lines(spark, sf), "event_id").drop("content")
+
+
+@register("split_mined_groups")
+def q_split_mined_groups(spark, sf):
+    g = mining.mine_templates(_events(spark, sf), EVENT_MASKS, depth=1)
+    return spl.split_groups(g.select("dataset", "event_id", "line_id", "content"), "event_id").drop("content")
+
+
+@register("token_features")
+def q_token_features(spark, sf):
+    return spl.token_features(_events(spark, sf).select("event_type", "line_id", "content"), ["event_type"])
+
+
+@register("static_markers")
+def q_static_markers(spark, sf):
+    g = mining.mine_templates(_events(spark, sf), EVENT_MASKS, depth=4)
+    return spl.static_markers(g.select("dataset", "event_id", "line_id", "content"), "event_id")
