@@ -1,0 +1,2 @@
+"""DataFrame -> DataFrame operators: mining, pool/matching, sampling,
+verification, scoring, lints, splitting, set operations."""

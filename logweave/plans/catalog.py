@@ -908,3 +908,19 @@ def q_token_features(spark, sf):
 def q_static_markers(spark, sf):
     g = mining.mine_templates(_events(spark, sf), EVENT_MASKS, depth=4)
     return spl.static_markers(g.select("dataset", "event_id", "line_id", "content"), "event_id")
+
+
+# ---------------------------------------------------------------------------
+# End-to-end
+# ---------------------------------------------------------------------------
+from logweave.plans import benchmark as bm  # noqa: E402
+
+
+@register("parse_scores", f"""WITH {S.EV},
+e AS (SELECT dataset, {S.norm_pred(S.to_regex('event_template', full=True))} AS p, {S.norm_truth('event_template')} AS g
+      FROM ev),
+{S.accuracy_sql('e')}""")
+def q_parse_scores(spark, sf):
+    ev = _events(spark, sf)
+    parsed = vf.parse_logs(mining.mine_templates(ev, EVENT_MASKS, depth=4), EVENT_MASKS)
+    return bm.scores_table(parsed, corpora.event_labels(spark, sf))

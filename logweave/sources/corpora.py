@@ -24,7 +24,12 @@ def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     content = ``user <user_id> <event_type> value=<value> from 10.0.<u%256>.<e%256> props <props>``
     """
-    ev = _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")
+    return render_events(_table(spark, sf_dir, "events"))
+
+
+def render_events(events: DataFrame) -> DataFrame:
+    """Render an ``events`` frame (batch or stream) as labelled log lines."""
+    ev = events.select("event_id", "user_id", "event_type", "value", "props")
     value = F.col("value").cast("decimal(18,2)").cast("string")
     ip = F.concat(F.lit("10.0."), (F.col("user_id") % 256).cast("string"), F.lit("."),
                   (F.col("event_id") % 256).cast("string"))
