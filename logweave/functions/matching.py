@@ -15,6 +15,7 @@ pairs that need it (line has ``=`` and template has 2+ groups) to the UDF.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import pandas as pd
@@ -49,12 +50,23 @@ def pattern_is_safe(regex) -> Column:
     return ~_lit_or_col(regex).rlike(_BROKEN_ESCAPE)
 
 
+def _touches_escape(regex, chars: str) -> Column:
+    """Deleting ``chars`` from a template that escapes one of them re-pairs its
+    backslashes; Python rejects almost all such patterns, Java may throw."""
+    return _lit_or_col(regex).rlike(r"\\[" + re.escape(chars) + "]")
+
+
 def match_lenient(content, regex) -> Column:
     """Full match after deleting ``,`` and ``$`` from line and template."""
     c = F.translate(_c(content), ",$", "")
     r = F.translate(_lit_or_col(regex), ",$", "")
-    return F.when(pattern_is_safe(r), F.regexp_like(c, F.concat(F.lit(PY_FLAGS + "^(?:"), r, F.lit(")\\z")))) \
-        .otherwise(F.lit(False))
+    # Templates whose escapes were re-paired and that are not plain literals
+    # any more never match (Python rejects nearly all of them; Java may throw).
+    touched = _touches_escape(regex, ",$")
+    literal = is_simple_template(r) & ~c.contains("\n")
+    return F.when(touched & literal, segment_lenient(content, regex)) \
+        .when(touched | ~pattern_is_safe(r), F.lit(False)) \
+        .otherwise(F.regexp_like(c, F.concat(F.lit(PY_FLAGS + "^(?:"), r, F.lit(")\\z"))))
 
 
 def _eq_count(c: Column) -> Column:
@@ -79,13 +91,84 @@ def _anchored(r: Column) -> Column:
     return F.when(r.endswith("$"), r).otherwise(F.concat(r, F.lit("$")))
 
 
+# A template regex is "simple" when it is only escaped punctuation, characters
+# without regex meaning and lazy wildcards; it then matches exactly when its
+# literal segments occur in order (first at the start, last at the end), and
+# the regex engine's first match places each middle segment at its earliest
+# position, so the wildcard contents are the gaps between placements.
+_WILD_SPLIT = r"\(\.\*\?\)"
+
+
+def is_simple_template(regex) -> Column:
+    """Linear check (no per-character regex recursion on long templates): drop
+    escape pairs, then wildcards; nothing with regex meaning may remain."""
+    r = F.regexp_replace(_lit_or_col(regex), F.lit(r"(?s)\\[^A-Za-z0-9]"), F.lit(""))
+    r = F.replace(r, F.lit("(.*?)"), F.lit(""))
+    return ~r.rlike(r"[\\.*?+()\[\]{}|^$]")
+
+
+def _segment_fit(c: Column, r: Column, open_end: Column | None = None) -> Column:
+    """``struct(ok, eq_in_groups)`` for a simple template ``r`` on line ``c``.
+
+    ``open_end``: the last segment need not end the line (the strict matcher
+    adds no end anchor to a template that already ends in ``$``).
+    """
+    segs = F.transform(F.split(r, _WILD_SPLIT, -1), lambda x: F.regexp_replace(x, r"(?s)\\(.)", "$1"))
+    k = F.size(segs) - 1
+    first = F.element_at(segs, 1)
+    last = F.element_at(segs, -1)
+    n = F.length(c)
+    start = F.length(first) + 1
+    end_limit = n - F.length(last) + 1  # first position of the last segment
+    middle = F.slice(segs, 2, F.greatest(k - 1, F.lit(0)))
+    init = F.struct(start.alias("pos"), F.lit(False).alias("eq"))
+
+    def step(acc, sg):
+        p = F.when(F.length(sg) == 0, acc["pos"]).otherwise(F.call_function("locate", sg, c, acc["pos"]))
+        gap = F.substring(c, acc["pos"], F.greatest(p - acc["pos"], F.lit(0)))
+        return F.when(acc["pos"] == 0, acc).when(p == 0, F.struct(F.lit(0).alias("pos"), acc["eq"].alias("eq"))) \
+            .otherwise(F.struct((p + F.length(sg)).alias("pos"), (acc["eq"] | gap.contains("=")).alias("eq")))
+
+    res = F.aggregate(middle, init, step)
+    ok_multi = c.startswith(first) & c.endswith(last) & (n >= F.length(first) + F.length(last)) \
+        & (res["pos"] > 0) & (res["pos"] <= end_limit)
+    ok = F.when(k == 0, c == first).otherwise(ok_multi)
+    if open_end is not None:
+        tail = F.when(F.length(last) == 0, F.lit(True)).otherwise(
+            F.call_function("locate", last, c, F.greatest(res["pos"], F.lit(1))) > 0)
+        ok_open = F.when(k == 0, c.startswith(first)).otherwise(c.startswith(first) & (res["pos"] > 0) & tail)
+        ok = F.when(open_end, ok_open).otherwise(ok)
+    return F.struct(ok.alias("ok"), F.when(k >= 2, res["eq"]).otherwise(F.lit(False)).alias("eq"))
+
+
+def segment_lenient(content, regex) -> Column:
+    c = F.translate(_c(content), ",$", "")
+    r = F.translate(_lit_or_col(regex), ",$", "")
+    return _segment_fit(c, r)["ok"]
+
+
+def segment_strict(content, regex) -> Column:
+    c = F.replace(_c(content), F.lit(","), F.lit(""))
+    r = F.replace(_lit_or_col(regex), F.lit(","), F.lit(""))
+    fit = _segment_fit(c, r, open_end=r.endswith("$"))
+    return strict_equals_ok(content, regex) & fit["ok"] & ~fit["eq"]
+
+
+def _fast_path(content, regex, drop: str) -> Column:
+    r = F.translate(_lit_or_col(regex), drop, "")
+    return is_simple_template(r) & ~_c(content).contains("\n")
+
+
 def match_strict_jvm(content, regex) -> Column:
     """Strict matcher without the per-group ``=`` rule (exact when the line has
     no ``=`` or the template has fewer than two groups)."""
     c = F.replace(_c(content), F.lit(","), F.lit(""))
     r = F.replace(_lit_or_col(regex), F.lit(","), F.lit(""))
-    return F.when(strict_equals_ok(content, regex) & pattern_is_safe(r),
-                  F.regexp_like(c, F.concat(F.lit(PY_FLAGS), _anchored(r)))).otherwise(F.lit(False))
+    touched = _touches_escape(regex, ",")
+    literal = is_simple_template(r) & ~c.contains("\n")
+    return F.when(touched & literal, segment_strict(content, regex)) \
+        .when(touched | ~pattern_is_safe(r) | ~strict_equals_ok(content, regex), F.lit(False)) \
+        .otherwise(F.regexp_like(c, F.concat(F.lit(PY_FLAGS), _anchored(r))))
 
 
 def needs_group_rule(content, regex) -> Column:
@@ -99,6 +182,11 @@ def needs_group_rule(content, regex) -> Column:
     return (_eq_count(c) > _eq_count(r)) & (F.regexp_count(r, F.lit(r"\((?!\?)")) >= 2)
 
 
+def needs_group_rule_py(content: str, regex: str) -> bool:
+    c, r = content.replace(",", ""), regex.replace(",", "")
+    return c.count("=") > r.count("=") and len(re.findall(r"\((?!\?)", r)) >= 2
+
+
 @lru_cache(maxsize=4096)
 def _compile(pattern: str):
     import regex as rx
@@ -151,7 +239,7 @@ def match_strict(content, regex) -> Column:
 
 
 def regex_is_valid_py(pattern: str | None) -> bool:
-    if pattern is None:
+    if not pattern:
         return False
     import re
     try:
@@ -162,6 +250,11 @@ def regex_is_valid_py(pattern: str | None) -> bool:
 
 
 @pandas_udf(T.BooleanType())
-def regex_is_valid_udf(pattern: pd.Series) -> pd.Series:
-    """Python-side validity of template regexes; use on template tables only."""
+def _regex_is_valid(pattern: pd.Series) -> pd.Series:
     return pd.Series([regex_is_valid_py(p) for p in pattern], dtype=bool)
+
+
+# Python-side validity of template regexes, for template tables only.  Marked
+# non-deterministic so the optimizer keeps it where it is written (after the
+# de-duplication) instead of pushing it down to every proposal row.
+regex_is_valid_udf = _regex_is_valid.asNondeterministic()

@@ -113,3 +113,40 @@ def test_unicode_mask(spark):
     a = df.select(mask_variables("s", [r"\d+"], unicode=False)).first()[0]
     assert u == "naïve Überlänge straße<*>.foo.bar <*> items"
     assert a == "naïve Überlänge straße<*>.foo.bar ٣٤ items"
+
+
+def test_segment_matcher_equals_python_regex(spark):
+    import random
+    rnd = random.Random(11)
+    alphabet = ["a", "b", "=", " ", ".", ",", "x=1", "k", "$", "(", "]"]
+    pairs = []
+    for _ in range(400):
+        lits = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 3))) for _ in range(rnd.randint(1, 4))]
+        tpl = "(.*?)".join(re.escape(x).replace("\\ ", " ") for x in lits)
+        line = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 8)))
+        if rnd.random() < 0.5:  # a line built from the template
+            line = "".join(l + "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 2))) for l in lits)
+        pairs.append((line, tpl))
+    df = spark.createDataFrame(pairs, "content string, template_regex string")
+    out = df.select("content", "template_regex",
+                    mf.match_lenient("content", "template_regex").alias("l"),
+                    mf.match_strict_jvm("content", "template_regex").alias("s"),
+                    mf.segment_lenient("content", "template_regex").alias("sl"),
+                    mf.segment_strict("content", "template_regex").alias("ss"),
+                    mf.is_simple_template(F.translate("template_regex", ",$", "")).alias("simple_l"),
+                    mf.is_simple_template(F.translate("template_regex", ",", "")).alias("simple_s")).collect()
+    for r in out:
+        c, t = r["content"], r["template_regex"]
+        lc, lt_ = c.replace(",", "").replace("$", ""), t.replace(",", "").replace("$", "")
+        try:
+            exp_l = re.fullmatch(lt_, lc) is not None
+        except re.error:
+            exp_l = False
+        assert r["l"] == exp_l, (c, t)
+        exp_s = mf.strict_match_py(c, t)
+        if r["simple_l"]:
+            assert r["sl"] == exp_l, (c, t)
+        if r["simple_s"]:
+            assert r["ss"] == exp_s, (c, t)
+        if not mf.needs_group_rule_py(c, t):
+            assert r["s"] == exp_s, (c, t)
