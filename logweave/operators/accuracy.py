@@ -57,13 +57,19 @@ def normalised_pairs(aligned: DataFrame) -> DataFrame:
 
 
 def accuracy_from_pairs(pairs: DataFrame, by: Sequence[str] = ("dataset",),
-                        pred_col: str = "pred", truth_col: str = "truth") -> DataFrame:
-    """GA, PA, FGA, FTA and event count per ``by`` from per-line (pred, truth)."""
+                        pred_col: str = "pred", truth_col: str = "truth",
+                        weight_col: str | None = None) -> DataFrame:
+    """GA, PA, FGA, FTA and event count per ``by`` from (pred, truth) rows.
+
+    Rows are lines, or distinct (pred, truth) pairs with a line count in
+    ``weight_col``; every formula only needs these counts.
+    """
     by = list(by)
-    ev = pairs.select(*by, F.col(pred_col).alias("p"), F.col(truth_col).alias("g"))
+    w = F.col(weight_col) if weight_col else F.lit(1)
+    ev = pairs.select(*by, F.col(pred_col).alias("p"), F.col(truth_col).alias("g"), w.cast("long").alias("w"))
     pg = ev.filter(F.col("p").isNotNull()).groupBy(*by, "p").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("g").alias("k"), F.min("g").alias("g1"))
-    tg = ev.filter(F.col("g").isNotNull()).groupBy(*by, "g").agg(F.count(F.lit(1)).alias("n_t"))
+        F.sum("w").alias("n"), F.count_distinct("g").alias("k"), F.min("g").alias("g1"))
+    tg = ev.filter(F.col("g").isNotNull()).groupBy(*by, "g").agg(F.sum("w").alias("n_t"))
     j = pg.join(tg.withColumnRenamed("g", "g1"), by + ["g1"], "left")
     ok = (F.col("k") == 1) & (F.col("n") == F.col("n_t"))
     s = j.groupBy(*by).agg(
@@ -72,8 +78,8 @@ def accuracy_from_pairs(pairs: DataFrame, by: Sequence[str] = ("dataset",),
         F.sum(F.when(ok & (F.col("p") == F.col("g1")), 1).otherwise(0)).alias("att"),
         F.count(F.lit(1)).alias("np"))
     nt = tg.groupBy(*by).agg(F.count(F.lit(1)).alias("nt"))
-    c = ev.groupBy(*by).agg(F.count(F.lit(1)).alias("n_lines"),
-                            F.sum(F.when(F.col("p") == F.col("g"), 1).otherwise(0)).alias("m"))
+    c = ev.groupBy(*by).agg(F.sum("w").alias("n_lines"),
+                            F.sum(F.when(F.col("p") == F.col("g"), F.col("w")).otherwise(0)).alias("m"))
     r = c.join(s, by, "left").join(nt, by, "left").fillna(0, subset=["ae", "ag", "att", "np", "nt"])
     denom = F.col("np") + F.col("nt")
     return r.select(
@@ -91,7 +97,13 @@ def evaluate(parsed: DataFrame, labels: DataFrame, by: Sequence[str] = ("dataset
 
     ``parsed``: dataset, line_id, content, template (``<*>`` form unless
     ``regex_form``); ``labels``: dataset, line_id, content, event_template.
+    One pass over the lines: align on the line key, count lines per distinct
+    (predicted template, label template) pair (map-side partial aggregation),
+    then convert and normalise only those pairs.
     """
-    pt = F.col(template_col) if regex_form else template_to_regex(F.col(template_col))
-    pred = parsed.select("dataset", "line_id", "content", pt.alias("pred_template"))
-    return accuracy_from_pairs(normalised_pairs(align_labels(pred, labels)), by)
+    pred = parsed.select("dataset", "line_id", "content", F.col(template_col).alias("pred_template"))
+    counts = align_labels(pred, labels).groupBy(*by, "pred_template", "event_template") \
+        .agg(F.count(F.lit(1)).alias("lines"))
+    pt = F.col("pred_template") if regex_form else template_to_regex(F.col("pred_template"))
+    pairs = counts.withColumn("pred", normalise_pred(pt)).withColumn("truth", normalise_truth("event_template"))
+    return accuracy_from_pairs(pairs, by, weight_col="lines")

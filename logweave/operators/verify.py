@@ -117,6 +117,12 @@ def parse_logs(groups: DataFrame, masks: Sequence[str], proposer: Proposer | Non
     source, history`` with the same row count as the input.
     """
     propose = proposer or consensus_proposer(masks)
+    # The mined groups are read by several steps; materialise them once in the
+    # shared checkpoint folder (this also cuts the mining lineage).
+    groups = groups.select("dataset", "line_id", "content", "template", F.col(group_col).alias("__gk"))
+    if checkpoint:
+        groups = cut_lineage(groups)
+    group_col = "__gk"
     base = groups.select("dataset", "line_id", "content", F.col(group_col).alias("group_key"))
     order = group_order(groups.withColumnRenamed(group_col, "__g"), "__g") \
         .select("dataset", F.col("__g").alias("group_key"), "group_rank")
@@ -128,7 +134,8 @@ def parse_logs(groups: DataFrame, masks: Sequence[str], proposer: Proposer | Non
     todo = base.join(static.select("dataset", "group_key"), ["dataset", "group_key"], "left_anti")
 
     finished = [done_static]
-    last: DataFrame | None = None
+    stopped: list[DataFrame] = []
+    prev: DataFrame | None = None
     for r in range(rounds + 1):
         if r == 0 and proposer is None:
             # The mined template is already the consensus of its group.
@@ -136,26 +143,46 @@ def parse_logs(groups: DataFrame, masks: Sequence[str], proposer: Proposer | Non
                 .dropDuplicates(["dataset", "group_key"])
         else:
             prop = propose(todo.select("dataset", "group_key", "line_id", "content"))
-        prop = prop.withColumn("template_regex", template_to_regex("template"))
-        checked = verify_templates(todo, prop.select("dataset", "group_key", "template_regex"), lint)
+        prop = prop.withColumn("template_regex", template_to_regex("template")) \
+            .select("dataset", "group_key", "template_regex")
+        if prev is not None:
+            # A group whose new proposal repeats the previous one stops here.
+            same = prop.join(prev.withColumnRenamed("template_regex", "prev_regex"), ["dataset", "group_key"]) \
+                .filter(F.col("template_regex") == F.col("prev_regex")).select("dataset", "group_key")
+            stopped.append(todo.join(same, ["dataset", "group_key"])
+                           .join(prev, ["dataset", "group_key"])
+                           .select("dataset", "line_id", "content", "group_key", "template_regex"))
+            prop = prop.join(same, ["dataset", "group_key"], "left_anti")
+            todo = todo.join(same, ["dataset", "group_key"], "left_anti")
+        checked = verify_templates(todo, prop, lint)
         if checkpoint:
             checked = cut_lineage(checked)
-        ok = checked.filter("matched").select(
+        finished.append(checked.filter("matched").select(
             "dataset", "line_id", "content", "group_key", F.col("cleaned").alias("template_regex"),
             F.lit(True).alias("verified"), F.lit(f"round{r}").alias("source"),
-            F.array(F.col("template_regex")).alias("history"))
-        finished.append(ok)
-        wrong = checked.filter(~F.col("matched"))
-        last = wrong.select("dataset", "line_id", "content", "group_key", "template_regex")
-        stats = checked.agg(F.count(F.lit(1)).alias("n"),
-                            F.sum(F.col("matched").cast("long")).alias("fixed")).first()
-        n_fixed = stats["fixed"] or 0
-        n_wrong = stats["n"] - n_fixed
-        if n_wrong == 0 or (r > 0 and n_fixed == 0):
+            F.array(F.col("template_regex")).alias("history")))
+        wrong = checked.filter(~F.col("matched")).select("dataset", "line_id", "content", "group_key",
+                                                         "template_regex")
+        per_group = checked.groupBy("dataset", "group_key").agg(
+            F.sum(F.col("matched").cast("long")).alias("fixed"),
+            F.sum((~F.col("matched")).cast("long")).alias("failed"))
+        # Retry a group only while its last attempt fixed nothing (any group
+        # after the first check).
+        go_on = (F.col("failed") > 0) & ((F.lit(r) == 0) | (F.col("fixed") == 0))
+        if checkpoint:
+            per_group = cut_lineage(per_group)
+        keep = per_group.filter(go_on).select("dataset", "group_key")
+        stop = per_group.filter(~go_on & (F.col("failed") > 0)).select("dataset", "group_key")
+        stopped.append(wrong.join(stop, ["dataset", "group_key"]))
+        if r == rounds or keep.count() == 0:
+            stopped.append(wrong.join(keep, ["dataset", "group_key"]))
             break
-        # Failing lines of a group form a new group for the next proposal.
-        todo = wrong.select("dataset", "line_id", "content",
-                            F.concat(F.col("group_key"), F.lit(f"#r{r + 1}")).alias("group_key"))
+        todo = wrong.join(keep, ["dataset", "group_key"]).select("dataset", "line_id", "content", "group_key")
+        prev = prop.join(keep, ["dataset", "group_key"])
+
+    last = stopped[0] if stopped else None
+    for st in stopped[1:]:
+        last = last.unionByName(st)
 
     done = finished[0]
     for f in finished[1:]:
