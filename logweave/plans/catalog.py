@@ -924,3 +924,67 @@ def q_parse_scores(spark, sf):
     ev = _events(spark, sf)
     parsed = vf.parse_logs(mining.mine_templates(ev, EVENT_MASKS, depth=4), EVENT_MASKS)
     return bm.scores_table(parsed, corpora.event_labels(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# Alignment, ordering, fixpoint collapse, multi-dataset mining
+# ---------------------------------------------------------------------------
+from logweave.operators import templates as top  # noqa: E402
+
+
+def _pred_vs_labels(spark, sf):
+    """Predictions for all event lines but 'error'; labels for all lines but 'view'."""
+    ev = _events(spark, sf)
+    pred = ev.filter(F.col("event_type") != "error").select(
+        "dataset", "line_id", "content", tf.template_to_regex("event_template").alias("pred_template"))
+    lab = ev.filter(F.col("event_type") != "view").select(
+        "dataset", "line_id", F.upper("content").alias("content"), "event_template")
+    return pred, lab
+
+
+@register("align_labels", f"""WITH {S.EV},
+p AS (SELECT dataset, line_id, content FROM ev WHERE event_type <> 'error'),
+t AS (SELECT dataset, line_id, upper(content) AS content FROM ev WHERE event_type <> 'view'),
+j AS (SELECT coalesce(p.dataset, t.dataset) AS dataset, p.content AS pc, t.content AS tc
+      FROM p FULL OUTER JOIN t ON p.dataset = t.dataset AND p.line_id = t.line_id)
+SELECT dataset, count(pc) AS pred_rows, count(tc) AS truth_rows,
+       sum(CASE WHEN coalesce(pc = tc, false) THEN 0 ELSE 1 END) AS content_mismatch FROM j GROUP BY dataset""")
+def q_align_labels(spark, sf):
+    pred, lab = _pred_vs_labels(spark, sf)
+    return acc.alignment_report(acc.align_labels(pred, lab))
+
+
+@register("semi_align", f"""WITH {S.EV}
+SELECT dataset, line_id FROM ev WHERE event_type NOT IN ('error', 'view')""")
+def q_semi_align(spark, sf):
+    pred, lab = _pred_vs_labels(spark, sf)
+    p, _ = acc.semi_align(pred, lab)
+    return p.select("dataset", "line_id")
+
+
+@register("sorted_results", f"""WITH {S.EV}
+SELECT dataset, line_id, content FROM ev ORDER BY line_id""")
+def q_sorted_results(spark, sf):
+    ev = sk.valid_results(_events(spark, sf).select("dataset", F.col("line_id").cast("string").alias("line_id"),
+                                                    "content"))
+    return ev.repartitionByRange("dataset", "line_id").sortWithinPartitions("dataset", "line_id")
+
+
+@register("collapse_fixpoint", f"""WITH {S.DL},
+m AS (SELECT DISTINCT regexp_replace(content, '[A-Za-z0-9]+', '<*>', 'g') AS template FROM dl),
+{S.collapse_steps('m', 'template', passes=20)}
+SELECT template, collapsed FROM k_out""")
+def q_collapse_fixpoint(spark, sf):
+    m = _docs(spark, sf).select(masking.mask_variables("content", ["[A-Za-z0-9]+"], unicode=False)
+                                .alias("template")).distinct()
+    out = top.collapse_to_fixpoint(m.withColumn("orig", F.col("template")), "template", unicode=False)
+    return out.select(F.col("orig").alias("template"), F.col("template").alias("collapsed"))
+
+
+@register("mine_profiles")
+def q_mine_profiles(spark, sf):
+    lines = _events(spark, sf).select("dataset", "line_id", "content").unionByName(
+        _docs(spark, sf).select("dataset", "line_id", "content"))
+    prof = spark.createDataFrame([("events", list(EVENT_MASKS), 4, 0.5), ("documents", [r"[0-9]+"], 3, 0.5)],
+                                 "dataset string, masks array<string>, depth int, st double")
+    return mining.mine_with_profiles(lines, prof).select("dataset", "line_id", "template", "event_id")
