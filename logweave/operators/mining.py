@@ -195,11 +195,13 @@ def cluster_frame(pdf: pd.DataFrame, depth: int, st: float, max_child: int) -> p
 def masked_tokens(lines: DataFrame, masks: Sequence[str], unicode: bool = True,
                   content_col: str = "content") -> DataFrame:
     """Add ``masked``, ``pattern`` (whitespace-normalised masked text) and ``n_tokens``."""
-    masked = mask_variables(F.col(content_col), masks, unicode)
-    toks = tokenize(masked, unicode)
-    return lines.withColumn("masked", masked) \
-        .withColumn("pattern", F.array_join(toks, " ")) \
-        .withColumn("n_tokens", F.size(toks))
+    # Each step reads the previous column by name, so the masking regex and the
+    # split run once per line (the optimizer keeps a non-cheap alias that is
+    # used twice instead of inlining it).
+    return lines.withColumn("masked", mask_variables(F.col(content_col), masks, unicode)) \
+        .withColumn("__toks", tokenize(F.col("masked"), unicode)) \
+        .withColumn("pattern", F.array_join("__toks", " ")) \
+        .withColumn("n_tokens", F.size("__toks")).drop("__toks")
 
 
 def pattern_counts(lines: DataFrame, masks: Sequence[str], unicode: bool = True) -> DataFrame:
@@ -240,15 +242,28 @@ def _bucket_column(oversized: dict, max_patterns: int) -> tuple[Column, Column]:
     return nb, F.when(nb > 1, F.pmod(F.xxhash64("key"), nb)).otherwise(F.lit(0).cast("long"))
 
 
-def _oversized(rows: DataFrame, max_patterns: int) -> dict:
+def _oversized(rows: DataFrame, max_patterns: int, sizes: list | None = None) -> dict:
     """Groups above ``max_patterns`` rows (one small driver-side aggregate)."""
-    big = rows.groupBy("dataset", "n_tokens").agg(F.count(F.lit(1)).alias("group_rows")) \
-        .filter(F.col("group_rows") > max_patterns).collect()
-    return {(r["dataset"], int(r["n_tokens"])): int(r["group_rows"]) for r in big}
+    if sizes is None:
+        sizes = _size_table(rows)
+    return {(r[0], r[1]): r[2] for r in sizes if r[2] > max_patterns}
+
+
+def _size_table(rows: DataFrame) -> list:
+    """``(dataset, n_tokens, rows, text bytes)`` per length: one row per distinct
+    token count, so it is small whatever the data size."""
+    t = rows.groupBy("dataset", "n_tokens").agg(F.count(F.lit(1)).alias("c"),
+                                                F.sum(F.length("pattern")).alias("b")).collect()
+    return [(r["dataset"], int(r["n_tokens"]), int(r["c"]), int(r["b"] or 0)) for r in t]
+
+
+# Broadcast the pattern -> template mapping when its estimated size is below
+# this many bytes (pattern + template text and a row overhead per pattern).
+BROADCAST_MAPPING_BYTES = 256 * 1024 * 1024
 
 
 def cluster_patterns(patterns: DataFrame, depth: int = 4, st: float = 0.5, max_child: int = 100,
-                     max_patterns: int = 20000) -> DataFrame:
+                     max_patterns: int = 20000, sizes: list | None = None) -> DataFrame:
     """Cluster rows ``dataset, key, pattern, n_tokens, first_id``; returns ``dataset, key, template``.
 
     Rows shorter than ``depth`` tokens keep their own pattern as template.
@@ -260,7 +275,7 @@ def cluster_patterns(patterns: DataFrame, depth: int = 4, st: float = 0.5, max_c
     short = patterns.filter(F.col("n_tokens") < depth).select(
         "dataset", "key", F.col("pattern").alias("template"))
     long = patterns.filter(F.col("n_tokens") >= depth)
-    big = _oversized(long, max_patterns)
+    big = _oversized(long, max_patterns, [r for r in sizes if r[1] >= depth] if sizes is not None else None)
     nb, bucket = _bucket_column(big, max_patterns)
     long = long.withColumn("n_buckets", nb).withColumn("bucket", bucket)
     lvl1 = _cluster_groups(long.select("dataset", "n_tokens", "n_buckets", "bucket", "key", "first_id", "pattern"),
@@ -314,8 +329,13 @@ def mine_templates(lines: DataFrame, masks: Sequence[str], depth: int = 4, st: f
             F.first("n_tokens").alias("n_tokens"), F.min("line_id").alias("first_id"))
         rows = pats.select("dataset", F.col("pattern").alias("key"), "pattern", "n_tokens", "first_id") \
             .persist(StorageLevel.MEMORY_AND_DISK)
-        mapping = cluster_patterns(rows, depth, st, max_child, max_patterns) \
+        sizes = _size_table(rows)
+        mapping = cluster_patterns(rows, depth, st, max_child, max_patterns, sizes) \
             .withColumnRenamed("key", "pattern")
+        est = sum(2 * b + 64 * c for _, _, c, b in sizes)
+        if est <= BROADCAST_MAPPING_BYTES:
+            # Size checked above: the line side is not shuffled at all.
+            mapping = F.broadcast(mapping)
         out = m.join(mapping, ["dataset", "pattern"], "left").select("dataset", "line_id", "content", "template")
     return out.withColumn("template", F.when(F.col("content").isNull(), F.lit(None)).otherwise(F.col("template"))) \
         .withColumn("event_id", F.when(F.col("template").isNotNull(), event_id("template")))
