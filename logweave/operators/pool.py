@@ -62,8 +62,11 @@ def template_pool(proposals: DataFrame, check_col: str | None = None) -> DataFra
         .withColumn("static_tokens", static_token_count("template_regex")) \
         .withColumn("candidate", F.col("static_tokens") > 1) \
         .withColumn("template_id", F.xxhash64("dataset", "template_regex"))
-    w = Window.partitionBy("dataset", "candidate").orderBy(F.col("word_count").desc(), "seq")
-    return first.withColumn("rank", F.when(F.col("candidate"), F.row_number().over(w))) \
+    # Rank in pool order without sorting a whole dataset's pool in one task.
+    from logweave.operators.sampling import group_row_number
+    ranked = group_row_number(first.withColumn("__neg_wc", -F.col("word_count")),
+                              ["dataset", "candidate"], ["__neg_wc", "seq"], "__rank")
+    return ranked.withColumn("rank", F.when(F.col("candidate"), F.col("__rank"))) \
         .select("dataset", "template_id", "template_regex", "word_count", "static_tokens",
                 "candidate", "seq", "rank")
 

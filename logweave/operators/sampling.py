@@ -82,8 +82,7 @@ def group_order(groups: DataFrame, group_col: str = "event_id") -> DataFrame:
         F.min_by(F.struct("line_id", "content"), F.col("line_id")).alias("f"))
     first = first.select("dataset", group_col, F.col("f.line_id").alias("first_line"),
                          F.size(tokenize(F.col("f.content"))).alias("first_words"))
-    w = Window.partitionBy("dataset").orderBy("first_words", group_col)
-    return first.withColumn("group_rank", F.row_number().over(w))
+    return group_row_number(first, ["dataset"], ["first_words", group_col], "group_rank")
 
 
 def longest_line(groups: DataFrame, group_col: str = "event_id") -> DataFrame:
