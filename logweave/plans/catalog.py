@@ -988,3 +988,48 @@ def q_mine_profiles(spark, sf):
     prof = spark.createDataFrame([("events", list(EVENT_MASKS), 4, 0.5), ("documents", [r"[0-9]+"], 3, 0.5)],
                                  "dataset string, masks array<string>, depth int, st double")
     return mining.mine_with_profiles(lines, prof).select("dataset", "line_id", "template", "event_id")
+
+
+# ---------------------------------------------------------------------------
+# Companions with a DuckDB statement for results that SQL cannot state
+# (greedy mining, farthest-point samples, the parse loop)
+# ---------------------------------------------------------------------------
+_DOC_MASKED_SQL = f"""{S.DL},
+dm AS (SELECT dataset, line_id, regexp_replace(content, '[0-9]+', '<*>', 'g') AS masked FROM dl)"""
+
+
+@register("mine_doc_lines_checks", f"""WITH {_DOC_MASKED_SQL}
+SELECT dataset, count(*) AS lines, count(DISTINCT line_id) AS distinct_ids, count(*) AS self_matched FROM dm
+GROUP BY dataset""")
+def q_mine_doc_lines_checks(spark, sf):
+    """Every line keeps its row and matches its own template (masked,
+    whitespace-normalised), whatever the greedy grouping chose."""
+    g = mining.mine_templates(_docs(spark, sf), [r"[0-9]+"], depth=3, unicode=False)
+    norm = F.array_join(text.tokenize(masking.mask_variables("content", [r"[0-9]+"], unicode=False), False), " ")
+    ok = mf.match_lenient(norm, tf.template_to_regex(F.col("template"), cap=False)) | (norm == F.col("template"))
+    return g.groupBy("dataset").agg(F.count(F.lit(1)).alias("lines"),
+                                    F.count_distinct("line_id").alias("distinct_ids"),
+                                    F.sum(ok.cast("long")).alias("self_matched"))
+
+
+@register("diverse_sample_sizes", f"""WITH {S.EV}
+SELECT event_type, least(count(*), 5) AS sampled, true AS has_longest FROM ev GROUP BY event_type""")
+def q_diverse_sample_sizes(spark, sf):
+    """A diverse sample has min(k, group size) lines and starts with a line of
+    the group's largest word count among the capped candidates."""
+    ev = _events(spark, sf).select("event_type", "line_id", "content")
+    s = smp.diverse_sample(ev, k=5, group_cols=["event_type"])
+    words = F.size(text.tokenize("content", False))
+    first = s.filter(F.col("sample_rank") == 1).select("event_type", words.alias("w1"))
+    most = s.groupBy("event_type").agg(F.count(F.lit(1)).alias("sampled"), F.max(words).alias("wmax"))
+    return most.join(first, "event_type").select("event_type", "sampled", (F.col("w1") == F.col("wmax"))
+                                                 .alias("has_longest"))
+
+
+@register("parse_doc_lines_checks", f"""WITH {S.DL}
+SELECT dataset, count(*) AS lines, count(DISTINCT line_id) AS distinct_ids FROM dl GROUP BY dataset""")
+def q_parse_doc_lines_checks(spark, sf):
+    """The parse loop keeps every line exactly once."""
+    g = mining.mine_templates(_docs(spark, sf), [r"[0-9]+"], depth=3)
+    p = vf.parse_logs(g, [r"[0-9]+"])
+    return p.groupBy("dataset").agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("line_id").alias("distinct_ids"))
