@@ -37,7 +37,7 @@ _LITERAL_WORD = r"^(?:\\[^A-Za-z0-9\s]|[^\\.*?+()\[\]{}|^$\s])+$"
 MAX_BROADCAST_ANCHORS = 200_000
 
 
-def template_pool(proposals: DataFrame, check_col: str | None = None) -> DataFrame:
+def template_pool(proposals: DataFrame, check_col: str | None = None, rank: bool = True) -> DataFrame:
     """Build the pool from proposals ``dataset, template, seq[, check line]``.
 
     Returns ``dataset, template_id, template_regex, word_count, static_tokens,
@@ -62,6 +62,11 @@ def template_pool(proposals: DataFrame, check_col: str | None = None) -> DataFra
         .withColumn("static_tokens", static_token_count("template_regex")) \
         .withColumn("candidate", F.col("static_tokens") > 1) \
         .withColumn("template_id", F.xxhash64("dataset", "template_regex"))
+    if not rank:
+        # Matching only needs (word_count, seq); the explicit rank is optional.
+        return first.withColumn("rank", F.lit(None).cast("int")) \
+            .select("dataset", "template_id", "template_regex", "word_count", "static_tokens",
+                    "candidate", "seq", "rank")
     # Rank in pool order without sorting a whole dataset's pool in one task.
     from logweave.operators.sampling import group_row_number
     ranked = group_row_number(first.withColumn("__neg_wc", -F.col("word_count")),

@@ -33,7 +33,6 @@ from logweave.functions.text import tokenize
 from logweave.functions.templates import clean_template, literal_template, template_to_regex
 from logweave.operators.mining import consensus_template
 from logweave.operators.pool import match_templates, template_pool
-from logweave.operators.sampling import group_order
 from logweave.session import cut_lineage
 
 # A one-line group is static unless it holds one of these.
@@ -124,8 +123,12 @@ def parse_logs(groups: DataFrame, masks: Sequence[str], proposer: Proposer | Non
         groups = cut_lineage(groups)
     group_col = "__gk"
     base = groups.select("dataset", "line_id", "content", F.col(group_col).alias("group_key"))
-    order = group_order(groups.withColumnRenamed(group_col, "__g"), "__g") \
-        .select("dataset", F.col("__g").alias("group_key"), "group_rank")
+    # Pool insertion order: word count of each group's first line, then the
+    # group key (a struct key, so no global rank is needed).
+    first = groups.groupBy("dataset", F.col(group_col).alias("group_key")).agg(
+        F.min_by("content", "line_id").alias("__first"))
+    order = first.select("dataset", "group_key", F.struct(
+        F.size(tokenize(F.col("__first"))).alias("words"), F.col("group_key").alias("key")).alias("group_rank"))
 
     static = static_groups(base, "group_key").select("dataset", "group_key", "template_regex")
     done_static = base.join(static, ["dataset", "group_key"]) \
@@ -193,8 +196,8 @@ def parse_logs(groups: DataFrame, masks: Sequence[str], proposer: Proposer | Non
             proposals = done.filter("verified").select(
                 "dataset", F.col("template_regex").alias("template"), "group_key") \
                 .join(order, ["dataset", "group_key"], "left").groupBy("dataset", "template") \
-                .agg(F.min(F.coalesce("group_rank", F.lit(1 << 30))).alias("seq"))
-            pool = template_pool(proposals)
+                .agg(F.min("group_rank").alias("seq"))
+            pool = template_pool(proposals, rank=False)
             cached = match_templates(rest.select("dataset", "line_id", "content", "group_key",
                                                  F.col("template_regex").alias("last_regex")), pool)
             rest = cached.select(
