@@ -82,7 +82,7 @@ def untreated_paths(log, template_regex) -> Column:
     paths = F.regexp_extract_all(_c(log), F.lit(PATH_PATTERN), 1)
 
     def part_hit(part):
-        suffix = F.element_at(F.split(part, "-"), -1)
+        suffix = F.try_element_at(F.split(part, "-"), F.lit(-1))
         return (F.length(part) >= 2) & (
             F.contains(t, part)
             | (F.contains(part, F.lit("-")) & (F.length(suffix) > 0)

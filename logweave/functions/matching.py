@@ -115,8 +115,8 @@ def _segment_fit(c: Column, r: Column, open_end: Column | None = None) -> Column
     """
     segs = F.transform(F.split(r, _WILD_SPLIT, -1), lambda x: F.regexp_replace(x, r"(?s)\\(.)", "$1"))
     k = F.size(segs) - 1
-    first = F.element_at(segs, 1)
-    last = F.element_at(segs, -1)
+    first = F.try_element_at(segs, F.lit(1))
+    last = F.try_element_at(segs, F.lit(-1))
     n = F.length(c)
     start = F.length(first) + 1
     end_limit = n - F.length(last) + 1  # first position of the last segment

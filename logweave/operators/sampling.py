@@ -44,18 +44,31 @@ def group_cap(df: DataFrame, group_cols: Sequence[str], k: int, order: Column,
 
 
 def group_row_number(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
-                     out: str = "rn") -> DataFrame:
-    """Exact 1-based row number within each group, without sorting a whole
-    group in one task: range-partition on (group, order), number rows inside
-    each (partition, group) piece, add the sizes of the earlier pieces."""
+                     out: str = "rn", pieces: int = 64) -> DataFrame:
+    """Exact 1-based row number within each group without sorting a whole group
+    in one task.
+
+    Rows are cut into ``pieces`` equal-width buckets of the first (numeric)
+    order column using the group's exact min and max; rows are numbered inside
+    each (group, bucket) and the sizes of the earlier buckets are added.  Every
+    quantity is deterministic, so the two reads of ``df`` always agree.
+    """
     g, o = list(group_cols), list(order_cols)
-    parted = df.repartitionByRange(*g, *o).withColumn("__pid", F.spark_partition_id())
-    local = parted.withColumn("__lr", F.row_number().over(Window.partitionBy("__pid", *g).orderBy(*o)))
-    sizes = local.groupBy(*g, "__pid").agg(F.count(F.lit(1)).alias("__n"))
+    o1 = F.col(o[0]).cast("double")
+    key = g if g else ["__one"]
+    base = df if g else df.withColumn("__one", F.lit(1))
+    rng = base.groupBy(*key).agg(F.min(o1).alias("__lo"), F.max(o1).alias("__hi"))
+    width = (F.col("__hi") - F.col("__lo")) / F.lit(pieces)
+    bucket = F.when(width > 0, F.least(F.floor((o1 - F.col("__lo")) / width), F.lit(pieces - 1))) \
+        .otherwise(F.lit(0)).cast("int")
+    keyed = base.join(F.broadcast(rng) if not g else rng, key).withColumn("__bk", bucket).drop("__lo", "__hi")
+    local = keyed.withColumn("__lr", F.row_number().over(Window.partitionBy(*key, "__bk").orderBy(*o)))
+    sizes = keyed.groupBy(*key, "__bk").agg(F.count(F.lit(1)).alias("__n"))
     offs = sizes.withColumn("__off", F.coalesce(F.sum("__n").over(
-        Window.partitionBy(*g).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(offs.drop("__n"), g + ["__pid"]).withColumn(out, F.col("__off") + F.col("__lr")) \
-        .drop("__pid", "__lr", "__off")
+        Window.partitionBy(*key).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out_df = local.join(offs.drop("__n"), key + ["__bk"]).withColumn(out, F.col("__off") + F.col("__lr")) \
+        .drop("__bk", "__lr", "__off")
+    return out_df if g else out_df.drop("__one")
 
 
 def spaced_rows(df: DataFrame, group_cols: Sequence[str], order_col: str = "line_id",

@@ -854,7 +854,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, key) AS rk
 SELECT k.lang, k.line_id, CASE WHEN r.keys > 4 AND r.rk > 4 THEN '<OTHER_BRANCHES>' ELSE k.key END AS key
 FROM k JOIN r USING (lang, key)""")
 def q_top_branches(spark, sf):
-    d = _docs(spark, sf).select("lang", "line_id", F.coalesce(F.element_at(text.tokenize("content", False), 1),
+    d = _docs(spark, sf).select("lang", "line_id", F.coalesce(F.try_element_at(text.tokenize("content", False), F.lit(1)),
                                                               F.lit("")).alias("key"))
     return spl.top_branches(d, ["lang"], "key").select("lang", "line_id", "key")
 

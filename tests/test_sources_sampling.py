@@ -67,3 +67,22 @@ def test_summary_upsert_keeps_last_and_orders(spark):
     new = spark.createDataFrame([("A", 9.0, 2)], "Dataset string, GA double, seq int")
     out = sinks.summary_upsert(old, new, ["A", "B"]).collect()
     assert [(r["Dataset"], r["GA"]) for r in out] == [("A", 9.0), ("B", 1.0)]
+
+
+def test_split_rules(spark):
+    from logweave.operators import splitting as spl
+    rows = []
+    i = 0
+    for t in ["alpha", "beta", "gamma", "delta", "eps", "zeta"]:
+        for _ in range(3):
+            i += 1
+            rows.append(("d", "g1", i, f"[svc worker] {t} finished job"))
+    for w in ["opened", "closed"]:
+        for _ in range(2):
+            i += 1
+            rows.append(("d", "g2", i, f"socket {w} now"))
+    df = spark.createDataFrame(rows, "dataset string, event_id string, line_id long, content string")
+    out = {(r["event_id"], r["split_key"]) for r in spl.split_groups(df).collect()}
+    g1 = {k for g, k in out if g == "g1"}
+    assert len(g1) == 5 and "<OTHER_BRANCHES>" in g1
+    assert {k for g, k in out if g == "g2"} == {"opened", "closed"}
