@@ -86,3 +86,16 @@ def test_split_rules(spark):
     g1 = {k for g, k in out if g == "g1"}
     assert len(g1) == 5 and "<OTHER_BRANCHES>" in g1
     assert {k for g, k in out if g == "g2"} == {"opened", "closed"}
+
+
+def test_group_row_number_on_filtered_shuffled_input(spark):
+    """Filters pushed into one read and AQE coalescing must not change ranks."""
+    rows = [("a" if i % 3 else "b", i, i % 2 == 0) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g string, v long, keep boolean").repartition(9, "v")
+    ranked = smp.group_row_number(df, ["g"], ["v"]).filter("keep")
+    got = sorted((r["g"], r["v"], r["rn"]) for r in ranked.collect())
+    exp = {}
+    for g_ in ("a", "b"):
+        vs = sorted(v for gg, v, _ in rows if gg == g_)
+        exp.update({(g_, v): i + 1 for i, v in enumerate(vs)})
+    assert got == sorted((g_, v, exp[(g_, v)]) for g_, v, k in rows if k)
