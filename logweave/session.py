@@ -20,6 +20,8 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Only takes effect when this process starts the JVM (local runs, tests).
+    "spark.driver.memory": "8g",
     "spark.ui.showConsoleProgress": "false",
 }
 

@@ -99,3 +99,15 @@ def test_group_row_number_on_filtered_shuffled_input(spark):
         vs = sorted(v for gg, v, _ in rows if gg == g_)
         exp.update({(g_, v): i + 1 for i, v in enumerate(vs)})
     assert got == sorted((g_, v, exp[(g_, v)]) for g_, v, k in rows if k)
+
+
+def test_split_unit_rule(spark):
+    from logweave.operators import splitting as spl
+    texts = ["cache flush 10 KB to disk", "cache flush 20 KB to disk", "cache drop 30 KB to disk",
+             "cache drop 40 KB to disk", "queue flush 5 MB now"]
+    df = spark.createDataFrame([("d", "g", i, t) for i, t in enumerate(texts)],
+                               "dataset string, event_id string, line_id long, content string")
+    out = {r["line_id"]: (r["split_rule"], r["split_key"]) for r in spl.split_groups(df).collect()}
+    assert {r for r, _ in out.values()} == {"d"}
+    assert out[0][1] == "flush" and out[2][1] == "drop"
+    assert out[4][1] == "queue_len_5"
