@@ -871,10 +871,13 @@ def q_signature_counts(spark, sf):
     return spl.signature_counts(reps, ["dataset"]).select("key", "signature", "signature_count")
 
 
-@register("partial_context")
+@register("partial_context", f"""WITH {S.EV}
+SELECT DISTINCT dataset, event_type || 'ed' AS key FROM ev""")
 def q_partial_context(spark, sf):
     ev = _events(spark, sf)
-    reps = ev.groupBy(F.lit("events").alias("dataset"), F.col("event_type").alias("key")).agg(
+    lines = ev.select("dataset", "line_id", "event_type", F.concat(
+        F.lit("request "), F.col("event_type"), F.lit("ed for user "), F.col("user_id").cast("string")).alias("content"))
+    reps = lines.groupBy("dataset", F.concat(F.col("event_type"), F.lit("ed")).alias("key")).agg(
         F.min_by("content", "line_id").alias("content"))
     return spl.partial_context(reps, ["dataset"])
 
