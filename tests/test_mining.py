@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from logweave.operators import mining
 from tests.conftest import rows
-from tests.drain_model import event_id, mine
+from tests.prefix_tree_model import event_id, mine
 
 MASKS = [r"([0-9]+\.){3}[0-9]+", r"[0-9]+"]
 LINES = [
