@@ -81,7 +81,7 @@ def consensus_proposer(masks: Sequence[str], unicode: bool = True) -> Proposer:
 
 
 def verify_templates(rows: DataFrame, proposals: DataFrame, lint: bool = True,
-                     with_rate: bool = False) -> DataFrame:
+                     with_rate: bool = False, validate: bool = True) -> DataFrame:
     """Check a proposal on every line of its group.
 
     ``rows``: dataset, group_key, line_id, content; ``proposals``: dataset,
@@ -94,8 +94,11 @@ def verify_templates(rows: DataFrame, proposals: DataFrame, lint: bool = True,
             (F.size(hardcoded_params("cleaned")) > 0)
     else:
         bad = F.lit(False)
-    p = p.withColumn("hardcoded", F.coalesce(bad, F.lit(False))) \
-        .withColumn("valid", regex_is_valid_udf(F.translate("cleaned", ",$", "")))
+    # Proposals from an outside proposer are checked once per template; the
+    # built-in proposer only emits escaped templates (``validate=False``).
+    valid = regex_is_valid_udf(F.translate("cleaned", ",$", "")) if validate \
+        else F.col("cleaned").isNotNull() & (F.col("cleaned") != "")
+    p = p.withColumn("hardcoded", F.coalesce(bad, F.lit(False))).withColumn("valid", valid)
     j = rows.join(p, ["dataset", "group_key"], "left")
     ok = F.col("cleaned").isNotNull() & ~F.col("hardcoded") & \
         F.when(F.col("valid"), match_lenient("content", F.col("cleaned"))).otherwise(F.lit(False))
@@ -157,7 +160,7 @@ def parse_logs(groups: DataFrame, masks: Sequence[str], proposer: Proposer | Non
                            .select("dataset", "line_id", "content", "group_key", "template_regex"))
             prop = prop.join(same, ["dataset", "group_key"], "left_anti")
             todo = todo.join(same, ["dataset", "group_key"], "left_anti")
-        checked = verify_templates(todo, prop, lint)
+        checked = verify_templates(todo, prop, lint, validate=proposer is not None)
         if checkpoint:
             checked = cut_lineage(checked)
         finished.append(checked.filter("matched").select(
