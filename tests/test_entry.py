@@ -12,3 +12,12 @@ def test_oracle_keys_are_registered():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 60
+
+
+def test_checkpoint_dir_comes_from_the_session(spark, tmp_path):
+    from logweave.session import checkpoint_dir, cut_lineage
+    first = checkpoint_dir(spark)
+    assert checkpoint_dir(spark) == first
+    assert spark.conf.get("spark.checkpoint.dir") == first
+    df = cut_lineage(spark.range(10))
+    assert df.count() == 10
