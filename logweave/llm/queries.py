@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from logweave.llm import bpe, decontam, langid, secret_scan
+from logweave.llm import bpe, decontam, langid, near_dup, quality, secret_scan
 
 
 def _read(spark, sf, name):
@@ -15,6 +15,10 @@ def op2_secret_links(spark, sf):
     return secret_scan.report(_read(spark, sf, "documents"))
 
 
+def op3_rule_cascade(spark, sf):
+    return quality.report(_read(spark, sf, "documents"))
+
+
 def op5_benchmark_hash_set(spark, sf):
     return decontam.report(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"))
 
@@ -23,10 +27,15 @@ def op6_subword_language(spark, sf):
     return langid.report(_read(spark, sf, "documents"))
 
 
+def op8_chosen_path(spark, sf):
+    return near_dup.cluster(_read(spark, sf, "documents"))
+
+
 def op9_sentencepiece_bpe(spark, sf):
     return bpe.round_trip(_read(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_links, op5_benchmark_hash_set, op6_subword_language, op9_sentencepiece_bpe)}
+QUERIES = {f.__name__: f for f in (op2_secret_links, op3_rule_cascade, op5_benchmark_hash_set, op6_subword_language, op8_chosen_path,
+                                     op9_sentencepiece_bpe)}
 
 ORACLE = {"op5_benchmark_hash_set": decontam.ORACLE}
