@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from logweave.llm import bpe, decontam, langid, near_dup, quality, secret_scan
+from logweave.llm import bpe, decontam, langid, near_dup, quality, secret_scan, warc_zip
 
 
 def _read(spark, sf, name):
@@ -27,6 +27,10 @@ def op6_subword_language(spark, sf):
     return langid.report(_read(spark, sf, "documents"))
 
 
+def op7_zip_packages(spark, sf):
+    return warc_zip.report(_read(spark, sf, "pages"))
+
+
 def op8_chosen_path(spark, sf):
     return near_dup.cluster(_read(spark, sf, "documents"))
 
@@ -35,7 +39,7 @@ def op9_sentencepiece_bpe(spark, sf):
     return bpe.round_trip(_read(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_links, op3_rule_cascade, op5_benchmark_hash_set, op6_subword_language, op8_chosen_path,
-                                     op9_sentencepiece_bpe)}
+QUERIES = {f.__name__: f for f in (op2_secret_links, op3_rule_cascade, op5_benchmark_hash_set, op6_subword_language, op7_zip_packages,
+                                     op8_chosen_path, op9_sentencepiece_bpe)}
 
-ORACLE = {"op5_benchmark_hash_set": decontam.ORACLE}
+ORACLE = {"op5_benchmark_hash_set": decontam.ORACLE, "op7_zip_packages": warc_zip.ORACLE}
