@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from logweave.llm import bpe, decontam, langid, near_dup, quality, secret_scan, warc_zip
+from logweave.llm import bpe, decontam, langid, near_dup, phrases, quality, secret_scan, warc_zip
 
 
 def _read(spark, sf, name):
@@ -19,6 +19,10 @@ def op3_rule_cascade(spark, sf):
     return quality.report(_read(spark, sf, "documents"))
 
 
+def op4_phrase_automata(spark, sf):
+    return phrases.report(_read(spark, sf, "documents"))
+
+
 def op5_benchmark_hash_set(spark, sf):
     return decontam.report(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"))
 
@@ -39,7 +43,7 @@ def op9_sentencepiece_bpe(spark, sf):
     return bpe.round_trip(_read(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_links, op3_rule_cascade, op5_benchmark_hash_set, op6_subword_language, op7_zip_packages,
+QUERIES = {f.__name__: f for f in (op2_secret_links, op3_rule_cascade, op4_phrase_automata, op5_benchmark_hash_set, op6_subword_language, op7_zip_packages,
                                      op8_chosen_path, op9_sentencepiece_bpe)}
 
-ORACLE = {"op5_benchmark_hash_set": decontam.ORACLE, "op7_zip_packages": warc_zip.ORACLE}
+ORACLE = {"op4_phrase_automata": phrases.ORACLE, "op5_benchmark_hash_set": decontam.ORACLE, "op7_zip_packages": warc_zip.ORACLE}
