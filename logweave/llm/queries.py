@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from logweave.llm import bpe, decontam, langid, near_dup, phrases, quality, secret_scan, warc_zip
+from logweave.llm import bpe, decontam, langid, near_dup, phrases, quality, secret_scan, token_files, warc_zip
 
 
 def _read(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_mixed_range_coder(spark, sf):
+    return token_files.report(_read(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op2_secret_links(spark, sf):
     return secret_scan.report(_read(spark, sf, "documents"))
 
@@ -43,7 +47,7 @@ def op9_sentencepiece_bpe(spark, sf):
     return bpe.round_trip(_read(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_links, op3_rule_cascade, op4_phrase_automata, op5_benchmark_hash_set, op6_subword_language, op7_zip_packages,
+QUERIES = {f.__name__: f for f in (op1_mixed_range_coder, op2_secret_links, op3_rule_cascade, op4_phrase_automata, op5_benchmark_hash_set, op6_subword_language, op7_zip_packages,
                                      op8_chosen_path, op9_sentencepiece_bpe)}
 
 ORACLE = {"op4_phrase_automata": phrases.ORACLE, "op5_benchmark_hash_set": decontam.ORACLE, "op7_zip_packages": warc_zip.ORACLE}
