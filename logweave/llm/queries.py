@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from logweave.llm import bpe, decontam, langid, near_dup, phrases, quality, secret_scan, token_files, warc_zip
+from logweave.llm import bpe, decontam, langid, near_dup, phrases, quality, secret_scan, suffix_dedup, token_files, warc_zip
 
 
 def _read(spark, sf, name):
@@ -47,7 +47,11 @@ def op9_sentencepiece_bpe(spark, sf):
     return bpe.round_trip(_read(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_induced_sorting(spark, sf):
+    return suffix_dedup.report(_read(spark, sf, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_mixed_range_coder, op2_secret_links, op3_rule_cascade, op4_phrase_automata, op5_benchmark_hash_set, op6_subword_language, op7_zip_packages,
-                                     op8_chosen_path, op9_sentencepiece_bpe)}
+                                     op8_chosen_path, op9_sentencepiece_bpe, op10_induced_sorting)}
 
 ORACLE = {"op4_phrase_automata": phrases.ORACLE, "op5_benchmark_hash_set": decontam.ORACLE, "op7_zip_packages": warc_zip.ORACLE}
