@@ -6,7 +6,7 @@ from logweave.functions.text import (
 from logweave.functions.masking import mask_variables, mask_sequential, combined_mask_pattern
 from logweave.functions.templates import (
     escape_literal, literal_template, template_to_regex, fix_wildcards,
-    collapse_wildcards, cap_wildcards, clean_template, static_token_count,
+    cap_wildcards, clean_template, static_token_count,
     regex_word_count, regex_to_template,
 )
 from logweave.functions.matching import match_lenient, match_strict, strict_equals_ok

@@ -5,18 +5,15 @@
   outside-brackets or before-second-colon count; anchored search; and no
   captured group except the last may contain ``=``.
 
-JVM forms (``match_lenient``, ``strict_equals_ok``, ``match_strict_jvm``) work
-with a template column or literal.  The group rule of the strict matcher needs
-the groups of the *first* match, which Spark cannot pull out of a per-row
-pattern, so ``strict_match_udf`` runs the exact rule in an Arrow-batched pandas
-UDF with a compiled-pattern cache.  ``logweave.operators.pool`` sends only the
-pairs that need it (line has ``=`` and template has 2+ groups) to the UDF.
+All forms (``match_lenient``, ``strict_equals_ok``, ``match_strict``) work in the JVM with a
+template column or literal.  The group rule reads the groups of the first
+match with ``regexp_extract``, one by one, and only for a line with more ``=``
+than its template and a template of two groups or more.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -182,60 +179,34 @@ def needs_group_rule(content, regex) -> Column:
     return (_eq_count(c) > _eq_count(r)) & (F.regexp_count(r, F.lit(r"\((?!\?)")) >= 2)
 
 
-def needs_group_rule_py(content: str, regex: str) -> bool:
-    c, r = content.replace(",", ""), regex.replace(",", "")
-    return c.count("=") > r.count("=") and len(re.findall(r"\((?!\?)", r)) >= 2
+def _group_count(r: Column) -> Column:
+    """Capturing groups of a pattern: open brackets that are neither escaped nor special nor in a class."""
+    bare = F.regexp_replace(F.regexp_replace(r, F.lit(r"(?s)\\."), F.lit("")), F.lit(r"\[[^\]]*\]"), F.lit(""))
+    return F.regexp_count(bare, F.lit(r"\((?!\?)"))
 
 
-@lru_cache(maxsize=4096)
-def _compile(pattern: str):
-    import regex as rx
-    try:
-        return rx.compile(pattern)
-    except Exception:  # noqa: BLE001 - an invalid template never matches
-        return None
-
-
-def strict_match_py(log: str | None, template: str | None) -> bool:
-    """Exact strict rule on one pair (used inside the pandas UDF)."""
-    if log is None or template is None:
-        return False
-    line = log.replace(",", "")
-    tpl = template.replace(",", "")
-    t_eq = tpl.count("=")
-    total = line.count("=")
-    import regex as rx
-    outside = rx.sub(r"\{[^\}]*\}", "", rx.sub(r"\([^\)]*\)", "", line)).count("=")
-    colons = [i for i, ch in enumerate(line) if ch == ":"]
-    truncated = line[:colons[1]].count("=") if len(colons) >= 2 else -1
-    if t_eq not in (total, outside, truncated):
-        return False
-    if not tpl.startswith("^"):
-        tpl = "^" + tpl
-    if not tpl.endswith("$"):
-        tpl = tpl + "$"
-    pat = _compile(tpl)
-    if pat is None:
-        return False
-    try:
-        m = pat.search(line, timeout=2.0)
-    except Exception:  # noqa: BLE001 - timeouts count as no match
-        return False
-    if not m:
-        return False
-    groups = m.groups()
-    return not any(g and "=" in g for g in groups[:-1])
-
-
-@pandas_udf(T.BooleanType())
-def strict_match_udf(content: pd.Series, regex: pd.Series) -> pd.Series:
-    return pd.Series([strict_match_py(a, b) for a, b in zip(content, regex)], dtype=bool)
+def group_rule_ok(content, regex) -> Column:
+    """No group of the first match but the last holds an ``=`` (null-free only where the pattern matches)."""
+    c = F.replace(_c(content), F.lit(","), F.lit(""))
+    r = F.replace(_lit_or_col(regex), F.lit(","), F.lit(""))
+    pattern = F.concat(F.lit(PY_FLAGS), _anchored(r))
+    groups = F.sequence(F.lit(1), F.greatest(_group_count(r) - 1, F.lit(1)))
+    bad = F.exists(groups, lambda i: F.contains(F.call_function("regexp_extract", c, pattern, i), F.lit("=")))
+    return (_group_count(r) < 2) | ~bad
 
 
 def match_strict(content, regex) -> Column:
-    """Exact strict matcher as a column (pandas UDF; prefer the operator in
-    ``logweave.operators.pool`` which routes only the needed pairs to Python)."""
-    return strict_match_udf(_c(content), _lit_or_col(regex))
+    """The strict matcher, JVM-side for every template.
+
+    Templates of literals and wildcards go through their segments; any other
+    pattern is matched by the regex engine and its groups are read one by one.
+    """
+    r = F.replace(_lit_or_col(regex), F.lit(","), F.lit(""))
+    plain = is_simple_template(r) & ~_c(content).contains("\n")
+    matched = match_strict_jvm(content, regex)
+    by_regex = F.when(matched & needs_group_rule(content, regex), group_rule_ok(content, regex)).otherwise(matched)
+    found = F.when(plain & needs_group_rule(content, regex), segment_strict(content, regex)).otherwise(by_regex)
+    return F.coalesce(found, F.lit(False))
 
 
 def regex_is_valid_py(pattern: str | None) -> bool:

@@ -69,8 +69,6 @@ COLLAPSE_RULES = [
 ]
 # After collapsing: a quoted wildcard loses its quotes.
 QUOTED_WILDCARD = (r"'<\*>'?", "<*>")
-# Runs of ten or more "(.*?) " become exactly ten wildcards joined by spaces.
-MAX_WILDCARD_RUN = 10
 # Wildcards kept in a template regex; text after the 30th is cut.
 MAX_WILDCARDS = 30
 # Characters that do not count as content when rejecting a template
@@ -120,19 +118,14 @@ def cap_wildcards(col, max_wildcards: int = MAX_WILDCARDS) -> Column:
     return F.regexp_replace(_c(col), F.lit(rx), F.lit("$1"))
 
 
-def template_to_regex(col, cap: bool = True) -> Column:
-    """Canonical ``<*>`` template to its matching regex.
-
-    Escape, wildcards to ``(.*?)``, merge adjacent wildcards, shorten runs of
-    ten or more space-separated wildcards, cap at 30 wildcards.
-    """
+def template_to_regex(col) -> Column:
+    """Canonical ``<*>`` template to its matching regex: escape, wildcards to
+    ``(.*?)``, merge adjacent wildcards.  Nothing is cut, however many wildcards
+    there are; ``cap_wildcards`` is an operator of its own."""
     c = _rx(_c(col), QUOTED_WILDCARD[0], QUOTED_WILDCARD[1])
     c = literal_template(c)
     c = F.replace(c, F.lit("<\\*>"), F.lit(WILD_RX))
-    c = F.regexp_replace(c, F.lit(f"(?:{WILD_RX_PATTERN})+"), F.lit(WILD_RX))
-    ten = " ".join([WILD_RX] * MAX_WILDCARD_RUN)
-    c = F.regexp_replace(c, F.lit(f"(?:{WILD_RX_PATTERN} ){{{MAX_WILDCARD_RUN},}}"), F.lit(ten))
-    return cap_wildcards(c) if cap else c
+    return F.regexp_replace(c, F.lit(f"(?:{WILD_RX_PATTERN})+"), F.lit(WILD_RX))
 
 
 def regex_to_template(col) -> Column:
@@ -159,19 +152,6 @@ def collapse_pass(col, unicode: bool = True) -> Column:
     return reduce(lambda acc, r: _rx(acc, r[0], r[1], unicode), COLLAPSE_RULES, _c(col))
 
 
-def collapse_wildcards(col, passes: int = 4, unicode: bool = True) -> Column:
-    """Collapse adjacent / glued wildcards; ``passes`` unrolled rounds.
-
-    Every rule shortens the text, so a few rounds reach the fixpoint for real
-    templates; ``logweave.operators.templates.collapse_to_fixpoint`` loops on a
-    template table until no row changes.
-    """
-    c = _c(col)
-    for _ in range(passes):
-        c = collapse_pass(c, unicode)
-    return _rx(c, QUOTED_WILDCARD[0], QUOTED_WILDCARD[1], unicode)
-
-
 def clean_template(col, unicode: bool = True) -> Column:
     """Clean a template (``<*>`` or regex form) into regex form; null when rejected.
 

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from logweave.functions import lints as lt
 from logweave.operators.sampling import diverse_sample
 
-# Unit words after a number.
-UNIT_AFTER_NUMBER = r"([a-zA-Z]{3,})[^a-zA-Z]*?[0-9]+(?:\.[0-9]+)?\s+([A-Z]{1,2})\b"
-TEMPLATE_UNIT = r"(?:<\*>|\(\.\*\?\)|\d+(?:\.\d+)?)(?:\.\*)?\s+(B|KB|MB|GB|TB|PB|G|K|M)\b"
+# Units, and an anchor word, a number and a unit.
+UNIT = "(?:B|KB|MB|GB|TB|PB|G|K|M)"
+UNIT_AFTER_NUMBER = r"([a-zA-Z]{3,})[^a-zA-Z]*?[0-9]+(?:\.[0-9]+)?\s+(" + UNIT + r")\b"
 
 
 def lint_report(pairs: DataFrame) -> DataFrame:
@@ -63,23 +63,25 @@ def prompt_table(groups: DataFrame, sample_size: int = 5, group_col: str = "even
 
 
 def dynamic_units(lines: DataFrame, group_cols: Sequence[str]) -> DataFrame:
-    """Anchor words whose unit (after a number) changes within a group, over all
-    lines of the group (not a sample).  Returns group cols + anchor, units, dynamic."""
+    """Anchor words whose unit (after a number) changes within a group, over every
+    unit of all lines.  Returns group cols + anchor, units, dynamic."""
     g = list(group_cols)
-    u = lines.select(*g, F.regexp_extract("content", UNIT_AFTER_NUMBER, 1).alias("anchor"),
-                     F.regexp_extract("content", UNIT_AFTER_NUMBER, 2).alias("unit")).filter(F.col("unit") != "")
+    found = lambda k: F.regexp_extract_all("content", F.lit(UNIT_AFTER_NUMBER), k)
+    u = lines.select(*g, F.inline(F.arrays_zip(found(1).alias("anchor"), found(2).alias("unit"))))
     return u.groupBy(*g, "anchor").agg(F.count_distinct("unit").alias("units")) \
         .withColumn("dynamic", F.col("units") > 1)
 
 
 def abstract_dynamic_units(templates: DataFrame, lines: DataFrame, group_cols: Sequence[str],
                            template_col: str = "template") -> DataFrame:
-    """Replace a unit word in a template by ``<*>`` when the unit after the same
-    anchor word changes within the group."""
+    """Replace the unit behind an anchor word in a template by ``<*>``, for those
+    anchors only whose unit changes within the group."""
     g = list(group_cols)
-    dyn = dynamic_units(lines, g).filter("dynamic").groupBy(*g).agg(F.collect_set("anchor").alias("anchors"))
-    t = templates.join(dyn, g, "left")
-    rx = r"((?:[a-zA-Z]{3,})[^a-zA-Z]*?(?:<\*>|\(\.\*\?\)|\d+(?:\.\d+)?)\s+)(B|KB|MB|GB|TB|PB|G|K|M)\b"
-    replaced = F.regexp_replace(F.col(template_col), rx, "$1<*>")
-    return t.withColumn(template_col, F.when(F.size(F.coalesce("anchors", F.array())) > 0, replaced)
-                        .otherwise(F.col(template_col))).drop("anchors")
+    dyn = dynamic_units(lines, g).filter("dynamic").groupBy(*g).agg(F.sort_array(F.collect_set("anchor")).alias("__anchors"))
+    after = r"\b[^a-zA-Z]*?(?:<\*>|\(\.\*\?\)|\d+(?:\.\d+)?)(?:\.\*)?\s+)" + UNIT + r"\b"
+
+    def one(text, anchor):
+        return F.regexp_replace(text, F.concat(F.lit(r"(\b"), anchor, F.lit(after)), F.lit("$1<*>"))
+
+    anchors = F.coalesce("__anchors", F.array().cast("array<string>"))
+    return templates.join(dyn, g, "left").withColumn(template_col, F.aggregate(anchors, F.col(template_col), one)).drop("__anchors")

@@ -19,10 +19,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.functions.matching import (
-    is_simple_template, match_strict_jvm, needs_group_rule, regex_is_valid_udf, segment_strict,
-    strict_match_udf,
-)
+from logweave.functions.matching import match_strict, regex_is_valid_udf
 from logweave.functions.templates import (
     clean_template, regex_word_count, static_token_count,
 )
@@ -52,7 +49,7 @@ def template_pool(proposals: DataFrame, check_col: str | None = None, rank: bool
     p = proposals.withColumn("template_regex", clean_template("template"))
     if check_col:
         checks = p.select("dataset", "template_regex", check_col).distinct()
-        checks = checks.filter(strict_match_udf(F.col(check_col), F.col("template_regex")))
+        checks = checks.filter(match_strict(check_col, "template_regex"))
         p = p.join(checks, ["dataset", "template_regex", check_col], "left_semi")
     first = p.groupBy("dataset", "template_regex").agg(F.min("seq").alias("seq"))
     # (null and empty templates are invalid)
@@ -118,16 +115,7 @@ def match_templates(lines: DataFrame, pool: DataFrame, broadcast_limit: int = MA
         floating = anchors.filter(F.col("anchor").isNull()).drop("anchor")
         pairs = pairs.unionByName(distinct.join(F.broadcast(floating), "dataset"))
     pairs = pairs.filter(F.col("word_count") <= F.col("n_tokens"))
-    # The regex decides in the JVM; where the per-group '=' rule can matter,
-    # literal templates use the segment matcher (exact, JVM) and only other
-    # templates go to the Python UDF.
-    needs = needs_group_rule("content", "template_regex")
-    simple = is_simple_template(F.replace(F.col("template_regex"), F.lit(","), F.lit(""))) \
-        & ~F.col("content").contains("\n")
-    jvm = pairs.filter(~needs).filter(match_strict_jvm("content", "template_regex"))
-    seg = pairs.filter(needs & simple).filter(segment_strict("content", "template_regex"))
-    py = pairs.filter(needs & ~simple).filter(strict_match_udf(F.col("content"), F.col("template_regex")))
-    hits = jvm.unionByName(seg).unionByName(py)
+    hits = pairs.filter(match_strict("content", "template_regex"))
     best = hits.groupBy("dataset", "content").agg(
         F.min_by(F.struct("template_id", "template_regex"),
                  F.struct((-F.col("word_count")).alias("w"), F.col("seq").alias("s"))).alias("m"))

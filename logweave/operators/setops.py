@@ -3,15 +3,12 @@ parameter extraction by template."""
 
 from __future__ import annotations
 
-from functools import lru_cache
 from typing import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
+from logweave.functions.matching import PY_FLAGS
 from logweave.functions.text import tokenize
 
 
@@ -39,46 +36,22 @@ def split_small_groups(rows: DataFrame, group_col: str, min_rows: int = 5) -> tu
     return f.filter(~F.col("small")).drop("small"), f.filter(F.col("small")).drop("small")
 
 
-# A label placeholder is "<" + 1-5 characters + ">"; every
-# character that is not an ASCII letter or digit is escaped; runs of escaped
-# spaces match any whitespace.
-_PLACEHOLDER = r"<.{1,5}>"
+#: Fixed value: a placeholder is one to five characters in angle brackets.
+PLACEHOLDER = "<.{1,5}>"
 
 
-@lru_cache(maxsize=4096)
-def _param_regex(template: str):
-    import regex as rx
-    t = rx.sub(_PLACEHOLDER, "<*>", template)
-    if "<*>" not in t:
-        return None
-    t = rx.sub(r"([^A-Za-z0-9])", r"\\\1", t)
-    t = rx.sub(r"(?:\\ )+", lambda _m: r"\s+", t)
-    t = "^" + t.replace(r"\<\*\>", "(.*?)") + "$"
-    try:
-        return rx.compile(t)
-    except Exception:  # noqa: BLE001
-        return None
-
-
-def parameters_py(content: str | None, template: str | None) -> list[str]:
-    if content is None or template is None:
-        return []
-    pat = _param_regex(template)
-    if pat is None:
-        return []
-    m = pat.findall(content)
-    if not m:
-        return []
-    first = m[0]
-    return list(first) if isinstance(first, tuple) else [first]
-
-
-@pandas_udf(T.ArrayType(T.StringType()))
-def parameters_udf(content: pd.Series, template: pd.Series) -> pd.Series:
-    return pd.Series([parameters_py(c, t) for c, t in zip(content, template)])
+def template_pattern(template) -> F.Column:
+    """The anchored pattern of a template: a lazy group for each placeholder, any
+    white space for spaces, every other piece literal; null without a placeholder."""
+    pieces = F.split(template, PLACEHOLDER, -1)
+    literal = F.transform(pieces, lambda x: F.regexp_replace(F.regexp_replace(x, r"([\p{Punct}\n])", r"\\$1"), " +", r"\\s+"))
+    return F.when(F.size(pieces) > 1, F.concat(F.lit(PY_FLAGS + "^"), F.array_join(literal, "(.*?)"), F.lit("$")))
 
 
 def extract_parameters(df: DataFrame, content_col: str = "content", template_col: str = "template") -> DataFrame:
-    """Parameter values of each line under its ``<*>`` template (Arrow UDF with a
-    compiled-pattern cache; patterns differ per row)."""
-    return df.withColumn("parameters", parameters_udf(F.col(content_col), F.col(template_col)))
+    """Adds ``parameters``: what each placeholder of the line's template stands for; empty if the
+    template has none or does not fit the line."""
+    pattern, content = template_pattern(F.col(template_col)), F.col(content_col)
+    n = F.size(F.split(F.col(template_col), PLACEHOLDER, -1)) - 1
+    values = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.call_function("regexp_extract", content, pattern, i))
+    return df.withColumn("parameters", F.when(F.regexp_like(content, pattern), values).otherwise(F.array().cast("array<string>")))

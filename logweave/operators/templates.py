@@ -8,28 +8,27 @@ from pyspark.sql import functions as F
 from logweave.functions.templates import QUOTED_WILDCARD, _rx, collapse_pass, fix_wildcards
 from logweave.session import cut_lineage
 
-MAX_ROUNDS = 20
 
-
-def collapse_to_fixpoint(templates: DataFrame, col: str = "template", max_rounds: int = MAX_ROUNDS,
-                         unicode: bool = True, checkpoint: bool = True) -> DataFrame:
+def collapse_to_fixpoint(templates: DataFrame, col: str = "template", unicode: bool = True) -> DataFrame:
     """Apply the collapse rules to a template table until no row changes.
 
-    Only distinct templates are processed (a template table is small), each
-    round checks ``exists changed`` with one aggregate, and every rule shortens
-    the text, so the loop ends; ``max_rounds`` bounds it regardless.
+    Only distinct templates are processed, and a round only has those that the
+    last one changed.  Every rule shortens the text, so the rounds end; there is
+    no limit to them.
     """
-    cur = templates.select(col).distinct().withColumn("__cur", F.col(col))
-    for _ in range(max_rounds):
-        nxt = cur.withColumn("__next", collapse_pass("__cur", unicode))
-        if checkpoint:
-            nxt = cut_lineage(nxt)
-        changed = nxt.filter(F.col("__next") != F.col("__cur")).limit(1).count() > 0
-        cur = nxt.select(col, F.col("__next").alias("__cur"))
-        if not changed:
+    moving = templates.select(col).distinct().withColumn("__cur", F.col(col))
+    settled = None
+    while True:
+        step = cut_lineage(moving.withColumn("__next", collapse_pass("__cur", unicode)))
+        same = F.col("__next").eqNullSafe(F.col("__cur"))
+        still = step.filter(same).select(col, "__cur")
+        settled = still if settled is None else settled.unionByName(still)
+        moving = step.filter(~same).select(col, F.col("__next").alias("__cur"))
+        if moving.isEmpty():
             break
-    final = cur.select(col, _rx(F.col("__cur"), QUOTED_WILDCARD[0], QUOTED_WILDCARD[1], unicode).alias("__out"))
-    return templates.join(final, col, "left").withColumn(col, F.col("__out")).drop("__out")
+    final = settled.select(F.col(col).alias("__key"), _rx(F.col("__cur"), QUOTED_WILDCARD[0], QUOTED_WILDCARD[1], unicode).alias("__out"))
+    joined = templates.join(final, templates[col].eqNullSafe(final["__key"]), "left")
+    return joined.withColumn(col, F.col("__out")).drop("__key", "__out")
 
 
 def repair_templates(templates: DataFrame, col: str = "template", **kw) -> DataFrame:

@@ -258,14 +258,19 @@ def q_static_token_count(spark, sf):
                     tf.regex_word_count("template_regex").alias("word_count"))
 
 
-@register("collapse_wildcards", f"""WITH {S.DL},
-m AS (SELECT line_id, regexp_replace(content, '[A-Za-z0-9]+', '<*>', 'g') AS template FROM dl),
-{S.collapse_steps('m', 'template')}
-SELECT line_id, collapsed FROM k_out""")
+#: Words become wildcards but for single letters, so that rules need several rounds.
+_COLLAPSE_MASK = "[A-Za-z0-9]{2,}"
+
+
+@register("collapse_wildcards", f"""WITH RECURSIVE {S.DL},
+m AS (SELECT line_id, regexp_replace(replace(replace(regexp_replace(content, '[^\\x20-\\x7E]', 'x', 'g'), ' ', '-'), '.', '_'), '{_COLLAPSE_MASK}', '<*>', 'g') AS template FROM dl),
+{S.collapsed('m')}
+SELECT line_id, collapsed FROM m JOIN done USING (template)""")
 def q_collapse_wildcards(spark, sf):
-    m = _docs(spark, sf).select("line_id", masking.mask_variables("content", ["[A-Za-z0-9]+"], unicode=False)
-                                .alias("template"))
-    return m.select("line_id", tf.collapse_wildcards("template", passes=4, unicode=False).alias("collapsed"))
+    from logweave.operators.templates import collapse_to_fixpoint
+    text = F.translate(F.regexp_replace("content", r"[^\x20-\x7E]", "x"), " .", "-_")
+    m = _docs(spark, sf).select("line_id", masking.mask_variables(text, [_COLLAPSE_MASK], unicode=False).alias("template"))
+    return collapse_to_fixpoint(m, unicode=False).select("line_id", F.col("template").alias("collapsed"))
 
 
 @register("fix_wildcards")
@@ -322,7 +327,7 @@ FROM er""")
 def q_match_strict(spark, sf):
     e = _event_regex(spark, sf)
     return e.select("line_id", mf.match_strict("content", F.col("own_regex")).alias("m_own"),
-                    mf.match_strict_jvm("content", F.col("click_regex")).alias("m_click"))
+                    mf.match_strict("content", F.col("click_regex")).alias("m_click"))
 
 
 def _proposals(spark, sf):
@@ -973,10 +978,10 @@ def q_sorted_results(spark, sf):
     return ev.repartitionByRange("dataset", "line_id").sortWithinPartitions("dataset", "line_id")
 
 
-@register("collapse_fixpoint", f"""WITH {S.DL},
+@register("collapse_fixpoint", f"""WITH RECURSIVE {S.DL},
 m AS (SELECT DISTINCT regexp_replace(content, '[A-Za-z0-9]+', '<*>', 'g') AS template FROM dl),
-{S.collapse_steps('m', 'template', passes=20)}
-SELECT template, collapsed FROM k_out""")
+{S.collapsed('m')}
+SELECT template, collapsed FROM done""")
 def q_collapse_fixpoint(spark, sf):
     m = _docs(spark, sf).select(masking.mask_variables("content", ["[A-Za-z0-9]+"], unicode=False)
                                 .alias("template")).distinct()
@@ -1009,7 +1014,7 @@ def q_mine_doc_lines_checks(spark, sf):
     whitespace-normalised), whatever the greedy grouping chose."""
     g = mining.mine_templates(_docs(spark, sf), [r"[0-9]+"], depth=3, unicode=False)
     norm = F.array_join(text.tokenize(masking.mask_variables("content", [r"[0-9]+"], unicode=False), False), " ")
-    ok = mf.match_lenient(norm, tf.template_to_regex(F.col("template"), cap=False)) | (norm == F.col("template"))
+    ok = mf.match_lenient(norm, tf.template_to_regex("template")) | (norm == F.col("template"))
     return g.groupBy("dataset").agg(F.count(F.lit(1)).alias("lines"),
                                     F.count_distinct("line_id").alias("distinct_ids"),
                                     F.sum(ok.cast("long")).alias("self_matched"))

@@ -40,7 +40,6 @@ def pattern(col: str) -> str:
 
 PU = """pu AS (SELECT 'pages' AS dataset, CAST(page_id AS BIGINT) AS line_id, url AS content FROM pages)"""
 
-TEN = " ".join(["(.*?)"] * 10)
 ESC_CLASS = r"([()\[\]{}?*+\-|^$\\.&~#\t\n\r\x0B\f])"
 
 
@@ -63,10 +62,7 @@ def to_regex(col: str, full: bool = False) -> str:
     c = f"regexp_replace({col}, '{QUOTED_WILD}', '<*>', 'g')" if full else col
     esc = f"replace({escape(c)}, '<\\*>', '(.*?)')"
     esc = f"regexp_replace({esc}, '(?:\\(\\.\\*\\?\\))+', '(.*?)', 'g')"
-    if not full:
-        return esc
-    esc = f"regexp_replace({esc}, '(?:\\(\\.\\*\\?\\) ){{10,}}', '{TEN}', 'g')"
-    return cap30(esc)
+    return esc
 
 
 def norm_truth(col: str) -> str:
@@ -135,17 +131,18 @@ def word_count(col: str) -> str:
     return f"(length({col}) - length(replace({col}, ' ', '')) + 1)"
 
 
-from logweave.functions.templates import COLLAPSE_RULES as COLLAPSE  # noqa: E402
+#: The collapse rules as the survey words them, stated here anew.
+_PART, _WORD = "[a-zA-Z0-9\\-]+", "[a-zA-Z0-9]+"
+_COLLAPSE = [(f"<\\*>_{_PART}_<\\*>", "<*>"), (f"<\\*>-{_PART}-<\\*>", "<*>"), (f"\\b{_WORD}_<\\*>", "<*>"), (f"\\b{_WORD}-<\\*>", "<*>"),
+             (f"<\\*>_{_WORD}\\b", "<*>"), (f"<\\*>-{_WORD}\\b", "<*>"), ("<\\*>_<\\*>", "<*>"), ("<\\*>\\s*<\\*>", "<*>"), ("<\\*>-<\\*>", "<*>"),
+             ("\\(\\s*<\\*>\\s*\\)\\s*\\(\\s*<\\*>\\s*\\)", "(<*>)"), (f"<\\*>:{_PART}:<\\*>", "<*>")]
 
 
-def collapse_steps(src: str, col: str, passes: int = 4, out: str = "collapsed") -> str:
-    ctes = [f"k0 AS (SELECT *, {col} AS k_x0 FROM {src})"]
-    for i in range(passes):
-        e = f"k_x{i}"
-        for p, r in COLLAPSE:
-            e = f"regexp_replace({e}, '{p}', '{r}', 'g')"
-        ctes.append(f"k{i + 1} AS (SELECT *, {e} AS k_x{i + 1} FROM k{i})")
-    keep = ", ".join(f"k_x{i}" for i in range(passes + 1))
-    ctes.append(f"""k_out AS (SELECT * EXCLUDE ({keep}),
-  regexp_replace(k_x{passes}, '{QUOTED_WILD}', '<*>', 'g') AS {out} FROM k{passes})""")
-    return ",\n".join(ctes)
+def collapsed(src: str) -> str:
+    """Recursive CTE ``done(template, collapsed)`` over the distinct templates of ``src``."""
+    step = "x"
+    for p, r in _COLLAPSE:
+        step = f"regexp_replace({step}, '{p}', '{r}', 'g')"
+    return f"""walk AS (SELECT DISTINCT template, template AS x, 0 AS n FROM {src}
+  UNION ALL SELECT template, {step}, n + 1 FROM walk WHERE {step} <> x),
+done AS (SELECT template, regexp_replace(arg_max(x, n), '{QUOTED_WILD}', '<*>', 'g') AS collapsed FROM walk GROUP BY template)"""

@@ -1,9 +1,8 @@
 """Session helpers.
 
-The library never hard-codes a machine-local scratch folder for a cluster:
-``checkpoint_dir`` reads ``spark.checkpoint.dir`` from the session and only
-falls back to a fresh local temp folder when the setting is absent (local
-tests).
+Intermediate data go to the folder that ``spark.checkpoint.dir`` names.  Without
+the setting only a local master, whose executors are this very process, gets a
+fresh folder; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -40,23 +39,41 @@ def get_session(master: str | None = None, app: str = "logweave",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.sparkContext.master.startswith("local"):
+        ship_package(spark)
     checkpoint_dir(spark)
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster; a temp folder only when unset."""
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) \
+        or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="logweave-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", path)
+    return path
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    path = shared_folder(spark)
     spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for clusters where it is not installed."""
+    import shutil
+
+    import logweave
+    root = os.path.dirname(os.path.dirname(os.path.abspath(logweave.__file__)))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="logweave-src-"), "logweave"), "zip", root, "logweave")
+    spark.sparkContext.addPyFile(archive)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (never localCheckpoint)."""
     checkpoint_dir(df.sparkSession)
