@@ -7,6 +7,8 @@ reads whole tables (or corpora Spark derives from them).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from logweave.functions import masking, text
 from logweave.operators import accuracy as acc
 from logweave.operators import mining
 from logweave.plans import sql as S
+from logweave.session import shared_folder
 from logweave.sources import corpora
 
 QUERIES: dict = {}
@@ -42,9 +45,17 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Sources
 # ---------------------------------------------------------------------------
+def _event_csv(spark, sf) -> str:
+    """The labelled event log as CSV files in the shared folder."""
+    path = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    corpora.event_labels(spark, sf).select(F.col("line_id").alias("LineId"), F.col("content").alias("Content"), F.col("event_template").alias("EventTemplate")) \
+        .write.option("header", True).option("escape", '"').csv(path)
+    return path
+
+
 @register("read_logs", f"WITH {S.EV} SELECT dataset, line_id, content FROM ev")
 def q_read_logs(spark, sf):
-    return _events(spark, sf).select("dataset", "line_id", "content")
+    return lg.read_logs(spark, _event_csv(spark, sf), "events")
 
 
 @register("doc_lines", f"WITH {S.DL} SELECT dataset, line_id, content FROM dl")
@@ -577,6 +588,21 @@ def q_parse_raw_logs(spark, sf):
     return parsed
 
 
+@register("parse_linux_logs", f"""WITH {S.EV}
+SELECT 'Linux' AS dataset, row_number() OVER (ORDER BY line_id) AS line_id, 'Jun' AS Month, CAST(1 + line_id % 28 AS VARCHAR) AS "Date", '10:00:00' AS "Time",
+       'combo' AS Level, event_type AS Component, CASE WHEN line_id % 3 = 0 THEN '' ELSE CAST(user_id AS VARCHAR) END AS PID, content FROM ev""")
+def q_parse_linux_logs(spark, sf):
+    """Event lines in the format with an optional ``[PID]``, written as text files and parsed from them."""
+    from logweave.sources.profiles import PROFILES
+    ev = _events(spark, sf)
+    pid = F.when(F.col("line_id") % 3 == 0, "").otherwise(F.concat(F.lit("["), F.col("user_id").cast("string"), F.lit("]")))
+    line = F.concat(F.lit("Jun "), (F.col("line_id") % 28 + 1).cast("string"), F.lit(" 10:00:00 combo "), "event_type", pid, F.lit(": "), "content")
+    path = f"{shared_folder(spark)}/raw-{uuid.uuid4().hex}"
+    ev.select("line_id", line.alias("value")).repartitionByRange("line_id").sortWithinPartitions("line_id").select("value").write.text(path)
+    log_format = next(f for d, f, *_ in PROFILES if d == "Linux")
+    return lg.parse_raw_logs(spark, path, log_format, "Linux")[0]
+
+
 @register("raw_rejects", f"""WITH {_RAW_SQL}
 SELECT line_id, line FROM raw WHERE NOT regexp_full_match(line, '{_RAW_RX}')""")
 def q_raw_rejects(spark, sf):
@@ -605,7 +631,7 @@ def q_line_window(spark, sf):
 
 @register("read_labels", f"WITH {S.EV} SELECT dataset, line_id, content, event_template FROM ev")
 def q_read_labels(spark, sf):
-    return corpora.event_labels(spark, sf)
+    return lg.read_labels(spark, _event_csv(spark, sf), "events")
 
 
 @register("valid_results", f"""WITH {S.EV},

@@ -17,69 +17,101 @@ LOG_SCHEMA = T.StructType([
 ])
 
 
+def _csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with a header, quotes doubled, and quoted values that may span lines (such files are not split)."""
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+
+
 def read_logs(spark: SparkSession, path: str, dataset: str, fmt: str = "csv",
               content_col: str = "Content", id_col: str | None = "LineId") -> DataFrame:
     """Read a structured log table; only the id and content columns are scanned.
 
-    Without an id column, dense 1-based ids follow the input order.
+    Without an id column, dense 1-based ids follow the files in order of their paths.
     """
-    if fmt == "csv":
-        reader = spark.read.option("header", True).option("escape", '"').option("multiLine", False)
-        df = reader.csv(path)
-    else:
-        df = spark.read.format(fmt).load(path)
+    df = _csv(spark, path) if fmt == "csv" else spark.read.format(fmt).load(path)
+    content = F.col(content_col).cast("string").alias("content")
     if id_col and id_col in df.columns:
-        out = df.select(F.expr(f"try_cast(`{id_col}` as long)").alias("line_id"),
-                        F.col(content_col).cast("string").alias("content"))
+        out = df.select(F.expr(f"try_cast(`{id_col}` as long)").alias("line_id"), content)
     else:
-        out = dense_line_ids(df.select(F.col(content_col).cast("string").alias("content")), start=1)
+        out = file_line_ids(df.select(content, *file_position()), start=1)
     return out.select(F.lit(dataset).alias("dataset"), "line_id", "content")
 
 
-def logformat_to_regex(log_format: str) -> tuple[str, list[str]]:
-    """Compile ``<Field>`` format to an anchored regex and its field names.
+#: Java flags under which ``.`` ends at a newline only and classes are those of Unicode.
+FLAGS = "(?dU)"
+
+
+def _opened(text: str) -> int:
+    """Capturing groups that a piece of regex opens."""
+    bare = re.sub(r"\\.|\[[^\]]*\]", "", text)
+    return len(re.findall(r"\((?!\?)|\(\?P?<(?![=!])", bare))
+
+
+def logformat_to_regex(log_format: str) -> tuple[str, dict[str, int]]:
+    """An anchored regex for a ``<Field>`` format, and each field's group number.
 
-    Text outside ``<..>`` is regex; runs of spaces become ``\\s+``; each field is
-    a lazy group.
+    Text outside ``<..>`` is regex and may hold groups of its own, which count;
+    runs of spaces become ``\\s+``; each field is a lazy group.
     """
-    headers: list[str] = []
-    parts = re.split(r"(<[^<>]+>)", log_format)
-    out = []
-    for i, part in enumerate(parts):
-        if i % 2 == 0:
-            out.append(re.sub(" +", lambda _m: r"\s+", part))
-        else:
-            headers.append(part.strip("<").strip(">"))
-            out.append("(.*?)")
-    return "^" + "".join(out) + "$", headers
+    pattern, fields, groups = "^", {}, 0
+    pieces = re.split("<([^<>]+)>", log_format)  # literal text and field names in turn
+    for literal, field in zip(pieces[::2], [*pieces[1::2], None]):
+        pattern += re.sub(" +", lambda _: r"\s+", literal)
+        groups += _opened(literal)
+        if field:
+            pattern += "(.*?)"
+            groups += 1
+            fields[field] = groups
+    return pattern + "$", fields
 
 
 def parse_raw_logs(spark: SparkSession, path: str, log_format: str, dataset: str,
                    dense: bool = False) -> tuple[DataFrame, DataFrame]:
     """Parse raw log text files into one STRING column per format field.
 
-    Returns ``(parsed, rejected)``; ``line_id`` is the 1-based file line number
-    (``dense=True`` numbers matched lines 1..n instead, as the reference does).
+    Returns ``(parsed, rejected)``; ``line_id`` is the 1-based line number, counted on
+    through the files in order of their paths (``dense=True`` numbers matched lines
+    1..n instead, as the reference does).
     """
-    raw = dense_line_ids(spark.read.text(path), start=1)
-    return parse_raw_lines(raw.withColumnRenamed("value", "line"), log_format, dataset, dense)
+    raw = file_line_ids(spark.read.text(path).select(F.col("value").alias("line"), *file_position()), start=1)
+    return parse_raw_lines(raw, log_format, dataset, dense)
 
 
 def parse_raw_lines(raw: DataFrame, log_format: str, dataset: str, dense: bool = False,
                     line_col: str = "line") -> tuple[DataFrame, DataFrame]:
     """Parse a DataFrame of raw lines (``line_id``, ``line``) with a ``<Field>`` format."""
-    pattern, headers = logformat_to_regex(log_format)
+    pattern, fields = logformat_to_regex(log_format)
+    pattern = FLAGS + pattern
     stripped = raw.select("line_id", F.regexp_replace(F.col(line_col), r"(?U)^\s+|\s+$", "").alias("line"))
-    ok = F.col("line").rlike(pattern)
-    fields = [F.regexp_extract("line", pattern, i + 1).alias(h) for i, h in enumerate(headers)]
-    parsed = stripped.filter(ok).select(F.lit(dataset).alias("dataset"), "line_id", *fields)
+    ok = F.coalesce(F.col("line").rlike(pattern), F.lit(False))
+    columns = [F.regexp_extract("line", pattern, group).alias(name) for name, group in fields.items()]
+    parsed = stripped.filter(ok).select(F.lit(dataset).alias("dataset"), "line_id", *columns)
     if dense:
-        parsed = dense_line_ids(parsed.drop("line_id"), start=1, order_col=None).select(
-            "dataset", "line_id", *headers)
-    if "Content" in headers:
+        parsed = dense_line_ids(parsed, start=1, order_col="line_id", id_col="__dense") \
+            .withColumn("line_id", F.col("__dense")).select("dataset", "line_id", *fields)
+    if "Content" in fields:
         parsed = parsed.withColumnRenamed("Content", "content")
-    rejected = stripped.filter(~ok | F.col("line").isNull())
-    return parsed, rejected
+    return parsed, stripped.filter(~ok)
+
+
+def file_position() -> list:
+    """Columns that say where a scanned row lies: its file, the block of it that was read, and the row's place in the task."""
+    return [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row_place")]
+
+
+def file_line_ids(scan: DataFrame, start: int = 1, id_col: str = "line_id") -> DataFrame:
+    """Dense ids in the order of the files' paths and of the lines in them.
+
+    ``scan`` is a file scan with ``file_position()``.  A block's rows are read in
+    order by one task, so the rows before a row are those of earlier blocks, one
+    count a block, and those before it in its own.
+    """
+    block = ["file_path", "file_block_start"]
+    sizes = scan.groupBy(*block).agg(F.count(F.lit(1)).alias("__n"), F.min("row_place").alias("__first"))
+    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    offsets = sizes.select(*block, "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    place = F.col("__before") + F.col("row_place") - F.col("__first") + start
+    return scan.join(offsets, block).withColumn(id_col, place.cast("long")).drop(*block, "row_place", "__first", "__before")
 
 
 def dense_line_ids(df: DataFrame, start: int = 1, order_col: str | None = None,
@@ -124,10 +156,7 @@ def line_window(df: DataFrame, start_line_percent: float = 0, first_lines_percen
 def read_labels(spark: SparkSession, path: str, dataset: str, fmt: str = "csv",
                 columns: Sequence[str] = ("LineId", "Content", "EventTemplate")) -> DataFrame:
     """Labelled logs with only the needed columns (pruned at the scan)."""
-    if fmt == "csv":
-        df = spark.read.option("header", True).option("escape", '"').csv(path)
-    else:
-        df = spark.read.format(fmt).load(path)
+    df = _csv(spark, path) if fmt == "csv" else spark.read.format(fmt).load(path)
     id_c, content_c, tpl_c = columns
     return df.select(F.lit(dataset).alias("dataset"),
                      F.expr(f"try_cast(`{id_c}` as long)").alias("line_id"),

@@ -12,7 +12,9 @@ def _plan(df) -> str:
 
 
 def test_event_scan_reads_only_needed_columns(spark):
-    plan = _plan(C.QUERIES["read_logs"](spark, SF))
+    csv = _plan(C.QUERIES["read_logs"](spark, SF))
+    assert "struct<LineId:string,Content:string>" in csv  # the label column is never read
+    plan = _plan(C._events(spark, SF).select("dataset", "line_id", "content"))
     assert "ts:" not in plan  # the timestamp column is never read
     assert "event_id" in plan
 

@@ -1,3 +1,5 @@
+import re
+
 import pyspark.sql.functions as F
 
 from logweave.operators import mining, sampling as smp, verify as vf
@@ -7,8 +9,10 @@ from tests.conftest import SF
 
 def test_logformat_regex():
     rx, headers = lg.logformat_to_regex(r"<Date> <Time>  <Level> \[<Comp>\]: <Content>")
-    assert headers == ["Date", "Time", "Level", "Comp", "Content"]
+    assert headers == {"Date": 1, "Time": 2, "Level": 3, "Comp": 4, "Content": 5}
     assert rx == r"^(.*?)\s+(.*?)\s+(.*?)\s+\[(.*?)\]:\s+(.*?)$"
+    _, headers = lg.logformat_to_regex(r"<A>(\[<PID>\])?(?: \((<User>)\))?: [(]<Content>")
+    assert headers == {"A": 1, "PID": 3, "User": 5, "Content": 6}
 
 
 def test_parse_raw_logs_file(spark, tmp_path):
@@ -111,3 +115,63 @@ def test_split_unit_rule(spark):
     assert {r for r, _ in out.values()} == {"d"}
     assert out[0][1] == "flush" and out[2][1] == "drop"
     assert out[4][1] == "queue_len_5"
+
+
+def render(log_format, optional):
+    """A line of the format and its fields; optional groups are kept or left out."""
+    text = re.sub(r"\(([^()]*(?:\\[()][^()]*)*)\)\?", r"\1" if optional else "", log_format)
+    names = re.findall("<([^<>]+)>", text)
+    values = {n: f"v{i}" for i, n in enumerate(names)}
+    line = re.sub("<([^<>]+)>", lambda m: values[m[1]], text)
+    return re.sub(r"\\(.)", r"\1", line), values
+
+
+def test_every_profile_parses_its_own_lines(spark):
+    from logweave.sources.profiles import PROFILES
+    for dataset, log_format, *_ in PROFILES:
+        lines = [render(log_format, o) for o in (True, False)]
+        raw = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(lines)], "line_id long, line string")
+        parsed, rejected = lg.parse_raw_lines(raw, log_format, dataset)
+        rows = {r["line_id"]: r.asDict() for r in parsed.collect()}
+        assert rejected.count() == 0, dataset
+        for i, (_, values) in enumerate(lines):
+            got = {k: rows[i]["content" if k == "Content" else k] for k in values}
+            assert got == values, (dataset, lines[i][0])
+
+
+def test_dots_and_spaces_of_formats(spark):
+    raw = spark.createDataFrame([(1, "a\u00a0b\u2028c"), (2, None), (3, "")], "line_id long, line string")
+    parsed, rejected = lg.parse_raw_lines(raw, r"<A>\s<Content>", "d")
+    assert [(r["A"], r["content"]) for r in parsed.collect()] == [("a", "b\u2028c")]
+    assert {r["line_id"] for r in rejected.collect()} == {2, 3}
+
+
+def test_ids_follow_the_files(spark, tmp_path):
+    (tmp_path / "a.log").write_text("x first\n")
+    (tmp_path / "b.log").write_text("".join(f"x second{i}\n" for i in range(5)))
+    (tmp_path / "c.log").write_text("".join(f"x third{i}\n" for i in range(4000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        parsed, _ = lg.parse_raw_logs(spark, str(tmp_path), "<A> <Content>", "d")
+        got = [r["content"] for r in parsed.orderBy("line_id").collect()]
+        ids = sorted(r["line_id"] for r in parsed.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == ["first"] + [f"second{i}" for i in range(5)] + [f"third{i}" for i in range(4000)]
+    assert ids == list(range(1, 4007))
+
+
+def test_csv_with_line_breaks(spark, tmp_path):
+    (tmp_path / "l.csv").write_text('LineId,Content,EventTemplate\n1,"a ""b""\nc",<*>\n2,d,d\n')
+    got = [tuple(r) for r in lg.read_logs(spark, str(tmp_path), "d").orderBy("line_id").collect()]
+    assert got == [("d", 1, 'a "b"\nc'), ("d", 2, "d")]
+    assert [r["content"] for r in lg.read_logs(spark, str(tmp_path), "d", id_col=None).orderBy("line_id").collect()] == ['a "b"\nc', "d"]
+    assert [r["event_template"] for r in lg.read_labels(spark, str(tmp_path), "d").orderBy("line_id").collect()] == ["<*>", "d"]
+
+
+def test_results_are_written_and_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([("d", "2", "b"), ("d", "x", "bad"), ("e", "1", "a")], "dataset string, line_id string, content string")
+    for fmt in ("parquet", "csv"):
+        sinks.write_results(rows, str(tmp_path / fmt), fmt)
+        back = spark.read.option("header", True).format(fmt).load(str(tmp_path / fmt))
+        assert sorted((r["dataset"], int(r["line_id"]), r["content"]) for r in back.collect()) == [("d", 2, "b"), ("e", 1, "a")]
