@@ -9,25 +9,21 @@ Plan (all JVM until step 3):
    over **patterns only**, in first-occurrence order: prefix routing on the
    first ``depth-1`` tokens, best template by similarity (ties: more
    wildcards, then the older cluster), merge when similarity >= ``st``;
-5. a group with more than ``max_patterns`` patterns is hash-split into
-   buckets, each bucket is clustered, and the bucket templates are clustered
-   again per ``(dataset, n)`` (a declared deviation that bounds task memory);
-6. the template goes back onto every line by an equi-join on the pattern;
+   branches of the tree that provably never meet (by the tokens themselves, at
+   every size) are dealt to different tasks;
+5. the template goes back onto every line by an equi-join on the pattern;
    the event id is the 8-hex md5 prefix of the template, grouping is by the
    full template text.
-
-``exact=True`` skips step 2 and replays lines in ``line_id`` order.
 """
 
 from __future__ import annotations
 
-import math
 from typing import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions.masking import mask_variables
@@ -226,78 +222,52 @@ def _cluster_groups(rows: DataFrame, keys: list[str], depth: int, st: float, max
     return rows.groupBy(*keys).applyInPandas(fn, schema)
 
 
-def _bucket_column(oversized: dict, max_patterns: int) -> tuple[Column, Column]:
-    """``n_buckets`` and ``bucket`` columns from the driver-side size table.
+def _subtrees(patterns: DataFrame, levels: int, max_child: int) -> DataFrame:
+    """Adds ``subtree``: the leading tokens up to which a pattern's branch of the prefix
+    tree stands apart from all others, whatever else arrives.
 
-    ``oversized`` maps ``(dataset, n_tokens)`` to its row count for the groups
-    above ``max_patterns`` only, so the expression stays small.
+    At a level where no token of a branch holds a digit or is a wildcard and
+    fewer than ``max_child`` tokens occur, every token gets its own child, so the
+    children never meet.  Below the first level where that fails nothing is parted.
     """
-    if not oversized:
-        return F.lit(1).cast("long"), F.lit(0).cast("long")
-    nb = F.lit(1).cast("long")
-    for (ds, n), rows in oversized.items():
-        k = int(math.ceil(rows / max_patterns))
-        nb = F.when((F.col("dataset") == F.lit(ds)) & (F.col("n_tokens") == F.lit(n)), F.lit(k).cast("long")) \
-            .otherwise(nb)
-    return nb, F.when(nb > 1, F.pmod(F.xxhash64("key"), nb)).otherwise(F.lit(0).cast("long"))
-
+    token = lambda i: F.get(F.split("pattern", " "), F.lit(i))
+    out = patterns.withColumn("subtree", F.lit("")).withColumn("__open", F.lit(True))
+    for i in range(levels):
+        keys = ["dataset", "n_tokens", "subtree"]
+        free = out.filter("__open").groupBy(*keys).agg(
+            F.max(token(i).rlike(r"\p{N}") | (token(i) == WILD)).alias("__mixed"), F.count_distinct(token(i)).alias("__kids")) \
+            .filter(~F.col("__mixed") & (F.col("__kids") < max_child)).select(*keys, F.lit(True).alias("__parts"))
+        out = out.join(free, keys, "left").withColumn("__open", F.col("__open") & F.coalesce("__parts", F.lit(False))) \
+            .withColumn("subtree", F.when(F.col("__open"), F.concat_ws(" ", "subtree", token(i))).otherwise(F.col("subtree"))).drop("__parts")
+    return out.drop("__open")
 
-def _oversized(rows: DataFrame, max_patterns: int, sizes: list | None = None) -> dict:
-    """Groups above ``max_patterns`` rows (one small driver-side aggregate)."""
-    if sizes is None:
-        sizes = _size_table(rows)
-    return {(r[0], r[1]): r[2] for r in sizes if r[2] > max_patterns}
 
+def _mapping_bytes(rows: DataFrame) -> int:
+    """Bytes of a pattern -> template mapping: both texts and a row's overhead."""
+    r = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("pattern"))).first()
+    return 2 * int(r[1] or 0) + 64 * int(r[0])
 
-def _size_table(rows: DataFrame) -> list:
-    """``(dataset, n_tokens, rows, text bytes)`` per length: one row per distinct
-    token count, so it is small whatever the data size."""
-    t = rows.groupBy("dataset", "n_tokens").agg(F.count(F.lit(1)).alias("c"),
-                                                F.sum(F.length("pattern")).alias("b")).collect()
-    return [(r["dataset"], int(r["n_tokens"]), int(r["c"]), int(r["b"] or 0)) for r in t]
 
-
-# Broadcast the pattern -> template mapping when its estimated size is below
-# this many bytes (pattern + template text and a row overhead per pattern).
+# Broadcast the pattern -> template mapping when it is below this many bytes.
 BROADCAST_MAPPING_BYTES = 256 * 1024 * 1024
 
 
-def cluster_patterns(patterns: DataFrame, depth: int = 4, st: float = 0.5, max_child: int = 100,
-                     max_patterns: int = 20000, sizes: list | None = None) -> DataFrame:
+def cluster_patterns(patterns: DataFrame, depth: int = 4, st: float = 0.5, max_child: int = 100) -> DataFrame:
     """Cluster rows ``dataset, key, pattern, n_tokens, first_id``; returns ``dataset, key, template``.
 
-    Rows shorter than ``depth`` tokens keep their own pattern as template.
-    Groups of one length above ``max_patterns`` rows are hash-split into
-    buckets, clustered per bucket, and the bucket templates clustered again
-    per length (only then is a second level planned).  ``patterns`` should be
-    persisted by the caller: it is read for the size check and the clustering.
+    Rows shorter than ``depth`` tokens keep their own pattern as template.  The
+    others are dealt by branches of the prefix tree that stand apart, so that the
+    templates are those of one tree per length at every size.
     """
     short = patterns.filter(F.col("n_tokens") < depth).select(
         "dataset", "key", F.col("pattern").alias("template"))
-    long = patterns.filter(F.col("n_tokens") >= depth)
-    big = _oversized(long, max_patterns, [r for r in sizes if r[1] >= depth] if sizes is not None else None)
-    nb, bucket = _bucket_column(big, max_patterns)
-    long = long.withColumn("n_buckets", nb).withColumn("bucket", bucket)
-    lvl1 = _cluster_groups(long.select("dataset", "n_tokens", "n_buckets", "bucket", "key", "first_id", "pattern"),
-                           ["dataset", "n_tokens", "n_buckets", "bucket"], depth, st, max_child)
-    if not big:
-        return short.unionByName(lvl1.select("dataset", "key", "template"))
-    lvl1 = lvl1.persist(StorageLevel.MEMORY_AND_DISK)
-    whole = lvl1.filter(F.col("n_buckets") <= 1).select("dataset", "key", "template")
-    split = lvl1.filter(F.col("n_buckets") > 1)
-    # Split groups: cluster the bucket templates once more per (dataset, n).
-    reps = split.groupBy("dataset", "n_tokens", "template").agg(F.min("first_id").alias("first_id")) \
-        .select("dataset", "n_tokens", F.col("template").alias("key"), "first_id",
-                F.col("template").alias("pattern"))
-    big2 = _oversized(reps, max_patterns)
-    nb2, bucket2 = _bucket_column(big2, max_patterns)
-    reps = reps.withColumn("n_buckets", nb2).withColumn("bucket", bucket2)
-    lvl2 = _cluster_groups(reps.select("dataset", "n_tokens", "n_buckets", "bucket", "key", "first_id", "pattern"),
-                           ["dataset", "n_tokens", "n_buckets", "bucket"], depth, st, max_child) \
-        .select("dataset", F.col("key").alias("template"), F.col("template").alias("template2"))
-    merged = split.join(lvl2, ["dataset", "template"]).select(
-        "dataset", "key", F.col("template2").alias("template"))
-    return short.unionByName(whole).unionByName(merged)
+    long = _subtrees(patterns.filter(F.col("n_tokens") >= depth), max(depth - 1, 0), max_child)
+    parts = int(patterns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Several branches may share a task: they do not meet in its tree either.
+    long = long.withColumn("part", F.pmod(F.xxhash64("subtree"), F.lit(parts)))
+    done = _cluster_groups(long.select("dataset", "n_tokens", "part", "key", "first_id", "pattern"),
+                           ["dataset", "n_tokens", "part"], depth, st, max_child)
+    return short.unionByName(done.select("dataset", "key", "template"))
 
 
 def event_id(template) -> Column:
@@ -306,37 +276,23 @@ def event_id(template) -> Column:
 
 
 def mine_templates(lines: DataFrame, masks: Sequence[str], depth: int = 4, st: float = 0.5,
-                   max_child: int = 100, max_patterns: int = 20000, unicode: bool = True,
-                   exact: bool = False) -> DataFrame:
+                   max_child: int = 100, unicode: bool = True) -> DataFrame:
     """Mine templates for ``dataset, line_id, content`` lines.
 
     Returns ``dataset, line_id, content, template, event_id``; a null line keeps
-    a null template.  The distinct-pattern table is persisted (it is read by
-    the size check and by the clustering); lines are read again for the final
-    join on the pattern.
+    a null template.  Patterns are distinct ones in the order of their first line; the
+    lines are read again for the final join on the pattern.
     """
     m = masked_tokens(lines, masks, unicode)
-    valid = m.filter(F.col("content").isNotNull())
-    if exact:
-        rows = valid.select("dataset", F.col("line_id").cast("string").alias("key"), "pattern", "n_tokens",
-                            F.col("line_id").alias("first_id"))
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-        mapping = cluster_patterns(rows, depth, st, max_child, max_patterns)
-        out = m.withColumn("key", F.col("line_id").cast("string")) \
-            .join(mapping, ["dataset", "key"], "left").select("dataset", "line_id", "content", "template")
-    else:
-        pats = valid.groupBy("dataset", "pattern").agg(
-            F.first("n_tokens").alias("n_tokens"), F.min("line_id").alias("first_id"))
-        rows = pats.select("dataset", F.col("pattern").alias("key"), "pattern", "n_tokens", "first_id") \
-            .persist(StorageLevel.MEMORY_AND_DISK)
-        sizes = _size_table(rows)
-        mapping = cluster_patterns(rows, depth, st, max_child, max_patterns, sizes) \
-            .withColumnRenamed("key", "pattern")
-        est = sum(2 * b + 64 * c for _, _, c, b in sizes)
-        if est <= BROADCAST_MAPPING_BYTES:
-            # Size checked above: the line side is not shuffled at all.
-            mapping = F.broadcast(mapping)
-        out = m.join(mapping, ["dataset", "pattern"], "left").select("dataset", "line_id", "content", "template")
+    rows = m.filter(F.col("content").isNotNull()).groupBy("dataset", "pattern").agg(
+        F.first("n_tokens").alias("n_tokens"), F.min("line_id").alias("first_id"))
+    rows = rows.select("dataset", F.col("pattern").alias("key"), "pattern", "n_tokens", "first_id") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    mapping = cluster_patterns(rows, depth, st, max_child).withColumnRenamed("key", "pattern")
+    if _mapping_bytes(rows) <= BROADCAST_MAPPING_BYTES:
+        # Size checked above: the line side is not shuffled at all.
+        mapping = F.broadcast(mapping)
+    out = m.join(mapping, ["dataset", "pattern"], "left").select("dataset", "line_id", "content", "template")
     return out.withColumn("template", F.when(F.col("content").isNull(), F.lit(None)).otherwise(F.col("template"))) \
         .withColumn("event_id", F.when(F.col("template").isNotNull(), event_id("template")))
 
@@ -385,41 +341,26 @@ def event_counts(groups: DataFrame) -> DataFrame:
 
 
 def assign_clusters(lines: DataFrame, clusters: DataFrame, masks: Sequence[str], st: float = 0.5,
-                    unicode: bool = True, max_templates_per_length: int = 20000) -> DataFrame:
+                    unicode: bool = True) -> DataFrame:
     """Assign new lines to an existing cluster table by best similarity >= ``st``.
 
-    ``clusters``: ``dataset, template``.  Templates are packed into one array per
-    ``(dataset, n_tokens)`` (size checked), joined to the lines of that length and
-    scanned with a higher-order ``aggregate`` inside each row, so no
-    line x template pairs are materialised and nothing is shuffled on the line side.
-    Ties: higher similarity, then more wildcards, then the smaller template text.
+    ``clusters``: ``dataset, template``.  Similarity is the share of positions where line
+    and template hold the same constant, so only templates that share a constant
+    at a position with a pattern can count.  Distinct patterns and templates meet in an
+    equi-join on (dataset, length, position, token), are counted map-side per pair, and the
+    best pair per pattern is kept.  A line of no tokens or with no such
+    template gets null.  Ties: higher similarity, then more wildcards, then the
+    smaller template text.
     """
-    m = masked_tokens(lines, masks, unicode).withColumn("toks", F.split("pattern", " "))
-    c = clusters.select("dataset", "template", F.split("template", " ").alias("ttoks")) \
-        .withColumn("n_tokens", F.size("ttoks"))
-    packed = c.groupBy("dataset", "n_tokens").agg(
-        F.count(F.lit(1)).alias("k"),
-        F.array_sort(F.collect_list(F.struct("template", "ttoks"))).alias("cands"))
-    biggest = packed.agg(F.max("k")).first()[0] or 0
-    if biggest > max_templates_per_length:
-        raise ValueError(f"{biggest} templates of one length exceed {max_templates_per_length}")
-    j = m.join(packed.drop("k"), ["dataset", "n_tokens"], "left")
-
-    def score(cand):
-        same = F.aggregate(F.zip_with(cand["ttoks"], F.col("toks"),
-                                      lambda a, b: F.when((a != F.lit(WILD)) & (a == b), 1).otherwise(0)),
-                           F.lit(0), lambda acc, x: acc + x)
-        wild = F.size(F.filter(cand["ttoks"], lambda a: a == F.lit(WILD)))
-        return F.struct(same.alias("same"), wild.alias("wild"), cand["template"].alias("template"))
-
-    scored = F.transform(F.coalesce(F.col("cands"), F.array().cast("array<struct<template:string,ttoks:array<string>>>")),
-                         score)
-    best = F.aggregate(scored, F.lit(None).cast("struct<same:int,wild:int,template:string>"),
-                       lambda acc, s: F.when(acc.isNull() | (s["same"] > acc["same"])
-                                             | ((s["same"] == acc["same"]) & (s["wild"] > acc["wild"])), s)
-                       .otherwise(acc))
-    out = j.withColumn("best", best)
-    ok = (F.col("best.same") / F.col("n_tokens")) >= F.lit(st)
-    return out.select("dataset", "line_id", "content",
-                      F.when(ok, F.col("best.template")).alias("template"),
-                      F.when(ok, F.col("best.same") / F.col("n_tokens")).alias("similarity"))
+    m = masked_tokens(lines, masks, unicode)
+    patterns = m.filter(F.col("pattern") != "").select("dataset", "n_tokens", "pattern").distinct()
+    known = clusters.select("dataset", "template").distinct().withColumn("toks", F.split("template", " ")) \
+        .withColumn("n_tokens", F.size("toks"))
+    wild = F.size(F.filter("toks", lambda t: t == WILD))
+    spots = known.select("dataset", "n_tokens", "template", wild.alias("wild"), F.posexplode("toks").alias("pos", "tok")).filter(F.col("tok") != WILD)
+    seen = patterns.select("dataset", "n_tokens", "pattern", F.posexplode(F.split("pattern", " ")).alias("pos", "tok"))
+    pairs = seen.join(spots, ["dataset", "n_tokens", "pos", "tok"]).groupBy("dataset", "n_tokens", "pattern", "template", "wild").agg(F.count(F.lit(1)).alias("same"))
+    best = pairs.filter(F.col("same") / F.col("n_tokens") >= st).groupBy("dataset", "pattern").agg(
+        F.min_by(F.struct("template", (F.col("same") / F.col("n_tokens")).alias("similarity")),
+                 F.struct((-F.col("same")).alias("a"), (-F.col("wild")).alias("b"), F.col("template").alias("c"))).alias("best"))
+    return m.join(best, ["dataset", "pattern"], "left").select("dataset", "line_id", "content", F.col("best.template").alias("template"), F.col("best.similarity").alias("similarity"))

@@ -118,13 +118,6 @@ def q_mine_doc_lines(spark, sf):
         .select("dataset", "line_id", "template", "event_id")
 
 
-@register("mine_exact_events", f"""WITH {S.EV}
-SELECT dataset, line_id, event_template AS template FROM ev""")
-def q_mine_exact_events(spark, sf):
-    return mining.mine_templates(_events(spark, sf), EVENT_MASKS, depth=4, exact=True) \
-        .select("dataset", "line_id", "template")
-
-
 @register("event_counts", f"""WITH {S.EV}
 SELECT dataset, substr(md5(event_template), 1, 8) AS event_id, event_template AS template, count(*) AS occurrences
 FROM ev GROUP BY dataset, event_template""")

@@ -68,23 +68,27 @@ def test_event_ids_are_md5_prefix(spark):
         assert r["event_id"] == event_id(r["template"])
 
 
-def test_order_dependence_collapsed_vs_exact(spark):
+def test_patterns_are_taken_in_order_of_their_first_line(spark):
     texts = ["a b b a", "a c b b", "c b b a", "a b b a"]
     collapsed = _groups(mining.mine_templates(_lines(spark, texts), [], depth=1, st=0.5))
     assert collapsed == {"a <*> b <*>": {1, 2, 4}, "c b b a": {3}}
-    exact = _groups(mining.mine_templates(_lines(spark, texts), [], depth=1, st=0.5, exact=True))
-    assert exact == {"a <*> b <*>": {1, 2}, "<*> b b a": {3, 4}}
 
 
-@pytest.mark.parametrize("depth", [1, 2, 3])
-def test_exact_mode_equals_line_by_line_model(spark, depth):
+@pytest.mark.parametrize("depth,max_child", [(1, 100), (2, 3), (3, 3), (4, 100), (4, 4)])
+@pytest.mark.parametrize("parts", ["1", "200"])
+def test_thousands_of_patterns_give_the_templates_of_one_tree(spark, depth, max_child, parts):
+    """Branches dealt to many tasks give what the plain model gives, at any number of partitions."""
     rnd = random.Random(depth)
-    words = ["a", "b", "c", "x1", "y", "<*>"]
-    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 6))) for _ in range(120)]
-    model = mine(texts, [], depth=depth, st=0.5, max_child=3)
-    got = {r["line_id"]: r["template"] for r in
-           mining.mine_templates(_lines(spark, texts), [], depth=depth, st=0.5, max_child=3, exact=True).collect()}
-    assert got == {i + 1: t for i, t in model.items()}
+    heads, others = ["get", "put", "drop", "x1", "scan"], ["key", "val", "row", "7", "end", "<*>", "cell"]
+    texts = list(dict.fromkeys(" ".join([rnd.choice(heads[:2] if i % 2 else heads), rnd.choice(others[:3]), *(rnd.choice(others) + rnd.choice("abcd") for _ in range(3))])
+                               for i in range(2500)))
+    model = mine(texts, [], depth=depth, st=0.5, max_child=max_child)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {r["line_id"]: r["template"] for r in mining.mine_templates(_lines(spark, texts), [], depth=depth, st=0.5, max_child=max_child).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(texts) > 1500 and got == {i + 1: t for i, t in model.items()}
 
 
 def test_collapsed_mode_equals_model_on_first_occurrences(spark):
@@ -114,11 +118,22 @@ def test_partition_count_does_not_change_result(spark):
     assert a == b
 
 
-def test_bucketed_groups_stay_whole(spark):
-    texts = [f"svc{i % 7} request {i} done" for i in range(300)]
-    df = mining.mine_templates(_lines(spark, texts), [r"[0-9]+"], depth=1, max_patterns=2)
-    assert df.count() == 300
-    assert df.filter(F.col("template").isNull()).count() == 0
+def test_assignment_equals_comparing_with_every_template(spark):
+    rnd = random.Random(9)
+    templates = list({" ".join(rnd.choice(["a", "b", "c", "<*>"]) for _ in range(rnd.randint(1, 4))) for _ in range(40)})
+    texts = [" ".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 4))) for _ in range(120)]
+    clusters = spark.createDataFrame([("t", t) for t in templates], "dataset string, template string")
+    lines = spark.createDataFrame([("t", i, x) for i, x in enumerate(texts)], "dataset string, line_id long, content string")
+    got = {r["line_id"]: (r["template"], r["similarity"]) for r in mining.assign_clusters(lines, clusters, []).collect()}
+    for i, x in enumerate(texts):
+        toks, options = x.split(), []
+        for t in templates:
+            own = t.split()
+            if len(own) == len(toks) and toks:
+                same = sum(p == q != "<*>" for p, q in zip(own, toks))
+                if same and same / len(toks) >= 0.5:
+                    options.append((-same, -own.count("<*>"), t, same / len(toks)))
+        assert got[i] == ((min(options)[2], min(options)[3]) if options else (None, None)), x
 
 
 def test_consensus_equals_pairwise_fold(spark):
