@@ -6,33 +6,23 @@ word count (descending) then insertion order.  Templates with at most one
 static token are remembered but are not match candidates.
 
 Matching (first hit in pool order, strict matcher) is a theta join.  It is
-run as an equi-join on an *anchor*: every template's longest literal
-whitespace-delimited word.  A line can only match a template if that word is
-one of the line's words, so the join emits only plausible pairs; the pairs are
-then verified and the best one per distinct line kept with ``min_by``.
+run as an equi-join on an *anchor*: a run of word characters that a template
+holds between other literal characters, the rarest such run in the pool.  A line can
+only match a template if that run is one of its own, so the join emits only plausible
+pairs; the pairs are then verified and the best one per distinct line kept with ``min_by``.
 Lines are matched as distinct contents and joined back.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.functions.matching import match_strict, regex_is_valid_udf
+from logweave.functions.matching import is_simple_template, match_strict, regex_is_valid_udf
 from logweave.functions.templates import (
     clean_template, regex_word_count, static_token_count,
 )
-
-# Words of a line for anchoring are split on ASCII whitespace only, so a
-# literal template word (which never contains ASCII whitespace) is one piece.
-_ASCII_WS = "[ \\t\\n\\x0B\\f\\r]+"
-# A template word is literal when it is made only of escaped characters and
-# characters with no regex meaning.
-_LITERAL_WORD = r"^(?:\\[^A-Za-z0-9\s]|[^\\.*?+()\[\]{}|^$\s])+$"
-# Upper bound of anchor rows shipped to every task as a broadcast.
-MAX_BROADCAST_ANCHORS = 200_000
-
+from logweave.session import cut_lineage
 
 def template_pool(proposals: DataFrame, check_col: str | None = None, rank: bool = True) -> DataFrame:
     """Build the pool from proposals ``dataset, template, seq[, check line]``.
@@ -73,49 +63,54 @@ def template_pool(proposals: DataFrame, check_col: str | None = None, rank: bool
                 "candidate", "seq", "rank")
 
 
-def template_anchors(pool: DataFrame) -> DataFrame:
-    """Longest literal word of each candidate template (null when it has none)."""
-    c = pool.filter("candidate").select(
-        "dataset", "template_id", "template_regex", "word_count", "seq",
-        F.split(F.replace(F.col("template_regex"), F.lit(","), F.lit("")), " ").alias("words"))
-    lits = F.transform(F.filter("words", lambda w: w.rlike(_LITERAL_WORD)),
-                       lambda w: F.regexp_replace(w, r"\\(.)", "$1"))
-    best = F.aggregate(lits, F.lit(None).cast("string"),
-                       lambda acc, w: F.when(acc.isNull() | (F.length(w) > F.length(acc)), w).otherwise(acc))
-    return c.withColumn("anchor", best).drop("words")
-
-
-def _line_words(lines: DataFrame) -> DataFrame:
-    return lines.select("dataset", "content", "n_tokens", F.explode(F.array_distinct(
-        F.split(F.replace(F.col("content"), F.lit(","), F.lit("")), _ASCII_WS))).alias("anchor"))
+#: Largest anchor table that is broadcast.
+BROADCAST_BYTES = 32 << 20
+#: Stands for a wildcard while the literal text of a template is read.
+_GAP = "\x01"
+#: A whole run of word characters: bounded by other literal characters or the ends.
+_RUN = r"(?U)(?<![\w\x01])\w+(?![\w\x01])"
 
 
-def match_templates(lines: DataFrame, pool: DataFrame, broadcast_limit: int = MAX_BROADCAST_ANCHORS) -> DataFrame:
+def template_anchors(pool: DataFrame) -> DataFrame:
+    """A run of word characters that every matching line holds as a whole run: of a
+    template's runs the one that the fewest templates share (null when it has none)."""
+    c = pool.filter("candidate").select("dataset", "template_id", "template_regex", "word_count", "seq")
+    r = F.replace(F.col("template_regex"), F.lit(","), F.lit(""))
+    literal = F.regexp_replace(F.replace(r, F.lit("(.*?)"), F.lit(_GAP)), r"(?s)\\(.)", "$1")
+    runs = c.filter(is_simple_template(r)).select(
+        "dataset", "template_id", F.explode(F.array_distinct(F.regexp_extract_all(literal, F.lit(_RUN), 0))).alias("anchor"))
+    shared = runs.groupBy("dataset", "anchor").agg(F.count(F.lit(1)).alias("n"))
+    best = runs.join(shared, ["dataset", "anchor"]).groupBy("dataset", "template_id").agg(
+        F.min_by("anchor", F.struct("n", (-F.length("anchor")).alias("l"), "anchor")).alias("anchor"))
+    return c.join(best, ["dataset", "template_id"], "left")
+
+
+def match_templates(lines: DataFrame, pool: DataFrame) -> DataFrame:
     """First pool template (by word count desc, insertion order) that strictly
     matches each line, for lines with at least its word count.
 
-    ``lines``: dataset, line_id, content.  Returns the lines with
-    ``template_id, template_regex`` (null when nothing matches).
+    ``lines``: dataset, content and any other columns.  Returns the lines with
+    ``template_id, template_regex`` (null when nothing matches).  Runs of words travel with
+    a digest of their line; the text comes back for the pairs that share an anchor.
     """
     distinct = lines.select("dataset", "content").where(F.col("content").isNotNull()).distinct() \
-        .withColumn("n_tokens", F.size(F.filter(F.split("content", "(?U)\\s+"), lambda t: t != "")))
-    # The anchor table is small and read three times (size check, two joins).
-    anchors = template_anchors(pool).persist(StorageLevel.MEMORY_AND_DISK)
-    sizes = {bool(r[0]): r[1] for r in anchors.groupBy(F.col("anchor").isNull()).count().collect()}
-    n_anchored, n_floating = sizes.get(False, 0), sizes.get(True, 0)
-    anchored = anchors.filter(F.col("anchor").isNotNull())
-    a_side = F.broadcast(anchored) if n_anchored <= broadcast_limit else anchored
-    pairs = _line_words(distinct).join(a_side, ["dataset", "anchor"]).drop("anchor")
-    if n_floating:
-        # Templates without any literal word pair with every line of their
-        # dataset.  They are rare (every word starts or ends in a wildcard) and
-        # counted above; they are shipped to every task only within the limit.
-        if n_floating > broadcast_limit:
-            raise ValueError(f"{n_floating} templates without a literal word exceed {broadcast_limit}")
-        floating = anchors.filter(F.col("anchor").isNull()).drop("anchor")
-        pairs = pairs.unionByName(distinct.join(F.broadcast(floating), "dataset"))
-    pairs = pairs.filter(F.col("word_count") <= F.col("n_tokens"))
-    hits = pairs.filter(match_strict("content", "template_regex"))
+        .withColumn("n_tokens", F.size(F.filter(F.split("content", "(?U)\\s+"), lambda t: t != ""))) \
+        .withColumn("digest", F.unhex(F.md5("content")))
+    # A few columns of the template table, read several times: written once, and sent to
+    # every task only below a checked number of bytes.
+    anchors = cut_lineage(template_anchors(pool))
+    size = anchors.agg(F.sum(F.octet_length("template_regex") + F.coalesce(F.octet_length("anchor"), F.lit(0)) + 64)).first()[0] or 0
+    send = F.broadcast if size <= BROADCAST_BYTES else (lambda df: df)
+    runs = F.array_distinct(F.regexp_extract_all(F.replace(F.col("content"), F.lit(","), F.lit("")), F.lit(r"(?U)\w+"), 0))
+    words = distinct.select("dataset", "digest", "n_tokens", F.explode(runs).alias("anchor"))
+    pairs = words.join(send(anchors.filter(F.col("anchor").isNotNull())), ["dataset", "anchor"]).drop("anchor")
+    pairs = pairs.filter(F.col("word_count") <= F.col("n_tokens")).drop("n_tokens")
+    # Templates without a whole run (every word touches a wildcard) can fit any line that has their words.
+    floating = anchors.filter(F.col("anchor").isNull()).drop("anchor")
+    if not floating.isEmpty():
+        counts = distinct.select("dataset", "digest", F.explode(F.sequence(F.lit(1), F.greatest("n_tokens", F.lit(1)))).alias("word_count"))
+        pairs = pairs.unionByName(counts.join(send(floating), ["dataset", "word_count"]))
+    hits = pairs.join(distinct.select("dataset", "digest", "content"), ["dataset", "digest"]).filter(match_strict("content", "template_regex"))
     best = hits.groupBy("dataset", "content").agg(
         F.min_by(F.struct("template_id", "template_regex"),
                  F.struct((-F.col("word_count")).alias("w"), F.col("seq").alias("s"))).alias("m"))
@@ -125,12 +120,10 @@ def match_templates(lines: DataFrame, pool: DataFrame, broadcast_limit: int = MA
 
 def templates_in_band(lengths: DataFrame, pool: DataFrame, below: int = 8, above: int = 1) -> DataFrame:
     """Candidate templates whose word count is within ``[n-below, n+above]`` of
-    each distinct line length ``n`` (``lengths``: dataset, n_tokens)."""
+    each distinct line length ``n`` (``lengths``: dataset, n_tokens): an equi-join on the word counts of the band."""
     c = pool.filter("candidate").select("dataset", "template_id", "template_regex", "word_count")
-    cond = (lengths["dataset"] == c["dataset"]) & \
-        c["word_count"].between(lengths["n_tokens"] - below, lengths["n_tokens"] + above)
-    return lengths.join(F.broadcast(c), cond).select(lengths["dataset"], "n_tokens", "template_id",
-                                                     "template_regex", "word_count")
+    band = lengths.withColumn("word_count", F.explode(F.sequence(F.col("n_tokens") - below, F.col("n_tokens") + above)))
+    return band.join(c, ["dataset", "word_count"]).select("dataset", "n_tokens", "template_id", "template_regex", "word_count")
 
 
 def unmatched(lines: DataFrame, matched: DataFrame, keys=("dataset", "line_id")) -> DataFrame:

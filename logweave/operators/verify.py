@@ -6,14 +6,13 @@
    the escaped line itself;
 2. every other group gets a proposal from a *proposer* (default: the
    position-wise consensus of the group's masked lines, i.e. no model);
-3. a proposal is verified on every line of its group with the lenient
+3. a proposal is verified on every distinct line of its group with the lenient
    matcher; a proposal with hard-coded ``key=value`` constants fails the
    whole group (``lint=True``);
-4. lines that fail get a new proposal from the failing lines only, up to
-   ``rounds`` more times, while progress is made;
-5. lines still failing are matched against the pool of verified templates
-   (strict matcher, first hit by word count then order); the rest keep their
-   last proposal with ``verified = false``.
+4. lines that fail are matched against the pool of all templates verified so far
+   (strict matcher, first hit by word count then order), and those without a
+   hit get a new proposal, up to ``rounds`` more times, while progress is made;
+5. the rest keep their last proposal with ``verified = false``.
 
 Each round is a set-based Spark job over all groups at once; state between
 rounds is cut with a reliable checkpoint in the cluster's checkpoint folder.
@@ -33,6 +32,8 @@ from logweave.functions.text import tokenize
 from logweave.functions.templates import clean_template, literal_template, template_to_regex
 from logweave.operators.mining import consensus_template
 from logweave.operators.pool import match_templates, template_pool
+from logweave.operators.sampling import diverse_sample
+from logweave.operators.templates import repair_templates
 from logweave.session import cut_lineage
 
 # A one-line group is static unless it holds one of these.
@@ -111,110 +112,81 @@ def verify_templates(rows: DataFrame, proposals: DataFrame, lint: bool = True,
 
 def parse_logs(groups: DataFrame, masks: Sequence[str], proposer: Proposer | None = None,
                rounds: int = 3, lint: bool = True, use_pool: bool = True,
-               group_col: str = "event_id", checkpoint: bool = True) -> DataFrame:
+               group_col: str = "template", sample_size: int | None = None) -> DataFrame:
     """Assign a verified template regex to every mined line.
 
-    ``groups``: dataset, line_id, content, template, event_id (from mining).
-    Returns ``dataset, line_id, content, event_id, template_regex, verified,
-    source, history`` with the same row count as the input.
+    ``groups``: dataset, line_id, content, template (from mining); a group is the
+    whole template text.  All rounds work on the distinct contents of a group and the
+    lines are joined once at the end.  Before each proposal the failing contents are tried
+    against the pool of templates verified so far, whichever group they come from.  An
+    outside ``proposer`` gets a diverse sample of ``sample_size`` lines a group (all lines if
+    None) and its templates are repaired first.
+
+    Returns ``dataset, line_id, content, event_id, template_regex, verified, source,
+    history`` (the templates tried, in order) with the same row count as the input;
+    null lines have no template.
     """
-    propose = proposer or consensus_proposer(masks)
-    # The mined groups are read by several steps; materialise them once in the
-    # shared checkpoint folder (this also cuts the mining lineage).
-    groups = groups.select("dataset", "line_id", "content", "template", F.col(group_col).alias("__gk"))
-    if checkpoint:
-        groups = cut_lineage(groups)
-    group_col = "__gk"
-    base = groups.select("dataset", "line_id", "content", F.col(group_col).alias("group_key"))
-    # Pool insertion order: word count of each group's first line, then the
-    # group key (a struct key, so no global rank is needed).
-    first = groups.groupBy("dataset", F.col(group_col).alias("group_key")).agg(
-        F.min_by("content", "line_id").alias("__first"))
-    order = first.select("dataset", "group_key", F.struct(
-        F.size(tokenize(F.col("__first"))).alias("words"), F.col("group_key").alias("key")).alias("group_rank"))
-
-    static = static_groups(base, "group_key").select("dataset", "group_key", "template_regex")
-    done_static = base.join(static, ["dataset", "group_key"]) \
-        .withColumn("verified", F.lit(True)).withColumn("source", F.lit("static")) \
-        .withColumn("history", F.array(F.lit("static")))
-    todo = base.join(static.select("dataset", "group_key"), ["dataset", "group_key"], "left_anti")
-
-    finished = [done_static]
-    stopped: list[DataFrame] = []
-    prev: DataFrame | None = None
+    key = ["dataset", "group_key"]
+    lines = groups.select("dataset", "line_id", "content", F.col("template").alias("mined"), F.col(group_col).alias("group_key"))
+    base = cut_lineage(lines.filter(F.col("content").isNotNull() & F.col("group_key").isNotNull())
+                       .groupBy(*key, "content").agg(F.min("line_id").alias("line_id"), F.min("mined").alias("mined")))
+    # Pool insertion order: word count of each group's first line, then the group key.
+    order = base.groupBy(*key).agg(F.min_by("content", "line_id").alias("first")).select(
+        *key, F.struct(F.size(tokenize(F.col("first"))).alias("words"), F.col("group_key").alias("key")).alias("seq"))
+    static = static_groups(base, "group_key").select(*key, "template_regex")
+    columns = [*key, "content", "template_regex", "verified", "source", "history"]
+    done = base.join(static, key).withColumn("verified", F.lit(True)).withColumn("source", F.lit("static")) \
+        .withColumn("history", F.array("template_regex")).select(*columns)
+    todo = base.join(static.select(*key), key, "left_anti").withColumn("history", F.array().cast("array<string>"))
     for r in range(rounds + 1):
-        if r == 0 and proposer is None:
-            # The mined template is already the consensus of its group.
-            prop = groups.select("dataset", F.col(group_col).alias("group_key"), "template") \
-                .dropDuplicates(["dataset", "group_key"])
+        if use_pool and r:
+            proposals = done.filter("verified").select(*key, F.col("template_regex").alias("template")).distinct().join(order, key) \
+                .groupBy("dataset", "template").agg(F.min("seq").alias("seq"))
+            tried = cut_lineage(match_templates(todo, template_pool(proposals, rank=False)))
+            hit = tried.filter(F.col("template_regex").isNotNull())
+            done = done.unionByName(hit.withColumn("verified", F.lit(True)).withColumn("source", F.lit("pool")).select(*columns))
+            todo = tried.filter(F.col("template_regex").isNull()).select(*todo.columns)
+            if todo.isEmpty():
+                break
+        if proposer is None:
+            # The mined template is the consensus of its group; later ones are that of what is left of it.
+            prop = todo.select(*key, F.col("mined").alias("template")).dropDuplicates(key) if r == 0 \
+                else consensus_proposer(masks)(todo.select(*key, "line_id", "content"))
         else:
-            prop = propose(todo.select("dataset", "group_key", "line_id", "content"))
-        prop = prop.withColumn("template_regex", template_to_regex("template")) \
-            .select("dataset", "group_key", "template_regex")
-        if prev is not None:
-            # A group whose new proposal repeats the previous one stops here.
-            same = prop.join(prev.withColumnRenamed("template_regex", "prev_regex"), ["dataset", "group_key"]) \
-                .filter(F.col("template_regex") == F.col("prev_regex")).select("dataset", "group_key")
-            stopped.append(todo.join(same, ["dataset", "group_key"])
-                           .join(prev, ["dataset", "group_key"])
-                           .select("dataset", "line_id", "content", "group_key", "template_regex"))
-            prop = prop.join(same, ["dataset", "group_key"], "left_anti")
-            todo = todo.join(same, ["dataset", "group_key"], "left_anti")
-        checked = verify_templates(todo, prop, lint, validate=proposer is not None)
-        if checkpoint:
-            checked = cut_lineage(checked)
-        finished.append(checked.filter("matched").select(
-            "dataset", "line_id", "content", "group_key", F.col("cleaned").alias("template_regex"),
-            F.lit(True).alias("verified"), F.lit(f"round{r}").alias("source"),
-            F.array(F.col("template_regex")).alias("history")))
-        wrong = checked.filter(~F.col("matched")).select("dataset", "line_id", "content", "group_key",
-                                                         "template_regex")
-        per_group = checked.groupBy("dataset", "group_key").agg(
-            F.sum(F.col("matched").cast("long")).alias("fixed"),
-            F.sum((~F.col("matched")).cast("long")).alias("failed"))
-        # Retry a group only while its last attempt fixed nothing (any group
-        # after the first check).
-        go_on = (F.col("failed") > 0) & ((F.lit(r) == 0) | (F.col("fixed") == 0))
-        if checkpoint:
-            per_group = cut_lineage(per_group)
-        keep = per_group.filter(go_on).select("dataset", "group_key")
-        stop = per_group.filter(~go_on & (F.col("failed") > 0)).select("dataset", "group_key")
-        stopped.append(wrong.join(stop, ["dataset", "group_key"]))
-        if r == rounds or keep.count() == 0:
-            stopped.append(wrong.join(keep, ["dataset", "group_key"]))
+            rows = todo.select(*key, "line_id", "content")
+            if sample_size:
+                rows = diverse_sample(rows, k=sample_size, group_cols=key).select(*key, "line_id", "content")
+            prop = repair_templates(proposer(rows).select(*key, "template"))
+        prop = prop.withColumn("template_regex", template_to_regex("template")).select(*key, "template_regex")
+        checked = verify_templates(todo, prop, lint, validate=proposer is not None) \
+            .withColumn("repeated", F.array_contains("history", F.col("template_regex"))) \
+            .withColumn("history", F.array_append("history", F.col("template_regex")))
+        checked = cut_lineage(checked)
+        done = done.unionByName(checked.filter("matched").select(
+            *key, "content", F.col("cleaned").alias("template_regex"), F.lit(True).alias("verified"), F.lit(f"round{r}").alias("source"), "history"))
+        wrong = checked.filter(~F.col("matched"))
+        # Another round for groups whose proposal was new and, after the first check, fixed nothing.
+        state = checked.groupBy(*key).agg(F.max("matched").alias("fixed"), F.max(F.coalesce("repeated", F.lit(False))).alias("repeated"))
+        again = state.filter(~F.col("repeated") & (F.lit(r == 0) | ~F.col("fixed"))).select(*key)
+        last = r == rounds
+        stop = wrong if last else wrong.join(again, key, "left_anti")
+        done = done.unionByName(stop.withColumn("verified", F.lit(False)).withColumn("source", F.lit("unverified")).select(*columns))
+        todo = wrong.join(again, key).select(*todo.columns)
+        if last or todo.isEmpty():
             break
-        todo = wrong.join(keep, ["dataset", "group_key"]).select("dataset", "line_id", "content", "group_key")
-        prev = prop.join(keep, ["dataset", "group_key"])
-
-    last = stopped[0] if stopped else None
-    for st in stopped[1:]:
-        last = last.unionByName(st)
-
-    done = finished[0]
-    for f in finished[1:]:
-        done = done.unionByName(f)
-    if last is not None:
-        rest = last
-        if use_pool:
-            proposals = done.filter("verified").select(
-                "dataset", F.col("template_regex").alias("template"), "group_key") \
-                .join(order, ["dataset", "group_key"], "left").groupBy("dataset", "template") \
-                .agg(F.min("group_rank").alias("seq"))
-            pool = template_pool(proposals, rank=False)
-            cached = match_templates(rest.select("dataset", "line_id", "content", "group_key",
-                                                 F.col("template_regex").alias("last_regex")), pool)
-            rest = cached.select(
-                "dataset", "line_id", "content", "group_key",
-                F.coalesce("template_regex", "last_regex").alias("template_regex"),
-                F.col("template_regex").isNotNull().alias("verified"),
-                F.when(F.col("template_regex").isNotNull(), F.lit("pool")).otherwise(F.lit("unverified"))
-                .alias("source"),
-                F.array(F.col("last_regex")).alias("history"))
-        else:
-            rest = rest.withColumn("verified", F.lit(False)).withColumn("source", F.lit("unverified")) \
-                .withColumn("history", F.array(F.col("template_regex")))
-        done = done.unionByName(rest)
+    if use_pool:
+        # What is left over may fit a template that was verified after its group had stopped.
+        rest = done.filter(~F.col("verified"))
+        proposals = done.filter("verified").select(*key, F.col("template_regex").alias("template")).distinct().join(order, key) \
+            .groupBy("dataset", "template").agg(F.min("seq").alias("seq"))
+        tried = match_templates(rest.withColumnRenamed("template_regex", "own"), template_pool(proposals, rank=False))
+        found = F.col("template_regex").isNotNull()
+        tried = tried.withColumn("verified", found).withColumn("source", F.when(found, "pool").otherwise("unverified")) \
+            .withColumn("template_regex", F.coalesce("template_regex", "own"))
+        done = done.filter("verified").unionByName(tried.select(*columns))
+    out = lines.join(done, [*key, "content"], "left")
     event = F.when(F.col("verified"), F.substring(F.md5(F.col("template_regex")), 1, 8)) \
         .otherwise(F.concat(F.lit("u"), F.col("line_id").cast("string")))
-    return done.select("dataset", "line_id", "content", event.alias("event_id"), "template_regex",
-                       "verified", "source", "history")
+    return out.withColumn("verified", F.coalesce("verified", F.lit(False))).withColumn("source", F.coalesce("source", F.lit("unverified"))) \
+        .withColumn("history", F.coalesce("history", F.array().cast("array<string>"))) \
+        .select("dataset", "line_id", "content", event.alias("event_id"), "template_regex", "verified", "source", "history")
