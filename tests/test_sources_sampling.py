@@ -175,3 +175,27 @@ def test_results_are_written_and_read_back(spark, tmp_path):
         sinks.write_results(rows, str(tmp_path / fmt), fmt)
         back = spark.read.option("header", True).format(fmt).load(str(tmp_path / fmt))
         assert sorted((r["dataset"], int(r["line_id"]), r["content"]) for r in back.collect()) == [("d", 2, "b"), ("e", 1, "a")]
+
+
+def test_rule_order_and_marker_flags(spark):
+    from logweave.operators import splitting as spl
+    lines = ["[worker] open", "[worker] open", "[worker] shut", "[worker] wait", "[worker] loop", "[worker] exit", "[worker] idle", "[worker] idle"]
+    df = spark.createDataFrame([("d", "g", i, c) for i, c in enumerate(lines)], "dataset string, event_id string, line_id long, content string")
+    out = spl.split_groups(df).collect()
+    assert {r["split_rule"] for r in out} == {"e"}  # the rule of brackets comes before that of two words
+    assert {r["split_key"] for r in out} == {"open", "idle", "exit", "loop", "<OTHER_BRANCHES>"}
+    marks = [("m", i, f"ERROR DataNode IOp a-b x{i} started") for i in range(40)] + [("m", 99, "ERROR DataNode IOp a-b x0 halted")]
+    m = spark.createDataFrame([("d", *r) for r in marks], "dataset string, event_id string, line_id long, content string")
+    got = {r["token"] for r in spl.static_markers(m).collect()}
+    assert {"ERROR", "a-b"} <= got and "started" not in got  # counted over all lines
+    assert "DataNode" not in got and "IOp" not in got  # two capitals
+
+
+def test_word_keys(spark):
+    from logweave.operators import splitting as spl
+    cases = [("connection closed by peer", "closed", "connection"), ("(job started) done", "<NO_ED>", "job"), ("state: job is now started", "<NO_ED>", "state"),
+             ("x=opened then it was just moved away", "moved", "x"), ("moved from 10.0.0.1 to b", "<NO_ED>", "moved"), ("used-up opened", "opened", "used-up"), ("FAILED red seed", "<NO_ED>", "FAILED"),
+             ("/a/b/c.log was removed", "removed", "was"), ("Jan deadbeef a.b word", "<NO_ED>", "word"), ("12 34", "<NO_ED>", "<UNKNOWN>"), ("", "<NO_ED>", "<UNKNOWN>"), (None, "<NO_ED>", "<UNKNOWN>")]
+    df = spark.createDataFrame([(c,) for c, _, _ in cases], "content string")
+    got = [tuple(r) for r in df.select("content", spl.ed_key("content"), spl.first_key("content")).collect()]
+    assert got == cases
