@@ -138,11 +138,17 @@ def parse_logs(groups: DataFrame, masks: Sequence[str], proposer: Proposer | Non
     done = base.join(static, key).withColumn("verified", F.lit(True)).withColumn("source", F.lit("static")) \
         .withColumn("history", F.array("template_regex")).select(*columns)
     todo = base.join(static.select(*key), key, "left_anti").withColumn("history", F.array().cast("array<string>"))
+
+    def pool_of(templates: DataFrame) -> DataFrame:
+        proposals = templates.distinct().join(order, key).groupBy("dataset", "template").agg(F.min("seq").alias("seq"))
+        return template_pool(proposals, rank=False)
+
+    # Verified since the failing contents were last tried: older templates have failed on them already.
+    fresh = static.select(*key, F.col("template_regex").alias("template"))
+    later: DataFrame | None = None
     for r in range(rounds + 1):
-        if use_pool and r:
-            proposals = done.filter("verified").select(*key, F.col("template_regex").alias("template")).distinct().join(order, key) \
-                .groupBy("dataset", "template").agg(F.min("seq").alias("seq"))
-            tried = cut_lineage(match_templates(todo, template_pool(proposals, rank=False)))
+        if use_pool and r and not fresh.isEmpty():
+            tried = cut_lineage(match_templates(todo, pool_of(fresh)))
             hit = tried.filter(F.col("template_regex").isNotNull())
             done = done.unionByName(hit.withColumn("verified", F.lit(True)).withColumn("source", F.lit("pool")).select(*columns))
             todo = tried.filter(F.col("template_regex").isNull()).select(*todo.columns)
@@ -162,6 +168,10 @@ def parse_logs(groups: DataFrame, masks: Sequence[str], proposer: Proposer | Non
             .withColumn("repeated", F.array_contains("history", F.col("template_regex"))) \
             .withColumn("history", F.array_append("history", F.col("template_regex")))
         checked = cut_lineage(checked)
+        new = checked.filter("matched").select(*key, F.col("cleaned").alias("template"))
+        fresh = fresh.unionByName(new) if r == 0 else new
+        if r:
+            later = new if later is None else later.unionByName(new)
         done = done.unionByName(checked.filter("matched").select(
             *key, "content", F.col("cleaned").alias("template_regex"), F.lit(True).alias("verified"), F.lit(f"round{r}").alias("source"), "history"))
         wrong = checked.filter(~F.col("matched"))
@@ -174,12 +184,10 @@ def parse_logs(groups: DataFrame, masks: Sequence[str], proposer: Proposer | Non
         todo = wrong.join(again, key).select(*todo.columns)
         if last or todo.isEmpty():
             break
-    if use_pool:
+    if use_pool and later is not None and not later.isEmpty():
         # What is left over may fit a template that was verified after its group had stopped.
         rest = done.filter(~F.col("verified"))
-        proposals = done.filter("verified").select(*key, F.col("template_regex").alias("template")).distinct().join(order, key) \
-            .groupBy("dataset", "template").agg(F.min("seq").alias("seq"))
-        tried = match_templates(rest.withColumnRenamed("template_regex", "own"), template_pool(proposals, rank=False))
+        tried = match_templates(rest.withColumnRenamed("template_regex", "own"), pool_of(later))
         found = F.col("template_regex").isNotNull()
         tried = tried.withColumn("verified", found).withColumn("source", F.when(found, "pool").otherwise("unverified")) \
             .withColumn("template_regex", F.coalesce("template_regex", "own"))
