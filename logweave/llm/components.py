@@ -17,8 +17,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     low, high = F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")
     now = written(edges.select(low, high).where("lo < hi").distinct(), name)
-    mark = _mark(now)
-    while mark[0]:
+    while not _stars(now):
         both = now.selectExpr("lo u", "hi v").unionByName(now.selectExpr("hi u", "lo v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
@@ -26,13 +25,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.col("m").alias("lo"), F.col("lo").alias("hi")).where("lo < hi").unionByName(least.select(F.col("m").alias("lo"), "hi")).distinct()
         now = written(small, name)
-        before, mark = mark, _mark(now)
-        if mark == before:
-            break
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Number of edges and a sum that tells two sets of them apart."""
-    return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")), F.lit(0)),
-                           F.coalesce(F.bit_xor(F.xxhash64("hi", "lo")), F.lit(0))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one root at most and no root has one itself."""
+    roles = edges.selectExpr("hi node", "1 below", "0 above").unionByName(edges.selectExpr("lo node", "0 below", "1 above"))
+    worst = roles.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return worst.where("below > 1 or below = 1 and above = 1").isEmpty()
