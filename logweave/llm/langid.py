@@ -3,9 +3,10 @@
 A text is the average of the embeddings of its character n-grams, hashed into
 ``2**bits`` rows, under a linear softmax.  Both matrices are trained together by
 stochastic gradient descent in numpy on a bounded sample of the labelled rows
-(``per_lang`` rows a language in expectation, picked by a hash of the id; only
-texts of at most ``max_sample_chars``; at most ``segments`` segments of them;
-``max_langs`` languages, the most frequent ones).  A part of the sample is held
+(``per_lang`` rows a language in expectation, picked by a hash of the id, and fewer
+if that makes over ``MAX_ROWS`` in all; only texts of at most ``max_chars`` code
+points; at most ``segments`` segments of them; ``max_langs`` languages, the most
+frequent ones).  A part of the sample is held
 back to calibrate: a temperature that minimises its log loss, and the score under
 which a prediction is rejected, the ``reject_quantile`` of the scores of held-back
 segments that were predicted rightly, as wrong ones are to be told from these.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from logweave.llm.common import map_arrow, mix, text_bytes
 
 BITS, DIM, ORDERS = 16, 16, (1, 2, 3)
-PER_LANG, MAX_LANGS, MAX_SAMPLE_CHARS, SEGMENTS, SEGMENT_CHARS = 300, 200, 100_000, 16_000, 240
+PER_LANG, MAX_ROWS, MAX_LANGS, MAX_SAMPLE_CHARS, SEGMENTS, SEGMENT_CHARS = 300, 6_000, 200, 20_000, 16_000, 240
 EPOCHS, RATE, BATCH = 4, 0.5, 32
 REJECT_QUANTILE = 0.0005
 
@@ -96,6 +97,7 @@ def sample(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang"
     counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     if not counts:
         return []
+    per_lang = min(per_lang, max(1, MAX_ROWS // len(counts)))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_lang / r["count"]))])
     spread = F.pmod(F.xxhash64(F.col("id"), F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
     picked = usable.where((spread < F.element_at(share, F.col("lang"))) & (F.length("text") <= max_chars))

@@ -129,3 +129,21 @@ def report(docs: DataFrame, **kw) -> DataFrame:
 def keep_good(docs: DataFrame, **kw) -> DataFrame:
     """The rows of ``docs`` that no rule rejects."""
     return judged(docs, **kw).where("rejected_by is null").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, s, w[s] || ' ' || w[s + 1] || ' ' || w[s + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS s FROM d)),
+again AS (SELECT doc_id, g FROM g GROUP BY doc_id, g HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + 3)) AS p FROM g JOIN again USING (doc_id, g)) GROUP BY doc_id),
+c AS (SELECT doc_id, t, CAST(len(w) AS BIGINT) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+             length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n, 0) AS n_repeat_words,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l, length(regexp_replace(t, '\PL+', '', 'g')) AS letters
+      FROM d LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR 100 * n_symbols > 30 * n_words OR 100 * n_dup_lines > 50 * len(l)
+            OR 100 * (length(t) - length(replace(t, '!', ''))) > 50 * n_words OR 100 * letters < 50 * word_chars
+            OR 100 * length(regexp_replace(t, '\P{Lu}+', '', 'g')) > 60 * letters) AS kept
+FROM f
+"""

@@ -54,4 +54,12 @@ def op10_induced_sorting(spark, sf):
 QUERIES = {f.__name__: f for f in (op1_mixed_range_coder, op2_secret_links, op3_rule_cascade, op4_phrase_automata, op5_benchmark_hash_set, op6_subword_language, op7_zip_packages,
                                      op8_chosen_path, op9_sentencepiece_bpe, op10_induced_sorting)}
 
-ORACLE = {"op4_phrase_automata": phrases.ORACLE, "op5_benchmark_hash_set": decontam.ORACLE, "op7_zip_packages": warc_zip.ORACLE}
+#: The others rest on a tokenizer, a trained model or positions of matches, which SQL cannot state.
+ORACLE = {
+    "op3_rule_cascade": quality.ORACLE,
+    "op4_phrase_automata": phrases.ORACLE,
+    "op5_benchmark_hash_set": decontam.ORACLE,
+    "op7_zip_packages": warc_zip.ORACLE,
+    "op8_chosen_path": near_dup.ORACLE,
+    "op10_induced_sorting": suffix_dedup.ORACLE,
+}
