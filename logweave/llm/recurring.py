@@ -71,6 +71,7 @@ def occurrences(rows: DataFrame, symbols: Callable, k: int, width: int) -> DataF
     # Eight bytes of the digest tell two texts with one anchor apart.
     tag = F.xxhash64("txt")
     again = found.groupBy("h").agg(F.min(tag).alias("least"), F.max(tag).alias("most")).where("least < most").select("h")
+    again = written(again, "again")  # a join of two plain exchanges, whose hot anchors can be split
     return written(found.join(again, "h"), "recurring")
 
 
