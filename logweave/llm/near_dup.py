@@ -92,9 +92,11 @@ def signatures(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFram
 
 
 def _sized(nodes: DataFrame) -> DataFrame:
-    """``nodes`` (node, point, ...) with the number of points of its node, without nodes of one point."""
+    """``nodes`` (node, point) with the number of points of its node, without nodes of one point.  The rows are written
+    before they are counted and joined, so that they are made once and hot nodes can be split in the join."""
+    nodes = written(nodes, "nodes")
     sizes = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-    return nodes.join(sizes, "node")
+    return written(nodes.join(sizes, "node"), "paths")
 
 
 def loose_edges(points: DataFrame, *, trees=TREES, branches=BRANCHES, depth=DEPTH, leaf=LEAF, loose=LOOSE) -> DataFrame:
@@ -105,7 +107,7 @@ def loose_edges(points: DataFrame, *, trees=TREES, branches=BRANCHES, depth=DEPT
         F.xxhash64("to.tree", "to.c", F.element_at("sketch", F.col("to.c") + 1)).alias("node"), "point")
     small, rest = [], None
     for d in range(1, depth + 1):
-        sized = written(_sized(level), "paths")
+        sized = _sized(level)
         small.append(sized.where(F.col("n") <= leaf).select("node", "point"))
         rest = sized.where(F.col("n") > leaf).select("node", "point")
         if d < depth:
@@ -256,3 +258,15 @@ def keep_one(docs: DataFrame, *, id_col="doc_id", text_col="text", **kw) -> Data
     """``docs`` without the rows of a component but that with its least id; rows with a null id stay."""
     gone = cluster(docs, id_col=id_col, text_col=text_col, **kw).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_ FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * both_ >= 75 * (na.n + nb.n - both_)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id, doc_id = m.c AS kept
+FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS c FROM r GROUP BY a) m USING (doc_id)
+"""
