@@ -35,7 +35,9 @@ from logweave.llm.common import map_arrow
 
 #: Code point of byte 0; the 256 from here on are ordinary letters.
 FIRST = 0x100
-STORE = 800_000
+STORE = 500_000
+#: Larger pieces of a batch repeat more words, which are encoded once.
+PIECE_BYTES = 4 << 20
 LONG_PIECE = 64
 
 
@@ -192,7 +194,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text_col="text", carry=(
         return pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate([*ids, np.zeros(0, "<u2")]).astype(np.int32)))],
                                           names=["row", "ids"])
 
-    return map_arrow(slim, run, slim.selectExpr("row", "array(0) ids").schema)
+    return map_arrow(slim, run, slim.selectExpr("row", "array(0) ids").schema, PIECE_BYTES)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -223,4 +225,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, *, text_col="text", id_
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
                                           names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_arrow(slim, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(slim, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", PIECE_BYTES)

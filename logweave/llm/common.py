@@ -7,8 +7,6 @@ whatever its length; callers that need certainty compare the text itself.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,30 +15,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes that a task works on at once.
-PIECE_BYTES = 4 << 20
+from logweave.session import shared_folder
 
-SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
+#: Text bytes that a task works on at once; arrays of 64 bits a byte make it several times that.
+PIECE_BYTES = 1 << 20
+#: Rows of an Arrow batch, of which the JVM and the worker hold several.
+BATCH_ROWS = 1000
 
-    Only a local master, whose executors are this process, may go without the
-    setting; anywhere else its absence is an error.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not path:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="llm-shared-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -51,12 +37,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``fn`` on every Arrow batch of ``df``, cut so that no piece holds much more than ``PIECE_BYTES``."""
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, limit: int = PIECE_BYTES) -> DataFrame:
+    """``fn`` on every Arrow batch of ``df``, cut so that no piece holds much more than ``limit`` bytes.
+
+    Rows are whole texts, so the session's batches are held to ``BATCH_ROWS`` rows."""
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(conf)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(conf, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit):
                 out = fn(piece)
                 if out is not None:
                     yield out

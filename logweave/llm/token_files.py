@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.llm import range_coder
-from logweave.llm.bpe import PieceStore
+from logweave.llm.bpe import PIECE_BYTES, PieceStore
 from logweave.llm.common import id_column, new_path, pieces, written
 from logweave.llm.files import new_file, open_file, read_range
 
@@ -169,7 +169,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, *, id_col="doc_id"
     def run(batches):
         writer, path, end = None, None, np.array([end_id], "<u2")
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, PIECE_BYTES):
                 if writer is None:
                     path, out = new_file(folder, ".ids")
                     writer = Writer(out)
