@@ -41,11 +41,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
-#: Weak parts.
-IDENTIFIER = re.compile(r"""\b(?:user(?:_?name|_?id)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}""", re.I | re.A)
-SHORT = re.compile(r"""\b(?:pass|pwd|pw|key|auth|credential)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{4,}""", re.I | re.A)
-RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{20,128}(?![A-Za-z0-9+/_-])", re.A)
-ENDPOINT = re.compile(r"""\b(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9._:@-]+|\bhost["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}|\b\d{1,3}(?:\.\d{1,3}){3}:\d{2,5}\b""", re.A)
+#: Weak parts.  A label may follow an underscore (DB_USER, AWS_ACCESS_KEY_ID), but not a letter or a digit.
+IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:user(?:_?name|_?id)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}""", re.I | re.A)
+SHORT = re.compile(r"""(?<![A-Za-z0-9])(?:pass|pwd|pw|(?:secret_?(?:access_?)?)?key|auth|credential)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{4,}""", re.I | re.A)
+RANDOM = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])", re.A)
+ENDPOINT = re.compile(r"""(?<![A-Za-z0-9])(?:(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9._:@-]+|host["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}|\d{1,3}(?:\.\d{1,3}){3}:\d{2,5}\b)""", re.I | re.A)
 BLANK = re.compile(r"\n[\x20\t\r]*\n")
 
 _MAY_BE_LONG = re.compile(r"[A-Za-z0-9+/_-]{20}", re.A)
