@@ -147,6 +147,38 @@ def test_induced_sorting(memory):
             assert n == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
+@pytest.mark.parametrize("limit,most_rows,block", [(1 << 20, 10_000, 4096), (300, 10_000, 3), (1 << 20, 5, 2), (1, 1, 1)])
+def test_a_shard_is_settled_anchor_by_anchor(limit, most_rows, block):
+    rng, width, rows = random.Random(block), 6, []
+    for h in range(-20, 20):
+        own = {"".join(chr(0x120 + h) + rng.choice("a\0") for _ in range(rng.randint(2, 6))).encode() for _ in range(rng.choice([1, 2, 60]))}  # a window tells its anchor
+        for digest, context in enumerate(sorted(own)):
+            rows += [(h, digest, context, chunk, low := rng.randint(0, 50), low + rng.randint(0, 9)) for chunk in range(rng.randint(1, 4))]
+    first = {}
+    for h, _, context, _, low, _ in rows:
+        for i in range(len(context) - width + 1):
+            first[h, context[i:i + width]] = min(low, first.get((h, context[i:i + width]), low))
+    want, got, read = Counter(), Counter(), []
+    for h, digest, context, chunk, _, high in rows:
+        want.update((chunk, digest, f) for i in range(len(context) - width + 1) if (f := (i, h, first[h, context[i:i + width]]))[2] < high)
+    for h in range(-20, 20):
+        for chunk, digest, runs in suffix_dedup.settled([r for r in rows if r[0] == h], width, limit, most_rows, block):
+            got.update((chunk, digest, (i, h, r["first"])) for r in runs for i in range(r["a"], r["b"]))
+    assert got == want
+    whole = list(suffix_dedup.settled((read.append(r) or r for r in rows), width, limit, most_rows, block))
+    assert len(whole) == sum(len(list(suffix_dedup.settled([r for r in rows if r[0] == h], width))) for h in range(-20, 20))
+    read.clear()
+    if limit < 1000:  # answers come before all rows are read
+        next(suffix_dedup.settled((read.append(r) or r for r in rows), width, limit, most_rows, block))
+        assert len(read) < len(rows) / 2
+
+
+def test_shards_follow_the_bytes(spark, empty):
+    parts = suffix_dedup.chunks(frame(spark, [(d, prose(d, 200), None) for d in range(20)]), "doc_id", "text")
+    assert suffix_dedup.shards_of(parts, 500) > suffix_dedup.shards_of(parts) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert suffix_dedup.shards_of(suffix_dedup.chunks(empty, "doc_id", "text"), 500) == suffix_dedup.shards_of(parts)
+
+
 @pytest.mark.parametrize("partitions", [1, 4])
 def test_suffix_dedup(spark, empty, partitions):
     rows = passage_rows()
