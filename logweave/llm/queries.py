@@ -12,7 +12,7 @@ def _read(spark, sf, name):
 
 
 def op1_mixed_range_coder(spark, sf):
-    return token_files.report(_read(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.report(_read(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), special=True)
 
 
 def op2_secret_links(spark, sf):

@@ -46,14 +46,15 @@ _NO_DOC = -(1 << 63)
 
 
 class Tokens:
-    """Ids of whole texts by a tokenizer file."""
+    """Ids of whole texts by a tokenizer file.  ``special``: a literal of one of its special tokens is that token, as the
+    library has it by default; otherwise it is text like any other."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        tokenizer.encode_special_tokens = not special
         if tokenizer.get_vocab_size() >= range_coder.NO_ID:
             raise ValueError("ids must be under 65,535")
         self.store = PieceStore(lambda new: [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)])
@@ -62,13 +63,13 @@ class Tokens:
         return self.store(texts)
 
 
-_HELD: dict[str, Tokens] = {}
+_HELD: dict[tuple[str, bool], Tokens] = {}
 
 
-def tokens(path: str) -> Tokens:
-    if path not in _HELD:
-        _HELD[path] = Tokens(path)
-    return _HELD[path]
+def tokens(path: str, special: bool = False) -> Tokens:
+    if (path, special) not in _HELD:
+        _HELD[path, special] = Tokens(path, special)
+    return _HELD[path, special]
 
 
 class Writer:
@@ -161,7 +162,7 @@ def read_documents(path: str) -> Iterator[tuple[int | None, list[np.ndarray]]]:
 MANIFEST = "shard int, path string, ids long, documents long, bytes long"
 
 
-def write_files(docs: DataFrame, tokenizer: str, folder: str, *, id_col="doc_id", text_col="text", end_id: int = END_ID) -> DataFrame:
+def write_files(docs: DataFrame, tokenizer: str, folder: str, *, id_col="doc_id", text_col="text", end_id: int = END_ID, special: bool = False) -> DataFrame:
     """Writes one file a shard; shards and the documents in them ascend by id."""
     key = F.xxhash64("text")
     rows = id_column(docs, id_col, text_col).withColumn("key", key).repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key")
@@ -173,7 +174,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, *, id_col="doc_id"
                 if writer is None:
                     path, out = new_file(folder, ".ids")
                     writer = Writer(out)
-                for doc, ids in zip(piece.column("doc_id").to_pylist(), tokens(tokenizer)([t or "" for t in piece.column("text").to_pylist()])):
+                for doc, ids in zip(piece.column("doc_id").to_pylist(), tokens(tokenizer, special)([t or "" for t in piece.column("text").to_pylist()])):
                     writer.add(doc, np.concatenate([ids, end]))
         if writer is not None:
             writer.close()

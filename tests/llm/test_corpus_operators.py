@@ -17,7 +17,7 @@ import pytest
 from llm_data import CLASHING, frame, odd_rows, prose
 from tokenizers import Tokenizer
 
-from logweave.llm import common, files, induced, near_dup, phrases, range_coder, recurring, suffix_dedup, token_files, warc_zip
+from logweave.llm import common, files, induced, near_dup, phrases, queries, range_coder, recurring, suffix_dedup, token_files, warc_zip
 from logweave.llm.components import components
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -59,6 +59,17 @@ def test_token_files(spark, empty):
     assert token_files.report(empty, JSON).count() == 0
 
 
+def test_the_query_has_special_tokens_as_the_library_has_them(spark, tmp_path):
+    rng = random.Random(3)
+    texts = ["a<|endoftext|>b", " x <|endoftext|>  y"] + ["".join(rng.choice(["<|endoftext|>", " ", "\n", "a", "é", "<|", "'s"]) for _ in range(8)) for _ in range(40)]
+    frame(spark, [(d, t, None) for d, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    tokenizer = Tokenizer.from_file(JSON)
+    ids = [tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert 50256 in ids[0]
+    same(queries.op1_mixed_range_coder(spark, str(tmp_path)), [(d, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for d, x in enumerate(ids)],
+         ["doc_id", "n_tokens", "ids_crc32"])
+
+
 def test_damaged_blocks_are_found(tmp_path):
     path, out = files.new_file(str(tmp_path), ".ids")
     writer = token_files.Writer(out, block=16, lanes=4)
