@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from logweave.llm import bpe, decontam, langid, near_dup, phrases, quality, secret_scan, suffix_dedup, token_files, warc_zip
+from logweave.llm import (
+    bpe, decontam, langid, mixture, near_dup, phrases, quality, secret_scan, suffix_dedup, token_files, turn_repair, vector_codes, warc_zip,
+)
 
 
 def _read(spark, sf, name):
@@ -51,8 +53,21 @@ def op10_induced_sorting(spark, sf):
     return suffix_dedup.report(_read(spark, sf, "documents"))
 
 
+def op11_repetition_rates(spark, sf):
+    return mixture.report(_read(spark, sf, "documents"))
+
+
+def op12_cover_tree_lloyd(spark, sf):
+    return vector_codes.report(_read(spark, sf, "embeddings"))
+
+
+def op13_target_alignment(spark, sf):
+    return turn_repair.report(_read(spark, sf, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (op1_mixed_range_coder, op2_secret_links, op3_rule_cascade, op4_phrase_automata, op5_benchmark_hash_set, op6_subword_language, op7_zip_packages,
-                                     op8_chosen_path, op9_sentencepiece_bpe, op10_induced_sorting)}
+                                     op8_chosen_path, op9_sentencepiece_bpe, op10_induced_sorting, op11_repetition_rates, op12_cover_tree_lloyd,
+                                     op13_target_alignment)}
 
 #: The others rest on a tokenizer, a trained model or positions of matches, which SQL cannot state.
 ORACLE = {
@@ -62,4 +77,7 @@ ORACLE = {
     "op7_zip_packages": warc_zip.ORACLE,
     "op8_chosen_path": near_dup.ORACLE,
     "op10_induced_sorting": suffix_dedup.ORACLE,
+    "op11_repetition_rates": mixture.ORACLE,
+    "op12_cover_tree_lloyd": vector_codes.ORACLE,
+    "op13_target_alignment": turn_repair.ORACLE,
 }
