@@ -70,16 +70,19 @@ def _eq_count(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("="), F.lit("")))
 
 
-def strict_equals_ok(content, regex) -> Column:
-    """The ``=`` count rule of the strict matcher (JVM)."""
-    c = F.replace(_c(content), F.lit(","), F.lit(""))
-    r = F.replace(_lit_or_col(regex), F.lit(","), F.lit(""))
-    t_eq = _eq_count(r)
-    total = _eq_count(c)
+def _line_equals(c: Column) -> tuple[Column, Column, Column]:
+    """``=`` in a line: all, outside round and curly brackets, and before the second colon (-1 without one)."""
     outside = _eq_count(F.regexp_replace(F.regexp_replace(c, F.lit(r"\([^\)]*\)"), F.lit("")),
                                          F.lit(r"\{[^\}]*\}"), F.lit("")))
     n_colon = F.length(c) - F.length(F.replace(c, F.lit(":"), F.lit("")))
     truncated = F.when(n_colon >= 2, _eq_count(F.substring_index(c, ":", 2))).otherwise(F.lit(-1))
+    return _eq_count(c), outside, truncated
+
+
+def strict_equals_ok(content, regex) -> Column:
+    """The ``=`` count rule of the strict matcher (JVM)."""
+    t_eq = _eq_count(F.replace(_lit_or_col(regex), F.lit(","), F.lit("")))
+    total, outside, truncated = _line_equals(F.replace(_c(content), F.lit(","), F.lit("")))
     return (t_eq == total) | (t_eq == outside) | (t_eq == truncated)
 
 
@@ -104,13 +107,17 @@ def is_simple_template(regex) -> Column:
     return ~r.rlike(r"[\\.*?+()\[\]{}|^$]")
 
 
-def _segment_fit(c: Column, r: Column, open_end: Column | None = None) -> Column:
-    """``struct(ok, eq_in_groups)`` for a simple template ``r`` on line ``c``.
+def _segments(r: Column) -> Column:
+    """The literal texts of a simple template between its wildcards, escapes removed."""
+    return F.transform(F.split(r, _WILD_SPLIT, -1), lambda x: F.regexp_replace(x, r"(?s)\\(.)", "$1"))
+
+
+def _place(c: Column, segs: Column, open_end: Column | None = None) -> Column:
+    """``struct(ok, eq)``: do the segments of a simple template fit line ``c``, and does a group but the last hold ``=``.
 
     ``open_end``: the last segment need not end the line (the strict matcher
     adds no end anchor to a template that already ends in ``$``).
     """
-    segs = F.transform(F.split(r, _WILD_SPLIT, -1), lambda x: F.regexp_replace(x, r"(?s)\\(.)", "$1"))
     k = F.size(segs) - 1
     first = F.try_element_at(segs, F.lit(1))
     last = F.try_element_at(segs, F.lit(-1))
@@ -126,7 +133,8 @@ def _segment_fit(c: Column, r: Column, open_end: Column | None = None) -> Column
         return F.when(acc["pos"] == 0, acc).when(p == 0, F.struct(F.lit(0).alias("pos"), acc["eq"].alias("eq"))) \
             .otherwise(F.struct((p + F.length(sg)).alias("pos"), (acc["eq"] | gap.contains("=")).alias("eq")))
 
-    res = F.aggregate(middle, init, step)
+    # Most pairs fail at the ends, before any middle segment is looked for.
+    res = F.when(c.startswith(first) & (k > 0), F.aggregate(middle, init, step)).otherwise(F.struct(F.lit(0).alias("pos"), F.lit(False).alias("eq")))
     ok_multi = c.startswith(first) & c.endswith(last) & (n >= F.length(first) + F.length(last)) \
         & (res["pos"] > 0) & (res["pos"] <= end_limit)
     ok = F.when(k == 0, c == first).otherwise(ok_multi)
@@ -140,17 +148,63 @@ def _segment_fit(c: Column, r: Column, open_end: Column | None = None) -> Column
 
 def segment_lenient(content, regex) -> Column:
     c = F.translate(_c(content), ",$", "")
-    r = F.translate(_lit_or_col(regex), ",$", "")
-    return _segment_fit(c, r)["ok"]
+    return _place(c, _segments(F.translate(_lit_or_col(regex), ",$", "")))["ok"]
 
 
 def segment_strict(content, regex) -> Column:
     c = F.replace(_c(content), F.lit(","), F.lit(""))
     r = F.replace(_lit_or_col(regex), F.lit(","), F.lit(""))
-    fit = _segment_fit(c, r, open_end=r.endswith("$"))
+    fit = _place(c, _segments(r), open_end=r.endswith("$"))
     return strict_equals_ok(content, regex) & fit["ok"] & ~fit["eq"]
 
 
+# What belongs to a template or to a line alone, worked out once each instead of once a pair.
+
+def lenient_parts(regex) -> Column:
+    """``struct(plain, segs)`` of a template for the lenient matcher; ``segs`` is null unless it is simple."""
+    r = F.translate(_lit_or_col(regex), ",$", "")
+    plain = F.coalesce(is_simple_template(r), F.lit(False))
+    return F.struct(plain.alias("plain"), F.when(plain, _segments(r)).alias("segs"))
+
+
+def lenient_line(content) -> Column:
+    """A line as the lenient matcher reads it; worked out once a line, as a column of its own."""
+    return F.translate(_c(content), ",$", "")
+
+
+def match_lenient_parts(content, regex, line: Column, parts: Column) -> Column:
+    """``match_lenient`` with the ``lenient_line`` and the template's ``lenient_parts``: simple templates on one-line
+    texts go by their segments."""
+    plain = parts["plain"] & ~line.contains("\n")
+    return F.when(plain, _place(line, parts["segs"])["ok"]).otherwise(match_lenient(content, regex))
+
+
+def strict_parts(regex) -> Column:
+    """``struct(plain, segs, eq, open_end)`` of a template for the strict matcher."""
+    r = F.replace(_lit_or_col(regex), F.lit(","), F.lit(""))
+    plain = F.coalesce(is_simple_template(r), F.lit(False))
+    return F.struct(plain.alias("plain"), F.when(plain, _segments(r)).alias("segs"), _eq_count(r).alias("eq"), r.endswith("$").alias("open_end"))
+
+
+def line_parts(content) -> Column:
+    """``struct(bare, eq, outside, truncated)`` of a line for the strict matcher: the text without commas and its ``=`` counts."""
+    c = F.replace(_c(content), F.lit(","), F.lit(""))
+    total, outside, truncated = _line_equals(c)
+    return F.struct(c.alias("bare"), total.alias("eq"), outside.alias("outside"), truncated.alias("truncated"))
+
+
+def match_strict_parts(content, regex, line: Column, template: Column) -> Column:
+    """``match_strict`` with the ``line_parts`` of the line and the ``strict_parts`` of the template.
+
+    A simple template matches where its segments do, and the first match leaves the gaps between them to
+    its groups, so nothing is backtracked and no pattern is compiled for the pair.
+    """
+    equals = template["eq"].eqNullSafe(line["eq"]) | template["eq"].eqNullSafe(line["outside"]) | template["eq"].eqNullSafe(line["truncated"])
+    fit = _place(line["bare"], template["segs"], template["open_end"])
+    plain = template["plain"] & ~line["bare"].contains("\n")
+    return F.coalesce(F.when(~equals, F.lit(False)).when(plain, fit["ok"] & ~fit["eq"]).otherwise(match_strict(content, regex)), F.lit(False))
+
+
 def _fast_path(content, regex, drop: str) -> Column:
     r = F.translate(_lit_or_col(regex), drop, "")
     return is_simple_template(r) & ~_c(content).contains("\n")

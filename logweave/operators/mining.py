@@ -5,12 +5,12 @@ Plan (all JVM until step 3):
 1. mask and tokenise every line;
 2. collapse lines to distinct masked patterns per dataset (map-side combine);
 3. patterns shorter than ``depth`` tokens are their own group (exact text);
-4. the rest are clustered by a grouped pandas function per ``(dataset, n)``
+4. the rest are clustered per ``(dataset, n)``
    over **patterns only**, in first-occurrence order: prefix routing on the
    first ``depth-1`` tokens, best template by similarity (ties: more
    wildcards, then the older cluster), merge when similarity >= ``st``;
-   branches of the tree that provably never meet (by the tokens themselves, at
-   every size) are dealt to different tasks;
+   parts of the tree that provably never meet (by the tokens' first ids, at
+   every size) are dealt to different tasks, which stream them;
 5. the template goes back onto every line by an equi-join on the pattern;
    the event id is the 8-hex md5 prefix of the template, grouping is by the
    full template text.
@@ -21,13 +21,14 @@ from __future__ import annotations
 from typing import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.masking import mask_variables
 from logweave.functions.text import tokenize
+from logweave.session import cut_lineage, spread
 
 WILD = "<*>"
 _WILD_ID = 0
@@ -37,11 +38,12 @@ _WILD_ID = 0
 # In-group clustering (runs inside one task on one bounded group)
 # ---------------------------------------------------------------------------
 class _Node:
-    __slots__ = ("kids", "leaf")
+    __slots__ = ("kids", "leaf", "elsewhere")
 
-    def __init__(self):
+    def __init__(self, elsewhere: int = 0):
         self.kids: dict = {}
         self.leaf = None
+        self.elsewhere = elsewhere  # children whose branches are held by other tasks
 
 
 class _Leaf:
@@ -72,13 +74,18 @@ def _has_digit(tok: str) -> bool:
 
 
 class PrefixClusterer:
-    """Greedy clustering of equal-length token sequences (one ``n``)."""
+    """Greedy clustering of equal-length token sequences (one ``n``).
 
-    def __init__(self, depth: int, st: float, max_child: int):
+    A part of a tree: all sequences share the path to the node of level ``rest``, which has ``elsewhere`` further children
+    that none of them can reach (``rest`` under 0: the whole tree, or one of its leaves).
+    """
+
+    def __init__(self, depth: int, st: float, max_child: int, rest: int = -1, elsewhere: int = 0):
         self.levels = max(depth - 1, 0)
         self.st = st
         self.max_child = max_child
-        self.root = _Node()
+        self.rest, self.elsewhere = rest, elsewhere
+        self.root = _Node(elsewhere if rest == 0 else 0)
         self.vocab = {WILD: _WILD_ID}
         self.templates: list[np.ndarray] = []
         self.where: list[tuple[_Leaf, int]] = []
@@ -98,25 +105,26 @@ class PrefixClusterer:
             node = nxt
         return node.leaf
 
+    def _child(self, level: int) -> _Node:
+        return _Node(self.elsewhere if level + 1 == self.rest else 0)
+
     def _insert_leaf(self, tokens, width: int) -> _Leaf:
         node = self.root
-        for tok in tokens[:self.levels]:
+        for level, tok in enumerate(tokens[:self.levels]):
             kids = node.kids
             nxt = kids.get(tok)
             if nxt is None:
+                many = len(kids) + node.elsewhere
                 if _has_digit(tok):
-                    nxt = kids.get(WILD)
-                    if nxt is None:
-                        nxt = kids[WILD] = _Node()
+                    room = False
                 elif WILD in kids:
-                    if len(kids) < self.max_child:
-                        nxt = kids[tok] = _Node()
-                    else:
-                        nxt = kids[WILD]
-                elif len(kids) + 1 < self.max_child:
-                    nxt = kids[tok] = _Node()
+                    room = many < self.max_child
                 else:
-                    nxt = kids.setdefault(WILD, _Node())
+                    room = many + 1 < self.max_child
+                name = tok if room else WILD
+                nxt = kids.get(name)
+                if nxt is None:
+                    nxt = kids[name] = self._child(level)
             node = nxt
         if node.leaf is None:
             node.leaf = _Leaf(width)
@@ -158,33 +166,6 @@ class PrefixClusterer:
         return self._inv
 
 
-def cluster_frame(pdf: pd.DataFrame, depth: int, st: float, max_child: int) -> pd.DataFrame:
-    """Cluster one group of rows ``(key, first_id, pattern)`` of equal token count.
-
-    Returns ``key, template`` for every input row.
-    """
-    if pdf.empty:
-        return pd.DataFrame({"key": pd.Series([], dtype=object), "template": pd.Series([], dtype=object),
-                             "first_id": pd.Series([], dtype="int64")})
-    pdf = pdf.sort_values(["first_id", "key"], kind="stable")
-    cl = PrefixClusterer(depth, st, max_child)
-    gids = []
-    toks_list = []
-    for pat in pdf["pattern"]:
-        toks = pat.split(" ") if pat else []
-        toks_list.append(len(toks))
-        gids.append(cl.add(toks))
-    cache: dict[int, str] = {}
-    out = []
-    for gid, n in zip(gids, toks_list):
-        t = cache.get(gid)
-        if t is None:
-            t = cache[gid] = cl.template(gid, n)
-        out.append(t)
-    return pd.DataFrame({"key": pdf["key"].to_numpy(), "template": out,
-                         "first_id": pdf["first_id"].to_numpy()})
-
-
 # ---------------------------------------------------------------------------
 # Spark operators
 # ---------------------------------------------------------------------------
@@ -202,44 +183,87 @@ def masked_tokens(lines: DataFrame, masks: Sequence[str], unicode: bool = True,
 
 def pattern_counts(lines: DataFrame, masks: Sequence[str], unicode: bool = True) -> DataFrame:
     """Distinct masked patterns per dataset: ``dataset, pattern, n_tokens, n, first_id``."""
-    m = masked_tokens(lines, masks, unicode).filter(F.col("content").isNotNull())
+    m = masked_tokens(spread(lines.select("dataset", "line_id", "content")), masks, unicode).filter(F.col("content").isNotNull())
     return m.groupBy("dataset", "pattern").agg(
         F.first("n_tokens").alias("n_tokens"),
         F.count(F.lit(1)).alias("n"),
         F.min("line_id").alias("first_id"))
 
 
-def _cluster_groups(rows: DataFrame, keys: list[str], depth: int, st: float, max_child: int) -> DataFrame:
-    """Run ``cluster_frame`` per ``keys`` group; rows: keys + key, first_id, pattern."""
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        res = cluster_frame(pdf[["key", "first_id", "pattern"]], depth, st, max_child)
-        for k in keys:
-            res[k] = pdf[k].iloc[0] if len(pdf) else None
-        return res[keys + ["key", "template", "first_id"]]
+#: What the rows of one part of a tree share.
+_PART = ["dataset", "n_tokens", "subtree", "rest", "elsewhere"]
+#: Rows that a task gives back at once.
+_BATCH = 4096
+
 
-    schema = ", ".join(f"{k} {t}" for k, t in rows.select(*keys).dtypes) + \
-        ", key string, template string, first_id long"
-    return rows.groupBy(*keys).applyInPandas(fn, schema)
+def _cluster_parts(rows: DataFrame, depth: int, st: float, max_child: int) -> DataFrame:
+    """Cluster the patterns of every part (``_PART``) in the order of (first_id, key); returns ``dataset, key, template``.
+
+    A task streams its parts one after another, so a part costs no more than its patterns.  Few bytes but
+    much work a row: a stated number of partitions, which are not merged by size.
+    """
+    def batches_of(dataset, keys, gids, clusterer, n):
+        texts: dict[int, str] = {}
+        templates = [texts[g] if g in texts else texts.setdefault(g, clusterer.template(g, n)) for g in gids]
+        for at in range(0, len(keys), _BATCH):
+            part = keys[at:at + _BATCH]
+            yield pa.RecordBatch.from_arrays([pa.array([dataset] * len(part), pa.string()), pa.array(part, pa.string()), pa.array(templates[at:at + _BATCH], pa.string())],
+                                             names=["dataset", "key", "template"])
+
+    def run(batches):
+        current, clusterer, keys, gids = None, None, [], []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in [*_PART, "key", "pattern"]]
+            for *part, key, pattern in zip(*columns):
+                if part != current:
+                    if keys:
+                        yield from batches_of(current[0], keys, gids, clusterer, current[1])
+                    current, keys, gids = part, [], []
+                    clusterer = PrefixClusterer(depth, st, max_child, part[3], part[4])
+                keys.append(pattern if key is None else key)
+                gids.append(clusterer.add(pattern.split(" ") if pattern else []))
+        if keys:
+            yield from batches_of(current[0], keys, gids, clusterer, current[1])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A key that is the pattern itself travels once.
+    own = F.when(F.col("key") != F.col("pattern"), F.col("key"))
+    dealt = rows.repartition(parts, *_PART).sortWithinPartitions(*_PART, "first_id", "key")
+    return dealt.select(*_PART, own.alias("key"), "pattern").mapInArrow(run, "dataset string, key string, template string")
 
 
 def _subtrees(patterns: DataFrame, levels: int, max_child: int) -> DataFrame:
-    """Adds ``subtree``: the leading tokens up to which a pattern's branch of the prefix
-    tree stands apart from all others, whatever else arrives.
+    """Adds ``subtree, rest, elsewhere``: the part of the prefix tree that a pattern surely stays in.
 
-    At a level where no token of a branch holds a digit or is a wildcard and
-    fewer than ``max_child`` tokens occur, every token gets its own child, so the
-    children never meet.  Below the first level where that fails nothing is parted.
+    A node gives tokens a child of their own in the order in which they first come, until a token with a digit
+    or a wildcard comes or the node is full; from then on a wildcard child may catch others.  The tokens from before (``max_child`` - 1 at most)
+    surely have their own child, and every pattern with one of them goes there.  All other patterns of the node
+    may meet: they are a part of their own (``rest`` is its level), which only has to know the number of sure children (``elsewhere``).  All
+    this is read off the first ids of tokens, so the parts make the templates of the one tree.
     """
-    token = lambda i: F.get(F.split("pattern", " "), F.lit(i))
-    out = patterns.withColumn("subtree", F.lit("")).withColumn("__open", F.lit(True))
-    for i in range(levels):
-        keys = ["dataset", "n_tokens", "subtree"]
-        free = out.filter("__open").groupBy(*keys).agg(
-            F.max(token(i).rlike(r"\p{N}") | (token(i) == WILD)).alias("__mixed"), F.count_distinct(token(i)).alias("__kids")) \
-            .filter(~F.col("__mixed") & (F.col("__kids") < max_child)).select(*keys, F.lit(True).alias("__parts"))
-        out = out.join(free, keys, "left").withColumn("__open", F.col("__open") & F.coalesce("__parts", F.lit(False))) \
-            .withColumn("subtree", F.when(F.col("__open"), F.concat_ws(" ", "subtree", token(i))).otherwise(F.col("subtree"))).drop("__parts")
-    return out.drop("__open")
+    own_rows = patterns.withColumn("heads", F.slice(F.split("pattern", " ", levels + 1), 1, levels))
+    # The levels are settled on the distinct leading tokens; patterns meet the outcome once.
+    at = F.min(F.struct("first_id", "key")).alias("first")
+    out = cut_lineage(own_rows.groupBy("dataset", "n_tokens", "heads").agg(at)) \
+        .withColumn("subtree", F.lit("")).withColumn("rest", F.lit(-1)).withColumn("elsewhere", F.lit(0))
+    node = ["dataset", "n_tokens", "subtree"]
+    for level in range(levels):
+        out = out.withColumn("token", F.get("heads", F.lit(level)))
+        seen = out.filter("rest < 0").groupBy(*node, "token").agg(F.min("first").alias("first"))
+        mixed = F.col("token").rlike(r"\p{N}") | (F.col("token") == WILD)
+        # No more than the first max_child tokens matter; Spark cuts every partition to them before the shuffle.
+        place = F.row_number().over(Window.partitionBy(*node).orderBy("first"))
+        heads = seen.withColumn("place", place).filter(F.col("place") <= max_child).groupBy(*node).agg(
+            F.array_sort(F.collect_list(F.struct("place", "token", mixed.alias("mixed")))).alias("heads_of"))
+        until = F.array_position(F.col("heads_of.mixed"), F.lit(True)) - 1
+        sure = heads.select(*node, F.slice("heads_of", 1, F.when(until >= 0, until).otherwise(max_child - 1).cast("int"))["token"].alias("sure"))
+        out = out.join(sure, node, "left")
+        own = F.coalesce(F.array_contains("sure", F.col("token")), F.lit(False))
+        here = F.col("rest") < 0
+        out = out.withColumn("elsewhere", F.when(here & ~own, F.coalesce(F.array_size("sure"), F.lit(0))).otherwise(F.col("elsewhere"))) \
+            .withColumn("subtree", F.when(here & own, F.concat_ws(" ", "subtree", "token")).otherwise(F.col("subtree"))) \
+            .withColumn("rest", F.when(here & ~own, level).otherwise(F.col("rest"))).drop("sure", "token")
+    return own_rows.join(out.drop("first"), ["dataset", "n_tokens", "heads"]).drop("heads")
 
 
 def _mapping_bytes(rows: DataFrame) -> int:
@@ -262,12 +286,8 @@ def cluster_patterns(patterns: DataFrame, depth: int = 4, st: float = 0.5, max_c
     short = patterns.filter(F.col("n_tokens") < depth).select(
         "dataset", "key", F.col("pattern").alias("template"))
     long = _subtrees(patterns.filter(F.col("n_tokens") >= depth), max(depth - 1, 0), max_child)
-    parts = int(patterns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Several branches may share a task: they do not meet in its tree either.
-    long = long.withColumn("part", F.pmod(F.xxhash64("subtree"), F.lit(parts)))
-    done = _cluster_groups(long.select("dataset", "n_tokens", "part", "key", "first_id", "pattern"),
-                           ["dataset", "n_tokens", "part"], depth, st, max_child)
-    return short.unionByName(done.select("dataset", "key", "template"))
+    done = _cluster_parts(long.select(*_PART, "key", "first_id", "pattern"), depth, st, max_child)
+    return short.unionByName(done)
 
 
 def event_id(template) -> Column:
@@ -283,13 +303,16 @@ def mine_templates(lines: DataFrame, masks: Sequence[str], depth: int = 4, st: f
     a null template.  Patterns are distinct ones in the order of their first line; the
     lines are read again for the final join on the pattern.
     """
-    m = masked_tokens(lines, masks, unicode)
+    m = masked_tokens(spread(lines.select("dataset", "line_id", "content")), masks, unicode)
     rows = m.filter(F.col("content").isNotNull()).groupBy("dataset", "pattern").agg(
         F.first("n_tokens").alias("n_tokens"), F.min("line_id").alias("first_id"))
     rows = rows.select("dataset", F.col("pattern").alias("key"), "pattern", "n_tokens", "first_id") \
         .persist(StorageLevel.MEMORY_AND_DISK)
-    mapping = cluster_patterns(rows, depth, st, max_child).withColumnRenamed("key", "pattern")
-    if _mapping_bytes(rows) <= BROADCAST_MAPPING_BYTES:
+    # Written once: callers read the mined lines more than once.
+    mapping = cut_lineage(cluster_patterns(rows, depth, st, max_child).withColumnRenamed("key", "pattern"))
+    size = _mapping_bytes(rows)
+    rows.unpersist()
+    if size <= BROADCAST_MAPPING_BYTES:
         # Size checked above: the line side is not shuffled at all.
         mapping = F.broadcast(mapping)
     out = m.join(mapping, ["dataset", "pattern"], "left").select("dataset", "line_id", "content", "template")

@@ -7,9 +7,11 @@ static token are remembered but are not match candidates.
 
 Matching (first hit in pool order, strict matcher) is a theta join.  It is
 run as an equi-join on an *anchor*: a run of word characters that a template
-holds between other literal characters, the rarest such run in the pool.  A line can
+holds between other literal characters, the rarest in the pool of its longest such runs.  A line can
 only match a template if that run is one of its own, so the join emits only plausible
 pairs; the pairs are then verified and the best one per distinct line kept with ``min_by``.
+Templates without a whole run (every word touches a wildcard) have a rare gram of their literal
+text as key instead; only those with neither join on (dataset, word count).
 Lines are matched as distinct contents and joined back.
 """
 
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.functions.matching import is_simple_template, match_strict, regex_is_valid_udf
+from logweave.functions.matching import is_simple_template, line_parts, match_strict, match_strict_parts, regex_is_valid_udf, strict_parts
 from logweave.functions.templates import (
     clean_template, regex_word_count, static_token_count,
 )
@@ -43,8 +45,12 @@ def template_pool(proposals: DataFrame, check_col: str | None = None, rank: bool
         p = p.join(checks, ["dataset", "template_regex", check_col], "left_semi")
     first = p.groupBy("dataset", "template_regex").agg(F.min("seq").alias("seq"))
     # (null and empty templates are invalid)
-    # Invalid patterns never match; checked once per distinct template.
-    first = first.filter(regex_is_valid_udf(F.replace(F.col("template_regex"), F.lit(","), F.lit(""))))
+    # Invalid patterns never match; checked once per distinct template, and only where there is
+    # more to a template than literals and wildcards.
+    bare = F.replace(F.col("template_regex"), F.lit(","), F.lit(""))
+    simple = F.coalesce(is_simple_template(bare), F.lit(False)) & (F.col("template_regex") != "")
+    first = first.withColumn("__simple", simple) \
+        .filter(F.col("__simple") | regex_is_valid_udf(F.when(~F.col("__simple"), bare))).drop("__simple")
     first = first.withColumn("word_count", regex_word_count("template_regex")) \
         .withColumn("static_tokens", static_token_count("template_regex")) \
         .withColumn("candidate", F.col("static_tokens") > 1) \
@@ -69,48 +75,112 @@ BROADCAST_BYTES = 32 << 20
 _GAP = "\x01"
 #: A whole run of word characters: bounded by other literal characters or the ends.
 _RUN = r"(?U)(?<![\w\x01])\w+(?![\w\x01])"
+#: An anchor is the rarest of a template's longest runs, so many of them; any run would do, as every matching line holds all.
+_LONGEST = 4
+#: Literal text of a template in grams of so many characters, the key of templates without a whole run.
+GRAM = 3
+
+
+def _literal(regex) -> F.Column:
+    r = F.replace(regex, F.lit(","), F.lit(""))
+    return F.regexp_replace(F.replace(r, F.lit("(.*?)"), F.lit(_GAP)), r"(?s)\\(.)", "$1")
+
+
+def _grams(text) -> F.Column:
+    """The distinct grams of each piece of a literal text, none across a wildcard."""
+    def of(piece):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(piece) - (GRAM - 1), F.lit(1))), lambda i: F.substring(piece, i, F.lit(GRAM)))
+    return F.array_distinct(F.filter(F.flatten(F.transform(F.split(text, _GAP), of)), lambda g: F.length(g) == GRAM))
 
 
 def template_anchors(pool: DataFrame) -> DataFrame:
     """A run of word characters that every matching line holds as a whole run: of a
-    template's runs the one that the fewest templates share (null when it has none)."""
+    template's longest runs the one that the fewest templates share (null when it has none)."""
     c = pool.filter("candidate").select("dataset", "template_id", "template_regex", "word_count", "seq")
-    r = F.replace(F.col("template_regex"), F.lit(","), F.lit(""))
-    literal = F.regexp_replace(F.replace(r, F.lit("(.*?)"), F.lit(_GAP)), r"(?s)\\(.)", "$1")
-    runs = c.filter(is_simple_template(r)).select(
-        "dataset", "template_id", F.explode(F.array_distinct(F.regexp_extract_all(literal, F.lit(_RUN), 0))).alias("anchor"))
-    shared = runs.groupBy("dataset", "anchor").agg(F.count(F.lit(1)).alias("n"))
-    best = runs.join(shared, ["dataset", "anchor"]).groupBy("dataset", "template_id").agg(
-        F.min_by("anchor", F.struct("n", (-F.length("anchor")).alias("l"), "anchor")).alias("anchor"))
-    return c.join(best, ["dataset", "template_id"], "left")
+    return _rarest(c.withColumn("keys", _runs_of(F.col("template_regex"))), "anchor")
 
 
-def match_templates(lines: DataFrame, pool: DataFrame) -> DataFrame:
-    """First pool template (by word count desc, insertion order) that strictly
-    matches each line, for lines with at least its word count.
+def _runs_of(regex) -> F.Column:
+    simple = is_simple_template(F.replace(regex, F.lit(","), F.lit("")))
+    runs = F.array_distinct(F.regexp_extract_all(_literal(regex), F.lit(_RUN), 0))
+    return F.when(simple, runs).otherwise(F.array().cast("array<string>"))
+
+
+def _longest(keys) -> F.Column:
+    by_length = F.array_sort(F.transform(keys, lambda k: F.struct((-F.length(k)).alias("l"), k.alias("k"))))
+    return F.slice(by_length, 1, _LONGEST)["k"]
+
+
+def _rarest(c: DataFrame, name: str) -> DataFrame:
+    """``c`` without its ``keys`` but with the one of the longest of them that the fewest templates have."""
+    runs = c.select("dataset", "template_id", F.explode(_longest(F.col("keys"))).alias(name))
+    shared = runs.groupBy("dataset", name).agg(F.count(F.lit(1)).alias("n"))
+    best = runs.join(shared, ["dataset", name]).groupBy("dataset", "template_id").agg(
+        F.min_by(name, F.struct("n", (-F.length(name)).alias("l"), name)).alias(name))
+    return c.drop("keys").join(best, ["dataset", "template_id"], "left")
+
+
+def possible_templates(templates: DataFrame, lines: DataFrame) -> DataFrame:
+    """Of the proposals ``dataset, template`` those that could match one of ``lines`` (dataset, content): every
+    whole run of word characters of a template must be a run of some line, and the longest ones are looked up.
 
-    ``lines``: dataset, content and any other columns.  Returns the lines with
-    ``template_id, template_regex`` (null when nothing matches).  Runs of words travel with
-    a digest of their line; the text comes back for the pairs that share an anchor.
+    A pool of many templates for few lines is cut to what matters before anything dear is done with it.
+    """
+    bare = F.replace(F.col("content"), F.lit(","), F.lit(""))
+    said = lines.select("dataset", F.explode(F.array_distinct(F.regexp_extract_all(bare, F.lit(r"(?U)\w+"), 0))).alias("run")).distinct()
+    cleaned = templates.select("dataset", "template").distinct().withColumn("__clean", clean_template("template")).filter(F.col("__clean").isNotNull())
+    runs = cleaned.select("dataset", "template", F.explode_outer(_longest(_runs_of(F.col("__clean")))).alias("run"))
+    absent = F.col("run").isNotNull() & F.col("__said").isNull()
+    return runs.join(said.withColumn("__said", F.lit(1)), ["dataset", "run"], "left").groupBy("dataset", "template") \
+        .agg(F.max(absent).alias("__absent")).filter(~F.col("__absent")).drop("__absent")
+
+
+def index_templates(pool: DataFrame) -> DataFrame:
+    """The candidates of a pool, written once with all that matching needs of a template: ``anchor`` (a whole run
+    of word characters), else ``gram`` (a rare piece of its literal text), and ``parts`` (its segments and ``=`` count).
+
+    Indexes of several pools are united as they are, so a growing pool indexes only what it gains.
+    """
+    c = cut_lineage(pool.filter("candidate").select("dataset", "template_id", "template_regex", "word_count", "seq",
+                                                    strict_parts("template_regex").alias("parts"), _runs_of(F.col("template_regex")).alias("keys")))
+    anchored = _rarest(c, "anchor")
+    grams = F.when((F.size("keys") == 0) & F.col("parts.plain"), _grams(_literal(F.col("template_regex")))).otherwise(F.array().cast("array<string>"))
+    loose = _rarest(c.filter(F.size("keys") == 0).withColumn("keys", grams), "gram").select("dataset", "template_id", "gram")
+    return cut_lineage(anchored.join(loose, ["dataset", "template_id"], "left"))
+
+
+def match_indexed(lines: DataFrame, index: DataFrame) -> DataFrame:
+    """First indexed template (by word count desc, insertion order) that strictly matches each line, for lines with
+    at least its word count.  Returns the lines with ``template_id, template_regex`` (null when nothing matches).
+
+    Keys of lines travel with a digest; the text, with what matching needs of a line, comes back for the pairs that share a key.
     """
     distinct = lines.select("dataset", "content").where(F.col("content").isNotNull()).distinct() \
         .withColumn("n_tokens", F.size(F.filter(F.split("content", "(?U)\\s+"), lambda t: t != ""))) \
         .withColumn("digest", F.unhex(F.md5("content")))
-    # A few columns of the template table, read several times: written once, and sent to
-    # every task only below a checked number of bytes.
-    anchors = cut_lineage(template_anchors(pool))
-    size = anchors.agg(F.sum(F.octet_length("template_regex") + F.coalesce(F.octet_length("anchor"), F.lit(0)) + 64)).first()[0] or 0
-    send = F.broadcast if size <= BROADCAST_BYTES else (lambda df: df)
-    runs = F.array_distinct(F.regexp_extract_all(F.replace(F.col("content"), F.lit(","), F.lit("")), F.lit(r"(?U)\w+"), 0))
-    words = distinct.select("dataset", "digest", "n_tokens", F.explode(runs).alias("anchor"))
-    pairs = words.join(send(anchors.filter(F.col("anchor").isNotNull())), ["dataset", "anchor"]).drop("anchor")
-    pairs = pairs.filter(F.col("word_count") <= F.col("n_tokens")).drop("n_tokens")
-    # Templates without a whole run (every word touches a wildcard) can fit any line that has their words.
-    floating = anchors.filter(F.col("anchor").isNull()).drop("anchor")
-    if not floating.isEmpty():
-        counts = distinct.select("dataset", "digest", F.explode(F.sequence(F.lit(1), F.greatest("n_tokens", F.lit(1)))).alias("word_count"))
-        pairs = pairs.unionByName(counts.join(send(floating), ["dataset", "word_count"]))
-    hits = pairs.join(distinct.select("dataset", "digest", "content"), ["dataset", "digest"]).filter(match_strict("content", "template_regex"))
+    # Sent to every task only below a checked number of bytes.
+    kinds = index.agg(F.sum(2 * F.octet_length("template_regex") + F.coalesce(F.octet_length("anchor"), F.lit(0)) + 96),
+                      F.count("anchor"), F.count(F.when(F.col("anchor").isNull(), F.col("gram"))),
+                      F.count(F.when(F.col("anchor").isNull() & F.col("gram").isNull(), 1))).first()
+    send = F.broadcast if (kinds[0] or 0) <= BROADCAST_BYTES else (lambda df: df)
+    bare = F.replace(F.col("content"), F.lit(","), F.lit(""))
+    found = None
+    for n, where, keys, key in (
+            (kinds[1], F.col("anchor").isNotNull(), F.array_distinct(F.regexp_extract_all(bare, F.lit(r"(?U)\w+"), 0)), "anchor"),
+            (kinds[2], F.col("anchor").isNull() & F.col("gram").isNotNull(), _grams(bare), "gram"),
+            # No literal text to speak of: any line with their words.
+            (kinds[3], F.col("anchor").isNull() & F.col("gram").isNull(), F.sequence(F.lit(1), F.greatest("n_tokens", F.lit(1))), "word_count")):
+        if not n:
+            continue
+        keyed = distinct.select("dataset", "digest", "n_tokens", F.explode(keys).alias(key))
+        pairs = keyed.join(send(index.filter(where)), ["dataset", key]).filter(F.col("word_count") <= F.col("n_tokens"))
+        pairs = pairs.select("dataset", "digest", "template_id", "template_regex", "word_count", "seq", "parts")
+        found = pairs if found is None else found.unionByName(pairs)
+    if found is None:
+        none = F.lit(None)
+        return lines.withColumn("template_id", none.cast("long")).withColumn("template_regex", none.cast("string"))
+    text = distinct.select("dataset", "digest", "content", line_parts("content").alias("line"))
+    hits = found.join(text, ["dataset", "digest"]).filter(match_strict_parts("content", "template_regex", F.col("line"), F.col("parts")))
     best = hits.groupBy("dataset", "content").agg(
         F.min_by(F.struct("template_id", "template_regex"),
                  F.struct((-F.col("word_count")).alias("w"), F.col("seq").alias("s"))).alias("m"))
@@ -118,6 +188,11 @@ def match_templates(lines: DataFrame, pool: DataFrame) -> DataFrame:
     return lines.join(best, ["dataset", "content"], "left")
 
 
+def match_templates(lines: DataFrame, pool: DataFrame) -> DataFrame:
+    """``match_indexed`` against a pool that is indexed for this one use (``lines``: dataset, content and any other columns)."""
+    return match_indexed(lines, index_templates(pool))
+
+
 def templates_in_band(lengths: DataFrame, pool: DataFrame, below: int = 8, above: int = 1) -> DataFrame:
     """Candidate templates whose word count is within ``[n-below, n+above]`` of
     each distinct line length ``n`` (``lengths``: dataset, n_tokens): an equi-join on the word counts of the band."""

@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions.lints import hardcoded_params
-from logweave.functions.matching import match_lenient, regex_is_valid_udf
+from logweave.functions.matching import lenient_line, lenient_parts, match_lenient_parts, regex_is_valid_udf
 from logweave.functions.masking import mask_variables
 from logweave.functions.text import tokenize
 from logweave.functions.templates import clean_template, literal_template, template_to_regex
 from logweave.operators.mining import consensus_template
-from logweave.operators.pool import match_templates, template_pool
+from logweave.operators.pool import index_templates, match_indexed, possible_templates, template_pool
 from logweave.operators.sampling import diverse_sample
 from logweave.operators.templates import repair_templates
 from logweave.session import cut_lineage
@@ -45,13 +45,12 @@ def static_groups(groups: DataFrame, group_col: str = "event_id") -> DataFrame:
 
     Returns ``dataset, group_col, content, template_regex`` (escaped line).
     """
-    agg = groups.groupBy("dataset", group_col).agg(
-        F.count_distinct("content").alias("n_distinct"), F.min("content").alias("content"))
+    agg = groups.groupBy("dataset", group_col).agg(F.min("content").alias("content"), F.max("content").alias("__last"))
     breaker = F.lit(False)
     for s in STATIC_BREAKERS:
         breaker = breaker | F.col("content").contains(s)
     breaker = breaker | F.col("content").rlike("\\p{Nd}")
-    return agg.filter((F.col("n_distinct") == 1) & ~breaker).select(
+    return agg.filter((F.col("content") == F.col("__last")) & ~breaker).select(
         "dataset", group_col, "content", literal_template("content").alias("template_regex"))
 
 
@@ -99,11 +98,11 @@ def verify_templates(rows: DataFrame, proposals: DataFrame, lint: bool = True,
     # built-in proposer only emits escaped templates (``validate=False``).
     valid = regex_is_valid_udf(F.translate("cleaned", ",$", "")) if validate \
         else F.col("cleaned").isNotNull() & (F.col("cleaned") != "")
-    p = p.withColumn("hardcoded", F.coalesce(bad, F.lit(False))).withColumn("valid", valid)
-    j = rows.join(p, ["dataset", "group_key"], "left")
+    p = p.withColumn("hardcoded", F.coalesce(bad, F.lit(False))).withColumn("valid", valid).withColumn("__parts", lenient_parts("cleaned"))
+    j = rows.withColumn("__line", lenient_line("content")).join(p, ["dataset", "group_key"], "left")
     ok = F.col("cleaned").isNotNull() & ~F.col("hardcoded") & \
-        F.when(F.col("valid"), match_lenient("content", F.col("cleaned"))).otherwise(F.lit(False))
-    j = j.withColumn("matched", F.coalesce(ok, F.lit(False)))
+        F.when(F.col("valid"), match_lenient_parts("content", F.col("cleaned"), F.col("__line"), F.col("__parts"))).otherwise(F.lit(False))
+    j = j.withColumn("matched", F.coalesce(ok, F.lit(False))).drop("__parts", "__line")
     if not with_rate:
         return j
     rate = j.groupBy("dataset", "group_key").agg(F.avg(F.col("matched").cast("double")).alias("group_match_rate"))
@@ -130,25 +129,37 @@ def parse_logs(groups: DataFrame, masks: Sequence[str], proposer: Proposer | Non
     lines = groups.select("dataset", "line_id", "content", F.col("template").alias("mined"), F.col(group_col).alias("group_key"))
     base = cut_lineage(lines.filter(F.col("content").isNotNull() & F.col("group_key").isNotNull())
                        .groupBy(*key, "content").agg(F.min("line_id").alias("line_id"), F.min("mined").alias("mined")))
-    # Pool insertion order: word count of each group's first line, then the group key.
-    order = base.groupBy(*key).agg(F.min_by("content", "line_id").alias("first")).select(
-        *key, F.struct(F.size(tokenize(F.col("first"))).alias("words"), F.col("group_key").alias("key")).alias("seq"))
-    static = static_groups(base, "group_key").select(*key, "template_regex")
+    static = static_groups(base, "group_key")
+    base = cut_lineage(base.join(static.withColumnRenamed("template_regex", "literal"), [*key, "content"], "left"))
     columns = [*key, "content", "template_regex", "verified", "source", "history"]
-    done = base.join(static, key).withColumn("verified", F.lit(True)).withColumn("source", F.lit("static")) \
+    literal = base.filter(F.col("literal").isNotNull()).withColumnRenamed("literal", "template_regex")
+    done = literal.withColumn("verified", F.lit(True)).withColumn("source", F.lit("static")) \
         .withColumn("history", F.array("template_regex")).select(*columns)
-    todo = base.join(static.select(*key), key, "left_anti").withColumn("history", F.array().cast("array<string>"))
+    todo = base.filter(F.col("literal").isNull()).drop("literal").withColumn("history", F.array().cast("array<string>"))
 
-    def pool_of(templates: DataFrame) -> DataFrame:
-        proposals = templates.distinct().join(order, key).groupBy("dataset", "template").agg(F.min("seq").alias("seq"))
-        return template_pool(proposals, rank=False)
+    def index_of(templates: DataFrame, unsolved: DataFrame) -> DataFrame:
+        """The templates (key, template) that could match an unsolved content, indexed.  Pool insertion order: word
+        count of the first line of the template's group, then the group key."""
+        possible = cut_lineage(templates.join(possible_templates(templates, unsolved), ["dataset", "template"]).distinct())
+        first = base.join(possible.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.min_by("content", "line_id").alias("first"))
+        order = first.select(*key, F.struct(F.size(tokenize(F.col("first"))).alias("words"), F.col("group_key").alias("key")).alias("seq"))
+        proposals = possible.join(order, key).groupBy("dataset", "template").agg(F.min("seq").alias("seq"))
+        return index_templates(template_pool(proposals, rank=False))
+
+    def unsolved() -> DataFrame:
+        return todo.select("dataset", "content").unionByName(done.filter(~F.col("verified")).select("dataset", "content"))
 
     # Verified since the failing contents were last tried: older templates have failed on them already.
-    fresh = static.select(*key, F.col("template_regex").alias("template"))
+    # Each round's templates are cleaned, checked and indexed once; ``later`` are the indexes since the first round.
+    fresh = literal.select(*key, F.col("template_regex").alias("template"))
     later: DataFrame | None = None
     for r in range(rounds + 1):
         if use_pool and r and not fresh.isEmpty():
-            tried = cut_lineage(match_templates(todo, pool_of(fresh)))
+            index = index_of(fresh, unsolved())
+            if r > 1:
+                later = index if later is None else later.unionByName(index)
+            fresh = None
+            tried = cut_lineage(match_indexed(todo, index))
             hit = tried.filter(F.col("template_regex").isNotNull())
             done = done.unionByName(hit.withColumn("verified", F.lit(True)).withColumn("source", F.lit("pool")).select(*columns))
             todo = tried.filter(F.col("template_regex").isNull()).select(*todo.columns)
@@ -169,9 +180,7 @@ def parse_logs(groups: DataFrame, masks: Sequence[str], proposer: Proposer | Non
             .withColumn("history", F.array_append("history", F.col("template_regex")))
         checked = cut_lineage(checked)
         new = checked.filter("matched").select(*key, F.col("cleaned").alias("template"))
-        fresh = fresh.unionByName(new) if r == 0 else new
-        if r:
-            later = new if later is None else later.unionByName(new)
+        fresh = new if fresh is None or r else fresh.unionByName(new)
         done = done.unionByName(checked.filter("matched").select(
             *key, "content", F.col("cleaned").alias("template_regex"), F.lit(True).alias("verified"), F.lit(f"round{r}").alias("source"), "history"))
         wrong = checked.filter(~F.col("matched"))
@@ -184,10 +193,13 @@ def parse_logs(groups: DataFrame, masks: Sequence[str], proposer: Proposer | Non
         todo = wrong.join(again, key).select(*todo.columns)
         if last or todo.isEmpty():
             break
-    if use_pool and later is not None and not later.isEmpty():
+    if use_pool and r and fresh is not None and not fresh.isEmpty():
+        index = index_of(fresh, unsolved())
+        later = index if later is None else later.unionByName(index)
+    if later is not None:
         # What is left over may fit a template that was verified after its group had stopped.
         rest = done.filter(~F.col("verified"))
-        tried = match_templates(rest.withColumnRenamed("template_regex", "own"), pool_of(later))
+        tried = match_indexed(rest.withColumnRenamed("template_regex", "own"), later)
         found = F.col("template_regex").isNotNull()
         tried = tried.withColumn("verified", found).withColumn("source", F.when(found, "pool").otherwise("unverified")) \
             .withColumn("template_regex", F.coalesce("template_regex", "own"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,8 +40,7 @@ def get_session(master: str | None = None, app: str = "logweave",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.sparkContext.master.startswith("local"):
-        ship_package(spark)
+    ship_package(spark)
     checkpoint_dir(spark)
     return spark
 
@@ -64,17 +64,39 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_SHIPPED: set[str] = set()
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, for clusters where it is not installed."""
+    """Send this package to the workers, once an application: on a cluster it need not be installed, and
+    on a local master a program may run from any folder."""
     import shutil
 
     import logweave
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
     root = os.path.dirname(os.path.dirname(os.path.abspath(logweave.__file__)))
     archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="logweave-src-"), "logweave"), "zip", root, "logweave")
     spark.sparkContext.addPyFile(archive)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never localCheckpoint)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written once to the shared folder and read back (never localCheckpoint).  As a table it is compressed,
+    read by columns, and its size is known to the planner."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of input a core below which a table is dealt to all cores before costly work on its rows.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if the planner puts it under ``SPREAD_BYTES`` a core: a small file may be one
+    unsplittable piece.  Larger tables come in splits of their own and are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SPREAD_BYTES * cores else df
