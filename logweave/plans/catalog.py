@@ -931,10 +931,100 @@ def q_token_features(spark, sf):
     return spl.token_features(_events(spark, sf).select("event_type", "line_id", "content"), ["event_type"])
 
 
-@register("static_markers")
+from logweave.operators import evidence as evd  # noqa: E402
+
+# Marker words of a line, as DuckDB states them.
+_MARKERS = "list_filter(regexp_split_to_array({}, '[\\s=:;,()\\[\\]{{}}+/\"'']+'), lambda t: t <> '')"
+# Three words in turning order behind an event line: every line holds them, in columns that vary.
+_TURNS = "CASE event_id % 3 WHEN 0 THEN 'red green blue' WHEN 1 THEN 'green blue red' ELSE 'blue red green' END"
+_SCORED = f"""
+w AS (SELECT event_type, line_id, {_MARKERS.format('content')} AS words FROM lines),
+p AS (SELECT event_type, line_id, token, list_position(words, token) AS place FROM (SELECT *, unnest(list_distinct(words)) AS token FROM w)),
+n AS (SELECT event_type, token, count(*) AS lines_with FROM p GROUP BY 1, 2),
+top AS (SELECT event_type, token, max(c) AS c FROM (SELECT event_type, token, place, count(*) AS c FROM p GROUP BY ALL) GROUP BY 1, 2),
+e AS (SELECT token, sum(lines_with)::BIGINT AS corpus_lines FROM n GROUP BY 1),
+sc AS (SELECT n.event_type, n.token, n.lines_with, round(top.c / n.lines_with, 6) AS stability, e.corpus_lines,
+  round(top.c / n.lines_with * (ln(e.corpus_lines + 1.0) / ln((SELECT count(*) FROM lines) + 1.0)), 6) AS score
+  FROM n JOIN top USING (event_type, token) JOIN e USING (token)),
+u AS (
+  SELECT DISTINCT event_type, token FROM (
+    SELECT event_type, pos, token, count(DISTINCT token) OVER (PARTITION BY event_type, pos) AS vals FROM (
+      SELECT event_type, unnest(words) AS token, unnest(range(len(words))) AS pos FROM w JOIN (
+        SELECT event_type, arg_min(len(words), line_id) AS first_len FROM w GROUP BY 1) f USING (event_type)
+      WHERE first_len > 7 AND len(words) = first_len)) WHERE vals > 2)"""
+
+
+def _turning_lines(spark, sf):
+    ev = _events(spark, sf)
+    turn = F.col("line_id") % 3
+    return ev.select("dataset", "event_type", "line_id", F.concat("content", F.lit(" "), F.when(turn == 0, "red green blue").when(turn == 1, "green blue red")
+                                                                   .otherwise("blue red green")).alias("content"))
+
+
+_TURNING = f"""WITH {S.EV}, lines AS (SELECT event_type, line_id, content || ' ' || {_TURNS.replace('event_id', 'line_id')} AS content FROM ev),{_SCORED}"""
+
+
+@register("token_scores", f"""{_TURNING}
+SELECT event_type, token, lines_with, stability, corpus_lines, score FROM sc""")
+def q_token_scores(spark, sf):
+    return evd.token_scores(_turning_lines(spark, sf), ["event_type"])
+
+
+@register("unstable_tokens", f"""{_TURNING}
+SELECT event_type, token FROM u""")
+def q_unstable_tokens(spark, sf):
+    return evd.unstable_tokens(_turning_lines(spark, sf), ["event_type"])
+
+
+@register("static_markers", f"""{_TURNING}
+SELECT 'events' AS dataset, event_type, token, t AS threshold, score FROM (
+  SELECT sc.*, CASE WHEN token IN ('user', 'from') THEN 0.001::DOUBLE ELSE 0.1::DOUBLE END AS t FROM sc
+  JOIN (SELECT event_type, count(*) AS lines FROM lines GROUP BY 1) USING (event_type)
+  WHERE lines_with = lines AND (event_type, token) NOT IN (SELECT (event_type, token) FROM u)
+    AND token <> 'value' AND length(token) > 1 AND NOT regexp_matches(token, '[0-9]')) WHERE score > t""")
 def q_static_markers(spark, sf):
-    g = mining.mine_templates(_events(spark, sf), EVENT_MASKS, depth=4)
-    return spl.static_markers(g.select("dataset", "event_id", "line_id", "content"), "event_id")
+    return spl.static_markers(_turning_lines(spark, sf), "event_type")
+
+
+@register("double_colon_keys", f"""WITH RECURSIVE {S.EV},
+lines AS (SELECT line_id, 'a' || user_id % 5 || '::b' || line_id % 4 || ' b' || line_id % 3 || '::' || event_type || ' Node::' || event_type || ' done' AS content FROM ev),
+pairs AS (SELECT line_id, unnest(regexp_extract_all(content, '([a-zA-Z0-9_]+)::([a-zA-Z0-9_]+)', 1)) AS a,
+  unnest(regexp_extract_all(content, '([a-zA-Z0-9_]+)::([a-zA-Z0-9_]+)', 2)) AS b FROM lines),
+r AS (
+  SELECT line_id, unnest([a, b]) AS part FROM pairs WHERE regexp_matches(a, '[0-9]') AND regexp_matches(b, '[0-9]')
+  UNION
+  SELECT p.line_id, unnest([p.a, p.b]) FROM r JOIN pairs p ON p.line_id = r.line_id AND (p.a = r.part OR p.b = r.part)),
+k AS (SELECT line_id, regexp_extract(content, '([a-zA-Z_]+)::([a-zA-Z_]+)', 2) AS key FROM lines)
+SELECT line_id, CASE WHEN (line_id, key) IN (SELECT (line_id, part) FROM r) THEN '<NO_DC>' ELSE key END AS dc FROM k""")
+def q_double_colon_keys(spark, sf):
+    def numbered(name, col, n):
+        return F.concat(F.lit(name), (F.col(col) % n).cast("string"))
+    ev = _events(spark, sf)
+    lines = ev.select("line_id", F.concat(numbered("a", "user_id", 5), F.lit("::"), numbered("b", "line_id", 4), F.lit(" "), numbered("b", "line_id", 3), F.lit("::"),
+                                          "event_type", F.lit(" Node::"), "event_type", F.lit(" done")).alias("content"))
+    return lines.select("line_id", spl.dc_key("content").alias("dc"))
+
+
+@register("split_acceptance", f"""WITH {S.EV}, t AS (SELECT DISTINCT event_type AS w FROM ev),
+-- One split for every weight, in the order of the layouts of the lines, and the score of a word is its length in thousandths.
+layouts(grp, weight, suffix) AS (VALUES ('slot at start', 110.0, ''), ('start and colon', 20.0, ''), ('shared context', 40.0, ''), ('partner', 7.0, ''),
+  ('ing behind bracket', 1000.0, 'ing'), ('none', 1.0, '')),
+e AS (SELECT grp, count(*) AS keys, max(least((length(w || suffix) * weight / 1000)::DOUBLE, 1.0::DOUBLE)) AS evidence FROM layouts, t GROUP BY 1)
+SELECT grp, keys, round(evidence, 6) AS evidence, evidence >= 0.1 AS accepted FROM e""")
+def q_split_acceptance(spark, sf):
+    ev = _events(spark, sf)
+    w, back = F.col("event_type"), F.reverse("event_type")
+    tail = F.lit(" served by node alpha")
+    layouts = F.array(*[F.struct(F.lit(grp).alias("grp"), F.concat(w, F.lit(end)).alias("key"), content.alias("content")) for grp, end, content in [
+        ("slot at start", "", F.concat(w, tail)), ("start and colon", "", F.concat(w, F.lit(":"), tail)),
+        ("shared context", "", F.concat(F.lit("request "), w, tail)), ("partner", "", F.concat(F.lit("request "), w, tail, F.lit(" beta "), back)),
+        ("ing behind bracket", "ing", F.concat(F.lit("[main] "), w, F.lit("ing "), back, F.lit(" "), back)),
+        ("none", "", F.concat(F.lit("x "), w, F.lit(" "), back, F.lit(" "), back))]])
+    lines = ev.select("line_id", F.inline(layouts))
+    reps = lines.groupBy("grp", "key").agg(F.min_by("content", "line_id").alias("content"))
+    scores = lines.select(F.col("key").alias("token"), (F.length("key") / 1000.0).alias("score")).distinct()
+    words = lines.groupBy("grp").agg(F.lit(9).alias("max_words"))
+    return evd.accepted_splits(reps, scores, words, ["grp"])
 
 
 # ---------------------------------------------------------------------------

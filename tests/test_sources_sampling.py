@@ -86,7 +86,7 @@ def test_split_rules(spark):
             i += 1
             rows.append(("d", "g2", i, f"socket {w} now"))
     df = spark.createDataFrame(rows, "dataset string, event_id string, line_id long, content string")
-    out = {(r["event_id"], r["split_key"]) for r in spl.split_groups(df).collect()}
+    out = {(r["event_id"], r["split_key"]) for r in spl.split_groups(df, "event_id").collect()}
     g1 = {k for g, k in out if g == "g1"}
     assert len(g1) == 5 and "<OTHER_BRANCHES>" in g1
     assert {k for g, k in out if g == "g2"} == {"opened", "closed"}
@@ -111,7 +111,7 @@ def test_split_unit_rule(spark):
              "cache drop 40 KB to disk", "queue flush 5 MB now"]
     df = spark.createDataFrame([("d", "g", i, t) for i, t in enumerate(texts)],
                                "dataset string, event_id string, line_id long, content string")
-    out = {r["line_id"]: (r["split_rule"], r["split_key"]) for r in spl.split_groups(df).collect()}
+    out = {r["line_id"]: (r["split_rule"], r["split_key"]) for r in spl.split_groups(df, "event_id").collect()}
     assert {r for r, _ in out.values()} == {"d"}
     assert out[0][1] == "flush" and out[2][1] == "drop"
     assert out[4][1] == "queue_len_5"
@@ -181,12 +181,12 @@ def test_rule_order_and_marker_flags(spark):
     from logweave.operators import splitting as spl
     lines = ["[worker] open", "[worker] open", "[worker] shut", "[worker] wait", "[worker] loop", "[worker] exit", "[worker] idle", "[worker] idle"]
     df = spark.createDataFrame([("d", "g", i, c) for i, c in enumerate(lines)], "dataset string, event_id string, line_id long, content string")
-    out = spl.split_groups(df).collect()
+    out = spl.split_groups(df, "event_id").collect()
     assert {r["split_rule"] for r in out} == {"e"}  # the rule of brackets comes before that of two words
     assert {r["split_key"] for r in out} == {"open", "idle", "exit", "loop", "<OTHER_BRANCHES>"}
     marks = [("m", i, f"ERROR DataNode IOp a-b x{i} started") for i in range(40)] + [("m", 99, "ERROR DataNode IOp a-b x0 halted")]
     m = spark.createDataFrame([("d", *r) for r in marks], "dataset string, event_id string, line_id long, content string")
-    got = {r["token"] for r in spl.static_markers(m).collect()}
+    got = {r["token"] for r in spl.static_markers(m, "event_id").collect()}
     assert {"ERROR", "a-b"} <= got and "started" not in got  # counted over all lines
     assert "DataNode" not in got and "IOp" not in got  # two capitals
 
