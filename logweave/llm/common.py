@@ -7,6 +7,8 @@ whatever its length; callers that need certainty compare the text itself.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -46,15 +48,29 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
         df.sparkSession.conf.set(conf, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in pieces(batch, limit):
-                out = fn(piece)
-                if out is not None:
-                    yield out
+        try:
+            for batch in batches:
+                for piece in pieces(batch, limit):
+                    out = fn(piece)
+                    if out is not None:
+                        yield out
+        finally:
+            give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Memory that a finished task has freed goes back to the system: the worker lives on for later stages, and
+    their workers share the executor's memory with it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it likes
+        pass
+
+
 def pieces(batch: pa.RecordBatch, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     step = max(1, int(batch.num_rows * min(1.0, limit / max(1, batch.nbytes))))
     for at in range(0, batch.num_rows, step):

@@ -76,19 +76,27 @@ def sketch(values: np.ndarray) -> np.ndarray:
     return out.astype(np.uint32).view(np.int32)
 
 
-def signatures(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """doc_id, n_shingles, point (digest of the set; null if it is empty) and sketch."""
+def signatures(docs: DataFrame, *, id_col="doc_id", text_col="text", copies: bool = False) -> DataFrame:
+    """doc_id, n_shingles, point (digest of the set; null if it is empty) and sketch; with ``copies`` also the digest ``txt`` of the text."""
 
     def run(batch):
         sets = shingle_sets(batch.column("text"))
         ids = batch.column("doc_id").to_pylist()
         points = [hashlib.md5(s.tobytes()).digest() if len(s) and i is not None else None for s, i in zip(sets, ids)]
+        more = ["txt"] if copies else []
         return pa.RecordBatch.from_arrays([
             batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(points, pa.binary()),
-            pa.array([sketch(s) if p else None for s, p in zip(sets, points)], pa.list_(pa.int32()))],
-            names=["doc_id", "n_shingles", "point", "sketch"])
+            pa.array([sketch(s) if p else None for s, p in zip(sets, points)], pa.list_(pa.int32())), *[batch.column(c) for c in more]],
+            names=["doc_id", "n_shingles", "point", "sketch", *more])
 
-    return map_arrow(id_column(docs, id_col, text_col), run, "doc_id long, n_shingles long, point binary, sketch array<int>")
+    slim = id_column(docs, id_col, text_col)
+    if copies:
+        slim = slim.withColumn("txt", _text_digest("text"))
+    return map_arrow(slim, run, "doc_id long, n_shingles long, point binary, sketch array<int>" + (", txt string" if copies else ""))
+
+
+def _text_digest(col):
+    return F.coalesce(F.md5(F.col(col).cast("string")), F.lit(""))
 
 
 def _sized(nodes: DataFrame) -> DataFrame:
@@ -236,8 +244,15 @@ def confirmed_edges(docs: DataFrame, groups: DataFrame, *, id_col="doc_id", text
 
 
 def cluster(docs: DataFrame, *, id_col="doc_id", text_col="text", **kw) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable over links) and kept, for every row."""
-    rows = written(signatures(docs, id_col=id_col, text_col=text_col), "signatures")
+    """doc_id, n_shingles, component_id (least doc_id reachable over links) and kept, for every row.  Rows of one id are
+    clustered by their own texts; other columns of ``docs`` play no part."""
+    out = _labelled(written(signatures(docs, id_col=id_col, text_col=text_col), "signatures"), docs, id_col, text_col, **kw)
+    component = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def _labelled(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, **kw) -> DataFrame:
+    """``rows`` (of ``signatures``) with component_id and the least point ``chosen`` of the component among those with that id (null for no point)."""
     points = written(rows.where("point is not null").groupBy("point").agg(F.min("doc_id").alias("doc_id"), F.min("sketch").alias("sketch")), "points")
     loose = components(loose_edges(points, **kw), "loose")
     grouped = loose.withColumnRenamed("node", "point").unionByName(loose.select(F.col("root").alias("point"), "root").distinct())
@@ -249,15 +264,25 @@ def cluster(docs: DataFrame, *, id_col="doc_id", text_col="text", **kw) -> DataF
     ids = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = points.select("point", "doc_id").join(least.select("point", "root").join(ids, "root").select("point", "component_id"), "point", "left").select(
         "point", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "point").join(named, "point", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return rows.drop("sketch").join(named, "point", "left")
 
 
 def keep_one(docs: DataFrame, *, id_col="doc_id", text_col="text", **kw) -> DataFrame:
-    """``docs`` without the rows of a component but that with its least id; rows with a null id stay."""
-    gone = cluster(docs, id_col=id_col, text_col=text_col, **kw).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+    """One row of ``docs`` for each component: that with its least id, then the least digest of its text, then the least
+    by its other columns in their order.  Rows with a null id and rows without words stay, each as it is."""
+    rows = written(signatures(docs, id_col=id_col, text_col=text_col, copies=True), "signatures")
+    named = written(_labelled(rows, docs, id_col, text_col, **kw).where("point is not null").select("doc_id", "txt", "component_id"), "labels")
+    pair = F.struct("doc_id", "txt")
+    least = named.groupBy("component_id").agg(F.min(pair).alias("least"))
+    pairs = named.groupBy("doc_id", "txt").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    judged = written(pairs.join(least, "component_id").select(F.col("doc_id").alias("__id"), F.col("txt").alias("__txt"), "n", (pair == F.col("least")).alias("__kept"))
+                     .where("not __kept or n > 1"), "gone")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # packed, so that no name of the caller's clashes
+    keyed = docs.select(own.alias("__row"), F.col(id_col).cast("long").alias("__id"), _text_digest(text_col).alias("__txt"))
+    once = keyed.join(judged, ["__id", "__txt"], "left_anti").select("__row.*")
+    # Equal ids with equal texts: the least row of each, by an aggregate, so a hot one is cut down map-side.
+    several = keyed.join(judged.where("__kept").select("__id", "__txt"), ["__id", "__txt"]).groupBy("__id", "__txt").agg(F.min("__row").alias("__row"))
+    return once.unionByName(several.select("__row.*"))
 
 
 ORACLE = r"""

@@ -24,7 +24,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -82,10 +84,13 @@ def weak_parts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         found += [(5, m.start(), m.end()) for m in ENDPOINT.finditer(text)]
     if not found:
         return []
-    taken = sorted((s, e) for _, s, e in base)
+    # Both lists by start, walked together: a part overlaps a strong span if one that starts before its end goes on behind its start.
+    starts = [s for _, s, _ in base]
+    reach = list(accumulate((e for _, _, e in base), max))
     out = []
     for kind, s, e in sorted(found, key=lambda x: (x[1], x[0])):
-        if out and s < out[-1][2] or any(s < b and a < e for a, b in taken):
+        before = bisect_left(starts, e)
+        if out and s < out[-1][2] or before and reach[before - 1] > s:
             continue
         out.append((kind, s, e))
     return out

@@ -243,3 +243,46 @@ def test_the_piece_store_gives_the_same_ids_at_any_size(limit):
     store = bpe.PieceStore(model.encode_pieces, limit)
     assert [x.tolist() for x in store(texts)] == [x.tolist() for x in model.store(texts)]
     assert len(store.known) <= limit
+
+
+# -- long texts and repeated ids ------------------------------------------------------
+
+def test_weak_parts_of_a_long_text_take_seconds():
+    import random
+    import time
+
+    from logweave.llm import secret_scan
+    rng = random.Random(1)
+    text = "\n".join(f"user: name{i} password: hunter{rng.randint(0, 10 ** 6)}x host=db{i}.example.com:54" for i in range(70_000))
+    assert len(text) > 5_000_000 * 0.9
+    began = time.time()
+    base = secret_scan.base_spans(text)
+    weak = secret_scan.weak_parts(text, base)
+    assert time.time() - began < 60 and base and weak
+
+
+def test_weak_parts_overlap_no_strong_span():
+    import random
+
+    from logweave.llm import secret_scan
+    rng = random.Random(3)
+    bits = ["user: alice ", "password=hunter2hunter2 ", "AKIA" + "A" * 16 + " ", "host=db.example.com:99 ", "token: 0123456789abcdef0123456789abcdef ", "pin=1234 ", "Ab3" * 12 + " ", "\n"]
+    for _ in range(200):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 25)))
+        base = secret_scan.base_spans(text)
+        weak = secret_scan.weak_parts(text, base)
+        assert not any(s < b and a < e for _, s, e in weak for _, a, b in base)
+        assert all(x[2] <= y[1] for x, y in zip(weak, weak[1:]))
+
+
+def test_keep_one_judges_rows_not_ids(spark):
+    from llm_data import frame, prose
+
+    from logweave.llm import near_dup
+    x, y, z = (prose(s, 60) for s in (31, 32, 33))
+    rows = [(3, x, "en"), (5, x, "en"), (5, y, "en"), (7, z, "fr"), (7, z, "de"), (7, z, "de"), (None, x, "en"), (None, x, "en"), (8, None, "en"), (8, "", "en"), (9, "  ", None)]
+    out = near_dup.keep_one(frame(spark, rows).repartition(3))
+    assert out.columns == frame(spark, rows).columns
+    got = sorted(((r.doc_id, r.text, r.lang) for r in out.collect()), key=str)
+    want = [(3, x, "en"), (5, y, "en"), (7, z, "de"), (None, x, "en"), (None, x, "en"), (8, None, "en"), (8, "", "en"), (9, "  ", None)]
+    assert got == sorted(want, key=str)
