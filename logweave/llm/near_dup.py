@@ -279,7 +279,10 @@ def keep_one(docs: DataFrame, *, id_col="doc_id", text_col="text", **kw) -> Data
                      .where("not __kept or n > 1"), "gone")
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # packed, so that no name of the caller's clashes
     keyed = docs.select(own.alias("__row"), F.col(id_col).cast("long").alias("__id"), _text_digest(text_col).alias("__txt"))
-    once = keyed.join(judged, ["__id", "__txt"], "left_anti").select("__row.*")
+    # The same join at every size: texts are shuffled once, also where a small table would be broadcast.
+    once = keyed.join(judged.hint("shuffle_hash"), ["__id", "__txt"], "left_anti").select("__row.*")
+    if judged.where("__kept").isEmpty():  # no two rows of one id and text
+        return once
     # Equal ids with equal texts: the least row of each, by an aggregate, so a hot one is cut down map-side.
     several = keyed.join(judged.where("__kept").select("__id", "__txt"), ["__id", "__txt"]).groupBy("__id", "__txt").agg(F.min("__row").alias("__row"))
     return once.unionByName(several.select("__row.*"))
