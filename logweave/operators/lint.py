@@ -13,6 +13,7 @@ from logweave.operators.sampling import diverse_sample
 
 # Units, and an anchor word, a number and a unit.
 UNIT = "(?:B|KB|MB|GB|TB|PB|G|K|M)"
+NUMBER_UNIT = r"[0-9]+(?:\.[0-9]+)?\s+(" + UNIT + r")\b"
 UNIT_AFTER_NUMBER = r"([a-zA-Z]{3,})[^a-zA-Z]*?[0-9]+(?:\.[0-9]+)?\s+(" + UNIT + r")\b"
 
 
@@ -22,12 +23,16 @@ def lint_report(pairs: DataFrame) -> DataFrame:
 
     ``pairs``: dataset, line_id, content, template_regex.
     """
+    return with_report(pairs.select("dataset", "line_id", "content", "template_regex"))
+
+
+def with_report(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (``content, template_regex`` and any others) with ``foreign_words, untreated_paths, hardcoded, report``."""
     fw = lt.foreign_words("content", "template_regex")
     up = lt.untreated_paths("content", "template_regex")
     hc = F.when(F.col("content").contains("=") | F.col("content").contains(":"),
                 lt.hardcoded_params("template_regex")).otherwise(F.array().cast("array<string>"))
-    r = pairs.select("dataset", "line_id", "content", "template_regex", fw.alias("foreign_words"),
-                     up.alias("untreated_paths"), hc.alias("hardcoded"))
+    r = pairs.select("*", fw.alias("foreign_words"), up.alias("untreated_paths"), hc.alias("hardcoded"))
     parts = F.concat_ws("\n", F.lit("The template does not fit the line."),
                         F.when(F.size("foreign_words") > 0,
                                F.concat(F.lit("Not in the line: "), F.array_join("foreign_words", ", "))),
@@ -38,16 +43,16 @@ def lint_report(pairs: DataFrame) -> DataFrame:
     return r.withColumn("report", parts)
 
 
-def prompt_table(groups: DataFrame, sample_size: int = 5, group_col: str = "event_id",
+def prompt_table(groups: DataFrame, sample_size: int = 5, group_col: str = "template",
                  similarity: str = "jaccard") -> DataFrame:
     """Prompt rows per group (no model is called): task text with tips chosen by
     the key=value and path finders over a diverse sample, then the sample.
 
     Returns ``dataset, group_id, messages ARRAY<STRUCT<role, content>>``.
     """
-    s = diverse_sample(groups.select("dataset", F.col(group_col).alias("event_id"), "line_id", "content"),
-                       k=sample_size, similarity=similarity)
-    agg = s.groupBy("dataset", "event_id").agg(
+    s = diverse_sample(groups.select("dataset", F.col(group_col).alias("group_id"), "line_id", "content"),
+                       k=sample_size, similarity=similarity, group_cols=("dataset", "group_id"))
+    agg = s.groupBy("dataset", "group_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("sample_rank", "content"))), lambda x: x["content"])
         .alias("sample"))
     kv = F.exists("sample", lambda c: F.size(lt.kv_pairs(c)) > 0)
@@ -59,7 +64,7 @@ def prompt_table(groups: DataFrame, sample_size: int = 5, group_col: str = "even
     user = F.concat(F.lit("Log list: "), F.to_json("sample"))
     msgs = F.array(F.struct(F.lit("system").alias("role"), system.alias("content")),
                    F.struct(F.lit("user").alias("role"), user.alias("content")))
-    return agg.select("dataset", F.col("event_id").alias("group_id"), msgs.alias("messages"))
+    return agg.select("dataset", "group_id", msgs.alias("messages"))
 
 
 def dynamic_units(lines: DataFrame, group_cols: Sequence[str]) -> DataFrame:
@@ -72,16 +77,32 @@ def dynamic_units(lines: DataFrame, group_cols: Sequence[str]) -> DataFrame:
         .withColumn("dynamic", F.col("units") > 1)
 
 
+def leading_units(lines: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    """Whether the first unit of a line (after a number, commas and dollars removed) changes within a group: for
+    units that no word of three letters leads in.  Returns group cols + units, dynamic; groups without units are left out."""
+    g = list(group_cols)
+    unit = F.regexp_extract(F.translate("content", ",$", ""), NUMBER_UNIT, 1)
+    return lines.select(*g, unit.alias("unit")).filter(F.col("unit") != "").groupBy(*g) \
+        .agg(F.count_distinct("unit").alias("units")).withColumn("dynamic", F.col("units") > 1)
+
+
 def abstract_dynamic_units(templates: DataFrame, lines: DataFrame, group_cols: Sequence[str],
                            template_col: str = "template") -> DataFrame:
     """Replace the unit behind an anchor word in a template by ``<*>``, for those
-    anchors only whose unit changes within the group."""
+    anchors only whose unit changes within the group; units before the first word of three letters go where the
+    first unit of the group's lines changes."""
     g = list(group_cols)
     dyn = dynamic_units(lines, g).filter("dynamic").groupBy(*g).agg(F.sort_array(F.collect_set("anchor")).alias("__anchors"))
-    after = r"\b[^a-zA-Z]*?(?:<\*>|\(\.\*\?\)|\d+(?:\.\d+)?)(?:\.\*)?\s+)" + UNIT + r"\b"
+    number = r"(?:<\*>|\(\.\*\?\)|\d+(?:\.\d+)?)(?:\.\*)?\s+)" + UNIT + r"\b"
+    after = r"\b[^a-zA-Z]*?" + number
+    # From the start, or where the last such unit ended, over no word of three letters.
+    leading = r"(\G(?:(?!\b[a-zA-Z]{3,}\b).)*?" + number
 
     def one(text, anchor):
         return F.regexp_replace(text, F.concat(F.lit(r"(\b"), anchor, F.lit(after)), F.lit("$1<*>"))
 
     anchors = F.coalesce("__anchors", F.array().cast("array<string>"))
-    return templates.join(dyn, g, "left").withColumn(template_col, F.aggregate(anchors, F.col(template_col), one)).drop("__anchors")
+    first = leading_units(lines, g).filter("dynamic").select(*g, F.lit(True).alias("__leading"))
+    led = F.when(F.col("__leading"), F.regexp_replace(template_col, leading, "$1<*>")).otherwise(F.col(template_col))
+    return templates.join(dyn, g, "left").join(first, g, "left").withColumn(template_col, led) \
+        .withColumn(template_col, F.aggregate(anchors, F.col(template_col), one)).drop("__anchors", "__leading")

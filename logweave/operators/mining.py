@@ -26,7 +26,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.functions.masking import mask_variables
+from logweave.functions.masking import mask_by_data, mask_data, mask_variables
 from logweave.functions.text import tokenize
 from logweave.session import cut_lineage, spread
 
@@ -175,8 +175,11 @@ def masked_tokens(lines: DataFrame, masks: Sequence[str], unicode: bool = True,
     # Each step reads the previous column by name, so the masking regex and the
     # split run once per line (the optimizer keeps a non-cheap alias that is
     # used twice instead of inlining it).
-    return lines.withColumn("masked", mask_variables(F.col(content_col), masks, unicode)) \
-        .withColumn("__toks", tokenize(F.col("masked"), unicode)) \
+    return _tokens_of(lines.withColumn("masked", mask_variables(F.col(content_col), masks, unicode)), unicode)
+
+
+def _tokens_of(masked: DataFrame, unicode: bool) -> DataFrame:
+    return masked.withColumn("__toks", tokenize(F.col("masked"), unicode)) \
         .withColumn("pattern", F.array_join("__toks", " ")) \
         .withColumn("n_tokens", F.size("__toks")).drop("__toks")
 
@@ -191,12 +194,12 @@ def pattern_counts(lines: DataFrame, masks: Sequence[str], unicode: bool = True)
 
 
 #: What the rows of one part of a tree share.
-_PART = ["dataset", "n_tokens", "subtree", "rest", "elsewhere"]
+_PART = ["dataset", "n_tokens", "subtree", "rest", "elsewhere", "depth", "st"]
 #: Rows that a task gives back at once.
 _BATCH = 4096
 
 
-def _cluster_parts(rows: DataFrame, depth: int, st: float, max_child: int) -> DataFrame:
+def _cluster_parts(rows: DataFrame, max_child: int) -> DataFrame:
     """Cluster the patterns of every part (``_PART``) in the order of (first_id, key); returns ``dataset, key, template``.
 
     A task streams its parts one after another, so a part costs no more than its patterns.  Few bytes but
@@ -219,7 +222,8 @@ def _cluster_parts(rows: DataFrame, depth: int, st: float, max_child: int) -> Da
                     if keys:
                         yield from batches_of(current[0], keys, gids, clusterer, current[1])
                     current, keys, gids = part, [], []
-                    clusterer = PrefixClusterer(depth, st, max_child, part[3], part[4])
+                    rest, elsewhere, depth, st = part[3:]
+                    clusterer = PrefixClusterer(depth, st, max_child, rest, elsewhere)
                 keys.append(pattern if key is None else key)
                 gids.append(clusterer.add(pattern.split(" ") if pattern else []))
         if keys:
@@ -233,7 +237,8 @@ def _cluster_parts(rows: DataFrame, depth: int, st: float, max_child: int) -> Da
 
 
 def _subtrees(patterns: DataFrame, levels: int, max_child: int) -> DataFrame:
-    """Adds ``subtree, rest, elsewhere``: the part of the prefix tree that a pattern surely stays in.
+    """Adds ``subtree, rest, elsewhere``: the part of the prefix tree that a pattern surely stays in.  A dataset's tree
+    has ``depth`` - 1 of the ``levels`` levels.
 
     A node gives tokens a child of their own in the order in which they first come, until a token with a digit
     or a wildcard comes or the node is full; from then on a wildcard child may catch others.  The tokens from before (``max_child`` - 1 at most)
@@ -241,15 +246,16 @@ def _subtrees(patterns: DataFrame, levels: int, max_child: int) -> DataFrame:
     may meet: they are a part of their own (``rest`` is its level), which only has to know the number of sure children (``elsewhere``).  All
     this is read off the first ids of tokens, so the parts make the templates of the one tree.
     """
-    own_rows = patterns.withColumn("heads", F.slice(F.split("pattern", " ", levels + 1), 1, levels))
+    own_rows = patterns.withColumn("heads", F.slice(F.split("pattern", " ", levels + 1), F.lit(1), F.greatest(F.col("depth") - 1, F.lit(0))))
     # The levels are settled on the distinct leading tokens; patterns meet the outcome once.
     at = F.min(F.struct("first_id", "key")).alias("first")
-    out = cut_lineage(own_rows.groupBy("dataset", "n_tokens", "heads").agg(at)) \
+    out = cut_lineage(own_rows.groupBy("dataset", "n_tokens", "heads", "depth").agg(at)) \
         .withColumn("subtree", F.lit("")).withColumn("rest", F.lit(-1)).withColumn("elsewhere", F.lit(0))
     node = ["dataset", "n_tokens", "subtree"]
     for level in range(levels):
         out = out.withColumn("token", F.get("heads", F.lit(level)))
-        seen = out.filter("rest < 0").groupBy(*node, "token").agg(F.min("first").alias("first"))
+        here = (F.col("rest") < 0) & (F.col("depth") - 1 > level)
+        seen = out.filter(here).groupBy(*node, "token").agg(F.min("first").alias("first"))
         mixed = F.col("token").rlike(r"\p{N}") | (F.col("token") == WILD)
         # No more than the first max_child tokens matter; Spark cuts every partition to them before the shuffle.
         place = F.row_number().over(Window.partitionBy(*node).orderBy("first"))
@@ -259,11 +265,10 @@ def _subtrees(patterns: DataFrame, levels: int, max_child: int) -> DataFrame:
         sure = heads.select(*node, F.slice("heads_of", 1, F.when(until >= 0, until).otherwise(max_child - 1).cast("int"))["token"].alias("sure"))
         out = out.join(sure, node, "left")
         own = F.coalesce(F.array_contains("sure", F.col("token")), F.lit(False))
-        here = F.col("rest") < 0
         out = out.withColumn("elsewhere", F.when(here & ~own, F.coalesce(F.array_size("sure"), F.lit(0))).otherwise(F.col("elsewhere"))) \
             .withColumn("subtree", F.when(here & own, F.concat_ws(" ", "subtree", "token")).otherwise(F.col("subtree"))) \
             .withColumn("rest", F.when(here & ~own, level).otherwise(F.col("rest"))).drop("sure", "token")
-    return own_rows.join(out.drop("first"), ["dataset", "n_tokens", "heads"]).drop("heads")
+    return own_rows.join(out.drop("first", "depth"), ["dataset", "n_tokens", "heads"]).drop("heads")
 
 
 def _mapping_bytes(rows: DataFrame) -> int:
@@ -283,10 +288,16 @@ def cluster_patterns(patterns: DataFrame, depth: int = 4, st: float = 0.5, max_c
     others are dealt by branches of the prefix tree that stand apart, so that the
     templates are those of one tree per length at every size.
     """
-    short = patterns.filter(F.col("n_tokens") < depth).select(
+    one = patterns.withColumn("depth", F.lit(depth)).withColumn("st", F.lit(float(st)))
+    return cluster_profiled(one, depth, max_child)
+
+
+def cluster_profiled(patterns: DataFrame, max_depth: int, max_child: int = 100) -> DataFrame:
+    """``cluster_patterns`` with ``depth`` (int, at most ``max_depth``) and ``st`` as columns that hold one value a dataset."""
+    short = patterns.filter(F.col("n_tokens") < F.col("depth")).select(
         "dataset", "key", F.col("pattern").alias("template"))
-    long = _subtrees(patterns.filter(F.col("n_tokens") >= depth), max(depth - 1, 0), max_child)
-    done = _cluster_parts(long.select(*_PART, "key", "first_id", "pattern"), depth, st, max_child)
+    long = _subtrees(patterns.filter(F.col("n_tokens") >= F.col("depth")), max(max_depth - 1, 0), max_child)
+    done = _cluster_parts(long.select(*_PART, "key", "first_id", "pattern"), max_child)
     return short.unionByName(done)
 
 
@@ -304,12 +315,17 @@ def mine_templates(lines: DataFrame, masks: Sequence[str], depth: int = 4, st: f
     lines are read again for the final join on the pattern.
     """
     m = masked_tokens(spread(lines.select("dataset", "line_id", "content")), masks, unicode)
-    rows = m.filter(F.col("content").isNotNull()).groupBy("dataset", "pattern").agg(
+    return _mined(m.withColumn("depth", F.lit(depth)).withColumn("st", F.lit(float(st))), depth, max_child)
+
+
+def _mined(m: DataFrame, max_depth: int, max_child: int) -> DataFrame:
+    """Mine masked lines (``dataset, line_id, content, pattern, n_tokens, depth, st``): one shuffle of distinct patterns."""
+    rows = m.filter(F.col("content").isNotNull()).groupBy("dataset", "pattern", "depth", "st").agg(
         F.first("n_tokens").alias("n_tokens"), F.min("line_id").alias("first_id"))
-    rows = rows.select("dataset", F.col("pattern").alias("key"), "pattern", "n_tokens", "first_id") \
+    rows = rows.select("dataset", F.col("pattern").alias("key"), "pattern", "n_tokens", "first_id", "depth", "st") \
         .persist(StorageLevel.MEMORY_AND_DISK)
     # Written once: callers read the mined lines more than once.
-    mapping = cut_lineage(cluster_patterns(rows, depth, st, max_child).withColumnRenamed("key", "pattern"))
+    mapping = cut_lineage(cluster_profiled(rows, max_depth, max_child).withColumnRenamed("key", "pattern"))
     size = _mapping_bytes(rows)
     rows.unpersist()
     if size <= BROADCAST_MAPPING_BYTES:
@@ -320,21 +336,27 @@ def mine_templates(lines: DataFrame, masks: Sequence[str], depth: int = 4, st: f
         .withColumn("event_id", F.when(F.col("template").isNotNull(), event_id("template")))
 
 
-def mine_with_profiles(lines: DataFrame, profiles: DataFrame, **kw) -> DataFrame:
-    """Mine several datasets in one job, each with its own profile row.
+def mine_with_profiles(lines: DataFrame, profiles: DataFrame, max_child: int = 100, unicode: bool = True) -> DataFrame:
+    """Mine many datasets in one job, each by its own profile row.
 
-    Profiles are few (one row per dataset); each distinct profile gets one
-    masking expression, so the union stays one Spark plan.
+    ``profiles``: ``dataset, masks, depth, st``, one row a dataset.  A line takes its masks from the
+    row of its dataset (an equi-join on the dataset, in which Spark broadcasts a profile table that is
+    small), so the lines are scanned by one plan whatever the number of profiles, and the distinct
+    patterns of all datasets go through one mining shuffle.  Lines of a dataset without a profile are left out.
     """
-    rows = profiles.select("dataset", "masks", "depth", "st").collect()
-    parts = []
-    for r in rows:
-        sub = lines.filter(F.col("dataset") == r["dataset"])
-        parts.append(mine_templates(sub, list(r["masks"]), int(r["depth"]), float(r["st"]), **kw))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    deepest = profiles.agg(F.max("depth")).first()[0] or 0
+    data = profiles.select("dataset", mask_data("masks", unicode).alias("mask"), F.col("depth").cast("int").alias("depth"),
+                           F.col("st").cast("double").alias("st"))
+    own = spread(lines.select("dataset", "line_id", "content")).join(data, "dataset")
+    return _mined(_tokens_of(own.withColumn("masked", mask_by_data("content", "mask")), unicode), int(deepest), max_child)
+
+
+def profile_changes(lines: DataFrame, profiles: Sequence[tuple[str, Sequence[str]]], unicode: bool = True) -> DataFrame:
+    """``profile, changed``: the lines that each profile's masks would change, over all lines.  One scan and one
+    aggregate for all profiles (``(name, masks)`` pairs)."""
+    masked = [F.count_if(mask_variables("content", masks, unicode) != F.col("content")).alias(f"p{i}") for i, (_, masks) in enumerate(profiles)]
+    names = [F.struct(F.lit(name).alias("profile"), F.col(f"p{i}").alias("changed")) for i, (name, _) in enumerate(profiles)]
+    return lines.agg(*masked).select(F.inline(F.array(*names)))
 
 
 # ---------------------------------------------------------------------------

@@ -2,8 +2,8 @@
 
 All group-wise ranks are computed so that one huge group never lands in one
 task: ``group_cap`` salts the group before a first top-k, and
-``group_row_number`` range-partitions the group and adds per-partition
-offsets.  Random choices use a seeded hash order (md5 of the line id and a
+``group_row_number`` deals rows by range over group and order and adds the sizes
+of earlier pieces.  Random choices use a seeded hash order (md5 of the line id and a
 seed), so results do not depend on partitioning.
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions.normalise import normalise_ellipsis
 from logweave.functions.text import tokenize
+from logweave.session import cut_lineage
 
 DEFAULT_SALTS = 64
 
@@ -44,31 +45,37 @@ def group_cap(df: DataFrame, group_cols: Sequence[str], k: int, order: Column,
 
 
 def group_row_number(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
-                     out: str = "rn", pieces: int = 64) -> DataFrame:
+                     out: str = "rn", pieces: int | None = None) -> DataFrame:
     """Exact 1-based row number within each group without sorting a whole group
     in one task.
 
-    Rows are cut into ``pieces`` equal-width buckets of the first (numeric)
-    order column using the group's exact min and max; rows are numbered inside
-    each (group, bucket) and the sizes of the earlier buckets are added.  Every
-    quantity is deterministic, so the two reads of ``df`` always agree.
+    Rows are dealt by range over (group, order columns, a seeded random tie-break) into ``pieces``
+    partitions (the session's shuffle partitions if None).  The borders are quantiles of
+    that key by row count, so neither a hot group nor an order value that most rows share
+    fills a partition; nulls come first, as in Spark's ascending order.  The dealt rows are
+    written once, with the number of their piece, so that all reads agree; rows are numbered inside each (group,
+    piece) and the sizes of the earlier pieces of the group are added.  Rows that are equal in group and
+    order columns are numbered in any order among themselves.
     """
     g, o = list(group_cols), list(order_cols)
-    o1 = F.col(o[0]).cast("double")
-    key = g if g else ["__one"]
-    base = df if g else df.withColumn("__one", F.lit(1))
-    rng = base.groupBy(*key).agg(F.min(o1).alias("__lo"), F.max(o1).alias("__hi"))
-    width = (F.col("__hi") - F.col("__lo")) / F.lit(pieces)
-    bucket = F.when(width > 0, F.least(F.floor((o1 - F.col("__lo")) / width), F.lit(pieces - 1))) \
-        .otherwise(F.lit(0)).cast("int")
-    keyed = base.join(F.broadcast(rng) if not g else rng, key).withColumn("__bk", bucket).drop("__lo", "__hi")
-    local = keyed.withColumn("__lr", F.row_number().over(Window.partitionBy(*key, "__bk").orderBy(*o)))
-    sizes = keyed.groupBy(*key, "__bk").agg(F.count(F.lit(1)).alias("__n"))
-    offs = sizes.withColumn("__off", F.coalesce(F.sum("__n").over(
-        Window.partitionBy(*key).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out_df = local.join(offs.drop("__n"), key + ["__bk"]).withColumn(out, F.col("__off") + F.col("__lr")) \
-        .drop("__bk", "__lr", "__off")
-    return out_df if g else out_df.drop("__one")
+    keyed = cut_lineage(_dealt_by_rank(df, [*g, *o], pieces))
+    local = keyed.withColumn("__lr", F.row_number().over(Window.partitionBy(*g, "__bk").orderBy(*o)))
+    sizes = keyed.groupBy(*g, "__bk").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*g).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
+    # One short row a piece and group; null-safe, as a group key may be null.
+    offs = sizes.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(g)], F.col("__bk").alias("__piece"),
+                        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    same = F.col("__bk") == F.col("__piece")
+    for i, c in enumerate(g):
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    return local.join(offs, same).withColumn(out, F.col("__off") + F.col("__lr")).select(*df.columns, out)
+
+
+def _dealt_by_rank(df: DataFrame, keys: Sequence[str], pieces: int | None = None) -> DataFrame:
+    """``df`` dealt by quantiles of its keys, ties by a seeded random number, and ``__bk``, the number of a row's piece."""
+    n = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("__tie", F.rand(7)).repartitionByRange(n, *keys, "__tie")
+    return dealt.withColumn("__bk", F.spark_partition_id()).drop("__tie")
 
 
 def spaced_rows(df: DataFrame, group_cols: Sequence[str], order_col: str = "line_id",
@@ -86,7 +93,7 @@ def spaced_rows(df: DataFrame, group_cols: Sequence[str], order_col: str = "line
     return r.filter(keep).withColumn("row_index", idx).drop("rn")
 
 
-def group_order(groups: DataFrame, group_col: str = "event_id") -> DataFrame:
+def group_order(groups: DataFrame, group_col: str = "template") -> DataFrame:
     """Order of groups: word count of the group's first line, ties by group key.
 
     Returns ``dataset, group_col, first_line, first_words, group_rank``.
@@ -98,9 +105,9 @@ def group_order(groups: DataFrame, group_col: str = "event_id") -> DataFrame:
     return group_row_number(first, ["dataset"], ["first_words", group_col], "group_rank")
 
 
-def longest_line(groups: DataFrame, group_col: str = "event_id") -> DataFrame:
+def longest_line(groups: DataFrame, group_col: str = "template", unicode: bool = True) -> DataFrame:
     """Longest line (most words, then smallest id) per group."""
-    n = F.size(tokenize(F.col("content")))
+    n = F.size(tokenize(F.col("content"), unicode))
     return groups.groupBy("dataset", group_col).agg(
         F.max_by(F.struct("line_id", "content"), F.struct(n.alias("n"), (-F.col("line_id")).alias("i"))).alias("l")) \
         .select("dataset", group_col, F.col("l.line_id").alias("line_id"), F.col("l.content").alias("content"))
@@ -163,7 +170,7 @@ def diverse_pick(contents: list[str], k: int, similarity: str = "jaccard", neare
 
 
 def diverse_sample(groups: DataFrame, k: int = 5, max_logs: int = 200, similarity: str = "jaccard",
-                   nearest: bool = False, group_cols: Sequence[str] = ("dataset", "event_id"),
+                   nearest: bool = False, group_cols: Sequence[str] = ("dataset", "template"),
                    seed: str | int = 0) -> DataFrame:
     """Diverse sample of ``k`` lines per group.
 
@@ -188,7 +195,7 @@ def diverse_sample(groups: DataFrame, k: int = 5, max_logs: int = 200, similarit
 
 
 def centre_sample(groups: DataFrame, k: int = 30, min_threshold: float = 0.6, cap: int = 500,
-                  group_cols: Sequence[str] = ("dataset", "event_id"), seed: str | int = 0) -> DataFrame:
+                  group_cols: Sequence[str] = ("dataset", "template"), seed: str | int = 0) -> DataFrame:
     """Lines similar to the group's centre line.
 
     Groups of at most ``k`` lines are returned whole.  Larger groups are capped
