@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from typing import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,7 @@ from logweave.functions.matching import lenient_line, lenient_parts, match_lenie
 from logweave.functions.masking import mask_variables
 from logweave.functions.text import tokenize
 from logweave.functions.templates import clean_template, literal_template, template_to_regex
+from logweave.operators.lint import with_report
 from logweave.operators.mining import consensus_template
 from logweave.operators.pool import index_templates, match_indexed, possible_templates, template_pool
 from logweave.operators.sampling import diverse_sample
@@ -56,6 +58,38 @@ def static_groups(groups: DataFrame, group_col: str = "event_id") -> DataFrame:
 
 Proposer = Callable[[DataFrame], DataFrame]
 
+#: Lines a group that a proposer with feedback sees, if no number is given.
+FEEDBACK_SAMPLE = 5
+
+
+def grouped_proposer(fn: Callable[[list[str], list[str], list[str]], str | None]) -> Proposer:
+    """A proposer for ``parse_logs(feedback=True)`` that calls ``fn(sample, reports, history)`` once a group.
+
+    ``sample``: its sampled lines that still fail; ``reports``: the lint report of the last template on each of
+    them (empty in the first round); ``history``: the template regexes tried, in order.  ``fn`` returns a template (``<*>``
+    form) or None.  The call gets the sampled rows of one group, which their number bounds.
+    """
+    def call(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["line_id", "content"], kind="stable")
+        history = max((list(h) for h in pdf["history"]), key=len)
+        reports = [r for r in pdf["report"] if isinstance(r, str)]
+        template = fn(pdf["content"].tolist(), reports, history)
+        return pdf.iloc[:1][["dataset", "group_key"]].assign(template=template)
+
+    def propose(rows: DataFrame) -> DataFrame:
+        return rows.select("dataset", "group_key", "line_id", "content", "history", "report") \
+            .groupBy("dataset", "group_key").applyInPandas(call, "dataset string, group_key string, template string")
+    return propose
+
+
+def with_feedback(rows: DataFrame, todo: DataFrame) -> DataFrame:
+    """Sampled rows (dataset, group_key, line_id, content) with ``history`` (templates tried), the last one as
+    ``template_regex`` and its lint ``report`` on the line (null before the first try)."""
+    key = ["dataset", "group_key", "content"]
+    told = rows.join(todo.select(*key, "history"), key)
+    return with_report(told.withColumn("template_regex", clean_template(F.try_element_at("history", F.lit(-1))))) \
+        .withColumn("report", F.when(F.col("template_regex").isNotNull(), F.col("report")))
+
 
 def consensus_proposer(masks: Sequence[str], unicode: bool = True) -> Proposer:
     """Default proposer: consensus of the masked lines of each group.
@@ -111,7 +145,7 @@ def verify_templates(rows: DataFrame, proposals: DataFrame, lint: bool = True,
 
 def parse_logs(groups: DataFrame, masks: Sequence[str], proposer: Proposer | None = None,
                rounds: int = 3, lint: bool = True, use_pool: bool = True,
-               group_col: str = "template", sample_size: int | None = None) -> DataFrame:
+               group_col: str = "template", sample_size: int | None = None, feedback: bool = False) -> DataFrame:
     """Assign a verified template regex to every mined line.
 
     ``groups``: dataset, line_id, content, template (from mining); a group is the
@@ -119,7 +153,9 @@ def parse_logs(groups: DataFrame, masks: Sequence[str], proposer: Proposer | Non
     lines are joined once at the end.  Before each proposal the failing contents are tried
     against the pool of templates verified so far, whichever group they come from.  An
     outside ``proposer`` gets a diverse sample of ``sample_size`` lines a group (all lines if
-    None) and its templates are repaired first.
+    None) and its templates are repaired first.  With ``feedback`` its rows also hold the group's history and
+    the lint report of the last template on the line (``with_feedback``), on a sample of ``sample_size`` or ``FEEDBACK_SAMPLE``
+    lines a group; ``grouped_proposer`` hands all of it to a function at once.
 
     Returns ``dataset, line_id, content, event_id, template_regex, verified, source,
     history`` (the templates tried, in order) with the same row count as the input;
@@ -171,8 +207,11 @@ def parse_logs(groups: DataFrame, masks: Sequence[str], proposer: Proposer | Non
                 else consensus_proposer(masks)(todo.select(*key, "line_id", "content"))
         else:
             rows = todo.select(*key, "line_id", "content")
-            if sample_size:
-                rows = diverse_sample(rows, k=sample_size, group_cols=key).select(*key, "line_id", "content")
+            size = sample_size or (FEEDBACK_SAMPLE if feedback else None)
+            if size:
+                rows = diverse_sample(rows, k=size, group_cols=key).select(*key, "line_id", "content")
+            if feedback:
+                rows = with_feedback(rows, todo)
             prop = repair_templates(proposer(rows).select(*key, "template"))
         prop = prop.withColumn("template_regex", template_to_regex("template")).select(*key, "template_regex")
         checked = verify_templates(todo, prop, lint, validate=proposer is not None) \

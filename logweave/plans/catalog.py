@@ -443,11 +443,7 @@ r AS (SELECT dataset, doc_id, line_id, content,
       row_number() OVER (PARTITION BY dataset, doc_id ORDER BY len({S.tokens('content')}) DESC, line_id) AS rn FROM dl)
 SELECT dataset, doc_id, line_id, content FROM r WHERE rn = 1""")
 def q_longest_line(spark, sf):
-    d = _docs(spark, sf)
-    ln = F.size(text.tokenize("content", unicode=False))
-    return d.groupBy("dataset", "doc_id").agg(
-        F.max_by(F.struct("line_id", "content"), F.struct(ln.alias("n"), (-F.col("line_id")).alias("i"))).alias("l")) \
-        .select("dataset", "doc_id", "l.line_id", "l.content")
+    return smp.longest_line(_docs(spark, sf), "doc_id", unicode=False)
 
 
 @register("spaced_rows", f"""WITH {S.DL},
@@ -644,6 +640,18 @@ def q_dedup_count(spark, sf):
     return sk.dedup_count(_docs(spark, sf).select("dataset", "content"))
 
 
+@register("append_counted", f"""WITH {S.EV}
+SELECT event_type, user_id, count(*) AS count FROM ev GROUP BY event_type, user_id""")
+def q_append_counted(spark, sf):
+    """Two appends, one made twice as a repeated job would."""
+    ev = _events(spark, sf).select("event_type", "user_id")
+    path = f"{shared_folder(spark).rstrip('/')}/counted-{uuid.uuid4().hex}"
+    seen = F.col("event_type").isin("click", "view")
+    for write, rows in (("seen", seen), ("rest", ~F.coalesce(seen, F.lit(False))), ("seen", seen)):
+        sk.append_counted(ev.filter(rows), path, write)
+    return sk.read_counted(spark, path)
+
+
 _ORDER = ["view", "click", "error", "signup", "purchase"]
 
 
@@ -663,20 +671,22 @@ def q_summary_upsert(spark, sf):
     return sk.summary_upsert(old, new, _ORDER)
 
 
-@register("profile_masks")
+def _profile_masks_sql() -> str:
+    """A line is changed where a mask matches it.  DuckDB's patterns know no look-behind and read ``\\w``, ``\\d`` and
+    ``\\b`` as ASCII, so these are written out; whether a line matches is the same when the neighbour is consumed."""
+    from logweave.sources.profiles import PROFILES
+    rows = []
+    for name, _, masks, _, _ in PROFILES:
+        any_of = masking.combined_mask_pattern(masks, unicode=False).replace(r"((?<=\s)|(?<=^))", r"(?:^|\s)")
+        any_of = any_of.replace(r"\b", r"(?:^|$|[^\w])").replace(r"\w", r"\p{L}\p{M}\p{Nd}_").replace(r"\d", r"\p{Nd}").replace("'", "''")
+        rows.append(f"SELECT '{name}' AS profile, count(*) FILTER (WHERE regexp_matches(content, '{any_of}')) AS changed FROM dl")
+    return f"WITH {S.DL} " + " UNION ALL ".join(rows)
+
+
+@register("profile_masks", _profile_masks_sql())
 def q_profile_masks(spark, sf):
-    from logweave.sources.profiles import profiles_frame
-    rows = profiles_frame(spark).select("dataset", "masks").collect()
-    d = _docs(spark, sf).select("line_id", "content")
-    outs = []
-    for r in rows:
-        masked = masking.mask_variables("content", list(r["masks"]))
-        outs.append(d.agg(F.sum((masked != F.col("content")).cast("long")).alias("changed"))
-                    .withColumn("profile", F.lit(r["dataset"])))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out.select("profile", "changed")
+    from logweave.sources.profiles import PROFILES
+    return mining.profile_changes(_docs(spark, sf).select("content"), [(name, masks) for name, _, masks, _, _ in PROFILES])
 
 
 # ---------------------------------------------------------------------------
@@ -856,6 +866,16 @@ def q_dynamic_units(spark, sf):
     return lop.dynamic_units(lines, ["grp"]).select("grp", "anchor", "dynamic")
 
 
+@register("leading_units", """WITH u AS (SELECT l_linestatus || CAST(l_linenumber AS VARCHAR) AS grp, CASE WHEN l_returnflag = 'A' OR l_linenumber = 1 THEN 'KB'
+  WHEN l_returnflag = 'N' THEN 'MB' ELSE 'GB' END AS unit FROM lineitem)
+SELECT grp, count(DISTINCT unit) AS units, count(DISTINCT unit) > 1 AS dynamic FROM u GROUP BY grp""")
+def q_leading_units(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    unit = F.when((F.col("l_returnflag") == "A") | (F.col("l_linenumber") == 1), "KB").when(F.col("l_returnflag") == "N", "MB").otherwise("GB")
+    content = F.concat(F.format_number("l_extendedprice", 2), F.lit(" "), unit, F.lit(" in "), F.col("l_quantity").cast("long").cast("string"), F.lit(" MB parts"))
+    return lop.leading_units(li.select(F.concat("l_linestatus", F.col("l_linenumber").cast("string")).alias("grp"), content.alias("content")), ["grp"])
+
+
 # ---------------------------------------------------------------------------
 # Splitting and markers
 # ---------------------------------------------------------------------------
