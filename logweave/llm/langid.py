@@ -3,13 +3,16 @@
 A text is the average of the embeddings of its character n-grams, hashed into
 ``2**bits`` rows, under a linear softmax.  Both matrices are trained together by
 stochastic gradient descent in numpy on a bounded sample of the labelled rows
-(``per_lang`` rows a language in expectation, picked by a hash of the id, and fewer
-if that makes over ``MAX_ROWS`` in all; only texts of at most ``max_chars`` code
-points; at most ``segments`` segments of them; ``max_langs`` languages, the most
-frequent ones).  A part of the sample is held
-back to calibrate: a temperature that minimises its log loss, and the score under
-which a prediction is rejected, the ``reject_quantile`` of the scores of held-back
-segments that were predicted rightly, as wrong ones are to be told from these.
+(``per_lang`` rows of every language, picked by a hash of the id, and fewer, but at least
+one, if that makes over ``MAX_ROWS`` in all; of a text of over ``max_chars`` code points a
+piece of that length from a place picked by the hash; at most ``segments`` segments of them).
+
+A part of the sample, whole documents, is held back to calibrate on its texts and on their
+segments: a temperature that minimises the log loss, and two limits under which a prediction is
+rejected.  ``reject`` is for the score: it parts right predictions from wrong ones.  ``reject_known`` is for the
+share of a text's longest n-grams that training saw (``KNOWN_PRIOR`` seen ones are added, so that a
+few letters prove little): it lies midway between held-back texts and the lowest tenth of the same texts with their letters shuffled.
+Either limit loses at most the share ``reject_quantile`` of the right ones.
 
 The product of both matrices has one row of class scores per hashed n-gram, so a
 prediction is a mean of looked-up rows over the whole text.
@@ -17,7 +20,7 @@ prediction is a mean of looked-up rows over the whole text.
 Defined results: null text, or one without a letter, gives ``und`` with score 0 and
 is rejected; with no labelled row to learn from every text does.  Equal scores go to
 the language first in order.  Null doc_ids are predicted but never learned from;
-repeated rows get equal results.  Only the columns named are read.
+repeated rows get equal results, whatever rows they come with.  Only the columns named are read.
 """
 
 from __future__ import annotations
@@ -27,15 +30,17 @@ import sys
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.llm.common import map_arrow, mix, text_bytes
 
 BITS, DIM, ORDERS = 16, 16, (1, 2, 3)
-PER_LANG, MAX_ROWS, MAX_LANGS, MAX_SAMPLE_CHARS, SEGMENTS, SEGMENT_CHARS = 300, 6_000, 200, 20_000, 16_000, 240
+PER_LANG, MAX_ROWS, MAX_SAMPLE_CHARS, SEGMENTS, SEGMENT_CHARS = 300, 6_000, 20_000, 16_000, 240
 EPOCHS, RATE, BATCH = 4, 0.5, 32
 REJECT_QUANTILE = 0.0005
+#: Bits of the hash under which the longest n-grams of training are remembered, and n-grams taken as seen beforehand.
+SEEN_BITS, KNOWN_PRIOR = 20, 2
 
 
 @functools.cache
@@ -74,9 +79,10 @@ def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def ngrams(points: np.ndarray, order: int, bits: int) -> np.ndarray:
     """The hashed row of the n-gram that starts at each point (at the last ones, of what is left and zeros)."""
     h = np.full(len(points), 0x51ED27 + order, np.uint64)
+    long = np.concatenate([points.astype(np.uint64), np.zeros(order, np.uint64)])
     with np.errstate(over="ignore"):
         for k in range(order):
-            h[:len(points) - k] = (h[:len(points) - k] + points[k:].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h + long[k:k + len(points)]) * np.uint64(0x9E3779B97F4A7C15)
         return (mix(h) >> np.uint64(64 - bits)).astype(np.int64)
 
 
@@ -89,30 +95,55 @@ def held_out(id_col="doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
-def sample(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", per_lang=PER_LANG, max_langs=MAX_LANGS,
-           max_chars=MAX_SAMPLE_CHARS) -> list[tuple[str, str]]:
+def row_ngrams(points: np.ndarray, offsets: np.ndarray, order: int, bits: int) -> np.ndarray:
+    """``ngrams`` of rows in one array; what starts at the last point of a row, a zero, is an n-gram of zeros and never
+    reads the next row (the point before it ends on the zeros between two rows)."""
+    rows = ngrams(points, order, bits)
+    rows[offsets[1:] - 1] = ngrams(np.zeros(1, np.uint32), order, bits)[0]
+    return rows
+
+
+def sample(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", per_lang=PER_LANG, max_chars=MAX_SAMPLE_CHARS) -> list[tuple[str, str]]:
     """(text, language) of the bounded sample, on the driver."""
     usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
         learned_rows(docs, "id", "lang"))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    counts = usable.groupBy("lang").count().collect()  # one short row a language
     if not counts:
         return []
     per_lang = min(per_lang, max(1, MAX_ROWS // len(counts)))
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_lang / r["count"]))])
+    # More than needed by the hash, so that no language comes out short, and the first ones of these.
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, (2 * per_lang + 20) / r["count"]))])
     spread = F.pmod(F.xxhash64(F.col("id"), F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
-    picked = usable.where((spread < F.element_at(share, F.col("lang"))) & (F.length("text") <= max_chars))
-    return sorted((r["text"], r["lang"]) for r in picked.select("text", "lang").collect())
+    start = F.pmod(F.xxhash64(F.col("id"), F.lit("piece")), F.greatest(F.length("text") - max_chars, F.lit(0)) + 1).cast("int") + 1
+    picked = usable.select("lang", spread.alias("spread"), F.substring(F.col("text"), start, F.lit(max_chars)).alias("text")) \
+        .where(F.col("spread") < F.element_at(share, F.col("lang")))
+    first = picked.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("spread", "text"))).where(F.col("place") <= per_lang)
+    return sorted((r["text"] or "", r["lang"]) for r in first.select("text", "lang").collect())
 
 
 class Model:
-    def __init__(self, langs: list[str], table: np.ndarray, temperature: float, reject: float, bits: int = BITS, orders=ORDERS):
+    def __init__(self, langs: list[str], table: np.ndarray, temperature: float, reject: float, bits: int = BITS, orders=ORDERS,
+                 seen: np.ndarray | None = None, reject_known: float = 0.0):
         self.langs, self.table, self.temperature, self.reject, self.bits, self.orders = langs, table, temperature, reject, bits, orders
+        self.seen, self.reject_known = np.ones(1 << SEEN_BITS, bool) if seen is None else seen, reject_known
+
+    def known(self, points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The share of each row's longest n-grams with a letter in them that training saw."""
+        if not len(points):
+            return np.ones(len(offsets) - 1)
+        order = max(self.orders)
+        lettered = points != 0
+        for k in range(1, order):  # n-grams within a row; a row's last zero starts none
+            lettered[:-k] |= points[k:] != 0
+        lettered[offsets[1:] - 1] = False
+        hit = self.seen[row_ngrams(points, offsets, order, SEEN_BITS)] & lettered
+        return (np.add.reduceat(hit, offsets[:-1], dtype=np.int64) + KNOWN_PRIOR) / (np.add.reduceat(lettered, offsets[:-1], dtype=np.int64) + KNOWN_PRIOR)
 
     def logits(self, points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         total = np.zeros((len(offsets) - 1, len(self.langs)))
         if len(points):
             for order in self.orders:
-                rows = ngrams(points, order, self.bits)
+                rows = row_ngrams(points, offsets, order, self.bits)
                 for j in range(len(self.langs)):
                     total[:, j] += np.add.reduceat(np.take(self.table[:, j], rows), offsets[:-1], dtype=np.float64)
         return total / np.maximum(1, np.diff(offsets) * len(self.orders))[:, None]
@@ -123,13 +154,39 @@ class Model:
         if not self.langs or not n:
             return ["und"] * n, np.zeros(n), np.ones(n, bool)
         points, offsets = code_points(column)
-        z = self.logits(points, offsets) / self.temperature
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
+        p = self.shares(points, offsets)
         best = p.argmax(axis=1)
         letters = np.add.reduceat(points != 0, offsets[:-1]) > 0
         score = np.where(letters, p[np.arange(n), best], 0.0)
-        return [self.langs[b] if x else "und" for b, x in zip(best, letters)], score, ~letters | (score < self.reject)
+        return [self.langs[b] if x else "und" for b, x in zip(best, letters)], score, ~letters | (score < self.reject) | (self.known(points, offsets) < self.reject_known)
+
+    def shares(self, points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        z = self.logits(points, offsets) / self.temperature
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        return p / p.sum(axis=1, keepdims=True)
+
+
+def limit(good: np.ndarray, bad: np.ndarray, most: float) -> float:
+    """The value that best parts ``good`` from lower ``bad`` ones and has at most the share ``most`` of the good below it:
+    the middle of the gap under the last good one kept, or, with bad ones above it, that one itself."""
+    if not len(good):
+        return 0.0
+    least = float(np.sort(good)[min(len(good) - 1, int(most * len(good)))])
+    below = bad[bad < least]
+    return least if len(below) < len(bad) or not len(bad) else (least + float(below.max())) / 2
+
+
+def _rows_of(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of texts as rows that begin and end with a zero."""
+    rows = [np.concatenate([[0], p[int(p[0] == 0):len(p) - int(p[-1] == 0)], [0]]) for p in parts]
+    return np.concatenate(rows).astype(np.uint32), np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+
+
+def _shuffled(points: np.ndarray, rng) -> np.ndarray:
+    out = points.copy()
+    at = np.flatnonzero(points)
+    out[at] = points[rng.permutation(at)]
+    return out
 
 
 def _segments(rows, size, most, rng):
@@ -176,7 +233,10 @@ def train(rows: list[tuple[str, str]], *, bits=BITS, dim=DIM, orders=ORDERS, seg
             for d in range(dim):
                 grad[:, d] = np.bincount(inverse, weights=back_to[per, d], minlength=len(rows_))
             E[rows_] -= np.clip(step * batch * grad, -0.5, 0.5)
-    model = Model(langs, (E @ W).astype(np.float32), 1.0, 0.0, bits, orders)
+    seen = np.zeros(1 << SEEN_BITS, bool)
+    for i in own:
+        seen[ngrams(parts[i][1], max(orders), SEEN_BITS)] = True
+    model = Model(langs, (E @ W).astype(np.float32), 1.0, 0.0, bits, orders, seen)
     held = np.flatnonzero(back) if back.any() else own
     z = np.array([model.table[grams[i]].mean(axis=0) for i in held])
     best = (np.inf, 1.0)
@@ -186,17 +246,26 @@ def train(rows: list[tuple[str, str]], *, bits=BITS, dim=DIM, orders=ORDERS, seg
         loss = float((np.log(np.exp(q).sum(axis=1)) - q[np.arange(len(held)), y[held]]).mean())
         best = min(best, (loss, float(t)))
     model.temperature = best[1]
-    q = np.exp(z / best[1] - (z / best[1]).max(axis=1, keepdims=True))
-    q /= q.sum(axis=1, keepdims=True)
-    right = q.argmax(axis=1) == y[held]
-    scores = q.max(axis=1)[right]
+    # Whole texts, and their segments as short ones.
+    whole = np.unique(doc[held])
+    rows_ = [code_points(pa.array([rows[k][0]], pa.large_string()))[0] for k in whole] + [parts[i][1] for i in held]
+    truth = np.array([code[rows[k][1]] for k in whole] + y[held].tolist())
+    points, offsets = _rows_of(rows_)
+    p = model.shares(points, offsets)
+    right = p.argmax(axis=1) == truth
+    score = p.max(axis=1)
     # Never above what a chance guess among two languages would score.
-    model.reject = float(min(0.5, np.quantile(scores, reject_quantile))) if len(scores) else 0.0
+    model.reject = min(0.5, limit(score[right], score[~right], reject_quantile))
+    if back.any():
+        noise = model.known(*_rows_of([_shuffled(r, rng) for r in rows_]))
+        known = model.known(points, offsets)
+        # Shuffled letters are still letters of the language, and new words are no junk: the lowest tenth of them is the mark.
+        model.reject_known = limit(known[right], np.quantile(noise, [0.1]), reject_quantile)
     return model
 
 
 def fit(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", **kw) -> Model:
-    sizes = {k: kw.pop(k) for k in ("per_lang", "max_langs", "max_chars") if k in kw}
+    sizes = {k: kw.pop(k) for k in ("per_lang", "max_chars") if k in kw}
     return train(sample(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **sizes), **kw)
 
 

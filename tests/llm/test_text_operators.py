@@ -4,7 +4,9 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -143,6 +145,14 @@ def test_cascade_order_and_verdict(spark):
     assert forth == back == 10
 
 
+def test_costs_of_rules_hold_their_statistics(spark):
+    """A rule on repeated words sorts the windows of every text when it is timed; one on the number of words does not."""
+    docs = spark.createDataFrame([(" ".join(f"w{(i * k) % 997}" for k in range(4000)),) for i in range(1, 120)], "text string").repartition(2)
+    every = quality.rules()
+    cost = {r["name"]: r["cost"] for r in quality.ordered(docs, {k: every[k] for k in ("few_words", "repeated_words")}, 100, quality.statistics)}
+    assert cost["repeated_words"] > 3 * cost["few_words"]
+
+
 def test_quality_is_native(odd):
     plan = quality.report(odd)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -213,6 +223,40 @@ def test_languages_of_odd_rows(spark, odd, empty):
     assert {r.lang_pred for r in none.collect()} == {"und"} and none.count() == odd.count()
 
 
+def test_unseen_scripts_and_junk_are_rejected_and_clean_texts_kept(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs)
+    junk = ["xx xx xx xx xx", "שלום עולם מה שלומך", "Привет мир как дела", "안녕하세요 세계 여러분", "zqx wvk jjq pfx qqz", "kkkkkkkkkkkkkkkk"]
+    assert model.predict(pa.array(junk, pa.string()))[2].all()
+    out = langid.predict(docs, model, carry=("doc_id", "lang")).where("row.lang is not null").collect()
+    assert sum(r.rejected for r in out) <= 0.002 * len(out)
+
+
+def test_every_language_and_long_texts_are_learned_from(spark):
+    """Some 300 languages, one of them ten times as frequent, and one whose texts are all long."""
+    rows = [(i, f"only {i % 300} words", f"l{i % 300:03d}") for i in range(6000)] + [(9000 + i, f"w{i} " * 100, "l000") for i in range(900)] + [
+        (20_000 + i, "läng " * 500 + f"end{i}", "long") for i in range(30)]
+    picked = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=5, max_chars=100)
+    sizes = Counter(lang for _, lang in picked)
+    assert len(sizes) == 301 and set(sizes.values()) == {5}
+    assert {len(t) for t, lang in picked if lang == "long"} == {100}
+
+
+def test_scores_do_not_depend_on_neighbours():
+    model = langid.train([(f"the cat and the dog {i}", "en") for i in range(30)] + [(f"der hund und die katze {i}", "de") for i in range(30)])
+    texts = ["the dog", "", None, "é", "und die katze", "a", "12", "the dog"]
+    together = model.predict(pa.array(texts, pa.string()))
+    alone = [model.predict(pa.array([t], pa.string())) for t in texts]
+    assert together[0] == [a[0][0] for a in alone] and np.allclose(together[1], [a[1][0] for a in alone], atol=1e-12)
+    assert together[2].tolist() == [bool(a[2][0]) for a in alone]
+
+
+def test_limit_parts_right_from_wrong():
+    assert langid.limit(np.array([0.9, 0.8, 1.0]), np.array([0.2, 0.4]), 0.0) == pytest.approx(0.6)
+    assert langid.limit(np.array([0.9, 0.8, 1.0]), np.array([0.2, 0.95]), 0.0) == 0.8
+    assert langid.limit(np.arange(1000) / 1000, np.array([]), 0.01) == 0.01 and langid.limit(np.array([]), np.array([0.5]), 0.1) == 0.0
+
+
 def test_only_rows_that_are_not_held_out_are_learned_from(spark):
     docs = spark.createDataFrame([(i, f"text {i}", "en") for i in range(60)] + [(None, "no id", "en")], "doc_id long, text string, lang string")
     import zlib
