@@ -42,7 +42,7 @@ from logweave.session import cut_lineage
 STATIC_BREAKERS = [" is ", "=", " to ", "_", "-", ":", "."]
 
 
-def static_groups(groups: DataFrame, group_col: str = "event_id") -> DataFrame:
+def static_groups(groups: DataFrame, group_col: str = "template") -> DataFrame:
     """Groups with exactly one distinct content free of variable-looking text.
 
     Returns ``dataset, group_col, content, template_regex`` (escaped line).
