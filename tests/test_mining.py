@@ -161,3 +161,41 @@ def test_every_line_matches_own_template(spark):
     norm = df.withColumn("norm", F.array_join(F.filter(F.split("content", "\\s+"), lambda x: x != ""), " "))
     bad = norm.filter(~match_lenient("norm", template_to_regex("template"))).count()
     assert bad == 0
+
+
+def test_leaf_compares_few_templates():
+    """A large leaf makes the templates of a plain scan, and a sequence is compared with few of them (it was compared with all)."""
+    import random
+
+    from logweave.operators.mining import PrefixClusterer
+    draw = random.Random(3)
+
+    def rows(n, words):
+        return [["<*>" if draw.random() < 0.1 else "w" + "abcdefghij"[int(x) % 10] + "klmnopqrst"[int(x) // 10 % 10] + "uvwxyz"[int(x) // 100 % 6]
+                 for x in (words * draw.random() ** 2 for _ in range(n))] for _ in range(1500)]
+
+    def scanned(sequences, st):  # one leaf without levels: the first best template takes a sequence
+        made, chosen = [], []
+        for s in sequences:
+            score = [(sum(a == b != "<*>" for a, b in zip(t, s)), t.count("<*>")) for t in made]
+            best = max(range(len(made)), key=lambda i: (score[i], -i), default=None)
+            if best is not None and score[best][0] / len(s) >= st:
+                made[best] = [a if a == b else "<*>" for a, b in zip(made[best], s)]
+            else:
+                best = len(made)
+                made.append(list(s))
+            chosen.append(best)
+        return [" ".join(t) for t in made], chosen
+
+    for n, st, words in ((11, 0.5, 600), (4, 0.5, 400), (7, 0.3, 600), (5, 0.9, 30), (3, 1.0, 20)):
+        sequences = rows(n, words)
+        clusterer = PrefixClusterer(1, st, 100)
+        chosen = [clusterer.add(s) for s in sequences]
+        assert ([clusterer.template(g, n) for g in range(len(clusterer.where))], chosen) == scanned(sequences, st)
+    clusterer = PrefixClusterer(1, 0.5, 100)
+    for s in rows(11, 600):
+        clusterer.add(s)
+    leaf = clusterer.where[-1][0]
+    assert leaf.size > 500
+    compared = [len(leaf.near(clusterer._ids(s))) for s in rows(11, 600)[:200]]
+    assert sum(compared) / len(compared) < leaf.size / 20
