@@ -7,9 +7,9 @@ static token are remembered but are not match candidates.
 
 Matching (first hit in pool order, strict matcher) is a theta join.  It is
 run as an equi-join on an *anchor*: a run of word characters that a template
-holds between other literal characters, the rarest in the pool of its longest such runs.  A line can
+holds between other literal characters, of its longest such runs the one that the fewest lines hold.  A line can
 only match a template if that run is one of its own, so the join emits only plausible
-pairs; the pairs are then verified and the best one per distinct line kept with ``min_by``.
+pairs; these are verified within the join and the best one per distinct line kept with ``min_by``.
 Templates without a whole run (every word touches a wildcard) have a rare gram of their literal
 text as key instead; only those with neither join on (dataset, word count).
 Lines are matched as distinct contents and joined back.
@@ -77,6 +77,8 @@ _GAP = "\x01"
 _RUN = r"(?U)(?<![\w\x01])\w+(?![\w\x01])"
 #: An anchor is the rarest of a template's longest runs, so many of them; any run would do, as every matching line holds all.
 _LONGEST = 4
+#: Of so many of its longest keys an indexed template takes the one that the fewest lines hold.
+_LOOKED_UP = 8
 #: Literal text of a template in grams of so many characters, the key of templates without a whole run.
 GRAM = 3
 
@@ -106,9 +108,9 @@ def _runs_of(regex) -> F.Column:
     return F.when(simple, runs).otherwise(F.array().cast("array<string>"))
 
 
-def _longest(keys) -> F.Column:
+def _longest(keys, most: int = _LONGEST) -> F.Column:
     by_length = F.array_sort(F.transform(keys, lambda k: F.struct((-F.length(k)).alias("l"), k.alias("k"))))
-    return F.slice(by_length, 1, _LONGEST)["k"]
+    return F.slice(by_length, 1, most)["k"]
 
 
 def _rarest(c: DataFrame, name: str) -> DataFrame:
@@ -136,58 +138,74 @@ def possible_templates(templates: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def index_templates(pool: DataFrame) -> DataFrame:
-    """The candidates of a pool, written once with all that matching needs of a template: ``anchor`` (a whole run
-    of word characters), else ``gram`` (a rare piece of its literal text), and ``parts`` (its segments and ``=`` count).
+    """The candidates of a pool, written once with all that matching needs of a template: ``runs`` (its longest whole runs
+    of word characters), else ``grams`` (pieces of its literal text), and ``parts`` (its segments and ``=`` count).
 
     Indexes of several pools are united as they are, so a growing pool indexes only what it gains.
     """
     c = cut_lineage(pool.filter("candidate").select("dataset", "template_id", "template_regex", "word_count", "seq",
-                                                    strict_parts("template_regex").alias("parts"), _runs_of(F.col("template_regex")).alias("keys")))
-    anchored = _rarest(c, "anchor")
-    grams = F.when((F.size("keys") == 0) & F.col("parts.plain"), _grams(_literal(F.col("template_regex")))).otherwise(F.array().cast("array<string>"))
-    loose = _rarest(c.filter(F.size("keys") == 0).withColumn("keys", grams), "gram").select("dataset", "template_id", "gram")
-    return cut_lineage(anchored.join(loose, ["dataset", "template_id"], "left"))
+                                                    strict_parts("template_regex").alias("parts"), _runs_of(F.col("template_regex")).alias("runs")))
+    loose = (F.size("runs") == 0) & F.col("parts.plain")
+    grams = F.when(loose, _longest(_grams(_literal(F.col("template_regex"))), _LOOKED_UP)).otherwise(F.array().cast("array<string>"))
+    return cut_lineage(c.withColumn("grams", grams).withColumn("runs", _longest(F.col("runs"), _LOOKED_UP)))
 
 
 def match_indexed(lines: DataFrame, index: DataFrame) -> DataFrame:
     """First indexed template (by word count desc, insertion order) that strictly matches each line, for lines with
     at least its word count.  Returns the lines with ``template_id, template_regex`` (null when nothing matches).
 
-    Keys of lines travel with a digest; the text, with what matching needs of a line, comes back for the pairs that share a key.
+    A template's anchor is the one of its keys that the fewest of these lines hold; without a line that holds it the template is left out.
+    Lines meet the anchors by short rows (key and digest).  Then a line's text goes to each of its anchors and pairs are
+    verified where they arise, so only those that match are passed on.
     """
     distinct = lines.select("dataset", "content").where(F.col("content").isNotNull()).distinct() \
         .withColumn("n_tokens", F.size(F.filter(F.split("content", "(?U)\\s+"), lambda t: t != ""))) \
         .withColumn("digest", F.unhex(F.md5("content")))
-    # Sent to every task only below a checked number of bytes.
-    kinds = index.agg(F.sum(2 * F.octet_length("template_regex") + F.coalesce(F.octet_length("anchor"), F.lit(0)) + 96),
-                      F.count("anchor"), F.count(F.when(F.col("anchor").isNull(), F.col("gram"))),
-                      F.count(F.when(F.col("anchor").isNull() & F.col("gram").isNull(), 1))).first()
-    send = F.broadcast if (kinds[0] or 0) <= BROADCAST_BYTES else (lambda df: df)
+    kinds = index.agg(F.count(F.when(F.size("runs") > 0, 1)), F.count(F.when(F.size("grams") > 0, 1)),
+                      F.count(F.when((F.size("runs") == 0) & (F.size("grams") == 0), 1))).first()
     bare = F.replace(F.col("content"), F.lit(","), F.lit(""))
+    text = distinct.select("dataset", "digest", "n_tokens", "content", line_parts("content").alias("line"))
     found = None
-    for n, where, keys, key in (
-            (kinds[1], F.col("anchor").isNotNull(), F.array_distinct(F.regexp_extract_all(bare, F.lit(r"(?U)\w+"), 0)), "anchor"),
-            (kinds[2], F.col("anchor").isNull() & F.col("gram").isNotNull(), _grams(bare), "gram"),
+    for n, where, keys, own in (
+            (kinds[0], F.size("runs") > 0, F.array_distinct(F.regexp_extract_all(bare, F.lit(r"(?U)\w+"), 0)), F.col("runs")),
+            (kinds[1], F.size("grams") > 0, _grams(bare), F.col("grams")),
             # No literal text to speak of: any line with their words.
-            (kinds[3], F.col("anchor").isNull() & F.col("gram").isNull(), F.sequence(F.lit(1), F.greatest("n_tokens", F.lit(1))), "word_count")):
+            (kinds[2], (F.size("runs") == 0) & (F.size("grams") == 0), F.sequence(F.lit(1), F.greatest("n_tokens", F.lit(1))), F.array("word_count"))):
         if not n:
             continue
-        keyed = distinct.select("dataset", "digest", "n_tokens", F.explode(keys).alias(key))
-        pairs = keyed.join(send(index.filter(where)), ["dataset", key]).filter(F.col("word_count") <= F.col("n_tokens"))
-        pairs = pairs.select("dataset", "digest", "template_id", "template_regex", "word_count", "seq", "parts")
-        found = pairs if found is None else found.unionByName(pairs)
+        keyed = distinct.select("dataset", "digest", "n_tokens", F.explode(keys).alias("key"))
+        anchored = _rarest_in(index.filter(where).withColumn("keys", own), keyed)
+        # Sent to every task only below a checked number of bytes.
+        size = anchored.agg(F.sum(2 * F.octet_length("template_regex") + 128)).first()[0] or 0
+        send = F.broadcast if size <= BROADCAST_BYTES else (lambda df: df)
+        least = anchored.groupBy("dataset", "key").agg(F.min("word_count").alias("least"))
+        near = keyed.join(send(least), ["dataset", "key"]).filter(F.col("least") <= F.col("n_tokens")).select("dataset", "key", "digest")
+        pairs = near.join(text, ["dataset", "digest"]).join(send(anchored), ["dataset", "key"]).filter(F.col("word_count") <= F.col("n_tokens"))
+        hits = pairs.filter(match_strict_parts("content", "template_regex", F.col("line"), F.col("parts"))) \
+            .select("dataset", "content", "template_id", "template_regex", "word_count", "seq")
+        found = hits if found is None else found.unionByName(hits)
     if found is None:
         none = F.lit(None)
         return lines.withColumn("template_id", none.cast("long")).withColumn("template_regex", none.cast("string"))
-    text = distinct.select("dataset", "digest", "content", line_parts("content").alias("line"))
-    hits = found.join(text, ["dataset", "digest"]).filter(match_strict_parts("content", "template_regex", F.col("line"), F.col("parts")))
-    best = hits.groupBy("dataset", "content").agg(
+    best = found.groupBy("dataset", "content").agg(
         F.min_by(F.struct("template_id", "template_regex"),
                  F.struct((-F.col("word_count")).alias("w"), F.col("seq").alias("s"))).alias("m"))
     best = best.select("dataset", "content", "m.template_id", "m.template_regex")
     return lines.join(best, ["dataset", "content"], "left")
 
 
+def _rarest_in(templates: DataFrame, keyed: DataFrame) -> DataFrame:
+    """``templates`` with the one of their ``keys`` that the fewest rows of ``keyed`` (dataset, key) have as ``key``; those with
+    a key that no row has are left out.  Written once."""
+    spots = templates.select("dataset", "template_id", F.explode("keys").alias("key"))
+    held = keyed.groupBy("dataset", "key").agg(F.count(F.lit(1)).alias("n"))
+    rarest = F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("key").alias("key"))
+    best = spots.join(held, ["dataset", "key"], "left").groupBy("dataset", "template_id").agg(F.min(rarest).alias("m")) \
+        .filter(F.col("m.n") > 0).select("dataset", "template_id", "m.key")
+    return cut_lineage(templates.join(best, ["dataset", "template_id"])
+                       .select("dataset", "key", "template_id", "template_regex", "word_count", "seq", "parts"))
+
+
 def match_templates(lines: DataFrame, pool: DataFrame) -> DataFrame:
     """``match_indexed`` against a pool that is indexed for this one use (``lines``: dataset, content and any other columns)."""
     return match_indexed(lines, index_templates(pool))

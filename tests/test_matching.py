@@ -206,3 +206,20 @@ def test_units_change_for_their_own_anchor_only(spark):
     t = spark.createDataFrame([("g", "sent <*> KB in <*> s used <*> MB"), ("h", "read <*> GB wrote <*> KB"), ("x", "sent <*> KB")], "grp string, template string")
     got = {r.grp: r.template for r in abstract_dynamic_units(t, lines, ["grp"]).collect()}
     assert got == {"g": "sent <*> <*> in <*> s used <*> MB", "h": "read <*> GB wrote <*> <*>", "x": "sent <*> KB"}
+
+
+def test_anchor_is_the_rarest_among_the_lines(spark):
+    """Templates that share their longest word are looked up by a word that few lines hold (every pair was made before)."""
+    from logweave.operators import pool as pl
+    lines = spark.createDataFrame([("d", i, f"performance w{chr(97 + i % 20)}{chr(97 + i // 20)} done {i}") for i in range(200)], "dataset string, line_id long, content string")
+    proposals = spark.createDataFrame([("d", f"performance w{chr(97 + i % 20)}{chr(97 + i // 20)} done <*>", i) for i in range(200)], "dataset string, template string, seq long")
+    index = pl.index_templates(pl.template_pool(proposals, rank=False))
+    keyed = lines.selectExpr("dataset", r"explode(array_distinct(regexp_extract_all(content, '(?U)\\w+', 0))) AS key")
+    chosen = pl._rarest_in(index.withColumn("keys", index["runs"]), keyed)
+    assert chosen.count() == 200
+    assert chosen.join(keyed, ["dataset", "key"]).count() == 200
+    out = {r["line_id"]: r["template_regex"] for r in pl.match_indexed(lines, index).collect()}
+    assert out == {i: f"performance w{chr(97 + i % 20)}{chr(97 + i // 20)} done (.*?)" for i in range(200)}
+    # A template with a word that no line holds is not tried.
+    other = lines.selectExpr("dataset", "'done' AS key")
+    assert pl._rarest_in(index.withColumn("keys", index["runs"]), other).count() == 0
