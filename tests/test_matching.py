@@ -223,3 +223,22 @@ def test_anchor_is_the_rarest_among_the_lines(spark):
     # A template with a word that no line holds is not tried.
     other = lines.selectExpr("dataset", "'done' AS key")
     assert pl._rarest_in(index.withColumn("keys", index["runs"]), other).count() == 0
+
+
+def test_collapse_runs_its_passes_in_one_round(spark, monkeypatch):
+    """Rows that need several passes are written once (a round had one pass before), and those with more than a round has go on."""
+    from logweave.functions.templates import collapse_pass
+    from logweave.operators import templates as top
+    texts = ["<*>-<*>-<*>-<*>-<*>-<*>-<*>-<*>-<*>", "<*>-a-<*>_b c-<*>:d:<*>", "plain", "", None, "<*>-<*>-<*>-<*>-<*>-<*>-<*>-<*>-<*>"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "line_id long, template string")
+    plain = df
+    for _ in range(12):
+        plain = spark.createDataFrame(plain.select("line_id", collapse_pass("template").alias("template")).collect(), df.schema)
+    want = {r["line_id"]: r["template"] for r in plain.collect()}
+    writes = []
+    real = top.cut_lineage
+    monkeypatch.setattr(top, "cut_lineage", lambda d: writes.append(1) or real(d))
+    assert {r["line_id"]: r["template"] for r in top.collapse_to_fixpoint(df).collect()} == want
+    assert len(writes) == 1
+    monkeypatch.setattr(top, "PASSES", 2)
+    assert {r["line_id"]: r["template"] for r in top.collapse_to_fixpoint(df).collect()} == want
