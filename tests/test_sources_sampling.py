@@ -199,3 +199,27 @@ def test_word_keys(spark):
     df = spark.createDataFrame([(c,) for c, _, _ in cases], "content string")
     got = [tuple(r) for r in df.select("content", spl.ed_key("content"), spl.first_key("content")).collect()]
     assert got == cases
+
+
+def test_lines_of_a_large_group_stay_where_they_are(spark):
+    """Lines meet their group's decision without a sort by group, and first lines are found without a sort of all lines."""
+    from logweave.operators import splitting as spl
+    df = spark.range(4000).select(F.lit("d").alias("dataset"), F.lit("g").alias("event_id"), F.when(F.col("id") > 2, F.col("id")).alias("line_id"),
+                                  F.concat(F.lit("job "), F.when(F.col("id") % 2 == 0, "opened").otherwise("closed"), F.lit(" by user "), F.col("id").cast("string")).alias("content"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16KB")
+    try:
+        out = spl.split_groups(df, "event_id")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {(r["split_rule"], r["split_key"]): r["n"] for r in out.groupBy("split_rule", "split_key").agg(F.count("*").alias("n")).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [x for x in plan.splitlines() if "SortMergeJoin" in x and "line_id" not in x] == []
+    assert got == {("b", "opened"): 2000, ("b", "closed"): 2000}
+    rows = df.select("*", F.lit("x").alias("dc"), F.lit(None).cast("string").alias("ed"), F.lit("job").alias("first"), F.lit(5).alias("n_words"),
+                     (F.col("line_id") % 3).cast("string").alias("second")).cache()
+    line = F.struct("line_id", "content", "n_words", "first")
+    by = ["dataset", "event_id", "dc", "ed", "first", "n_words", "second"]
+    expected = rows.groupBy(*by).agg(F.min(line).alias("at"), F.min(F.when(F.col("line_id").isNotNull(), line)).alias("known"))
+    keys = spl._distinct_keys(rows, ["dataset", "event_id"])
+    assert sorted(map(str, keys.drop("plain").collect())) == sorted(map(str, expected.collect()))
