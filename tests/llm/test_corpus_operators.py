@@ -184,6 +184,18 @@ def test_a_shard_is_settled_anchor_by_anchor(limit, most_rows, block):
         assert len(read) < len(rows) / 2
 
 
+def test_runs_of_a_context_are_built_once():
+    firsts = [np.array([5, 5, 2]), np.array([], np.int64), np.array([2, 9])]
+    got = list(suffix_dedup._answers([(0, 1, 10, 6), (0, 2, 10, 4), (0, 3, 10, 2), (1, 1, 11, 9), (2, 1, 12, 99), (2, 4, 12, 99)], firsts))
+    run = lambda a, b, f: {"a": a, "b": b, "first": f}
+    assert got == [(1, 10, [run(0, 2, 5), run(2, 3, 2)]), (2, 10, [run(2, 3, 2)]), (1, 12, [run(0, 1, 2), run(1, 2, 9)]), (4, 12, [run(0, 1, 2), run(1, 2, 9)])]
+    assert got[2][2] is got[3][2]
+    kind = pa.list_(pa.struct([("digest", pa.int64()), ("runs", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("first", pa.int64())])))]))
+    found = pa.array([[], [{"digest": 12, "runs": got[2][2]}, {"digest": 10, "runs": got[1][2]}]], kind)[1].values
+    assert [x.tolist() for x in suffix_dedup._runs_at(found, np.array([10, 11, 12, 10]), np.array([100, 200, 300, 400]), np.array([7, 8, 9, 10]))] == [
+        [100, 300, 300, 400], [7, 9, 9, 10], [2, 0, 1, 2], [3, 1, 2, 3], [2, 2, 9, 2]]
+
+
 def test_shards_follow_the_bytes(spark, empty):
     parts = suffix_dedup.chunks(frame(spark, [(d, prose(d, 200), None) for d in range(20)]), "doc_id", "text")
     assert suffix_dedup.shards_of(parts, 500) > suffix_dedup.shards_of(parts) == int(spark.conf.get("spark.sql.shuffle.partitions"))
