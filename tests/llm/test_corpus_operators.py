@@ -214,6 +214,14 @@ def test_suffix_dedup(spark, empty, partitions):
     assert suffix_dedup.report(empty).count() == 0
 
 
+def test_pieces_stay_small():
+    texts = [f"{i:05d}" * 400 for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    cut = list(common.pieces(batch))
+    assert [t for p in cut for t in p.column("text").to_pylist()] == texts
+    assert max(p.nbytes for p in cut) <= 300_000  # a worker holds arrays of many times that
+
+
 # -- packages ------------------------------------------------------------------------
 
 def test_packages(spark, tmp_path):
