@@ -141,6 +141,29 @@ def test_every_window_keeps_its_anchor():
 
 # -- suffix dedup --------------------------------------------------------------------
 
+@pytest.mark.parametrize("n,top,k,width", [(49, 3, 24, 50), (50, 3, 24, 50), (3000, 1, 24, 50), (3000, 2, 3, 7), (70_000, 3, 24, 50)])
+def test_window_anchors_over_blocks(n, top, k, width):
+    h, at = recurring.window_anchors(np.random.default_rng(n).integers(0, top, n).astype(np.uint64), k, width)
+    own, w = h.tolist(), width - k + 1
+    some = [i for i in range(len(at)) if i < 300 or abs(i - recurring.BLOCK) < 100]
+    assert len(h) == n - k + 1 and len(at) == max(0, n - width + 1)
+    assert [at[i] for i in some] == [max(range(i, i + w), key=lambda j: (-own[j], j)) for i in some]
+
+
+def test_anchors_with_one_context_are_answered_apart():
+    """Only rows of anchors with two contexts, and those that may go on in other batches, are streamed one by one."""
+    rng, rows = random.Random(5), []
+    for h in range(40):
+        own = [bytes(rng.choice(b"ab") for _ in range(60)) for _ in range(1 if h % 4 else 2)]
+        rows += sorted((h, i, c, chunk, rng.randrange(5), rng.randrange(5, 9)) for i, c in enumerate(own) for chunk in range(rng.choice([1, 3])))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["h", "digest", "context", "chunk", "least", "most"])
+    found, rest = suffix_dedup._alone(batch, 50)
+    assert {r["h"] for r in rest.to_pylist()} == {h for h in range(40) if h % 4 == 0} | {0, 39}
+    plain = lambda xs: Counter((r["chunk"], r["digest"], tuple(tuple(x.values()) for x in r["runs"])) for r in xs)
+    left = [{"chunk": c, "digest": d, "runs": r} for c, d, r in suffix_dedup.settled((tuple(r.values()) for r in rest.to_pylist()), 50)]
+    assert plain(found.to_pylist()) + plain(left) == plain({"chunk": c, "digest": d, "runs": r} for c, d, r in suffix_dedup.settled(rows, 50))
+
+
 @pytest.mark.parametrize("memory", [1, 500, 1 << 20])
 def test_induced_sorting(memory):
     rng = random.Random(memory)
