@@ -92,26 +92,23 @@ _RUNS = re.compile(r"\s\x20")
 
 def pieces_of(text: str) -> list[str]:
     """``text`` cut where no pre-token can span; their concatenation is ``text``."""
-    if _RUNS.search(text) or not text:
+    if _RUNS.search(text) or not text or "\0" in text:
         return _CUT.split(text) if text else []
-    first, *rest = text.split(" ")
-    out = [" " + x for x in rest]
-    if first:
-        out.insert(0, first)
-    return out
+    out = text.replace(" ", "\0 ").split("\0")
+    return out if out[0] else out[1:]
 
 
 class PieceStore:
-    """Ids of pieces as little-endian 16-bit strings, remembered up to ``limit`` pieces."""
+    """Ids of pieces as little-endian 16-bit strings, remembered up to ``limit`` pieces; ``encode`` gives a list of ids, or such a string, for each."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = STORE):
+    def __init__(self, encode: Callable[[list[str]], list], limit: int = STORE):
         self.encode, self.limit, self.known = encode, limit, {}
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         cut = [pieces_of(t) for t in texts]
         known = self.known
         new = list({p for own in cut for p in own if p not in known})
-        fresh = {p: np.array(ids, "<u2").tobytes() for p, ids in zip(new, self.encode(new))}
+        fresh = {p: ids if isinstance(ids, bytes) else np.array(ids, "<u2").tobytes() for p, ids in zip(new, self.encode(new))}
         room = self.limit - len(known)  # frequent pieces come early, so a full store stays as it is
         known.update((p, fresh[p]) for p in new[:room] if len(p) <= LONG_PIECE)
         get = known.get

@@ -70,6 +70,28 @@ def test_the_query_has_special_tokens_as_the_library_has_them(spark, tmp_path):
          ["doc_id", "n_tokens", "ids_crc32"])
 
 
+@pytest.mark.parametrize("special", [True, False])
+def test_pieces_are_encoded_jointly(special):
+    class Counting:
+        def __init__(self, own):
+            self.own, self.strings = own, 0
+
+        def encode_batch_fast(self, texts, **kw):
+            self.strings += len(texts)
+            return self.own.encode_batch_fast(texts, **kw)
+
+    own = token_files.Tokens(JSON, special)
+    own.tokenizer = Counting(own.tokenizer)
+    own([" ".join(f"word{i}" for i in range(2000))])
+    assert own.tokenizer.strings < 10
+    rng = random.Random(7)
+    odd = ["<|endoftext|>", " ", "  ", "\n", "\0", "\x1c", "\u3000", "a", "é", "日本", "<|", "<|end", "oftext|>", " 's", "12", "😀"]
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randrange(12))) for _ in range(2000)]
+    library = Tokenizer.from_file(JSON)
+    library.encode_special_tokens = not special
+    assert [x.tolist() for x in own(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_damaged_blocks_are_found(tmp_path):
     path, out = files.new_file(str(tmp_path), ".ids")
     writer = token_files.Writer(out, block=16, lanes=4)
