@@ -199,3 +199,43 @@ def test_leaf_compares_few_templates():
     assert leaf.size > 500
     compared = [len(leaf.near(clusterer._ids(s))) for s in rows(11, 600)[:200]]
     assert sum(compared) / len(compared) < leaf.size / 20
+
+
+def test_only_wildcards_come_back_and_both_joins_agree(spark, monkeypatch):
+    """What clustering writes holds digests and places, no texts, for the patterns that change; lines joined by a shuffle get the same templates."""
+    from logweave.operators import mining
+    written = []
+    real = mining.cut_lineage
+    monkeypatch.setattr(mining, "cut_lineage", lambda d: written.append(real(d)) or written[-1])
+    texts = [f"unit {w} went to {v}" for w in ("a", "b", "c") for v in ("x", "y", "z")] + ["never seen before at all", "a b", "", None, "went <*> 5 there too", "went <*> 6 there two"]
+    rows = [("d", i % 4, t) for i, t in enumerate(texts)] + [("d", None, "unit d went to w"), (None, 3, "unit a went to x")]
+    lines = spark.createDataFrame(rows, "dataset string, line_id long, content string")
+    sent = mining.mine_templates(lines, [r"[0-9]+"], depth=3)
+    got = sorted(map(tuple, sent.collect()), key=str)
+    changed = written[-1]
+    assert changed.columns == ["dataset", "key", "wild"] and dict(changed.dtypes)["key"] == "binary"
+    assert 0 < changed.count() < 12
+    assert next(r for r in got if r[2] == "never seen before at all")[3] == "never seen before at all"
+    assert [r[3] for r in got if r[0] is None] == [None] and [r[3] for r in got if r[2] == ""] == [""]
+    monkeypatch.setattr(mining, "BROADCAST_MAPPING_BYTES", -1)
+    monkeypatch.setattr(mining, "SURE_BYTES", -1)
+    other = mining.mine_templates(lines, [r"[0-9]+"], depth=3)
+    assert sorted(map(tuple, other.collect()), key=str) == got
+
+
+def test_index_of_a_leaf_takes_little_memory_beside_its_arrays(monkeypatch):
+    import random
+
+    from logweave.operators import mining
+    rnd = random.Random(4)
+    rows = [[f"w{rnd.randrange(3000)}" for _ in range(24)] for _ in range(3000)]
+
+    def clusters():
+        clusterer = mining.PrefixClusterer(1, 0.5, 100)
+        return [clusterer.add(r) for r in rows], clusterer
+    chosen, clusterer = clusters()
+    leaf = clusterer.where[0][0]
+    assert leaf.next.itemsize == leaf.head.itemsize == 4
+    monkeypatch.setattr(mining, "_ENTERED", 64)  # the index built a few rows at a time holds the same chains
+    other, small = clusters()
+    assert other == chosen and small.where[0][0].head == leaf.head and small.where[0][0].next == leaf.next
