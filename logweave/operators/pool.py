@@ -24,7 +24,7 @@ from logweave.functions.matching import is_simple_template, line_parts, match_st
 from logweave.functions.templates import (
     clean_template, regex_word_count, static_token_count,
 )
-from logweave.session import cut_lineage
+from logweave.session import cut_lineage, sent
 
 def template_pool(proposals: DataFrame, check_col: str | None = None, rank: bool = True) -> DataFrame:
     """Build the pool from proposals ``dataset, template, seq[, check line]``.
@@ -122,19 +122,31 @@ def _rarest(c: DataFrame, name: str) -> DataFrame:
     return c.drop("keys").join(best, ["dataset", "template_id"], "left")
 
 
+#: Written bytes of a table of words or digests that is sent to every task.
+SENT_BYTES = 2 << 20
+
+
+def with_runs(templates: DataFrame) -> DataFrame:
+    """Rows with a ``template``, its ``digest`` and the longest whole ``runs`` of word characters of its cleaned form (null: rejected)."""
+    clean = templates.withColumn("__clean", clean_template("template"))
+    runs = F.when(F.col("__clean").isNotNull(), _longest(_runs_of(F.col("__clean"))))
+    return clean.withColumn("runs", runs).withColumn("digest", F.unhex(F.md5("template"))).drop("__clean")
+
+
 def possible_templates(templates: DataFrame, lines: DataFrame) -> DataFrame:
-    """Of the proposals ``dataset, template`` those that could match one of ``lines`` (dataset, content): every
+    """Of the written rows of ``with_runs`` those whose template could match one of ``lines`` (dataset, content): every
     whole run of word characters of a template must be a run of some line, and the longest ones are looked up.
 
-    A pool of many templates for few lines is cut to what matters before anything dear is done with it.
+    A pool of many templates for few lines is cut to what matters before anything dear is done with it.  The runs of a
+    template travel with its digest, its text stays where it is while few are possible.
     """
     bare = F.replace(F.col("content"), F.lit(","), F.lit(""))
-    said = lines.select("dataset", F.explode(F.array_distinct(F.regexp_extract_all(bare, F.lit(r"(?U)\w+"), 0))).alias("run")).distinct()
-    cleaned = templates.select("dataset", "template").distinct().withColumn("__clean", clean_template("template")).filter(F.col("__clean").isNotNull())
-    runs = cleaned.select("dataset", "template", F.explode_outer(_longest(_runs_of(F.col("__clean")))).alias("run"))
+    said = cut_lineage(lines.select("dataset", F.explode(F.array_distinct(F.regexp_extract_all(bare, F.lit(r"(?U)\w+"), 0))).alias("run")).distinct())
+    runs = templates.filter(F.col("runs").isNotNull()).select("dataset", "digest", F.explode_outer("runs").alias("run"))
     absent = F.col("run").isNotNull() & F.col("__said").isNull()
-    return runs.join(said.withColumn("__said", F.lit(1)), ["dataset", "run"], "left").groupBy("dataset", "template") \
-        .agg(F.max(absent).alias("__absent")).filter(~F.col("__absent")).drop("__absent")
+    able = cut_lineage(runs.join(sent(said, SENT_BYTES).withColumn("__said", F.lit(1)), ["dataset", "run"], "left").groupBy("dataset", "digest")
+                       .agg(F.max(absent).alias("__absent")).filter(~F.col("__absent")).drop("__absent"))
+    return templates.join(sent(able, SENT_BYTES), ["dataset", "digest"], "left_semi").drop("digest", "runs")
 
 
 def index_templates(pool: DataFrame) -> DataFrame:

@@ -33,26 +33,30 @@ from logweave.functions.text import tokenize
 from logweave.functions.templates import clean_template, literal_template, template_to_regex
 from logweave.operators.lint import with_report
 from logweave.operators.mining import consensus_template
-from logweave.operators.pool import index_templates, match_indexed, possible_templates, template_pool
+from logweave.operators.pool import SENT_BYTES, index_templates, match_indexed, possible_templates, template_pool, with_runs
 from logweave.operators.sampling import diverse_sample
 from logweave.operators.templates import repair_templates
-from logweave.session import cut_lineage
+from logweave.session import cut_lineage, sent
 
 # A one-line group is static unless it holds one of these.
 STATIC_BREAKERS = [" is ", "=", " to ", "_", "-", ":", "."]
 
 
+def _is_plain(content) -> F.Column:
+    """A line free of variable-looking text."""
+    breaker = F.lit(False)
+    for s in STATIC_BREAKERS:
+        breaker = breaker | content.contains(s)
+    return ~(breaker | content.rlike("\\p{Nd}"))
+
+
 def static_groups(groups: DataFrame, group_col: str = "template") -> DataFrame:
     """Groups with exactly one distinct content free of variable-looking text.
 
     Returns ``dataset, group_col, content, template_regex`` (escaped line).
     """
     agg = groups.groupBy("dataset", group_col).agg(F.min("content").alias("content"), F.max("content").alias("__last"))
-    breaker = F.lit(False)
-    for s in STATIC_BREAKERS:
-        breaker = breaker | F.col("content").contains(s)
-    breaker = breaker | F.col("content").rlike("\\p{Nd}")
-    return agg.filter((F.col("content") == F.col("__last")) & ~breaker).select(
+    return agg.filter((F.col("content") == F.col("__last")) & _is_plain(F.col("content"))).select(
         "dataset", group_col, "content", literal_template("content").alias("template_regex"))
 
 
@@ -122,6 +126,16 @@ def verify_templates(rows: DataFrame, proposals: DataFrame, lint: bool = True,
     group_key, template_regex.  Adds ``matched`` per line and
     ``group_match_rate``.
     """
+    p = _prepared(proposals, lint, validate)
+    j = _judged(rows.withColumn("__line", lenient_line("content")).join(p, ["dataset", "group_key"], "left"))
+    if not with_rate:
+        return j
+    rate = j.groupBy("dataset", "group_key").agg(F.avg(F.col("matched").cast("double")).alias("group_match_rate"))
+    return j.join(rate, ["dataset", "group_key"])
+
+
+def _prepared(proposals: DataFrame, lint: bool, validate: bool) -> DataFrame:
+    """What belongs to a proposal alone: ``cleaned, hardcoded, valid, __parts``."""
     p = proposals.withColumn("cleaned", clean_template("template_regex"))
     if lint:
         bad = (F.col("cleaned").contains("=") | F.col("cleaned").contains(":")) & \
@@ -132,15 +146,88 @@ def verify_templates(rows: DataFrame, proposals: DataFrame, lint: bool = True,
     # built-in proposer only emits escaped templates (``validate=False``).
     valid = regex_is_valid_udf(F.translate("cleaned", ",$", "")) if validate \
         else F.col("cleaned").isNotNull() & (F.col("cleaned") != "")
-    p = p.withColumn("hardcoded", F.coalesce(bad, F.lit(False))).withColumn("valid", valid).withColumn("__parts", lenient_parts("cleaned"))
-    j = rows.withColumn("__line", lenient_line("content")).join(p, ["dataset", "group_key"], "left")
+    return p.withColumn("hardcoded", F.coalesce(bad, F.lit(False))).withColumn("valid", valid).withColumn("__parts", lenient_parts("cleaned"))
+
+
+def _judged(j: DataFrame) -> DataFrame:
+    """``matched`` of rows with a ``content``, its ``__line`` and what ``_prepared`` adds."""
     ok = F.col("cleaned").isNotNull() & ~F.col("hardcoded") & \
         F.when(F.col("valid"), match_lenient_parts("content", F.col("cleaned"), F.col("__line"), F.col("__parts"))).otherwise(F.lit(False))
-    j = j.withColumn("matched", F.coalesce(ok, F.lit(False))).drop("__parts", "__line")
-    if not with_rate:
-        return j
-    rate = j.groupBy("dataset", "group_key").agg(F.avg(F.col("matched").cast("double")).alias("group_match_rate"))
-    return j.join(rate, ["dataset", "group_key"])
+    return j.withColumn("matched", F.coalesce(ok, F.lit(False))).drop("__parts", "__line")
+
+
+#: Counted bytes of what the first check does not settle, below which it goes to every task.
+BROADCAST_LATE_BYTES = 64 << 20
+
+
+class _Mined:
+    """The first check of mined lines, whose proposal is the template that they carry: it is read off every line, so
+    only groups (a row each), the lines that fail, and digests are written or shuffled.
+
+    ``groups``: dataset, group_key, words (of the first line), matched (a line fits), literal (of a static group), and the digest and runs of their template;
+    ``wrong``: the distinct contents that fail, but for static groups.
+    """
+
+    def __init__(self, lines: DataFrame, lint: bool):
+        self.lines, self.lint = lines, lint
+        self.g, self.d = F.unhex(F.md5("group_key")).alias("g"), F.unhex(F.md5("content")).alias("d")
+        self.known = F.col("content").isNotNull() & F.col("group_key").isNotNull() & F.col("dataset").isNotNull()
+        known = lines.filter(self.known)
+        value = F.xxhash64("content")  # tells whether a group has a single content
+        plain = F.min(F.when(_is_plain(F.col("content")), F.col("content")))
+        groups = self._told(known).groupBy("dataset", "group_key").agg(
+            F.min_by(F.size(tokenize("content")), "line_id").alias("words"), F.max("matched").alias("matched"), F.min("matched").alias("all"),
+            F.when(F.min(value) == F.max(value), plain).alias("content"))
+        groups = groups.withColumn("literal", literal_template("content"))
+        self.groups = cut_lineage(with_runs(groups.withColumn("template", self._template())).select(
+            "dataset", "group_key", "words", "matched", "all", self.g, self.d, "literal", "digest", "runs"))
+        self.static = cut_lineage(self.groups.filter(F.col("literal").isNotNull()).select("dataset", "g", "d"))
+        failing = cut_lineage(self.groups.filter(~F.col("all") & F.col("literal").isNull()).select("dataset", "g"))
+        told = self._told(known.withColumn("g", self.g).join(sent(failing, SENT_BYTES), ["dataset", "g"], "left_semi"))
+        # A row number, though it never counts, keeps the filter above all that ``matched`` is made of; below, each step would be worked out many times.
+        wrong = told.filter(~(F.col("matched") | F.col("never"))).groupBy("dataset", "group_key", "content", "template_regex")
+        self.wrong = cut_lineage(wrong.agg(F.min("line_id").alias("line_id")).withColumn("mined", F.col("group_key")))
+
+    def _told(self, lines: DataFrame) -> DataFrame:
+        """Lines with their proposal (``template_regex``) and whether it is right (``matched``)."""
+        p = lines.withColumn("template_regex", template_to_regex("group_key")).withColumn("__line", lenient_line("content"))
+        return _judged(_prepared(p, self.lint, False)).withColumn("never", F.monotonically_increasing_id() < 0).drop("hardcoded", "valid", "cleaned")
+
+    @staticmethod
+    def _template() -> F.Column:
+        return F.coalesce("literal", F.when(F.col("matched"), clean_template(template_to_regex("group_key"))))
+
+    def templates(self) -> DataFrame:
+        """The groups that are static or have a line that their proposal fits, as ``possible_templates`` takes them."""
+        return self.groups.filter(F.col("literal").isNotNull() | F.col("matched")).select("dataset", "group_key", "literal", "matched", "digest", "runs")
+
+    def words(self, keys: DataFrame) -> DataFrame:
+        """(dataset, group_key, words) of some groups."""
+        return keys.withColumn("g", self.g).join(self.groups.select("dataset", "g", "words"), ["dataset", "g"]).drop("g")
+
+    def possible(self, unsolved: DataFrame) -> DataFrame:
+        """(dataset, group_key, template) of the templates that could match an unsolved content."""
+        return possible_templates(self.templates(), unsolved).select("dataset", "group_key", self._template().alias("template"))
+
+    def settled(self, late: DataFrame) -> DataFrame:
+        """All lines with template_regex, verified, source and history; ``late`` has them for each of the contents that failed."""
+        answers = ["template_regex", "verified", "source", "history"]
+        late = cut_lineage(late.select("dataset", self.g, self.d, F.struct(*answers).alias("late")))
+        texts = F.octet_length("late.template_regex") * (F.size("late.history") + 1)
+        size = 200 * self.static.count() + (late.agg(F.sum(texts + 200)).first()[0] or 0)
+        others = late.unionByName(self.static.withColumn("late", F.lit(None).cast(late.schema["late"].dataType))) \
+            .withColumn("static", F.col("late").isNull())
+        if size <= BROADCAST_LATE_BYTES:
+            others = F.broadcast(others)
+        out = self.lines.withColumn("g", self.g).withColumn("d", self.d).join(others, ["dataset", "g", "d"], "left")
+        static, failed = F.coalesce("static", F.lit(False)), F.col("late").isNotNull()
+        right = ~static & ~failed & self.known
+        # The proposal of a line that is right, before and after it is cleaned.
+        out = out.withColumn("own", F.when(static, literal_template("content")).when(right, template_to_regex("group_key")))
+        regex = F.when(static, F.col("own")).when(failed, F.col("late.template_regex")).when(right, clean_template("own"))
+        source = F.when(static, "static").when(failed, F.col("late.source")).when(right, "round0")
+        return out.select("dataset", "line_id", "content", regex.alias("template_regex"), F.coalesce("late.verified", static | right).alias("verified"),
+                          source.alias("source"), F.coalesce("late.history", F.when(static | right, F.array("own"))).alias("history"))
 
 
 def parse_logs(groups: DataFrame, masks: Sequence[str], proposer: Proposer | None = None,
@@ -163,22 +250,33 @@ def parse_logs(groups: DataFrame, masks: Sequence[str], proposer: Proposer | Non
     """
     key = ["dataset", "group_key"]
     lines = groups.select("dataset", "line_id", "content", F.col("template").alias("mined"), F.col(group_col).alias("group_key"))
-    base = cut_lineage(lines.filter(F.col("content").isNotNull() & F.col("group_key").isNotNull())
-                       .groupBy(*key, "content").agg(F.min("line_id").alias("line_id"), F.min("mined").alias("mined")))
-    static = static_groups(base, "group_key")
-    base = cut_lineage(base.join(static.withColumnRenamed("template_regex", "literal"), [*key, "content"], "left"))
     columns = [*key, "content", "template_regex", "verified", "source", "history"]
-    literal = base.filter(F.col("literal").isNotNull()).withColumnRenamed("literal", "template_regex")
-    done = literal.withColumn("verified", F.lit(True)).withColumn("source", F.lit("static")) \
-        .withColumn("history", F.array("template_regex")).select(*columns)
-    todo = base.filter(F.col("literal").isNull()).drop("literal").withColumn("history", F.array().cast("array<string>"))
-
-    def index_of(templates: DataFrame, unsolved: DataFrame) -> DataFrame:
-        """The templates (key, template) that could match an unsolved content, indexed.  Pool insertion order: word
-        count of the first line of the template's group, then the group key."""
-        possible = cut_lineage(templates.join(possible_templates(templates, unsolved), ["dataset", "template"]).distinct())
-        first = base.join(possible.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.min_by("content", "line_id").alias("first"))
-        order = first.select(*key, F.struct(F.size(tokenize(F.col("first"))).alias("words"), F.col("group_key").alias("key")).alias("seq"))
+    first = _Mined(lines, lint) if proposer is None and group_col == "template" else None
+    if first:
+        # The first round is read off the lines.
+        fresh, words_of = first.templates(), first.words
+        wrong = first.wrong.withColumn("history", F.array("template_regex"))
+        done = wrong.filter(F.lit(rounds < 1)).withColumn("verified", F.lit(False)).withColumn("source", F.lit("unverified")).select(*columns)
+        todo = wrong.drop("template_regex")
+    else:
+        base = cut_lineage(lines.filter(F.col("content").isNotNull() & F.col("group_key").isNotNull())
+                           .groupBy(*key, "content").agg(F.min("line_id").alias("line_id"), F.min("mined").alias("mined")))
+        static = static_groups(base, "group_key")
+        base = cut_lineage(base.join(static.withColumnRenamed("template_regex", "literal"), [*key, "content"], "left"))
+        literal = base.filter(F.col("literal").isNotNull()).withColumnRenamed("literal", "template_regex")
+        done = literal.withColumn("verified", F.lit(True)).withColumn("source", F.lit("static")) \
+            .withColumn("history", F.array("template_regex")).select(*columns)
+        todo = base.filter(F.col("literal").isNull()).drop("literal").withColumn("history", F.array().cast("array<string>"))
+        fresh = literal.select(*key, F.col("template_regex").alias("template"))
+
+        def words_of(keys: DataFrame) -> DataFrame:
+            return base.join(keys, key, "left_semi").groupBy(*key).agg(F.min_by("content", "line_id").alias("first")).select(*key, F.size(tokenize(F.col("first"))).alias("words"))
+
+    def index_of(templates: DataFrame | None, unsolved: DataFrame) -> DataFrame:
+        """The templates (key, template; None: those of the mined groups) that could match an unsolved content, indexed.  Pool
+        insertion order: word count of the first line of the template's group, then the group key."""
+        possible = cut_lineage(first.possible(unsolved) if templates is None else possible_templates(cut_lineage(with_runs(templates)), unsolved).distinct())
+        order = words_of(possible.select(*key).distinct()).select(*key, F.struct("words", F.col("group_key").alias("key")).alias("seq"))
         proposals = possible.join(order, key).groupBy("dataset", "template").agg(F.min("seq").alias("seq"))
         return index_templates(template_pool(proposals, rank=False))
 
@@ -187,11 +285,11 @@ def parse_logs(groups: DataFrame, masks: Sequence[str], proposer: Proposer | Non
 
     # Verified since the failing contents were last tried: older templates have failed on them already.
     # Each round's templates are cleaned, checked and indexed once; ``later`` are the indexes since the first round.
-    fresh = literal.select(*key, F.col("template_regex").alias("template"))
     later: DataFrame | None = None
-    for r in range(rounds + 1):
+    r = 0
+    for r in range(1 if first else 0, rounds + 1 if not (first and todo.isEmpty()) else 0):
         if use_pool and r and not fresh.isEmpty():
-            index = index_of(fresh, unsolved())
+            index = index_of(None if first and r == 1 else fresh, unsolved())
             if r > 1:
                 later = index if later is None else later.unionByName(index)
             fresh = None
@@ -243,7 +341,7 @@ def parse_logs(groups: DataFrame, masks: Sequence[str], proposer: Proposer | Non
         tried = tried.withColumn("verified", found).withColumn("source", F.when(found, "pool").otherwise("unverified")) \
             .withColumn("template_regex", F.coalesce("template_regex", "own"))
         done = done.filter("verified").unionByName(tried.select(*columns))
-    out = lines.join(done, [*key, "content"], "left")
+    out = first.settled(done) if first else lines.join(done, [*key, "content"], "left")
     event = F.when(F.col("verified"), F.substring(F.md5(F.col("template_regex")), 1, 8)) \
         .otherwise(F.concat(F.lit("u"), F.col("line_id").cast("string")))
     return out.withColumn("verified", F.coalesce("verified", F.lit(False))).withColumn("source", F.coalesce("source", F.lit("unverified"))) \

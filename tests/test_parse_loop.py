@@ -88,3 +88,25 @@ def test_band_is_an_equi_join(spark):
     band = pl.templates_in_band(lengths, pool)
     assert "NestedLoop" not in band._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["n_tokens"], r["word_count"]) for r in band.collect()) == [(4, k) for k in range(1, 6)] + [(20, k) for k in range(12, 22)]
+
+
+def test_mined_lines_send_no_texts_of_what_fits(spark, monkeypatch):
+    """The first check writes a row a group and the contents that fail; a rest too large to be broadcast gives the same."""
+    written = []
+    real = vf.cut_lineage
+    monkeypatch.setattr(vf, "cut_lineage", lambda d: written.append(real(d)) or written[-1])
+    rows = [(f"open file {i} now", "open file <*> now") for i in range(400)] + [
+        ("open file 7 now", "open file <*> now"), ("no variables", "no variables"), ("no  variables", "no variables"), ("alone here", "alone here"),
+        ("user=ann left 3", "user=ann left <*>"), ("user=ann left 4", "user=ann left <*>"), ("odd name", "wrong <*>"), ("open file x now", "wrong <*>"), (None, None)]
+    groups = _groups(spark, rows).unionByName(spark.createDataFrame([(None, 900, "open file 1 now", "open file <*> now", "x")], "dataset string, line_id long, content string, template string, event_id string"))
+    out = {r["line_id"]: r for r in vf.parse_logs(groups, [r"[0-9]+"]).collect()}
+    assert len(out) == len(rows) + 1
+    assert all("content" not in d.columns or d.count() < 10 for d in written)
+    assert {out[i]["template_regex"] for i in range(401)} == {"open file (.*?) now"} and out[0]["history"] == ["open file (.*?) now"]
+    assert [out[i]["source"] for i in (0, 401, 402, 403, 408, 900)] == ["round0", "round0", "unverified", "static", "unverified", "unverified"]
+    assert out[403]["template_regex"] == "alone here" and out[900]["template_regex"] is None and out[407]["source"] in ("pool", "unverified", "round1")
+    assert out[404]["verified"] is False and out[404]["history"][0] == "user=ann left (.*?)"
+    monkeypatch.setattr(vf, "BROADCAST_LATE_BYTES", -1)
+    assert {r["line_id"]: r for r in vf.parse_logs(groups, [r"[0-9]+"]).collect()} == out
+    short = vf.parse_logs(groups, [r"[0-9]+"], rounds=0).filter("line_id = 407").first()
+    assert (short["source"], short["template_regex"], short["history"]) == ("unverified", "wrong (.*?)", ["wrong (.*?)"])
