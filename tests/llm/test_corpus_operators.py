@@ -172,6 +172,28 @@ def test_window_anchors_over_blocks(n, top, k, width):
     assert [at[i] for i in some] == [max(range(i, i + w), key=lambda j: (-own[j], j)) for i in some]
 
 
+def test_anchors_and_windows_of_many_texts_at_once(monkeypatch):
+    """Texts that are looked at together have the anchors and windows that each has on its own, and none across two; the work is not done text by text."""
+    rng = np.random.default_rng(8)
+    sizes = [0, 49, 50, 0, 51, 7, 300, 50, 0, 120, 49]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    values = rng.integers(0, 5, first[-1]).astype(np.uint64)
+    want, windows = [], []
+    for i, (a, b) in enumerate(zip(first[:-1], first[1:])):
+        h, at = recurring.window_anchors(values[a:b], 8, 50)
+        want += [(h[x], x, i) for x in np.unique(at)]
+        windows += [(i, s) for s in range(max(0, b - a - 49))]
+    calls = []
+    real = recurring.window_anchors
+    monkeypatch.setattr(recurring, "window_anchors", lambda *a: calls.append(1) or real(*a))
+    assert list(zip(*recurring.text_anchors(values, first, 8, 50))) == want and len(calls) == 1
+    start, text = recurring.inside(first, len(values) - 49, 50)
+    assert list(zip(text, start - first[text])) == windows
+    for few in ([], [0, 0], [49], [3, 4]):
+        off = np.concatenate([[0], np.cumsum(np.array(few, int))]).astype(int)
+        assert [len(x) for x in recurring.text_anchors(values[:off[-1]], off, 8, 50)] == [0, 0, 0]
+
+
 def test_anchors_with_one_context_are_answered_apart():
     """Only rows of anchors with two contexts, and those that may go on in other batches, are streamed one by one."""
     rng, rows = random.Random(5), []
