@@ -190,8 +190,11 @@ def match_indexed(lines: DataFrame, index: DataFrame) -> DataFrame:
         # Sent to every task only below a checked number of bytes.
         size = anchored.agg(F.sum(2 * F.octet_length("template_regex") + 128)).first()[0] or 0
         send = F.broadcast if size <= BROADCAST_BYTES else (lambda df: df)
+        # The anchors alone are few bytes where their templates are many: keys that are none are not shuffled.
         least = anchored.groupBy("dataset", "key").agg(F.min("word_count").alias("least"))
-        near = keyed.join(send(least), ["dataset", "key"]).filter(F.col("least") <= F.col("n_tokens")).select("dataset", "key", "digest")
+        if (least.agg(F.sum(F.octet_length("key") + 128)).first()[0] or 0) <= BROADCAST_BYTES:
+            least = F.broadcast(least)
+        near = keyed.join(least, ["dataset", "key"]).filter(F.col("least") <= F.col("n_tokens")).select("dataset", "key", "digest")
         pairs = near.join(text, ["dataset", "digest"]).join(send(anchored), ["dataset", "key"]).filter(F.col("word_count") <= F.col("n_tokens"))
         hits = pairs.filter(match_strict_parts("content", "template_regex", F.col("line"), F.col("parts"))) \
             .select("dataset", "content", "template_id", "template_regex", "word_count", "seq")
